@@ -3,5 +3,62 @@
 from __future__ import annotations
 
 
+ASCII_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+WORDS = "regexp_extract_all(" + ASCII_LOWER.format("coalesce({}, '')") + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+OP5 = rf"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, {WORDS.format("text")} AS w FROM documents),
+b AS (SELECT cast(item_id AS varchar) AS item, {WORDS.format("text")} AS w FROM benchmark),
+windows AS (
+  SELECT DISTINCT item, least(13, len(w)) AS n, array_to_string(w[s + 1 : s + 13], ' ') AS phrase
+  FROM (SELECT item, w, unnest(range(0, greatest(len(w) - 13, 0) + 1)) AS s FROM b WHERE len(w) > 0)),
+sizes AS (SELECT DISTINCT n FROM windows),
+places AS (
+  SELECT r, n, s, array_to_string(w[s + 1 : s + n], ' ') AS phrase
+  FROM (SELECT r, w, n, unnest(range(0, len(w) - n + 1)) AS s FROM d, sizes WHERE len(w) >= n)),
+met AS (SELECT DISTINCT r, s, n, item FROM places JOIN windows USING (n, phrase)),
+hit AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(s, s + n)) AS p FROM met) GROUP BY r),
+items AS (
+  SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+  FROM (SELECT DISTINCT r, item FROM met) GROUP BY r)
+SELECT doc_id, cast(len(w) AS bigint) AS n_words, cast(coalesce(n_hit, 0) AS bigint) AS n_hit,
+  cast(coalesce(n_items, 0) AS bigint) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN hit USING (r) LEFT JOIN items USING (r)
+"""
+
+OP9 = """
+WITH RECURSIVE s AS (
+  SELECT coalesce(source, '') AS source, count(*) AS n FROM documents GROUP BY 1),
+x AS (SELECT *, CASE source WHEN 'src0' THEN 4.0::double ELSE 1.0::double END AS weight FROM s),
+y AS (SELECT *, weight * 1000 / sum(weight) OVER () AS exact FROM x),
+z AS (SELECT *, greatest(floor(exact), 1)::bigint AS least, exact - floor(exact) AS fraction FROM y),
+q AS (SELECT *, 1000 - sum(least) OVER () AS rest,
+  row_number() OVER (ORDER BY fraction DESC, source) AS place, row_number() OVER (ORDER BY exact DESC, source) AS size
+  FROM z),
+u AS (SELECT source, n, (least + (place <= rest)::bigint + CASE WHEN size = 1 THEN least(rest, 0) ELSE 0 END)::bigint
+  AS units, row_number() OVER (ORDER BY source) AS i FROM q),
+a AS (SELECT list(units ORDER BY i) AS units FROM u),
+edf AS (
+  SELECT 0 AS t, list_transform(units, lambda v: 0::bigint) AS done, NULL::bigint AS p, NULL::bigint AS k, units FROM a
+  UNION ALL
+  SELECT t + 1, list_transform(done, lambda d, j: CASE WHEN j = p2 THEN d + 1 ELSE d END), p2, done[p2], units
+  FROM (SELECT *, list_min(list_transform(
+      list_filter(range(1, len(units) + 1), lambda j: done[j] < units[j] AND floor(done[j] * 1000 / units[j]) <= t),
+      lambda j: {'due': ceil((done[j] + 1) * 1000 / units[j])::bigint, 'i': j})).i AS p2
+    FROM edf WHERE t < 1000)),
+slots AS (SELECT t - 1 AS slot, p AS i, k FROM edf WHERE t > 0),
+docs AS (
+  SELECT doc_id, source, coalesce(source, '') AS src, row_number() OVER (PARTITION BY coalesce(source, '')
+    ORDER BY md5(coalesce(cast(doc_id AS varchar), '')), doc_id) - 1 AS ordinal FROM documents),
+placed AS (
+  SELECT doc_id, docs.source, ordinal // 16 AS mix_block, ((ordinal // 16) // units) * 1000 + slot AS mix_slot, ordinal
+  FROM docs JOIN u ON docs.src = u.source JOIN slots ON slots.i = u.i AND slots.k = (ordinal // 16) % units)
+SELECT doc_id, source, cast(mix_block AS bigint) AS mix_block, cast(mix_slot AS bigint) AS mix_slot,
+  cast(row_number() OVER (ORDER BY mix_slot, ordinal) - 1 AS bigint) AS mix_position
+FROM placed
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_decontamination": OP5, "op9_pfair_mixing": OP9}
