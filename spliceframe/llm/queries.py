@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, mixing, secrets
+from . import decontamination, fingerprints, mixing, secrets, simhash
 
 #: Target weights of the mixture; sources that aren't named weigh 1.
 WEIGHTS = {"src0": 4.0}
@@ -17,6 +17,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: fingerprints of its text and its edited text, and how near they and the next document's are."""
+    fp = fingerprints
+    pairs = fp.with_next(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    changed = pairs.withColumn("edited_text", fp.edited(F.col("text"), F.col("next_text")))
+    changed = changed.withColumn("edited_signature", fp.signature(F.col("edited_text")))
+    return changed.select(
+        F.col("key").alias("doc_id"),
+        F.char_length("text").cast("long").alias("n_chars"),
+        F.sha2(F.col("edited_text").cast("binary"), 256).alias("edited_sha256"),
+        fp.written(F.col("signature")).alias("fingerprint"),
+        fp.written(F.col("edited_signature")).alias("edited_fingerprint"),
+        fp.likeness(F.col("signature"), F.col("edited_signature")).alias("near_edited"),
+        fp.likeness(F.col("signature"), F.col("next_signature")).alias("near_next"),
+    )
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: n_words, n_hit, n_items, items_sha256, contaminated."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -31,6 +48,12 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: fingerprint (16 hexadecimal digits) and component_id."""
+    found = simhash.classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op9_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source")
     return mixing.mix(docs, WEIGHTS)
@@ -55,4 +78,4 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_decontamination, op9_pfair_mixing, op10_secret_scan)}
+    return {f.__name__: f for f in (op3_order_minhash, op5_decontamination, op7_simhash, op9_pfair_mixing, op10_secret_scan)}
