@@ -59,6 +59,23 @@ SELECT doc_id, source, cast(mix_block AS bigint) AS mix_block, cast(mix_slot AS
 FROM placed
 """
 
+OP2 = """
+WITH p AS (
+  SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, coalesce(html, '') AS body,
+    max(page_id) OVER (PARTITION BY coalesce(html, '')) AS last, sha1(coalesce(html, '')) AS hex FROM pages),
+bits AS (SELECT *, array_to_string(list_transform(string_split(hex, ''), lambda c:
+    substr('0000000100100011010001010110011110001001101010111100110111101111',
+      4 * strpos('0123456789abcdef', c) - 3, 4)), '') AS b FROM p)
+SELECT page_id, cast(payload_bytes AS bigint) AS payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    1 + 16 * cast(substr(b, 5 * i + 1, 1) AS int) + 8 * cast(substr(b, 5 * i + 2, 1) AS int)
+    + 4 * cast(substr(b, 5 * i + 3, 1) AS int) + 2 * cast(substr(b, 5 * i + 4, 1) AS int)
+    + cast(substr(b, 5 * i + 5, 1) AS int), 1)), '') AS payload_digest,
+  CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id = last THEN NULL ELSE last END AS refers_to
+FROM bits
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_decontamination": OP5, "op9_pfair_mixing": OP9}
+    return {"op2_warc": OP2, "op5_decontamination": OP5, "op9_pfair_mixing": OP9}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, fingerprints, mixing, secrets, simhash
+from . import decontamination, fingerprints, mixing, secrets, simhash, tokens, warc
 
 #: Target weights of the mixture; sources that aren't named weigh 1.
 WEIGHTS = {"src0": 4.0}
@@ -17,6 +17,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per page, from archives written and read back: payload_bytes, payload_digest, record_type, refers_to."""
+    found = warc.round_trip(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op3_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: fingerprints of its text and its edited text, and how near they and the next document's are."""
     fp = fingerprints
@@ -48,6 +54,11 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document, from shard files written and read back: start, n_tokens, ids_crc32."""
+    return tokens.round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: fingerprint (16 hexadecimal digits) and component_id."""
     found = simhash.classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -78,4 +89,4 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_order_minhash, op5_decontamination, op7_simhash, op9_pfair_mixing, op10_secret_scan)}
+    return {f.__name__: f for f in (op2_warc, op3_order_minhash, op5_decontamination, op6_token_ids, op7_simhash, op9_pfair_mixing, op10_secret_scan)}
