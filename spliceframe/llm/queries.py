@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, fingerprints, mixing, secrets, simhash, tokens, warc
+from . import decontamination, fingerprints, mixing, quality, secrets, simhash, tokens, warc
 
 #: Target weights of the mixture; sources that aren't named weigh 1.
 WEIGHTS = {"src0": 4.0}
@@ -17,6 +17,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: held_out, score, predicted (1 if score >= 0.3)."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.train(docs, table(spark, sf_dir, "labels"))
+    scored = quality.score(docs, model).select(
+        "doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), F.col("quality_score").alias("score")
+    )
+    return scored.withColumn("predicted", (F.col("score") >= quality.THRESHOLD).cast("int"))
+
+
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per page, from archives written and read back: payload_bytes, payload_digest, record_type, refers_to."""
     found = warc.round_trip(table(spark, sf_dir, "pages"))
@@ -89,4 +99,4 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_warc, op3_order_minhash, op5_decontamination, op6_token_ids, op7_simhash, op9_pfair_mixing, op10_secret_scan)}
+    return {f.__name__: f for f in (op1_quality, op2_warc, op3_order_minhash, op5_decontamination, op6_token_ids, op7_simhash, op9_pfair_mixing, op10_secret_scan)}
