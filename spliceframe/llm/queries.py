@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, fingerprints, mixing, quality, secrets, simhash, tokens, warc
+from . import decontamination, fingerprints, lm_scores, mixing, quality, secrets, simhash, tokens, warc
 
 #: Target weights of the mixture; sources that aren't named weigh 1.
 WEIGHTS = {"src0": 4.0}
@@ -50,6 +50,10 @@ def op3_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores.score(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: n_words, n_hit, n_items, items_sha256, contaminated."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -99,4 +103,17 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_warc, op3_order_minhash, op5_decontamination, op6_token_ids, op7_simhash, op9_pfair_mixing, op10_secret_scan)}
+    return {
+        f.__name__: f
+        for f in (
+            op1_quality,
+            op2_warc,
+            op3_order_minhash,
+            op4_lm_score,
+            op5_decontamination,
+            op6_token_ids,
+            op7_simhash,
+            op9_pfair_mixing,
+            op10_secret_scan,
+        )
+    }
