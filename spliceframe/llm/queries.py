@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, fingerprints, lm_scores, mixing, quality, secrets, simhash, tokens, warc
+from . import decontamination, fingerprints, lm_scores, mixing, quality, repeats, secrets, simhash, tokens, warc
 
 #: Target weights of the mixture; sources that aren't named weigh 1.
 WEIGHTS = {"src0": 4.0}
@@ -79,6 +79,12 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op8_bwt_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: n_bytes, n_removed, n_spans, kept_sha256."""
+    left = repeats.remove(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source")
     return mixing.mix(docs, WEIGHTS)
@@ -113,6 +119,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             op5_decontamination,
             op6_token_ids,
             op7_simhash,
+            op8_bwt_repeats,
             op9_pfair_mixing,
             op10_secret_scan,
         )
