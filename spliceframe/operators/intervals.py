@@ -69,7 +69,7 @@ def overlap_join(left: DataFrame, right: DataFrame, keys: list[str], tolerance:
     )
     a, b = spread(left, "start", "end", tolerance), spread(right, "r_start", "r_end", 0)
     met = a.join(b, [*keys, "_bin"]).where(
-        (F.col("r_start") < F.col("end") + tolerance + (tolerance == 0))
+        (F.col("r_start") < F.col("end") + tolerance + int(tolerance == 0))
         & (F.col("r_end") + 1 > F.col("start") - tolerance)
     )
     first = F.greatest(F.floor((F.col("start") - tolerance) / width), F.floor(F.col("r_start") / width))
