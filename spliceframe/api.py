@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .config import KValueSettings, QuantifySettings
-from .functions.columns import inner_weight, region_name
+from .functions.columns import inner_weight, region_name, safe_divide
 from .operators import communities, condition, em, features, intervals, mapping, paths, readlen, shortread
 from .plans.scratch import settle
 from .sources import formats, sinks
@@ -174,10 +174,10 @@ def quantify(
         tpm = F.col("community_num_lrs") / (n or 1) * F.col("theta") * 1e6
     else:
         com, every = Window.partitionBy("community"), Window.partitionBy()
-        units = F.col("community_num_srs") * F.col("theta") / F.sum(F.col("theta") * F.col("eff")).over(com)
+        units = safe_divide(F.col("community_num_srs") * F.col("theta"), F.sum(F.col("theta") * F.col("eff")).over(com))
         out = out.withColumn("u", F.when(F.col("community_num_srs") > 0, units).otherwise(0.0))
         sums = out.groupBy("community").agg(F.sum("u").alias("u_c"))  # one row for each community
-        sums = sums.withColumn("share", F.col("u_c") / F.sum("u_c").over(every))
+        sums = sums.withColumn("share", safe_divide(F.col("u_c"), F.sum("u_c").over(every)))
         out = out.join(sums.select("community", "share"), "community").drop("u")
         tpm = F.col("share") * F.col("theta") * 1e6
     return Abundance(out.withColumn("tpm", tpm), lr, sr, mapped, rejected, alphas)

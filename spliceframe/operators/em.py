@@ -41,7 +41,7 @@ def blend(lr: DataFrame, sr: DataFrame, eff: DataFrame, theta: DataFrame, alpha:
     )
     per_base = F.sum(F.col("theta") * F.col("eff")).over(every)
     top = (1 - alpha) * F.col("q_sr") + alpha * F.col("q_lr")
-    low = (1 - alpha) * F.sum(F.col("q_sr") * F.col("eff")).over(every) / per_base + alpha * F.sum("q_lr").over(every)
+    low = (1 - alpha) * safe_divide(F.sum(F.col("q_sr") * F.col("eff")).over(every), per_base) + alpha * F.sum("q_lr").over(every)
     raw = both.withColumn("new", safe_divide(top, low))
     return raw.withColumn("new", safe_divide(F.col("new"), F.sum("new").over(every))).select(
         *(by or []), "isoform", zero_below(F.col("new")).alias("theta")
@@ -150,14 +150,14 @@ def run_tables(every: DataFrame, hybrid: bool, s: QuantifySettings) -> DataFrame
             return expected(table.join(held, "isoform"), F.col("v") * weight, "pattern", "n")
 
         q_lr = q(lr, F.col("theta")).withColumnRenamed("q", "q_lr")
-        q_sr = q(sr, F.col("theta") * F.col("eff") / F.col("per_base")).withColumnRenamed("q", "q_sr")
+        q_sr = q(sr, safe_divide(F.col("theta") * F.col("eff"), F.col("per_base"))).withColumnRenamed("q", "q_sr")
         both = held.join(q_lr, "isoform", "left").join(q_sr, "isoform", "left").fillna(0.0, ["q_lr", "q_sr"])
         a = F.col("alpha") if hybrid else F.lit(1.0)
-        low = (1 - a) * F.sum(F.col("q_sr") * F.col("eff")).over(com) / F.col("per_base") + a * F.sum("q_lr").over(com)
+        low = (1 - a) * safe_divide(F.sum(F.col("q_sr") * F.col("eff")).over(com), F.col("per_base")) + a * F.sum("q_lr").over(com)
         new = both.withColumn("new", safe_divide((1 - a) * F.col("q_sr") + a * F.col("q_lr"), low))
         new = new.withColumn("new", zero_below(safe_divide(F.col("new"), F.sum("new").over(com)), s.floor))
         new = settle(new.select("community", "isoform", "eff", "alpha", F.col("theta").alias("old"), F.col("new").alias("theta")))
-        moved = (F.col("theta") > s.tested_above) & (F.abs(F.col("theta") - F.col("old")) / F.col("theta") > s.relative_tolerance)
+        moved = (F.col("theta") > s.tested_above) & (F.abs(F.col("theta") - F.col("old")) > s.relative_tolerance * F.col("theta"))
         theta = new.drop("old")
         if not new.where(moved).take(1):
             break
