@@ -18,6 +18,7 @@ Names with more contents than HEAVY compare all their windows in a distributed c
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -184,22 +185,45 @@ def merge(transforms: list[Transform]) -> list[np.ndarray]:
     return out
 
 
-def phrases(contents: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """Contents as phrase symbols (hashes, above all marks), the places of their marks, and their cuts in bytes."""
-    from xxhash import xxh3_64_intdigest
+@dataclass
+class Phrases:
+    """A shard of contents side by side, as phrase symbols.
+
+    symbols and the places of the marks (ends); cuts: byte places where phrases begin; starts: where contents begin.
+    """
 
-    symbols, ends, cuts = [], [], []
-    n = 0
-    for i, c in enumerate(contents):
-        x = words_at(np.frombuffer(c, dtype=np.uint8), PHRASE_SEED).astype(np.uint64)
-        cut = np.flatnonzero(((x * M1) >> np.uint64(64 - PHRASE_BITS)) == 0)
-        edge = cut.tolist()
-        symbols += [xxh3_64_intdigest(c[a:b]) >> 2 | 1 << 62 for a, b in zip(edge[:-1], edge[1:], strict=True)]
-        symbols.append(i)
-        n += max(len(edge) - 1, 0) + 1
-        ends.append(n - 1)
-        cuts.append(cut)
-    return np.array(symbols, dtype=np.int64), np.array(ends, dtype=np.int64), cuts
+    symbols: np.ndarray
+    ends: np.ndarray
+    cuts: np.ndarray
+    starts: np.ndarray
+
+    @classmethod
+    def of(cls, contents: list[bytes]) -> Phrases:
+        sizes = np.array([len(c) for c in contents], dtype=np.int64)
+        starts = np.cumsum(sizes) - sizes
+        data = np.frombuffer(b"".join(contents), dtype=np.uint8)
+        x = words_at(data, PHRASE_SEED).astype(np.uint64) * M1
+        cuts = np.flatnonzero((x >> np.uint64(64 - PHRASE_BITS)) == 0)
+        owner = np.searchsorted(starts, cuts, side="right") - 1
+        inside = cuts + PHRASE_SEED <= (starts + sizes)[owner]  # decided by bytes of the one content
+        cuts, owner = cuts[inside], owner[inside]
+        # a phrase's hash: its bytes times powers of an odd number, shifted back to its start
+        power, inverse = (
+            np.multiply.accumulate(np.append(np.uint64(1), np.full(len(data), m, dtype=np.uint64)))
+            for m in (M3, np.uint64(pow(int(M3), -1, 2**64)))
+        )
+        upto = np.concatenate(([np.uint64(0)], np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[:-1])))
+        whole = np.flatnonzero(owner[1:] == owner[:-1])  # from a cut to the next of the same content
+        hashes = (upto[cuts[whole + 1]] - upto[cuts[whole]]) * inverse[cuts[whole]]
+        hashes = (hashes >> np.uint64(2)).astype(np.int64) | np.int64(1 << 62)
+        n = np.bincount(owner[whole], minlength=len(contents))
+        ends = np.cumsum(n + 1) - 1
+        symbols = np.empty(int(ends[-1]) + 1 if len(contents) else 0, dtype=np.int64)
+        marks = np.zeros(len(symbols), dtype=bool)
+        marks[ends] = True
+        symbols[~marks] = hashes
+        symbols[ends] = np.arange(len(contents))
+        return cls(symbols, ends, cuts, starts)
 
 
 def candidates(contents: list[bytes], length: int = LENGTH) -> list[np.ndarray]:
@@ -215,19 +239,26 @@ def candidates(contents: list[bytes], length: int = LENGTH) -> list[np.ndarray]:
         shards.append(part)
     made, seen = [], 0
     for s in shards:
-        symbols, ends, cuts = phrases(s)
-        symbols[ends] += seen  # marks differ between shards too
+        cut = Phrases.of(s)
+        cut.symbols[cut.ends] += seen  # marks differ between shards too
         seen += len(s)
-        made.append((Transform(symbols, ends), ends, cuts))
+        made.append((Transform(cut.symbols, cut.ends), cut))
     out = []
-    for depth, (_, ends, cuts), s in zip(merge([m[0] for m in made]), made, shards, strict=True):
-        first = np.concatenate(([0], ends[:-1] + 1))
-        for c, a, b, cut in zip(s, first, ends, cuts, strict=True):
-            starts = np.arange(len(c) - length + 1)
-            lo = np.searchsorted(cut, starts)
-            hi = np.searchsorted(cut, starts + length - PHRASE_SEED, side="right") - 1
-            common = np.append(depth[a:b], [0, 0])  # of the phrases that begin at each cut
-            out.append((hi <= lo) | (common[np.minimum(lo, b - a)] >= hi - lo))
+    for depth, (_, cut), s in zip(merge([m[0] for m in made]), made, shards, strict=True):
+        total = sum(map(len, s))
+        ahead = np.zeros(total + 2, dtype=np.int64)
+        ahead[cut.cuts + 1] = 1
+        ahead = np.cumsum(ahead)  # ahead[i]: cuts before byte i
+        # the symbol that begins at each cut; a content's last cut begins none, its mark stands there
+        first = np.concatenate(([0], cut.ends[:-1] + 1))
+        base = ahead[cut.starts]
+        common = np.append(depth, 0)
+        for c, start, at, cuts_before, end in zip(s, cut.starts, first, base, cut.ends, strict=True):
+            n = len(c) - length + 1
+            lo = ahead[start : start + n]
+            hi = ahead[start + length - PHRASE_SEED + 1 : start + length - PHRASE_SEED + 1 + n] - 1
+            got = common[np.minimum(lo - cuts_before + at, end)]
+            out.append((hi <= lo) | (got >= hi - lo))
     return out
 
 
@@ -250,7 +281,7 @@ def repeated_in(names: list[int], contents: list[bytes], length: int = LENGTH) -
     keys, where = [], []
     for i, (name, c, m) in enumerate(zip(names, contents, may, strict=True)):
         at = np.flatnonzero(m)
-        keys.append(np.array(window_hashes(c, at, length), dtype=np.uint64) ^ (np.uint64(name % 2**64) * M2))
+        keys.append(np.array(window_hashes(c, at, length), dtype=np.uint64) ^ np.uint64(name * int(M2) % 2**64))
         where.append(at)
     flat = np.concatenate(keys) if keys else np.zeros(0, dtype=np.uint64)
     _, number, count = np.unique(flat, return_inverse=True, return_counts=True)
@@ -310,13 +341,23 @@ def find(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int =
     asked = asked.groupBy("did", "tk", "tn").agg(F.collect_list("one").alias("asked"))  # of one text
     source = texts.join(asked, ["did", "tk", "tn"])
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for t, some in zip(batch["text"], batch["asked"], strict=True):
-                rows = [(a["name"], a["content"], a["kinds"], t[a["start"] : a["start"] + a["windows"] - 1 + length]) for a in some]
-                yield pd.DataFrame(rows, columns=["name", "content", "kinds", "bytes"])
-
-    contents = source.select("text", "asked").mapInPandas(read, "name long, content long, kinds long, bytes binary")
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                lists = part.column(1)
+                one = lists.flatten()
+                fields = {f: one.field(f) for f in ("name", "content", "kinds", "start", "windows")}
+                owner = np.repeat(np.arange(part.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
+                texts = [t.as_py() for t in part.column(0)]
+                start, n = fields["start"].to_numpy(), fields["windows"].to_numpy() - 1 + length
+                data = [texts[o][a : a + k] for o, a, k in zip(owner.tolist(), start.tolist(), n.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays(
+                    [fields["name"], fields["content"], fields["kinds"], pa.array(data, pa.binary())],
+                    names=["name", "content", "kinds", "bytes"],
+                )
+
+    contents = source.select("text", "asked").mapInArrow(read, "name long, content long, kinds long, bytes binary")
     contents = stash(contents, "contents")
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -358,16 +399,14 @@ def find(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int =
     return placed.groupBy("tk", "tn").agg(F.collect_set(one).alias("spans"))
 
 
-def covered(spans: list, length: int) -> list[tuple[int, int]]:
-    """Maximal runs of bytes covered by the windows that start in spans."""
-    out: list[tuple[int, int]] = []
-    for a, b in sorted((s["a"], s["b"]) for s in spans):
-        stop = b - 1 + length
-        if out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], max(out[-1][1], stop))
-        else:
-            out.append((a, stop))
-    return out
+def covered(a: np.ndarray, b: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Maximal runs (from, to) of bytes covered by the windows that start in the spans (a, b)."""
+    if not len(a):
+        return a, b
+    order = np.argsort(a, kind="stable")
+    a, stop = a[order], np.maximum.accumulate(b[order] - 1 + length)
+    new = np.flatnonzero(np.append(True, a[1:] > stop[:-1]))
+    return a[new], stop[np.append(new[1:] - 1, len(a) - 1)]
 
 
 def remove(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
@@ -384,13 +423,16 @@ def remove(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n_bytes, n_removed, n_spans, kept = [], [], [], []
-            for t, s in zip(batch.column(1), batch.column(2), strict=True):
-                t, runs = t.as_py(), covered(s.as_py() or [], length)
-                edges = [0, *(x for r in runs for x in r), len(t)]
+            lists = batch.column(2)
+            at = np.append(0, np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)))
+            first, last = (lists.flatten().field(f).to_numpy().astype(np.int64) for f in ("a", "b"))
+            for t, i, j in zip(batch.column(1), at[:-1].tolist(), at[1:].tolist(), strict=True):
+                t, runs = t.as_py(), covered(first[i:j], last[i:j], length)
+                edges = [0, *np.stack(runs, axis=1).reshape(-1).tolist(), len(t)]
                 left = b"".join(t[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
                 n_bytes.append(len(t))
                 n_removed.append(len(t) - len(left))
-                n_spans.append(len(runs))
+                n_spans.append(len(runs[0]))
                 kept.append(left)
             numbers = [pa.array(x, pa.int64()) for x in (n_bytes, n_removed, n_spans)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *numbers, pa.array(kept, pa.binary())], names=["key", "n_bytes", "n_removed", "n_spans", "kept"])
