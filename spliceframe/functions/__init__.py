@@ -1 +1 @@
-"""See the package README for the contents of this folder."""
+"""Column expressions that run in the JVM."""

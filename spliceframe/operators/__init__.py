@@ -1 +1 @@
-"""See the package README for the contents of this folder."""
+"""Operators: intervals, paths, mapping, read lengths, short reads, communities, EM, condition numbers, features."""

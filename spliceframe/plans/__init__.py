@@ -1 +1 @@
-"""See the package README for the contents of this folder."""
+"""Plan helpers: cutting lineage in loops."""

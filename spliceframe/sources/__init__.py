@@ -1 +1 @@
-"""See the package README for the contents of this folder."""
+"""Sources and sinks: GTF, SAM, FASTA, small tables, tab-separated results."""

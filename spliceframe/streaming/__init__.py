@@ -1 +1 @@
-"""See the package README for the contents of this folder."""
+"""Structured Streaming: region counts of a stream of reads."""
