@@ -55,7 +55,7 @@ def k_values(spark: SparkSession, annotation: str | DataFrame, settings: KValueS
     segs = paths.segments(exons)
     iso = paths.isoforms(exons)
     iso_paths = paths.paths(segs, exons)
-    regions = paths.regions(iso_paths, segs, s)
+    regions = settle(paths.regions(iso_paths, segs, s))  # read by each of the matrices below
     held = lambda asked: regions.join(asked.select(*GENE, "path").distinct(), [*GENE, "path"], "left_semi") if asked is not None else regions  # noqa: E731, E501
     sr, lr = held(sr_regions), held(lr_regions)
     if s.multi_exon_weight == "minus_inner_region":
@@ -68,17 +68,20 @@ def k_values(spark: SparkSession, annotation: str | DataFrame, settings: KValueS
     sr_plain, lr_matrix = condition.entries(sr, ones, s.normalize_sr), condition.entries(lr, ones, s.normalize_lr)
     names = iso.select(*GENE, "isoform")
 
+    gram_of = lambda m: settle(condition.gram(m, GENE))
+    lr_gram = gram_of(lr_matrix)
+    same = sr_regions is None and lr_regions is None and s.normalize_sr == s.normalize_lr
+    sr_grams = gram_of(sr_matrix), lr_gram if same else gram_of(sr_plain)
+
     def solved(weighted: DataFrame, plain: DataFrame, kind: str) -> DataFrame:
-        found = condition.condition_numbers(
-            condition.gram(weighted, GENE), condition.gram(plain, GENE), names, s.singular_tolerance
-        )
+        found = condition.condition_numbers(weighted, plain, names, s.singular_tolerance)
         return found.withColumnsRenamed({c: f"{kind}_{c}" for c in found.columns if c not in GENE})
 
     info = paths.gene_info(exons, segs)
     kept = regions.select(*GENE).distinct().withColumn("kept", F.lit(True))
     genes = (
-        info.join(kept, GENE, "left").join(solved(sr_matrix, sr_plain, "sr"), GENE, "left")
-        .join(solved(lr_matrix, lr_matrix, "lr"), GENE, "left").drop("kept")
+        info.join(kept, GENE, "left").join(solved(*sr_grams, "sr"), GENE, "left")
+        .join(solved(lr_gram, lr_gram, "lr"), GENE, "left").drop("kept")
     )
     isoforms = iso.select(*GENE, "isoform", "n_exons", "length").join(genes.drop("num_exons", "num_split_exons", "sr_singular_values", "lr_singular_values"), GENE)
     return KValues(genes, isoforms, sr_matrix, regions)

@@ -255,13 +255,13 @@ def identical_isoforms(spark, sf_dir):
     return paths.identical_isoforms(x).select("gene", F.array_join("isoforms", "|").alias("isoforms"))
 
 
-EVENTS = "p AS (SELECT event_id, user_id % 20 AS chr, event_id % 3000 AS s, event_id % 3000 + event_id % 90 AS e FROM events)"
-RANGES = "g AS (SELECT o_orderkey, o_custkey % 20 AS chr, o_orderkey % 3000 AS gs, o_orderkey % 3000 + 40 + o_orderkey % 50 AS ge FROM orders)"
+EVENTS = "p AS (SELECT event_id, user_id % 20 AS chr, event_id AS s, event_id + event_id % 90 AS e FROM events)"
+RANGES = "g AS (SELECT o_orderkey, o_custkey % 20 AS chr, o_orderkey AS gs, o_orderkey + 40 + o_orderkey % 50 AS ge FROM orders)"
 
 
 def placements(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    p = table(spark, sf_dir, "events").selectExpr("event_id", "user_id % 20 as chr", "event_id % 3000 as r_start", "event_id % 3000 + event_id % 90 as r_end")
-    g = table(spark, sf_dir, "orders").selectExpr("o_orderkey", "o_custkey % 20 as chr", "o_orderkey % 3000 as g_start", "o_orderkey % 3000 + 40 + o_orderkey % 50 as g_end")
+    p = table(spark, sf_dir, "events").selectExpr("event_id", "user_id % 20 as chr", "event_id as r_start", "event_id + event_id % 90 as r_end")
+    g = table(spark, sf_dir, "orders").selectExpr("o_orderkey", "o_custkey % 20 as chr", "o_orderkey as g_start", "o_orderkey + 40 + o_orderkey % 50 as g_end")
     return p, g
 
 

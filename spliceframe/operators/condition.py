@@ -6,8 +6,10 @@ within regions and a sum. Only isoforms x isoforms numbers of one gene reach num
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -69,12 +71,25 @@ def condition_numbers(weighted: DataFrame, plain: DataFrame, names: DataFrame, t
     both = weighted.withColumn("plain", F.lit(False)).unionByName(plain.withColumn("plain", F.lit(True)))
     placed = both.join(sized, GENE).select(*GENE, "plain", "n", F.col("at")[F.col("i")].alias("i"), F.col("at")[F.col("j")].alias("j"), "g")
 
-    def solve(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        n, is_plain = int(pdf["n"].iloc[0]), pdf["plain"].to_numpy()
-        mats = [
-            dense(n, *(pdf[c].to_numpy()[is_plain == p] for c in ("i", "j", "g"))) for p in (False, True)
-        ]
-        singular = np.sqrt(np.maximum(np.linalg.svd(mats[1], compute_uv=False), 0)) if n else np.zeros(0)
-        return pd.DataFrame([[*key, *numbers(mats[0], tolerance), singular.tolist()]], columns=[*GENE, *[c.split()[0] for c in RESULT.split(", ")]])
-
-    return placed.groupBy(*GENE).applyInPandas(solve, f"chr string, gene string, {RESULT}")
+    # one row per gene, its Gram entries as arrays: batches of genes go to numpy, not a DataFrame for each
+    packed = placed.groupBy(*GENE).agg(
+        F.first("n").alias("n"), *[F.collect_list(F.when(F.col("plain") == p, F.struct("i", "j", "g"))).alias(a) for p, a in ((False, "weighted"), (True, "ones"))]
+    )
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for n, *grams in zip(*(batch.column(c) for c in ("n", "weighted", "ones")), strict=True):
+                mats = [
+                    dense(n.as_py(), *(g.values.field(c).to_numpy() for c in ("i", "j", "g"))) if g.values else dense(n.as_py(), [], [], [])
+                    for g in grams
+                ]
+                singular = np.sqrt(np.maximum(np.linalg.svd(mats[1], compute_uv=False), 0))
+                out.append((*numbers(mats[0], tolerance), singular.tolist()))
+            columns = list(zip(*out, strict=True)) or [[]] * 5
+            arrays = [pa.array(c, pa.float64()) for c in columns[:4]] + [pa.array(columns[4], pa.list_(pa.float64()))]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("chr"), batch.column("gene"), *arrays], names=[*GENE, *[c.split()[0] for c in RESULT.split(", ")]]
+            )
+
+    return packed.mapInArrow(solve, f"chr string, gene string, {RESULT}")

@@ -49,21 +49,29 @@ def contained_in(pieces: DataFrame, holders: DataFrame, keys: list[str]) -> Data
     return pieces.join(h, keys).where("start >= h_start and end <= h_end").drop("h_start", "h_end")
 
 
+def bin_width(ranges: DataFrame, low: Column, high: Column, least: int = 16) -> int:
+    """Twice the mean length of the ranges: most then touch one or two bins, and bins stay small."""
+    mean = ranges.agg(F.avg(high - low)).first()[0]
+    return max(least, int(2 * (mean or 0)))
+
+
 def range_join(
-    points: DataFrame, ranges: DataFrame, keys: list[str], at: Column, low: Column, high: Column, where: Column, width: int = 100_000
+    points: DataFrame, ranges: DataFrame, keys: list[str], at: Column, low: Column, high: Column, where: Column, width: int | None = None
 ) -> DataFrame:
     """Rows of points and ranges with equal keys and `where`, which must imply low <= at <= high.
 
-    Spark has no interval join: ranges are spread over the bins of `width` that they touch, points are in one bin, and
-    the bins meet in an equi-join. Each pair meets once, as a point has one bin.
+    Spark has no interval join: ranges are spread over the bins of `width` (taken from their lengths if not given) that
+    they touch, points are in one bin, and the bins meet in an equi-join. Each pair meets once, as a point has one bin.
     """
+    width = width or bin_width(ranges, low, high)
     spread = ranges.withColumn("_bin", F.explode(F.sequence(F.floor(low / width), F.floor(high / width))))
     return points.withColumn("_bin", F.floor(at / width)).join(spread, [*keys, "_bin"]).where(where).drop("_bin")
 
 
-def overlap_join(left: DataFrame, right: DataFrame, keys: list[str], tolerance: int = 0, width: int = 10_000) -> DataFrame:
+def overlap_join(left: DataFrame, right: DataFrame, keys: list[str], tolerance: int = 0, width: int | None = None) -> DataFrame:
     """Pairs of left (start, end) and right (r_start, r_end) with equal keys whose closed intervals, with tolerance at
     either end, overlap. Both sides are spread over bins; a pair counts in the first bin that both touch."""
+    width = width or bin_width(left, F.col("start") - tolerance, F.col("end") + tolerance)
     spread = lambda df, s, e, t: df.withColumn(
         "_bin", F.explode(F.sequence(F.floor((F.col(s) - t) / width), F.floor((F.col(e) + t) / width)))
     )
