@@ -1,17 +1,20 @@
 """LM scoring: stupid-backoff scores of bigrams over words, from relational count tables.
 
-Each document's distinct bigrams become rows (key, gram, n). They are dealt by the hash of the bigram, which brings a
-count table's partition and the rows that ask it together; what other documents hold of the bigram is its count less
-the document's own. A bigram that others hold scores log(others / c(v)); any other backs off to log(0.4 c(w) / N).
-Scores are summed per document in each partition before they are dealt by document.
-
-Unigram counts are kept by class: a word's class is 20 bits of its hash, so their table has 2**20 rows at most at any
-size of the input and may be broadcast. A gram holds both classes and 24 further bits of the pair's hash.
+Each document's distinct bigrams become rows (key, gram, n). They are dealt by the bigram, which brings a count table's
+partition and the rows that ask it together; what other documents hold of the bigram is its count less the document's
+own. A bigram that others hold scores log(others / c(v)); any other backs off to log(0.4 c(w) / N). Scores are summed
+per document in each partition before they are dealt by document.
+
+Unigrams are counted by word (63 bits of its hash), in a table that grows with the vocabulary. The most frequent words,
+HOT at most, have numbers: a bigram of two of them is its two numbers, and their counts are broadcast. Any other bigram
+is the hash of the pair and holds both words; counts of words that aren't hot are joined by a shuffle, after the rest
+of each document's sum is made.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,8 +23,10 @@ from pyspark.sql import functions as F
 
 from .common import stash
 
-CLASS_BITS, PAIR_BITS = 20, 24
-CLASSES = 1 << CLASS_BITS
+CLASS_BITS = 63  # of a word's hash: a signed long that isn't negative
+HOT_BITS = 20
+HOT = 1 << HOT_BITS  # words whose counts are broadcast, at most
+STEPS = 16  # of the logarithm of a count: the histogram that tells how frequent a hot word is
 BACKOFF = 0.4
 START = b"<s>"
 ROWS = 1 << 18  # rows of an Arrow batch that goes back to the JVM
@@ -39,50 +44,88 @@ def class_of(hashes: np.ndarray) -> np.ndarray:
     return hashes >> np.uint64(64 - CLASS_BITS)
 
 
-def grams(hashes: np.ndarray) -> np.ndarray:
-    """class of v, class of w and 24 bits of the pair, for each word but the start mark."""
-    v, w = hashes[:-1], hashes[1:]
-    pair = ((v * MIX) ^ (v >> np.uint64(29))) + w
-    pair = (pair ^ (pair >> np.uint64(32))) * MIX
-    return (class_of(v) << np.uint64(CLASS_BITS + PAIR_BITS)) | (class_of(w) << np.uint64(PAIR_BITS)) | (pair >> np.uint64(64 - PAIR_BITS))
-
-
 def count_classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(text) -> (class, n), once for each class of the partition."""
-    total = np.zeros(CLASSES, dtype=np.int64)
-    for batch in batches:
-        for text in batch.column(0):
-            np.add.at(total, class_of(word_hashes(text.as_py())).astype(np.int64), 1)
-    seen = np.flatnonzero(total)
-    for at in range(0, len(seen), ROWS):
-        part = seen[at : at + ROWS]
-        yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(total[part])], names=["class", "n"])
-
+    """(text) -> (class, n), summed over some million words at a time."""
 
-def count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, text) -> (id, gram, n) for each distinct gram of a document."""
-
-    def out(parts: list) -> pa.RecordBatch:
-        ids = np.repeat(np.array([p[0] for p in parts], dtype=np.int64), [len(p[1]) for p in parts])
-        kinds = np.concatenate([p[1] for p in parts]).view(np.int64)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(ids), pa.array(kinds), pa.array(np.concatenate([p[2] for p in parts]).astype(np.int32))],
-            names=["id", "gram", "n"],
-        )
+    def out(held: list) -> pa.RecordBatch:
+        kinds, n = np.unique(class_of(np.concatenate(held)).view(np.int64), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(n.astype(np.int64))], names=["class", "n"])
 
     held, size = [], 0
     for batch in batches:
-        for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            kinds, n = np.unique(grams(word_hashes(text.as_py())), return_counts=True)
-            held.append((key, kinds, n))
-            size += len(kinds)
-            if size >= ROWS:
+        for text in batch.column(0):
+            held.append(word_hashes(text.as_py()))
+            size += len(held[-1])
+            if size >= 8 * ROWS:
                 yield out(held)
                 held, size = [], 0
     if size:
         yield out(held)
 
 
+def numbered(classes: np.ndarray, hot: np.ndarray, number: np.ndarray) -> np.ndarray:
+    """The numbers of words that are in hot (sorted classes), and -1 - class of all others."""
+    at = np.searchsorted(hot, classes)
+    found = at < len(hot)
+    found[found] = hot[at[found]] == classes[found]
+    out = -1 - classes
+    out[found] = number[at[found]]
+    return out
+
+
+def grams(words: np.ndarray) -> np.ndarray:
+    """One long for each word but the start mark: v and w where both have numbers, else a negative hash of the pair."""
+    v, w = words[:-1], words[1:]
+    pair = words.view(np.uint64)
+    pair = ((pair[:-1] * MIX) ^ (pair[:-1] >> np.uint64(29))) + pair[1:]
+    pair = (pair ^ (pair >> np.uint64(32))) * MIX
+    return np.where((v >= 0) & (w >= 0), (v << HOT_BITS) | w, (pair | np.uint64(1 << 63)).view(np.int64))
+
+
+def gram_counter(held_hot) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """held_hot: a broadcast (sorted classes of the hot words, their numbers)."""
+
+    def count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(id, text) -> (id, gram, n, words) for each distinct gram of a document; words (v, w) of negative grams."""
+        hot, number = held_hot.value
+
+        def out(parts: list) -> pa.RecordBatch:
+            ids = np.repeat(np.array([p[0] for p in parts], dtype=np.int64), [len(p[1]) for p in parts])
+            kinds, n, v, w = (np.concatenate([p[i] for p in parts]) for i in (1, 2, 3, 4))
+            words = pa.StructArray.from_arrays([pa.array(v), pa.array(w)], names=["v", "w"], mask=pa.array(kinds >= 0))
+            return pa.RecordBatch.from_arrays(
+                [pa.array(ids), pa.array(kinds), pa.array(n.astype(np.int32)), words], names=["id", "gram", "n", "words"]
+            )
+
+        held, size = [], 0
+        for batch in batches:
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                words = numbered(class_of(word_hashes(text.as_py())).view(np.int64), hot, number)
+                kinds, first, n = np.unique(grams(words), return_index=True, return_counts=True)
+                held.append((key, kinds, n, words[first], words[first + 1]))
+                size += len(kinds)
+                if size >= ROWS:
+                    yield out(held)
+                    held, size = [], 0
+        if size:
+            yield out(held)
+
+    return count_grams
+
+
+def hot_words(counts: DataFrame, most: int) -> pa.Table:
+    """(class, n) of the most frequent words, most at most: all whose count reaches a step of its logarithm."""
+    step = F.floor(F.log("n") * STEPS).alias("step")
+    steps = sorted(counts.groupBy(step).count().collect(), reverse=True)
+    at, held = None, 0
+    for s, n in steps:
+        held += n
+        if held > most:
+            break
+        at = s
+    return counts.where(F.lit(at is not None) & (step >= (at or 0))).orderBy(F.desc("n"), "class").toArrow()
+
+
 def score(docs: DataFrame, key: str = "doc_id", text: str = "text", backoff: float = BACKOFF) -> DataFrame:
     """rows (key, n_words, lm_sum, lm_score), one for each row of docs; lm_score is lm_sum / n_words, natural logs.
 
@@ -91,27 +134,41 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", backoff: flo
     """
     body = F.coalesce(F.col(text), F.lit("")).cast("binary")
     ids = F.coalesce(F.col(key).cast("long"), F.lit(-(2**63)).cast("long"))
-    classes = docs.select(body.alias("text")).mapInArrow(count_classes, "class long, n long")
-    classes = stash(classes.groupBy("class").agg(F.sum("n").alias("n")), "classes")  # CLASSES rows at most
-    rows = docs.select(ids.alias("id"), body.alias("text")).mapInArrow(count_grams, "id long, gram long, n int")
+    spark = docs.sparkSession
+    counts = docs.select(body.alias("text")).mapInArrow(count_classes, "class long, n long")
+    counts = stash(counts.groupBy("class").agg(F.sum("n").alias("n")), "classes")
+    total = max(1, (counts.agg(F.sum("n")).first()[0] or 0) - docs.count())
+    hot = hot_words(counts, HOT)
+    kinds, number = hot["class"].to_numpy(), np.arange(len(hot), dtype=np.int64)
+    order = np.argsort(kinds)
+    held = spark.sparkContext.broadcast((kinds[order], number[order]))
+    least = hot["n"].to_numpy().min(initial=2**62)
+    hot = spark.createDataFrame(pa.table({"asked": number, "c": hot["n"].to_numpy()}), "asked long, c long")
+    rows = docs.select(ids.alias("id"), body.alias("text")).mapInArrow(
+        gram_counter(held), "id long, gram long, n int, words struct<v: long, w: long>"
+    )
     met = rows.withColumn("others", F.sum("n").over(Window.partitionBy("gram")) - F.col("n"))
-    low = lambda c, bits: F.col(c).bitwiseAND(F.lit((1 << bits) - 1).cast("long"))
+    v = F.coalesce("words.v", F.shiftright("gram", HOT_BITS))
+    w = F.coalesce("words.w", F.col("gram").bitwiseAND(F.lit((1 << HOT_BITS) - 1).cast("long")))
+    seen = F.col("others") > 0
+    # the word whose count is asked, how often its logarithm counts, and the rest of the score
     met = met.select(
         "id",
         "n",
-        "others",
-        F.shiftrightunsigned("gram", CLASS_BITS + PAIR_BITS).alias("v"),
-        F.shiftrightunsigned(low("gram", CLASS_BITS + PAIR_BITS), PAIR_BITS).alias("w"),
-    )
-    total = max(1, (classes.agg(F.sum("n")).first()[0] or 0) - docs.count())
-    context = F.broadcast(classes.select(F.col("class").alias("v"), F.col("n").alias("c_v")))
-    floor = F.broadcast(classes.select(F.col("class").alias("w"), F.col("n").alias("c_w")))
-    log_s = F.when(F.col("others") > 0, F.ln(F.col("others") / F.col("c_v"))).otherwise(
-        F.ln(F.lit(backoff) * F.col("c_w") / F.lit(float(total)))
-    )
-    summed = (
-        met.join(context, "v").join(floor, "w").groupBy("id").agg(F.sum(F.col("n") * log_s).alias("s"), F.sum("n").alias("c"))
+        F.when(seen, v).otherwise(w).alias("asked"),
+        F.when(seen, -F.col("n")).otherwise(F.col("n")).alias("times"),
+        (F.col("n") * F.when(seen, F.ln("others")).otherwise(F.lit(math.log(backoff / total)))).alias("s"),
+    ).join(F.broadcast(hot), "asked", "left")
+    met = met.groupBy("id", F.when(F.col("c").isNull(), -1 - F.col("asked")).alias("class")).agg(
+        F.sum(F.col("s") + F.col("times") * F.coalesce(F.ln("c"), F.lit(0.0))).alias("s"),
+        F.sum(F.when(F.col("c").isNull(), F.col("times")).otherwise(0)).alias("times"),
+        F.sum("n").alias("c"),
     )
+    met = stash(met, "sums")
+    # a word that is met once has logarithm 0, so its count needn't be there
+    rare = met.where("class is not null").join(counts.where((F.col("n") > 1) & (F.col("n") < int(least))), "class", "left")
+    rare = rare.select("id", (F.col("s") + F.col("times") * F.ln(F.coalesce("n", F.lit(1)))).alias("s"), "c")
+    summed = met.where("class is null").select("id", "s", "c").union(rare).groupBy("id").agg(F.sum("s").alias("s"), F.sum("c").alias("c"))
     every = docs.select(F.col(key).alias("key"), ids.alias("id")).join(summed, "id", "left")
     return every.select(
         F.col("key").alias(key),

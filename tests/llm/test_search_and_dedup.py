@@ -285,6 +285,27 @@ def test_lm_scores(docs, corpus, empty):
     assert lm_scores.score(empty).count() == 0
 
 
+@pytest.mark.parametrize("hot", [1 << 20, 40, 0])
+def test_lm_scores_count_by_word(spark, monkeypatch, hot):
+    from xxhash import xxh64_intdigest
+
+    monkeypatch.setattr(lm_scores, "HOT", hot)
+    r, alike = random.Random(4), collections.defaultdict(list)
+    for i in range(6000):
+        alike[xxh64_intdigest(b"w%d" % i) >> 44].append(f"w{i}")
+    vocabulary = [w for ws in alike.values() if len(ws) > 1 for w in ws] + ["the", "of"] * 9
+    assert len(vocabulary) > 30  # words that share 20 bits of their hash
+    texts = [" ".join(r.choices(vocabulary, k=25)) for _ in range(40)]
+    seqs = [["<s>", *t.split()] for t in texts]
+    uni, bi = collections.Counter(w for s in seqs for w in s), collections.Counter(p for s in seqs for p in zip(s, s[1:]))  # noqa: B905
+    total, want = sum(map(len, seqs)) - len(seqs), {}
+    for k, s in enumerate(seqs):
+        own = collections.Counter(zip(s, s[1:]))  # noqa: B905
+        want[k] = sum(n * (math.log((bi[p] - n) / uni[p[0]]) if bi[p] > n else math.log(0.4 * uni[p[1]] / total)) for p, n in own.items())
+    got = lm_scores.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r.doc_id: r.lm_sum for r in got} == pytest.approx(want)
+
+
 # ---------------------------------------------------------------- mixing
 
 
