@@ -331,6 +331,23 @@ def test_mixing(spark, docs, corpus, empty):
     assert i > 1000
 
 
+@pytest.mark.parametrize("longest", [mixing.LONGEST, 5])
+def test_mixing_follows_the_weights(spark, monkeypatch, longest):
+    monkeypatch.setattr(mixing, "LONGEST", longest)
+    weights = {"src0": 4.0, "src1": 0.3}
+    big = spark.range(40000).selectExpr("id as doc_id", "case when id % 7 < 2 then 'src0' else concat('src', id % 20) end as source")
+    rows = sorted(mixing.mix(big, weights, block_rows=1).collect(), key=lambda r: r.mix_position)
+    assert [r.mix_position for r in rows] == list(range(40000)) and len({r.doc_id for r in rows}) == 40000
+    size, done = collections.Counter(r.source for r in rows), collections.Counter()
+    share = {s: weights.get(s, 1.0) / sum(weights.get(s, 1.0) for s in size) for s in size}
+    for i, r in enumerate(rows, 1):
+        done[r.source] += 1
+        if done[r.source] == size[r.source]:
+            break
+        assert all(abs(done[s] - i * w) < 1 for s, w in share.items())
+    assert i > 20000
+
+
 # ---------------------------------------------------------------- WARC
 
 
