@@ -33,24 +33,26 @@ BUCKETS = 4096  # of the key's hash, within a source: a hot source is ranked in
 
 
 def units_of(sources: DataFrame, weights: dict[str, float], default_weight: float, period: int) -> DataFrame:
-    """rows (source, n) -> (source, n, units): whole slots of a period by largest remainder, one at least."""
+    """rows (source, n) -> (source, n, units): whole slots of a period by largest remainder, one at least.
+
+    Where one slot for each source leaves too few for the others' shares, the period grows until the least weight has a
+    slot of its own.
+    """
     weight = F.lit(float(default_weight))
     for name, w in (weights or {}).items():
         weight = F.when(F.col("source") == name, F.lit(float(w))).otherwise(weight)
-    every, largest = Window.partitionBy(), Window.partitionBy().orderBy(F.desc("exact"), "source")
-    rest = Window.partitionBy().orderBy(F.desc("fraction"), "source")
+    every, rest = Window.partitionBy(), Window.partitionBy().orderBy(F.desc("fraction"), "source")
+    weighed = sources.withColumn("weight", weight).withColumn("total", F.sum("weight").over(every))
+    least = lambda slots: F.greatest(F.floor(F.col("weight") * slots / F.col("total")), F.lit(1))
+    longer = F.greatest(F.lit(period), F.ceil(F.max(F.col("total") / F.col("weight")).over(every)))
     return (
-        sources.withColumn("weight", weight)
-        .withColumn("exact", F.col("weight") * period / F.sum("weight").over(every))
-        .withColumn("least", F.greatest(F.floor("exact"), F.lit(1)))
+        weighed.withColumn("period", F.when(F.sum(least(F.lit(period))).over(every) <= period, period).otherwise(longer))
+        .withColumn("exact", F.col("weight") * F.col("period") / F.col("total"))
+        .withColumn("least", least(F.col("period")))
         .withColumn("fraction", F.col("exact") - F.floor("exact"))
-        .withColumn("left", F.lit(period) - F.sum("least").over(every))
+        .withColumn("left", F.col("period") - F.sum("least").over(every))
         .withColumn("units", F.col("least") + (F.row_number().over(rest) <= F.col("left")).cast("long"))
-        .withColumn(
-            "units",
-            F.col("units") + F.when(F.row_number().over(largest) == 1, F.least("left", F.lit(0))).otherwise(F.lit(0)),
-        )
-        .select("source", "n", F.col("units").cast("int").alias("units"))
+        .select("source", "n", "units")
     )
 
 
@@ -113,7 +115,7 @@ def mix(
     Within a source rows are dealt in the order of md5(key as text), then key; equal keys in any order. A null source
     counts as the source ''; a null key sorts first. Each row gets one place, so rows are neither lost nor repeated.
     Weights are relative; sources that weights doesn't name have default_weight. With a period, each source has whole
-    slots of it. An empty table gives an empty table. Input columns named like the three results are replaced.
+    slots of it, or of a longer one if it is too short for all sources. An empty table gives an empty table. Input columns named like the three results are replaced.
     """
     if buckets & (buckets - 1) or not 16 <= buckets <= 2**20:
         raise ValueError("buckets must be a power of two from 16 to 2**20")

@@ -348,6 +348,17 @@ def test_mixing_follows_the_weights(spark, monkeypatch, longest):
     assert i > 20000
 
 
+@pytest.mark.parametrize("weights", [{"s0": 4.0}, {"s0": 499.0, "s1": 499.0, "s2": 1e-3}])
+@pytest.mark.parametrize("period", [20, None])
+def test_mixing_more_sources_than_slots(spark, weights, period):
+    big = spark.range(400).selectExpr("id as doc_id", "concat('s', if(id < 200, 0, id % 23)) as source")
+    rows = mixing.mix(big, weights, block_rows=1, period=period).collect()
+    assert sorted(r.doc_id for r in rows) == list(range(400))
+    assert sorted(r.mix_position for r in rows) == list(range(400))
+    units = {r.source: r.units for r in mixing.units_of(big.groupBy("source").agg(F.count("*").alias("n")), weights, 1.0, 20).collect()}
+    assert min(units.values()) > 0 and units["s0"] / units["s5"] == pytest.approx(weights["s0"], rel=0.3)
+
+
 # ---------------------------------------------------------------- WARC
 
 
