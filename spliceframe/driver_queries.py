@@ -343,7 +343,7 @@ b AS (SELECT DISTINCT x.s AS u, y.s AS v FROM e x JOIN e y ON x.o = y.o WHERE x.
 r AS (SELECT DISTINCT s AS node, s AS label FROM e UNION SELECT b.u, r.label FROM r JOIN b ON b.v = r.node)
 SELECT node, min(label) AS label FROM r GROUP BY node""")
 def components(spark, sf_dir):
-    rows = table(spark, sf_dir, "lineitem").where("l_orderkey % 40 = 0").select("l_orderkey", "l_suppkey").distinct()
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey").distinct()
     least = rows.groupBy("l_orderkey").agg(F.min("l_suppkey").alias("v"))
     edges = rows.join(least, "l_orderkey").select(F.col("l_suppkey").alias("u"), "v")
     return communities.components(rows.select(F.col("l_suppkey").alias("node")), edges)
@@ -489,9 +489,8 @@ def col_normalise(spark, sf_dir):
     return matrix(spark, sf_dir).select(F.col("path").alias("r"), F.col("isoform").alias("i"), F.round("a", 6).alias("a"))
 
 
-def matrix(spark, sf_dir, share: int = 1) -> DataFrame:
-    rows = table(spark, sf_dir, "lineitem").where(f"l_orderkey % {share} = 0") if share > 1 else table(spark, sf_dir, "lineitem")
-    regions = rows.groupBy("l_orderkey").agg(F.collect_set("l_suppkey").alias("isoforms"))
+def matrix(spark, sf_dir) -> DataFrame:
+    regions = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_set("l_suppkey").alias("isoforms"))
     regions = regions.select(F.lit("c").alias("chr"), F.lit("g").alias("gene"), F.col("l_orderkey").alias("path"), "isoforms")
     return condition.entries(regions, F.expr("path % 9 + 1"))
 

@@ -46,3 +46,16 @@ def test_entry_and_others(spark):
     assert entry.entry(spark).count() > 0
     for name in set(driver_queries.QUERIES) - set(driver_queries.SQL):
         assert driver_queries.QUERIES[name](spark, DATA).count() > 0
+
+
+def test_components_of_all_rows(spark, tmp_path):
+    rows = [(k, s) for k in range(1, 80) for s in ((k % 4, k % 4 + 4) if k % 40 else (9, 9))] + [(81, 7), (81, 6), (83, 12), (None, 13)]
+    spark.createDataFrame(rows, "l_orderkey long, l_suppkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    label = {s: s for _, s in rows}
+    for _ in label:
+        for a, s in rows:
+            for b, t in rows:
+                if a is not None and a == b:
+                    label[s] = min(label[s], label[t])
+    got = driver_queries.QUERIES["components"](spark, str(tmp_path))
+    assert {r.node: r.label for r in got.collect()} == label
