@@ -116,6 +116,13 @@ def links(fps: DataFrame, dense: int = 256) -> DataFrame:
     return few.drop("cell").union(many.drop("cell")).mapInPandas(links_in_cells, "u long, v long")
 
 
+def rooted(fps: DataFrame, least: Column) -> DataFrame:
+    """rows fp, repeated -> rows (fp, root, least), one for each fingerprint: root names its class."""
+    distinct = fps.groupBy("fp").agg(F.min(least).alias("least"))
+    roots = components(links(distinct.select("fp"))).select(F.col("node").alias("fp"), "root")
+    return distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """rows (key, fingerprint, component_id), one for each row of docs.
 
@@ -125,23 +132,24 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     """
     fp = fingerprint_of(F.coalesce(F.col(text), F.lit("")).cast("binary"))
     fps = stash(docs.select(F.col(key).alias("key"), fp.alias("fp")), "fingerprints")
-    distinct = fps.groupBy("fp").agg(F.min("key").alias("least"))
-    roots = components(links(distinct.select("fp"))).select(F.col("node").alias("fp"), "root")
-    rooted = distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.select("fp", "root").join(ids, "root").select("fp", "component_id")
+    found = rooted(fps, F.col("key"))
+    ids = found.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = found.select("fp", "root").join(ids, "root").select("fp", "component_id")
     return fps.join(named, "fp").select(F.col("key").alias(key), F.col("fp").alias("fingerprint"), "component_id")
 
 
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row of each class: that with the least key (of repeated rows with that key, any one).
+    """One row of each class: that with the least key, nulls last (of rows that share it, that with the least hash of
+    its text; of equal rows, any one).
 
-    Rows with a null key stay out of the way: they are dropped where their class has another key, else one stays.
+    Key and text name the row that a class keeps: equal texts are of one class, so no two classes keep the same.
     """
-    found = classes(docs, key, text)
-    ids = found.where(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("kept_key"), F.col("fingerprint").alias("kept_fp"))
-    ids = ids.groupBy("kept_key").agg(F.min("kept_fp").alias("kept_fp"))
-    row = docs.select(F.struct("*").alias("row"), F.col(key).alias("kept_key"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("tie"))
-    first = Window.partitionBy("kept_key").orderBy("tie")
-    held = row.join(ids, row["kept_key"].eqNullSafe(ids["kept_key"]), "left_semi")
+    body = F.coalesce(F.col(text), F.lit(""))
+    kept = [F.col(key).alias("kept_key"), F.xxhash64(body).alias("tie")]
+    fps = stash(docs.select(*kept, fingerprint_of(body.cast("binary")).alias("fp")), "fingerprints")
+    found = rooted(fps, F.struct(F.col("kept_key").isNull().alias("last"), "kept_key", "tie"))
+    ids = found.groupBy("root").agg(F.min("least").alias("least")).select("least.kept_key", "least.tie")
+    row = docs.select(F.struct("*").alias("row"), *kept)
+    held = row.join(ids, row["kept_key"].eqNullSafe(ids["kept_key"]) & (row["tie"] == ids["tie"]), "left_semi")
+    first = Window.partitionBy("kept_key", "tie").orderBy(F.lit(0))
     return held.withColumn("rn", F.row_number().over(first)).where("rn = 1").select("row.*")

@@ -100,6 +100,18 @@ def test_classes(docs, corpus, empty):
     assert simhash.classes(empty).count() == 0 and simhash.dedup(empty).count() == 0
 
 
+def test_dedup_keeps_one_row_of_each_class(spark):
+    r = random.Random(12)
+    texts = [" ".join(str(r.randrange(10**6)) for _ in range(60)) for _ in range(6)]
+    rows = [(None, texts[0]), (None, texts[0]), (None, texts[1]), (None, texts[2]), (7, texts[2])]  # two classes of null keys alone
+    rows += [(5, texts[3]), (5, texts[4]), (5, texts[4]), (9, texts[4]), (2, texts[5]), (None, None)]  # one key, two texts
+    ids = brute_classes(range(6), [slow_print(t) for t in texts])
+    assert ids == list(range(6))
+    got = simhash.dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    want = [(None, texts[0]), (None, texts[1]), (7, texts[2]), (5, texts[3]), (5, texts[4]), (2, texts[5]), (None, None)]
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+
+
 @pytest.mark.parametrize("dense", [1, 3, 256])
 def test_links_in_crowded_cells(spark, dense):
     r = random.Random(dense)
