@@ -6,8 +6,7 @@ the source that sorts first). On one line of slots this meets all deadlines, so
 t * w - 1 and fewer than t * w + 1 blocks. Where a source has run out, its slots are skipped.
 
 Shares are whole numbers of slots of a period: the least one that holds all weights, after which the schedule repeats.
-Where that is longer than LONGEST, the blocks that there are are scheduled one by one instead. A given `period` rounds
-the weights to whole slots of it, so blocks then follow the rounded shares.
+Where that is longer than LONGEST, the blocks that there are are scheduled one by one instead.
 """
 
 from __future__ import annotations
@@ -25,37 +24,12 @@ from pyspark.sql import functions as F
 
 from .common import open_shared, scratch_path, stash
 
-PERIOD = 1000
 LONGEST = 1 << 18  # slots of a repeated schedule, at most
 PIECE = 1 << 16  # slots that the driver holds at a time
 BLOCK_ROWS = 16
 BUCKETS = 4096  # of the key's hash, within a source: a hot source is ranked in this many groups
 
 
-def units_of(sources: DataFrame, weights: dict[str, float], default_weight: float, period: int) -> DataFrame:
-    """rows (source, n) -> (source, n, units): whole slots of a period by largest remainder, one at least.
-
-    Where one slot for each source leaves too few for the others' shares, the period grows until the least weight has a
-    slot of its own.
-    """
-    weight = F.lit(float(default_weight))
-    for name, w in (weights or {}).items():
-        weight = F.when(F.col("source") == name, F.lit(float(w))).otherwise(weight)
-    every, rest = Window.partitionBy(), Window.partitionBy().orderBy(F.desc("fraction"), "source")
-    weighed = sources.withColumn("weight", weight).withColumn("total", F.sum("weight").over(every))
-    least = lambda slots: F.greatest(F.floor(F.col("weight") * slots / F.col("total")), F.lit(1))
-    longer = F.greatest(F.lit(period), F.ceil(F.max(F.col("total") / F.col("weight")).over(every)))
-    return (
-        weighed.withColumn("period", F.when(F.sum(least(F.lit(period))).over(every) <= period, period).otherwise(longer))
-        .withColumn("exact", F.col("weight") * F.col("period") / F.col("total"))
-        .withColumn("least", least(F.col("period")))
-        .withColumn("fraction", F.col("exact") - F.floor("exact"))
-        .withColumn("left", F.col("period") - F.sum("least").over(every))
-        .withColumn("units", F.col("least") + (F.row_number().over(rest) <= F.col("left")).cast("long"))
-        .select("source", "n", "units")
-    )
-
-
 def exact_units(sources: list[str], weights: dict[str, float] | None, default_weight: float) -> list[int]:
     """Whole slots of the least period that holds the weights as they are written."""
     shares = [Fraction(str((weights or {}).get(s, default_weight))) for s in sources]
@@ -105,7 +79,6 @@ def mix(
     default_weight: float = 1.0,
     source: str = "source",
     key: str = "doc_id",
-    period: int | None = None,
     block_rows: int = BLOCK_ROWS,
     buckets: int = BUCKETS,
 ) -> DataFrame:
@@ -114,8 +87,8 @@ def mix(
 
     Within a source rows are dealt in the order of md5(key as text), then key; equal keys in any order. A null source
     counts as the source ''; a null key sorts first. Each row gets one place, so rows are neither lost nor repeated.
-    Weights are relative; sources that weights doesn't name have default_weight. With a period, each source has whole
-    slots of it, or of a longer one if it is too short for all sources. An empty table gives an empty table. Input columns named like the three results are replaced.
+    Weights are relative; sources that weights doesn't name have default_weight. An empty table gives an empty table.
+    Input columns named like the three results are replaced.
     """
     if buckets & (buckets - 1) or not 16 <= buckets <= 2**20:
         raise ValueError("buckets must be a power of two from 16 to 2**20")
@@ -128,13 +101,8 @@ def mix(
     ).withColumn("b", (F.conv(F.substring("h", 1, 5), 16, 10).cast("long") / (2**20 // buckets)).cast("int"))
     counts = rows.groupBy("source", "b").agg(F.count("*").alias("n"))
     sources = counts.groupBy("source").agg(F.sum("n").alias("n"))
-    if period is not None:
-        sources = units_of(sources, weights, default_weight, period)
     held = sorted(sources.collect(), key=lambda r: r.source.encode())
-    if period is None:
-        units = exact_units([r.source for r in held], weights, default_weight) if held else []
-    else:
-        units = [r.units for r in held]
+    units = exact_units([r.source for r in held], weights, default_weight) if held else []
     whole = sum(units)
     # a repeated schedule has all blocks of a period; any other has each block once
     blocks = [-(-r.n // block_rows) for r in held] if whole > LONGEST else units

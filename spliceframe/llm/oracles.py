@@ -28,31 +28,24 @@ FROM d LEFT JOIN hit USING (r) LEFT JOIN items USING (r)
 """
 
 OP9 = """
-WITH RECURSIVE s AS (
-  SELECT coalesce(source, '') AS source, count(*) AS n FROM documents GROUP BY 1),
-x AS (SELECT *, CASE source WHEN 'src0' THEN 4.0::double ELSE 1.0::double END AS weight FROM s),
-y AS (SELECT *, weight * 1000 / sum(weight) OVER () AS exact FROM x),
-z AS (SELECT *, greatest(floor(exact), 1)::bigint AS least, exact - floor(exact) AS fraction FROM y),
-q AS (SELECT *, 1000 - sum(least) OVER () AS rest,
-  row_number() OVER (ORDER BY fraction DESC, source) AS place, row_number() OVER (ORDER BY exact DESC, source) AS size
-  FROM z),
-u AS (SELECT source, n, (least + (place <= rest)::bigint + CASE WHEN size = 1 THEN least(rest, 0) ELSE 0 END)::bigint
-  AS units, row_number() OVER (ORDER BY source) AS i FROM q),
-a AS (SELECT list(units ORDER BY i) AS units FROM u),
+WITH RECURSIVE s AS (SELECT DISTINCT coalesce(source, '') AS source FROM documents),
+u AS (SELECT source, CASE WHEN source = 'src0' AND count(*) OVER () > 1 THEN 4 ELSE 1 END AS units,
+  row_number() OVER (ORDER BY source) AS i FROM s),
+a AS (SELECT list(units ORDER BY i) AS units, cast(sum(units) AS bigint) AS period FROM u),
 edf AS (
-  SELECT 0 AS t, list_transform(units, lambda v: 0::bigint) AS done, NULL::bigint AS p, NULL::bigint AS k, units FROM a
+  SELECT 0 AS t, list_transform(units, lambda v: 0::bigint) AS done, NULL::bigint AS p, NULL::bigint AS k, units, period FROM a
   UNION ALL
-  SELECT t + 1, list_transform(done, lambda d, j: CASE WHEN j = p2 THEN d + 1 ELSE d END), p2, done[p2], units
+  SELECT t + 1, list_transform(done, lambda d, j: CASE WHEN j = p2 THEN d + 1 ELSE d END), p2, done[p2], units, period
   FROM (SELECT *, list_min(list_transform(
-      list_filter(range(1, len(units) + 1), lambda j: done[j] < units[j] AND floor(done[j] * 1000 / units[j]) <= t),
-      lambda j: {'due': ceil((done[j] + 1) * 1000 / units[j])::bigint, 'i': j})).i AS p2
-    FROM edf WHERE t < 1000)),
-slots AS (SELECT t - 1 AS slot, p AS i, k FROM edf WHERE t > 0),
+      list_filter(range(1, len(units) + 1), lambda j: done[j] < units[j] AND done[j] * period // units[j] <= t),
+      lambda j: {'due': ((done[j] + 1) * period + units[j] - 1) // units[j], 'i': j})).i AS p2
+    FROM edf WHERE t < period)),
+slots AS (SELECT t - 1 AS slot, p AS i, k, period FROM edf WHERE t > 0),
 docs AS (
   SELECT doc_id, source, coalesce(source, '') AS src, row_number() OVER (PARTITION BY coalesce(source, '')
     ORDER BY md5(coalesce(cast(doc_id AS varchar), '')), doc_id) - 1 AS ordinal FROM documents),
 placed AS (
-  SELECT doc_id, docs.source, ordinal // 16 AS mix_block, ((ordinal // 16) // units) * 1000 + slot AS mix_slot, ordinal
+  SELECT doc_id, docs.source, ordinal // 16 AS mix_block, ((ordinal // 16) // units) * period + slot AS mix_slot, ordinal
   FROM docs JOIN u ON docs.src = u.source JOIN slots ON slots.i = u.i AND slots.k = (ordinal // 16) % units)
 SELECT doc_id, source, cast(mix_block AS bigint) AS mix_block, cast(mix_slot AS bigint) AS mix_slot,
   cast(row_number() OVER (ORDER BY mix_slot, ordinal) - 1 AS bigint) AS mix_position

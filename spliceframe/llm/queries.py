@@ -86,8 +86,7 @@ def op8_bwt_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source")
-    return mixing.mix(docs, WEIGHTS, period=mixing.PERIOD)  # as its SQL: shares in whole slots of 1,000
+    return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source"), WEIGHTS)
 
 
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
