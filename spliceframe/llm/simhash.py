@@ -1,12 +1,13 @@
 """SimHash near-dedup through pivot distance tables.
 
-Fingerprints whose Hamming distance is at most 2 are linked; a document's class is its connected component. Distinct
-fingerprints are met in cells: of four blocks of 16 bits, two at least are equal in any two linked fingerprints, so a
-cell is a pair of blocks with their values. Cells of more than `dense` fingerprints are cut finer (14 of 16 nibbles
-equal), where 256 distinct fingerprints are the most a cell can hold, so no pair is lost and no cell is large. Each
-fingerprint carries its Hamming distances to 16 reference fingerprints, computed once; in a cell, pairs whose distances
-to some pivot differ by more than 2 are discarded (the triangle inequality), and the survivors are verified. A cell
-emits a spanning forest of its links, never all its pairs.
+Fingerprints whose Hamming distance is at most 2 are linked; a document's class is its connected component. For each
+distinct fingerprint a table holds its distances to 8 reference fingerprints, each split into the parts that its four
+16-bit blocks add: 32 coordinates, computed once. Two linked fingerprints differ in two bits at most, so in two blocks
+at least all their coordinates are equal. A cell is a pair of blocks with their 16 coordinates; all candidates come from
+cells. In a cell, pairs are discarded if the difference of some coordinate or of some whole distance is above 2 (the
+triangle inequality), and the survivors are verified. Cells of more than `dense` fingerprints are cut finer (14 of 16
+nibbles equal), where 256 distinct fingerprints are the most a cell can hold, so no pair is lost and no cell is large. A
+cell emits a spanning forest of its links, never all its pairs.
 """
 
 from __future__ import annotations
@@ -25,7 +26,9 @@ from .common import components, stash
 SEED = 42
 LINK = 2
 #: Reference fingerprints: multiples of an odd 64-bit constant.
-PIVOTS = [(0x9E3779B97F4A7C15 * (2 * i + 1)) % 2**64 for i in range(16)]
+PIVOTS = [(0x9E3779B97F4A7C15 * (2 * i + 1)) % 2**64 for i in range(8)]
+BLOCK = 16  # bits
+TABLE = [f"p{b}" for b in range(64 // BLOCK)]
 PIECE = 1 << 18  # shingles hashed at a time, whatever the length of a text
 
 
@@ -56,41 +59,47 @@ def fingerprint_of(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield pd.Series([signed(fingerprint(t)) for t in batch], dtype="int64")
 
 
+def mask(parts: tuple[int, ...], width: int) -> int:
+    return sum(((1 << width) - 1) << (width * p) for p in parts)
+
+
 def pivot_table(fp: Column) -> list[Column]:
-    """Two longs of eight bytes each: the distances to the pivots."""
+    """A long for each block: in its eight bytes, what the block adds to the distances to the pivots."""
 
-    def packed(pivots: list[int]) -> Column:
+    def packed(block: int) -> Column:
+        own = F.lit(signed(mask((block,), BLOCK))).cast("long")
         out = F.lit(0).cast("long")
-        for i, p in enumerate(pivots):
-            out = out.bitwiseOR(F.shiftleft(F.bit_count(fp.bitwiseXOR(F.lit(signed(p)).cast("long"))).cast("long"), 8 * i))
+        for i, p in enumerate(PIVOTS):
+            part = F.bit_count(fp.bitwiseXOR(F.lit(signed(p)).cast("long")).bitwiseAND(own)).cast("long")
+            out = out.bitwiseOR(F.shiftleft(part, 8 * i))
         return out
 
-    return [packed(PIVOTS[:8]).alias("p0"), packed(PIVOTS[8:]).alias("p1")]
-
-
-def mask(parts: tuple[int, ...], width: int) -> int:
-    return sum(((1 << width) - 1) << (width * p) for p in parts)
+    return [packed(b).alias(c) for b, c in enumerate(TABLE)]
 
 
-def cells(fp: Column, width: int, differ: int) -> Column:
-    """One cell for each choice of blocks that may differ: (choice, the fingerprint without those blocks)."""
-    choices = combinations(range(64 // width), differ)
+def pivot_cells() -> Column:
+    """One cell for each pair of blocks that may be equal: (choice, their coordinates)."""
+    pairs = combinations(TABLE, 2)
     return F.array(
-        *[
-            F.struct(F.lit(i).cast("short").alias("choice"), fp.bitwiseAND(F.lit(signed(2**64 - 1 - mask(c, width))).cast("long")).alias("rest"))
-            for i, c in enumerate(choices)
-        ]
+        *[F.struct(F.lit(i).cast("short").alias("choice"), F.col(a).alias("a"), F.col(b).alias("b")) for i, (a, b) in enumerate(pairs)]
     )
 
 
+def nibble_cells(fp: Column) -> Column:
+    """One cell for each choice of two nibbles that may differ: (choice, the fingerprint without them)."""
+    rest = lambda c: fp.bitwiseAND(F.lit(signed(2**64 - 1 - mask(c, 4))).cast("long"))
+    choices = combinations(range(16), 2)
+    return F.array(*[F.struct(F.lit(i).cast("short").alias("choice"), rest(c).alias("rest")) for i, c in enumerate(choices)])
+
+
 def links_in_cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Cells (fps, p0, p1: lists) -> rows (u, v) that join what is linked in each cell."""
+    """Cells (fps and TABLE: lists) -> rows (u, v) that join what is linked in each cell."""
     for batch in batches:
         us, vs = [], []
-        for fps, p0, p1 in zip(batch["fps"], batch["p0"], batch["p1"], strict=True):
+        for fps, *parts in zip(batch["fps"], *(batch[c] for c in TABLE), strict=True):
             f = np.asarray(fps, dtype=np.int64)
-            t = np.stack([np.asarray(p0, dtype=np.int64), np.asarray(p1, dtype=np.int64)], axis=1)
-            t = t.view(np.uint8).reshape(len(f), 16).astype(np.int8)
+            t = np.stack([np.asarray(p, dtype=np.int64) for p in parts], axis=1).view(np.uint8).reshape(len(f), -1).astype(np.int8)
+            t = np.hstack([t, t.reshape(len(f), len(TABLE), -1).sum(axis=1, dtype=np.int8)])
             group = np.arange(len(f))
             for i in range(len(f) - 1):
                 near = i + 1 + np.flatnonzero(np.abs(t[i + 1 :] - t[i]).max(axis=1) <= LINK)
@@ -106,13 +115,14 @@ def links_in_cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def links(fps: DataFrame, dense: int = 256) -> DataFrame:
     """rows fp (distinct) -> rows (u, v): links enough to connect all fingerprints within LINK bits."""
     base = fps.select("fp", *pivot_table(F.col("fp")))
-    wide = base.withColumn("cell", F.explode(cells(F.col("fp"), 16, 2)))
-    wide = wide.withColumn("n", F.count("*").over(Window.partitionBy("cell"))).where("n > 1")
-    wide = stash(wide, "cells")
-    gather = [F.collect_list(c).alias(a) for c, a in (("fp", "fps"), ("p0", "p0"), ("p1", "p1"))]
+    wide = stash(base.withColumn("cell", F.explode(pivot_cells())), "cells")
+    # counts are combined before they are dealt, and the join may split a large cell
+    met = wide.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1")
+    wide = stash(wide.join(met, "cell"), "met")
+    gather = [F.collect_list(c).alias(a) for c, a in (("fp", "fps"), *zip(TABLE, TABLE, strict=True))]
     few = wide.where(F.col("n") <= dense).groupBy("cell").agg(*gather)  # `dense` rows at most in a cell
-    crowd = wide.where(F.col("n") > dense).select("fp", "p0", "p1").distinct()
-    many = crowd.withColumn("cell", F.explode(cells(F.col("fp"), 4, 2))).groupBy("cell").agg(*gather).where("size(fps) > 1")
+    crowd = wide.where(F.col("n") > dense).select("fp", *TABLE).distinct()
+    many = crowd.withColumn("cell", F.explode(nibble_cells(F.col("fp")))).groupBy("cell").agg(*gather).where("size(fps) > 1")
     return few.drop("cell").union(many.drop("cell")).mapInPandas(links_in_cells, "u long, v long")
 
 
