@@ -1,9 +1,11 @@
 """Document fingerprints by Order MinHash [native].
 
 Tokens are runs of at most 16 characters without white space; a k-mer is k consecutive tokens, numbered by its
-occurrence in the text, and hashed to 34 bits with that number. The hash space is cut into `bins`; of each bin the l
-minimal k-mers are put into text order and hashed as a tuple. So a bin agrees when both texts hold the same k-mers in
-the same order, which follows edit distance, not just the set of k-mers. One pass of hashing serves all bins.
+occurrence in the text, and hashed to 34 bits with that number. The hash space is cut into `bins`; of each bin that has
+a k-mer, the l minimal k-mers from the bin's start on are put into text order and hashed as a tuple (where a bin has
+fewer than l, the next bins give the rest, and after the last the first ones). So a bin agrees when both texts hold the
+same k-mers in the same order, which follows edit distance, not just the set of k-mers; only a text of fewer than l
+k-mers has shorter tuples. One pass of hashing serves all bins.
 """
 
 from __future__ import annotations
@@ -46,23 +48,16 @@ def signature(text: Column, k: int = K, l: int = L, bins: int = BINS) -> Column:
     bin_of = lambda x: F.shiftright(x, shift)
 
     def tuples(chosen: Column, grams: Column) -> Column:
+        round_ = F.concat(chosen, F.slice(chosen, 1, F.least(F.size(chosen), F.lit(l)) - 1))
         starts = let(F.transform(chosen, bin_of), runs)
-        one = lambda s: let(
-            bin_of(F.get(chosen, s)),
-            lambda b: let(
-                F.sort_array(
-                    F.transform(
-                        F.filter(F.slice(chosen, s + 1, F.lit(l)), lambda x: bin_of(x) == b),
-                        lambda x: x.bitwiseAND(low),
-                    )
-                ),
-                lambda ps: F.shiftleft(b + bins // 2, 32).bitwiseOR(
-                    F.aggregate(ps, F.lit(42).cast("long"), lambda acc, p: F.xxhash64(acc, F.get(grams, p.cast("int"))))
-                    .bitwiseAND(F.lit(0xFFFFFFFF).cast("long"))
-                ),
+        one = lambda s, ring: let(
+            F.sort_array(F.transform(F.slice(ring, s + 1, F.lit(l)), lambda x: x.bitwiseAND(low))),
+            lambda ps: F.shiftleft(bin_of(F.get(ring, s)) + bins // 2, 32).bitwiseOR(
+                F.aggregate(ps, F.lit(42).cast("long"), lambda acc, p: F.xxhash64(acc, F.get(grams, p.cast("int"))))
+                .bitwiseAND(F.lit(0xFFFFFFFF).cast("long"))
             ),
         )
-        return F.transform(starts, one)
+        return let(round_, lambda ring: F.transform(starts, lambda s: one(s, ring)))
 
     def chosen_of(grams: Column) -> Column:
         ordered = F.sort_array(F.transform(grams, with_place))
