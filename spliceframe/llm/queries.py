@@ -80,9 +80,10 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_bwt_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per document: n_bytes, n_removed, n_spans, kept_sha256."""
+    """Per document: n_bytes, n_removed, n_spans, kept_sha256, and n_passage_words: words in 50 or more that repeat."""
     left = repeats.remove(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    kept = F.sha2("kept", 256).alias("kept_sha256")
+    return left.select("doc_id", "n_bytes", "n_removed", "n_spans", kept, "n_passage_words")
 
 
 def op9_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

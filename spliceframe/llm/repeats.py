@@ -12,7 +12,12 @@ A byte goes if it lies in a string of `length` bytes that also starts anywhere e
 3. Windows whose inner phrases lie in such a common prefix are compared by hash among the contents of their name; so
    the ends of a repeat, which phrases don't resolve, are exact to the byte.
 
-Names with more contents than HEAVY compare all their windows in a distributed count instead of one task.
+A name with more contents than HOT (near copies without end) would be a large group in one task. Its windows get finer
+names, of at most FINE neighbouring windows each: the hash of the bytes that all of these share. Step 2 then goes by the
+finer names.
+
+Passages, which are PASSAGE words in a row that also start anywhere else, are found beside the bytes in the same way, but
+for step 2: words are long enough for the windows of a name to be compared by hash straight.
 """
 
 from __future__ import annotations
@@ -29,14 +34,17 @@ from pyspark.sql import functions as F
 from .common import stash
 
 LENGTH = 400
-SEED_BYTES = 16
+PASSAGE = 50  # words
+SEED_BYTES, SEED_WORDS = 16, 8
 PLACE_BITS = 24
 BUFFER = 4 << 20  # bytes of texts hashed at a time
 SHARD = 1 << 20  # bytes of contents in a shard's transform
 MERGE = 8 << 20  # bytes of contents merged at a time
-HEAVY = 4096  # contents of one name
+HOT = 1024  # contents of a name, beyond which its windows get finer names
+FINE = 16  # windows of a finer name, at most
 PHRASE_BITS = 4  # a phrase has 16 bytes on average
 PHRASE_SEED = 4
+SPACE = np.isin(np.arange(256), list(b" \t\n\v\f\r"))
 M1, M2, M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
 
@@ -52,13 +60,15 @@ def words_at(data: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
+def mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(29))) * M3
+    return h ^ (h >> np.uint64(32))
+
+
 def seeds(data: np.ndarray) -> np.ndarray:
     """A hash of the SEED_BYTES bytes at each place."""
     x = words_at(data, 8)
-    h = (x[:-8] * M1) ^ ((x[8:] * M2) >> np.uint64(13)) + x[8:]
-    h ^= h >> np.uint64(29)
-    h *= M3
-    return h ^ (h >> np.uint64(32))
+    return mixed((x[:-8] * M1) ^ ((x[8:] * M2) >> np.uint64(13)) + x[8:])
 
 
 def sliding_least(x: np.ndarray, width: int) -> np.ndarray:
@@ -73,47 +83,127 @@ def sliding_least(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(back[:n], fore[width - 1 : width - 1 + n])
 
 
-def pieces(texts: list[bytes], length: int = LENGTH) -> Iterator[tuple[int, int, int, int, int]]:
-    """(text, start, windows, name, content) of every piece of texts; texts of fewer bytes than length have none."""
-    from xxhash import xxh3_64_intdigest
+class Bytes:
+    """Texts side by side, with a hash of the SEED_BYTES bytes at each place."""
+
+    seed = SEED_BYTES
+
+    def __init__(self, parts: list[bytes]):
+        self.buffer = b"".join(parts)
+        self.sizes = np.array([len(p) for p in parts], dtype=np.int64)
+        self.marks = seeds(np.frombuffer(self.buffer, dtype=np.uint8))
+
+    def hashes(self, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        from xxhash import xxh3_64_intdigest
+
+        view = memoryview(self.buffer)
+        return np.array([xxh3_64_intdigest(view[a:b]) for a, b in zip(start.tolist(), stop.tolist(), strict=True)], dtype=np.uint64)
+
+    @staticmethod
+    def parts(text: bytes, length: int) -> Iterator[tuple[int, bytes]]:
+        """(base, part): a very long text goes in overlapping parts, so that each window is in one of them."""
+        for base in range(0, max(len(text) - length + 1, 0), BUFFER):
+            yield base, text[base : base + BUFFER + length - 1]
+
+
+class Words:
+    """The words (between ASCII white space) of texts side by side, with a hash of the SEED_WORDS words at each place.
+
+    A word is told by its length and its bytes, of which long ones (over 24) give the first 16 and the last 8.
+    """
 
-    def of_buffer(parts: list[tuple[int, int, bytes]]) -> Iterator[tuple[int, int, int, int, int]]:
-        buffer = b"".join(p[2] for p in parts)
-        data = np.frombuffer(buffer, dtype=np.uint8)
-        h = seeds(data)
-        packed = (h >> np.uint64(PLACE_BITS)) << np.uint64(PLACE_BITS) | np.arange(len(h), dtype=np.uint64)
-        least = sliding_least(packed, length - SEED_BYTES + 1)
-        sizes = np.array([len(p[2]) for p in parts])
-        starts = np.concatenate(([0], np.cumsum(sizes)))[:-1]
+    seed = SEED_WORDS
+
+    def __init__(self, parts: list[bytes]):
+        data = np.frombuffer(b"\n".join([b"", *parts, b"\0" * 8]), dtype=np.uint8)
+        space = SPACE[data]
+        space[-8:] = True
+        start = np.flatnonzero(space[:-1] & ~space[1:]) + 1
+        stop = np.flatnonzero(~space[:-1] & space[1:]) + 1
+        size = stop - start
+        x = np.append(words_at(data, 8), np.zeros(16, dtype=np.uint64))
+        masks = np.array([2 ** (8 * i) - 1 for i in range(8)] + [2**64 - 1], dtype=np.uint64)
+        h = (x[start] & masks[np.minimum(size, 8)]) * M1
+        h ^= (x[start + 8] & masks[np.clip(size - 8, 0, 8)]) * M2 + (x[np.maximum(stop - 8, 0)] & masks[np.where(size > 16, 8, 0)]) * M3
+        h = mixed(h + size.astype(np.uint64) * M1)
+        ends = np.cumsum(np.array([len(p) + 1 for p in parts], dtype=np.int64))
+        self.sizes = np.diff(np.concatenate(([0], np.searchsorted(start, ends, side="right"))))
+        n = len(h)
+        power, self.inverse = (
+            np.multiply.accumulate(np.append(np.uint64(1), np.full(n, m, dtype=np.uint64)))
+            for m in (M3, np.uint64(pow(int(M3), -1, 2**64)))
+        )
+        self.sums = np.concatenate(([np.uint64(0)], np.cumsum(h * power[:-1])))
+        at = np.arange(max(n - self.seed + 1, 0))
+        self.marks = self.hashes(at, at + self.seed)
+
+    def hashes(self, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        return mixed((self.sums[stop] - self.sums[start]) * self.inverse[start])
+
+    @staticmethod
+    def parts(text: bytes, length: int) -> Iterator[tuple[int, bytes]]:
+        if len(text) <= BUFFER:
+            if len(text) >= 2 * length - 1:
+                yield 0, text
+            return
+        words, step = text.split(), BUFFER // 8
+        for base in range(0, max(len(words) - length + 1, 0), step):
+            yield base, b" ".join(words[base : base + step + length - 1])
+
+
+def places(marks: np.ndarray) -> np.ndarray:
+    """Hashes with their places in the low bits, so that of equal ones the leftmost is the least."""
+    return (marks >> np.uint64(PLACE_BITS)) << np.uint64(PLACE_BITS) | np.arange(len(marks), dtype=np.uint64)
+
+
+def pieces(texts: list[bytes], length: int = LENGTH, unit: type = Bytes) -> Iterator[tuple[np.ndarray, ...]]:
+    """Arrays (text, start, windows, name, content) of the pieces of texts; texts shorter than length have none. The
+    lowest bit of a name tells words (1) from bytes (0)."""
+
+    def of_buffer(held: list[tuple[int, int, bytes]]) -> tuple[np.ndarray, ...]:
+        line = unit([p[2] for p in held])
+        least = sliding_least(places(line.marks), length - unit.seed + 1)
+        starts = np.cumsum(line.sizes) - line.sizes
+        after = starts + line.sizes - length + 1  # behind the last window of each text
         new = np.ones(len(least), dtype=bool)
         new[1:] = least[1:] != least[:-1]
         new[starts[starts < len(new)]] = True
-        last = starts + sizes - length  # last window of each text
-        after = last + 1
-        new[after[after < len(new)]] = True
+        new[after[(after >= starts) & (after < len(new))]] = True
         at = np.flatnonzero(new)
         owner = np.searchsorted(starts, at, side="right") - 1
         stop = np.append(at[1:], len(least))
-        good = at <= last[owner]
+        good = at < after[owner]
         at, stop, owner = at[good], stop[good], owner[good]
-        names = h[(least[at] & np.uint64((1 << PLACE_BITS) - 1)).astype(np.int64)]
-        view = memoryview(buffer)
-        for a, b, o, name in zip(at.tolist(), stop.tolist(), owner.tolist(), names.tolist(), strict=True):
-            text, base, _ = parts[o]
-            yield text, base + a - int(starts[o]), b - a, name, xxh3_64_intdigest(view[a : b - 1 + length])
+        names = line.marks[(least[at] & np.uint64((1 << PLACE_BITS) - 1)).astype(np.int64)]
+        names = names & ~np.uint64(1) | np.uint64(unit is Words)
+        text, base = np.array([p[0] for p in held]), np.array([p[1] for p in held])
+        return text[owner], base[owner] + at - starts[owner], stop - at, names, line.hashes(at, stop - 1 + length)
 
     held, size = [], 0
     for i, text in enumerate(texts):
-        # a very long text goes in overlapping parts, so that each window is in one of them
-        for base in range(0, max(len(text) - length + 1, 0), BUFFER):
-            part = text[base : base + BUFFER + length - 1]
+        for base, part in unit.parts(text, length):
             held.append((i, base, part))
             size += len(part)
             if size >= BUFFER:
-                yield from of_buffer(held)
+                yield of_buffer(held)
                 held, size = [], 0
     if held:
-        yield from of_buffer(held)
+        yield of_buffer(held)
+
+
+def finer(content: bytes, length: int, unit: type) -> Iterator[tuple[int, int, int, int]]:
+    """(first window, windows, finer name, content) of the parts of a content: runs of windows that hold its least
+    hashed string at about the same place, named by what all of them share."""
+    line = unit([content])
+    n = int(line.sizes[0]) - length + 1
+    least = int(places(line.marks).argmin())
+    groups = np.arange((least - n + 1) // FINE, least // FINE + 1)
+    first, last = np.maximum(least - (groups + 1) * FINE + 1, 0), np.minimum(least - groups * FINE, n - 1)
+    shared = least - groups * FINE
+    names = mixed(line.hashes(shared, shared + length - FINE + 1) * M1 + groups.astype(np.uint64))
+    names = names & ~np.uint64(1) | np.uint64(unit is Words)
+    contents = line.hashes(first, last + length)
+    return zip(first.tolist(), (last - first + 1).tolist(), names.tolist(), contents.tolist(), strict=True)
 
 
 # ---------------------------------------------------------------- shard transforms and their merge
@@ -294,52 +384,39 @@ def repeated_in(names: list[int], contents: list[bytes], length: int = LENGTH) -
     return out
 
 
+def repeated_words(names: list[int], contents: list[bytes], length: int = PASSAGE) -> list[np.ndarray]:
+    """The same for windows of words."""
+    line = Words(contents)
+    starts, n = np.cumsum(line.sizes) - line.sizes, line.sizes - length + 1
+    at = np.repeat(starts - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+    keys = line.hashes(at, at + length) ^ np.repeat(np.array(names, dtype=np.int64).view(np.uint64) * M2, n)
+    _, number, count = np.unique(keys, return_inverse=True, return_counts=True)
+    return np.split(count[number] > 1, np.cumsum(n)[:-1])
+
+
 # ---------------------------------------------------------------- the distributed steps
 
+PIECE = "name long, content long, start int, windows int"
 
-def find(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
-    """rows (tk, tn, spans): for each distinct text (hash and bytes) with repeats, the array of (from, to) of the starts
-    of its repeated windows. Copies of a text share a row. Null texts are empty and have none."""
-    if not SEED_BYTES < length < BUFFER:
-        raise ValueError("length must be above 16 and below 4 MB")
-    body = F.coalesce(F.col(text), F.lit(""))
-    texts = docs.select(
-        F.coalesce(F.col(key).cast("long"), F.lit(-(2**63)).cast("long")).alias("did"),
-        F.xxhash64(body).alias("tk"),
-        F.octet_length(body).alias("tn"),
-        body.cast("binary").alias("text"),
-    ).where(F.col("tn") >= length)
-    signed = lambda xs: np.array(xs, dtype=np.uint64).view(np.int64)
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
-                got = list(pieces([t.as_py() for t in part.column(3)], length))
-                if not got:
-                    continue
-                owner, start, windows, name, content = zip(*got, strict=True)
-                owner = pa.array(owner)
-                columns = [part.column(i).take(owner) for i in range(3)]
-                columns += [pa.array(start, pa.int32()), pa.array(windows, pa.int32()), pa.array(signed(name)), pa.array(signed(content))]
-                yield pa.RecordBatch.from_arrays(columns, names=["did", "tk", "tn", "start", "windows", "name", "content"])
-
-    schema = "did long, tk long, tn int, start int, windows int, name long, content long"
-    every = texts.mapInArrow(cut, schema)
-    every = every.groupBy("name", "content", "tk", "tn", "start", "windows").agg(F.min("did").alias("did"), F.count("*").alias("n"))
-    every = stash(every, "pieces")
-    kinds = every.groupBy("name", "content", "windows").agg(
-        F.sum("n").alias("n"), F.min(F.struct("did", "tk", "tn", "start")).alias("at")
-    )
+def signed(xs) -> np.ndarray:
+    return np.asarray(xs, dtype=np.uint64).view(np.int64)
+
+
+def settled(rows: DataFrame, by: list[str]) -> DataFrame:
+    """rows (by, name, content, windows, n) of places -> stashed rows (name, content, windows, n, kinds, at): contents
+    of names that occur twice, with the contents of the name and one place each."""
+    kinds = rows.groupBy("name", "content", "windows").agg(F.sum("n").alias("n"), F.min(F.struct(*by)).alias("at"))
     names = kinds.groupBy("name").agg(F.count("*").alias("kinds"), F.sum("n").alias("total")).where("total > 1")
-    kinds = stash(kinds.join(names.drop("total"), "name"), "kinds")
+    return stash(kinds.join(names.drop("total"), "name"), "kinds")
 
-    # contents to compare, read from one text each
+
+def contents_of(kinds: DataFrame, texts: DataFrame, by: list[str], length: int) -> DataFrame:
+    """rows (name, content, kinds, bytes) of the contents to compare, read from one text of texts (by, text) each."""
     asked = kinds.where("kinds > 1").select(
-        "at.did", "at.tk", "at.tn", F.struct("name", "content", "kinds", "at.start", "windows").alias("one")
+        *[f"at.{c}" for c in by], F.struct("name", "content", "kinds", "at.start", "windows").alias("one")
     )
-    asked = asked.groupBy("did", "tk", "tn").agg(F.collect_list("one").alias("asked"))  # of one text
-    source = texts.join(asked, ["did", "tk", "tn"])
+    asked = asked.groupBy(*by).agg(F.collect_list("one").alias("asked"))  # of one text
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -350,20 +427,35 @@ def find(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int =
                 fields = {f: one.field(f) for f in ("name", "content", "kinds", "start", "windows")}
                 owner = np.repeat(np.arange(part.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
                 texts = [t.as_py() for t in part.column(0)]
-                start, n = fields["start"].to_numpy(), fields["windows"].to_numpy() - 1 + length
-                data = [texts[o][a : a + k] for o, a, k in zip(owner.tolist(), start.tolist(), n.tolist(), strict=True)]
+                split: dict[int, list[bytes]] = {}
+                data = []
+                for o, a, k, name in zip(owner.tolist(), *(fields[f].to_pylist() for f in ("start", "windows", "name")), strict=True):
+                    if name & 1:
+                        if o not in split:
+                            split[o] = texts[o].split()
+                        data.append(b" ".join(split[o][a : a + k - 1 + PASSAGE]))
+                    else:
+                        data.append(texts[o][a : a + k - 1 + length])
                 yield pa.RecordBatch.from_arrays(
                     [fields["name"], fields["content"], fields["kinds"], pa.array(data, pa.binary())],
                     names=["name", "content", "kinds", "bytes"],
                 )
 
-    contents = source.select("text", "asked").mapInArrow(read, "name long, content long, kinds long, bytes binary")
-    contents = stash(contents, "contents")
+    source = texts.join(asked, by).select("text", "asked")
+    return source.mapInArrow(read, "name long, content long, kinds long, bytes binary")
+
+
+def compared(contents: DataFrame, length: int, tasks: int) -> DataFrame:
+    """contents (name, content, bytes) -> rows (name, content, a, b): runs of windows that another content has too."""
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def done(rows: list[tuple]) -> pd.DataFrame:
-            flags = repeated_in([r[0] for r in rows], [r[2] for r in rows], length)
-            out = [(r[0], r[1], a, b) for r, f in zip(rows, flags, strict=True) for a, b in intervals(f)]
+            out = []
+            for word, find_in, n in ((0, repeated_in, length), (1, repeated_words, PASSAGE)):
+                some = [r for r in rows if r[0] & 1 == word]
+                if some:
+                    flags = find_in([r[0] for r in some], [r[2] for r in some], n)
+                    out += [(r[0], r[1], a, b) for r, f in zip(some, flags, strict=True) for a, b in intervals(f)]
             return pd.DataFrame(out, columns=["name", "content", "a", "b"])
 
         held, size, seen = [], 0, set()
@@ -379,24 +471,75 @@ def find(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int =
         if held:
             yield done(held)
 
-    light = contents.where(F.col("kinds") <= HEAVY).repartition("name").sortWithinPartitions("name")
-    found = light.select("name", "content", "bytes").mapInPandas(compare, "name long, content long, a int, b int")
+    # a given number of tasks: their work isn't told by their bytes, by which Spark would join small ones
+    dealt = contents.select("name", "content", "bytes").repartition(tasks, "name").sortWithinPartitions("name")
+    return dealt.mapInPandas(compare, "name long, content long, a int, b int")
+
+
+def find(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
+    """rows (tk, tn, spans, passages): for each distinct text (hash and bytes) with repeats, the arrays of (from, to) of
+    the starts of its repeated windows, in bytes and in words. Copies of a text share a row. Null texts are empty and
+    have none."""
+    if not SEED_BYTES + FINE < length < BUFFER:
+        raise ValueError("length must be above 32 and below 4 MB")
+    body = F.coalesce(F.col(text), F.lit(""))
+    texts = docs.select(
+        F.coalesce(F.col(key).cast("long"), F.lit(-(2**63)).cast("long")).alias("did"),
+        F.xxhash64(body).alias("tk"),
+        F.octet_length(body).alias("tn"),
+        body.cast("binary").alias("text"),
+    ).where(F.col("tn") >= min(length, 2 * PASSAGE - 1))
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                texts = [t.as_py() for t in part.column(3)]
+                for unit, n in ((Bytes, length), (Words, PASSAGE)):
+                    for owner, start, windows, name, content in pieces(texts, n, unit):
+                        columns = [part.column(i).take(pa.array(owner)) for i in range(3)]
+                        columns += [pa.array(signed(x)) for x in (name, content)]
+                        columns += [pa.array(x.astype(np.int32)) for x in (start, windows)]
+                        yield pa.RecordBatch.from_arrays(columns, names=["did", "tk", "tn", "name", "content", "start", "windows"])
+
+    every = texts.mapInArrow(cut, f"did long, tk long, tn int, {PIECE}")
+    every = every.groupBy("name", "content", "tk", "tn", "start", "windows").agg(F.min("did").alias("did"), F.count("*").alias("n"))
+    every = stash(every, "pieces")
+    kinds = settled(every, ["did", "tk", "tn", "start"])
+    contents = stash(contents_of(kinds, texts, ["did", "tk", "tn"], length), "contents")
+    whole = lambda k: k.where("n > 1").select("name", "content", F.lit(0).alias("a"), F.col("windows").alias("b"))
 
-    def windows_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut_finer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, content, data in zip(batch["name"], batch["content"], batch["bytes"], strict=True):
-                at = np.arange(len(data) - length + 1)
-                yield pd.DataFrame({"name": name, "content": content, "at": at.astype(np.int32), "h": signed(window_hashes(data, at, length))})
-
-    heavy = contents.where(F.col("kinds") > HEAVY).dropDuplicates(["name", "content"])
-    heavy = heavy.select("name", "content", "bytes").mapInPandas(windows_of, "name long, content long, at int, h long")
-    twice = heavy.groupBy("name", "h").agg(F.count("*").alias("c")).where("c > 1").select("name", "h")
-    more = heavy.join(twice, ["name", "h"]).select("name", "content", F.col("at").alias("a"), F.expr("at + 1").alias("b"))
-    whole = kinds.where("n > 1").select("name", "content", F.lit(0).alias("a"), F.col("windows").alias("b"))
-    spans = stash(found.union(more).union(whole), "spans")
+            rows = []
+            for name, content, data in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                unit, n = (Words, PASSAGE) if name & 1 else (Bytes, length)
+                rows += [(name, content, *part) for part in finer(data, n, unit)]
+            columns = list(zip(*rows, strict=True)) or [()] * 6
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, pa.int64()) for c in columns[:2]] + [pa.array(c, pa.int32()) for c in columns[2:4]]
+                + [pa.array(signed(c)) for c in columns[4:]],
+                names=["tk", "tc", "start", "windows", "name", "content"],
+            )
+
+    # contents of hot names: their parts under finer names, then as above
+    hot = contents.where(F.col("kinds") > HOT)
+    parts = hot.select("name", "content", "bytes").mapInArrow(cut_finer, "tk long, tc long, start int, windows int, name long, content long")
+    parts = stash(parts.distinct().withColumn("n", F.lit(1)), "parts")
+    kinds_of_parts = settled(parts, ["tk", "tc", "start"])
+    held = hot.select(F.col("name").alias("tk"), F.col("content").alias("tc"), F.col("bytes").alias("text"))
+    met = compared(contents_of(kinds_of_parts, held, ["tk", "tc"], length), length, tasks).union(whole(kinds_of_parts))
+    more = parts.join(met, ["name", "content"]).selectExpr("tk as name", "tc as content", "start + a as a", "start + b as b")
+
+    found = compared(contents.where(F.col("kinds") <= HOT), length, tasks)
+    spans = stash(found.union(more).union(whole(kinds)), "spans")
     placed = every.join(spans, ["name", "content"])
     one = F.struct((F.col("start") + F.col("a")).alias("a"), (F.col("start") + F.col("b")).alias("b"))
-    return placed.groupBy("tk", "tn").agg(F.collect_set(one).alias("spans"))
+    word = F.col("name").bitwiseAND(F.lit(1).cast("long")) == 1
+    return placed.groupBy("tk", "tn").agg(
+        F.collect_set(F.when(~word, one)).alias("spans"), F.collect_set(F.when(word, one)).alias("passages")
+    )
 
 
 def covered(a: np.ndarray, b: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -410,9 +553,10 @@ def covered(a: np.ndarray, b: np.ndarray, length: int) -> tuple[np.ndarray, np.n
 
 
 def remove(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
-    """rows (key, n_bytes, n_removed, n_spans, kept): what is left of each text, as bytes, once every byte that lies in
-    a string of `length` bytes that also starts elsewhere is gone (all judged on the input). Every row of docs stays;
-    null texts are empty; texts of fewer bytes are whole; repeated rows repeat each other."""
+    """rows (key, n_bytes, n_removed, n_spans, kept, n_passage_words): what is left of each text, as bytes, once every
+    byte that lies in a string of `length` bytes that also starts elsewhere is gone (all judged on the input), and the
+    words that lie in a passage, which may be shorter than `length` and then stays. Every row of docs stays; null texts
+    are empty; texts of fewer bytes are whole; repeated rows repeat each other."""
     found = stash(find(docs, key, text, length), "repeats")
     body = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(
@@ -420,24 +564,30 @@ def remove(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int
     )
     kind = docs.schema[key].dataType.simpleString()
 
+    def runs_of(lists: pa.ListArray, n: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        at = np.append(0, np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)))
+        first, last = (lists.flatten().field(f).to_numpy().astype(np.int64) for f in ("a", "b"))
+        return [covered(first[i:j], last[i:j], n) for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n_bytes, n_removed, n_spans, kept = [], [], [], []
-            lists = batch.column(2)
-            at = np.append(0, np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)))
-            first, last = (lists.flatten().field(f).to_numpy().astype(np.int64) for f in ("a", "b"))
-            for t, i, j in zip(batch.column(1), at[:-1].tolist(), at[1:].tolist(), strict=True):
-                t, runs = t.as_py(), covered(first[i:j], last[i:j], length)
+            found, words = (runs_of(batch.column(i), n) for i, n in ((2, length), (3, PASSAGE)))
+            for t, runs in zip(batch.column(1), found, strict=True):
+                t = t.as_py()
                 edges = [0, *np.stack(runs, axis=1).reshape(-1).tolist(), len(t)]
                 left = b"".join(t[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
                 n_bytes.append(len(t))
                 n_removed.append(len(t) - len(left))
                 n_spans.append(len(runs[0]))
                 kept.append(left)
-            numbers = [pa.array(x, pa.int64()) for x in (n_bytes, n_removed, n_spans)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *numbers, pa.array(kept, pa.binary())], names=["key", "n_bytes", "n_removed", "n_spans", "kept"])
-
-    joined = rows.join(found, ["tk", "tn"], "left").select("key", "text", "spans")
-    out = joined.mapInArrow(strip, f"key {kind}, n_bytes long, n_removed long, n_spans long, kept binary")
+            numbers = [pa.array(x, pa.int64()) for x in (n_bytes, n_removed, n_spans, [int((b - a).sum()) for a, b in words])]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), *numbers[:3], pa.array(kept, pa.binary()), numbers[3]],
+                names=["key", "n_bytes", "n_removed", "n_spans", "kept", "n_passage_words"],
+            )
+
+    joined = rows.join(found, ["tk", "tn"], "left").select("key", "text", "spans", "passages")
+    out = joined.mapInArrow(strip, f"key {kind}, n_bytes long, n_removed long, n_spans long, kept binary, n_passage_words long")
     return out.withColumnRenamed("key", key)
 
