@@ -17,9 +17,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Bounds of the training sample: labelled documents, and lines of each (longer documents aren't sampled).
+#: Bound of the training sample: labelled documents.
 TRAIN_DOCS = 3000
-TRAIN_LINES = 64
+#: Documents of more lines are fitted in stretches of so many; all their lines count.
+STRETCH = 64
 FOLDS = 5
 THRESHOLD = 0.3
 
@@ -127,11 +128,12 @@ def fit(documents: list[tuple[np.ndarray, np.ndarray, int]], steps: int = 150, r
     if len(set(labels.tolist())) < 2:
         return Crf(np.zeros(N_FEATURES), 0.0, (0.0, 0.0))
     sizes = np.array([len(d[1]) for d in documents])
-    batch, x = Batch(sizes), np.vstack([d[0] for d in documents])
+    stretches = np.array([min(STRETCH, n - at) for n in sizes.tolist() for at in range(0, n, STRETCH)])
+    batch, x = Batch(stretches), np.vstack([d[0] for d in documents])
     y = np.repeat(labels, sizes).astype(float)
     share = np.array([1 / (labels == 1).sum(), 1 / (labels == 0).sum()]) / 2  # both labels weigh the same
     weight = np.repeat(np.where(labels == 1, share[0], share[1]) / sizes, sizes)
-    pairs = float((sizes - 1).sum())
+    pairs = float((stretches - 1).sum())
     w, tie = np.zeros(N_FEATURES), 0.0
     m, v = np.zeros(N_FEATURES + 1), np.zeros(N_FEATURES + 1)
     for step in range(1, steps + 1):
@@ -186,10 +188,8 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     known = known.groupBy(F.col(key).alias("key")).agg(F.max(label).cast("int").alias("label"))
     known = F.broadcast(known.orderBy(F.xxhash64("key"), "key").limit(TRAIN_DOCS))
     body = F.coalesce(F.col(text), F.lit(""))
-    chosen = docs.select(F.col(key).alias("key"), body.alias("text")).where(
-        F.length("text") - F.length(F.replace("text", F.lit("\n"))) < TRAIN_LINES
-    )
-    chosen = chosen.join(known, "key").select("key", "label", F.col("text").cast("binary").alias("text"))
+    chosen = docs.select(F.col(key).alias("key"), body.alias("text")).join(known, "key")
+    chosen = chosen.select("key", "label", F.col("text").cast("binary").alias("text"))
 
     def prepare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
