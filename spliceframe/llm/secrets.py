@@ -175,7 +175,7 @@ def scan(docs: DataFrame, model: MarkovModel, text: str = "text") -> DataFrame:
         spans(body, ASSIGN), lambda m: F.char_length(F.regexp_extract(m.match, ASSIGN, 2)) >= ASSIGN_LEAST
     )
     base = F.concat(ranked(assign, 0), ranked(spans(body, ACCESS), 1), ranked(spans(body, HEX), 2))
-    high = lambda m: (score(m.match, model) >= model.margin) & m.match.rlike("[0-9]")
+    high = lambda m: score(m.match, model) >= model.margin
 
     def added(held: Column) -> Column:
         free = lambda m: ~F.exists(held, lambda h: (h.start < m.end) & (m.start < h.end))
