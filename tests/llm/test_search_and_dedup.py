@@ -150,17 +150,46 @@ def brute_repeats(texts, length):
     return out
 
 
-@pytest.mark.parametrize("heavy", [4096, 1])
-def test_repeats(docs, corpus, empty, monkeypatch, heavy):
-    monkeypatch.setattr(repeats, "HEAVY", heavy)
-    got = collections.Counter(tuple(r) for r in repeats.remove(docs, length=60).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept").collect())
-    got = collections.Counter({(*k[:4], bytes(k[4])): n for k, n in got.items()})
-    want = brute_repeats([(c[1] or "").encode() for c in corpus], 60)
-    assert got == collections.Counter((c[0], *w) for c, w in zip(corpus, want, strict=True))
-    if heavy > 1:
+def brute_passages(texts, length):
+    seen = collections.Counter(tuple(w[i : i + length]) for w in texts for i in range(len(w) - length + 1))
+    out = []
+    for w in texts:
+        held = set()
+        for i in range(len(w) - length + 1):
+            if seen[tuple(w[i : i + length])] > 1:
+                held |= set(range(i, i + length))
+        out.append(len(held))
+    return out
+
+
+@pytest.mark.parametrize("hot", [1024, 1])
+def test_repeats(docs, corpus, empty, monkeypatch, hot):
+    monkeypatch.setattr(repeats, "HOT", hot)
+    got = repeats.remove(docs, length=60).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept", "n_passage_words").collect()
+    texts = [(c[1] or "").encode() for c in corpus]
+    want = zip(corpus, brute_repeats(texts, 60), brute_passages([t.split() for t in texts], 50), strict=True)
+    assert collections.Counter((*r[:4], bytes(r[4]), r[5]) for r in got) == collections.Counter((c[0], *w, p) for c, w, p in want)
+    if hot > 1:
         assert repeats.remove(empty).count() == 0
 
 
+@pytest.mark.parametrize("hot", [1024, 5])
+def test_repeats_of_a_hot_passage(spark, monkeypatch, hot):
+    monkeypatch.setattr(repeats, "HOT", hot)
+    r = random.Random(21)
+    base = [f"w{r.randrange(10**4)}" for _ in range(90)]
+    texts = []
+    for _ in range(120):  # near copies: one to three words of a passage are others
+        w = base.copy()
+        for _ in range(r.randrange(1, 4)):
+            w[r.randrange(90)] = f"q{r.randrange(10**6)}"
+        texts.append(" ".join([*(f"a{r.randrange(10**6)}" for _ in range(r.randrange(30))), *w, f"z{r.randrange(10**6)}"]).encode())
+    df = spark.createDataFrame([(i, t.decode()) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4)
+    got = {x[0]: (*x[1:4], bytes(x[4]), x[5]) for x in repeats.remove(df, length=200).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept", "n_passage_words").collect()}
+    want = zip(brute_repeats(texts, 200), brute_passages([t.split() for t in texts], 50), strict=True)
+    assert got == {i: (*w, p) for i, (w, p) in enumerate(want)}
+
+
 def test_merge_gives_longest_common_prefixes():
     r = random.Random(5)
     strings = [[r.randrange(100, 103) for _ in range(r.randrange(1, 14))] for _ in range(12)]
@@ -192,14 +221,20 @@ def test_merge_gives_longest_common_prefixes():
     assert flat == want
 
 
-def test_long_texts_in_overlapping_buffers(monkeypatch):
+@pytest.mark.parametrize("unit", [repeats.Bytes, repeats.Words])
+def test_long_texts_in_overlapping_buffers(monkeypatch, unit):
     r = random.Random(8)
-    text = bytes(r.randrange(97, 101) for _ in range(3000))
-    texts = [text, text[700:1900], b"x" * 900]
-    plain = {(t, s + k) for t, s, n, _, _ in repeats.pieces(texts, 50) for k in range(n)}
+    text = bytes(r.choice(b"abcd     ") for _ in range(3000))
+    texts = [text, text[700:1900], b"x " * 450, b"  "]
+    size = [len(t) if unit is repeats.Bytes else len(t.split()) for t in texts]
+
+    def windows():
+        return [(t, s + k) for part in repeats.pieces(texts, 50, unit) for t, s, n in zip(*map(np.ndarray.tolist, part[:3]), strict=True) for k in range(n)]
+
+    plain = set(windows())
     monkeypatch.setattr(repeats, "BUFFER", 256)
-    cut = [(t, s + k) for t, s, n, _, _ in repeats.pieces(texts, 50) for k in range(n)]
-    assert len(cut) == len(set(cut)) and set(cut) == plain == {(t, i) for t, x in enumerate(texts) for i in range(len(x) - 49)}
+    cut = windows()
+    assert len(cut) == len(set(cut)) and set(cut) == plain == {(t, i) for t, n in enumerate(size) for i in range(n - 49)}
 
 
 # ---------------------------------------------------------------- fingerprints
@@ -330,6 +365,24 @@ def test_markov_tells_random_from_names(spark):
     assert not any(s >= model.margin for s in score[60:])
 
 
+def test_markov_spans_held_out(spark):
+    """Recall and precision of added spans in prose, on strings that the samples don't hold."""
+    r, model = random.Random(31), secrets.train(secrets.samples(spark))
+    forms = ["abcdef0123456789", secrets.ALPHABET[:62], secrets.ALPHABET[:52], secrets.ALPHABET[26:62]]
+    parts = "user order table value index cache model token stream window border travel number letter garden silver".split()
+    rows, planted = [], set()
+    for i in range(400):
+        form = forms[i % 4]
+        secret = "".join(r.choice(form) for _ in range(r.randrange(24, 31)))
+        name = r.choice(["_", "-", "/", ""]).join(r.sample(parts, 5))
+        lead = " ".join(r.choices(parts, k=8)) + " "
+        planted.add((i, len(lead), len(lead) + len(secret)))
+        rows.append((i, lead + secret + " " + name + " " + " ".join(r.choices(parts, k=5))))
+    df = spark.createDataFrame(rows, "doc_id int, text string")
+    got = {(x.doc_id, s.start, s["end"]) for x in secrets.scan(df, model).collect() for s in x.secret_spans if s.kind == "markov"}
+    assert len(got & planted) >= 0.95 * len(planted) and len(got & planted) >= 0.98 * len(got)
+
+
 # ---------------------------------------------------------------- LM scores
 
 
