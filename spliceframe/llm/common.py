@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 import tempfile
@@ -50,6 +51,12 @@ def unstash(df: DataFrame) -> None:
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files that no plan reads any more: it does so once the driver collects garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def local_path(uri: str) -> str:
     """file: URIs as plain paths; other URIs unchanged."""
     for prefix in ("file://", "file:"):

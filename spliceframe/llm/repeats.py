@@ -28,10 +28,10 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stash
+from .common import release, stash
 
 LENGTH = 400
 PASSAGE = 50  # words
@@ -403,19 +403,24 @@ def signed(xs) -> np.ndarray:
     return np.asarray(xs, dtype=np.uint64).view(np.int64)
 
 
-def settled(rows: DataFrame, by: list[str]) -> DataFrame:
-    """rows (by, name, content, windows, n) of places -> stashed rows (name, content, windows, n, kinds, at): contents
-    of names that occur twice, with the contents of the name and one place each."""
-    kinds = rows.groupBy("name", "content", "windows").agg(F.sum("n").alias("n"), F.min(F.struct(*by)).alias("at"))
+def text_hash(body: Column) -> Column:
+    return F.xxhash64(body, F.octet_length(body))
+
+
+def settled(rows: DataFrame, by: str) -> DataFrame:
+    """rows (by, name, content, start, windows) -> stashed rows (name, content, windows, n, kinds, by, start): contents
+    of names that occur twice, with the contents of the name and one place each. All sums are made of numbers, so they
+    combine before they are dealt."""
+    kinds = rows.groupBy("name", "content").agg(
+        F.count("*").alias("n"), F.max("windows").alias("windows"), F.min(by).alias(by), F.min_by("start", by).alias("start")
+    )
     names = kinds.groupBy("name").agg(F.count("*").alias("kinds"), F.sum("n").alias("total")).where("total > 1")
     return stash(kinds.join(names.drop("total"), "name"), "kinds")
 
 
 def contents_of(kinds: DataFrame, texts: DataFrame, by: list[str], length: int) -> DataFrame:
     """rows (name, content, kinds, bytes) of the contents to compare, read from one text of texts (by, text) each."""
-    asked = kinds.where("kinds > 1").select(
-        *[f"at.{c}" for c in by], F.struct("name", "content", "kinds", "at.start", "windows").alias("one")
-    )
+    asked = kinds.where("kinds > 1").select(*by, F.struct("name", "content", "kinds", "start", "windows").alias("one"))
     asked = asked.groupBy(*by).agg(F.collect_list("one").alias("asked"))  # of one text
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -477,37 +482,38 @@ def compared(contents: DataFrame, length: int, tasks: int) -> DataFrame:
 
 
 def find(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
-    """rows (tk, tn, spans, passages): for each distinct text (hash and bytes) with repeats, the arrays of (from, to) of
-    the starts of its repeated windows, in bytes and in words. Copies of a text share a row. Null texts are empty and
-    have none."""
+    """rows (tk, spans, passages): for each distinct text (its hash) with repeats, the arrays of (from, to) of the starts
+    of its repeated windows, in bytes and in words. Copies of a text share a row. Null texts are empty and have none."""
     if not SEED_BYTES + FINE < length < BUFFER:
         raise ValueError("length must be above 32 and below 4 MB")
     body = F.coalesce(F.col(text), F.lit(""))
-    texts = docs.select(
+    texts = docs.where(F.octet_length(body) >= min(length, 2 * PASSAGE - 1)).select(
         F.coalesce(F.col(key).cast("long"), F.lit(-(2**63)).cast("long")).alias("did"),
-        F.xxhash64(body).alias("tk"),
-        F.octet_length(body).alias("tn"),
+        text_hash(body).alias("tk"),
         body.cast("binary").alias("text"),
-    ).where(F.col("tn") >= min(length, 2 * PASSAGE - 1))
-    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    )
+    spark = docs.sparkSession
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
-                texts = [t.as_py() for t in part.column(3)]
+                texts = [t.as_py() for t in part.column(1)]
                 for unit, n in ((Bytes, length), (Words, PASSAGE)):
                     for owner, start, windows, name, content in pieces(texts, n, unit):
-                        columns = [part.column(i).take(pa.array(owner)) for i in range(3)]
-                        columns += [pa.array(signed(x)) for x in (name, content)]
+                        columns = [part.column(0).take(pa.array(owner)), *[pa.array(signed(x)) for x in (name, content)]]
                         columns += [pa.array(x.astype(np.int32)) for x in (start, windows)]
-                        yield pa.RecordBatch.from_arrays(columns, names=["did", "tk", "tn", "name", "content", "start", "windows"])
-
-    every = texts.mapInArrow(cut, f"did long, tk long, tn int, {PIECE}")
-    every = every.groupBy("name", "content", "tk", "tn", "start", "windows").agg(F.min("did").alias("did"), F.count("*").alias("n"))
-    every = stash(every, "pieces")
-    kinds = settled(every, ["did", "tk", "tn", "start"])
-    contents = stash(contents_of(kinds, texts, ["did", "tk", "tn"], length), "contents")
+                        yield pa.RecordBatch.from_arrays(columns, names=["tk", "name", "content", "start", "windows"])
+
+    every = stash(texts.select("tk", "text").mapInArrow(cut, f"tk long, {PIECE}"), "pieces")
+    kinds = settled(every, "tk")
+    release(spark)
+    # of the copies of a text that holds contents to compare, the first is read
+    firsts = texts.select("tk", "did").groupBy("tk").agg(F.min("did").alias("did"))
+    placed = kinds.join(firsts, "tk")
+    contents = stash(contents_of(placed, texts, ["did", "tk"], length), "contents")
+    release(spark)
     whole = lambda k: k.where("n > 1").select("name", "content", F.lit(0).alias("a"), F.col("windows").alias("b"))
 
     def cut_finer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -520,24 +526,26 @@ def find(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int =
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, pa.int64()) for c in columns[:2]] + [pa.array(c, pa.int32()) for c in columns[2:4]]
                 + [pa.array(signed(c)) for c in columns[4:]],
-                names=["tk", "tc", "start", "windows", "name", "content"],
+                names=["pn", "pc", "start", "windows", "name", "content"],
             )
 
     # contents of hot names: their parts under finer names, then as above
     hot = contents.where(F.col("kinds") > HOT)
-    parts = hot.select("name", "content", "bytes").mapInArrow(cut_finer, "tk long, tc long, start int, windows int, name long, content long")
-    parts = stash(parts.distinct().withColumn("n", F.lit(1)), "parts")
-    kinds_of_parts = settled(parts, ["tk", "tc", "start"])
-    held = hot.select(F.col("name").alias("tk"), F.col("content").alias("tc"), F.col("bytes").alias("text"))
-    met = compared(contents_of(kinds_of_parts, held, ["tk", "tc"], length), length, tasks).union(whole(kinds_of_parts))
-    more = parts.join(met, ["name", "content"]).selectExpr("tk as name", "tc as content", "start + a as a", "start + b as b")
+    parts = hot.select("name", "content", "bytes").mapInArrow(cut_finer, "pn long, pc long, start int, windows int, name long, content long")
+    parent = F.xxhash64("pn", "pc").alias("parent")
+    parts = stash(parts.distinct().select("*", parent), "parts")
+    kinds_of_parts = settled(parts, "parent")
+    held = hot.select(F.xxhash64("name", "content").alias("parent"), F.col("bytes").alias("text"))
+    met = compared(contents_of(kinds_of_parts, held, ["parent"], length), length, tasks).union(whole(kinds_of_parts))
+    more = parts.join(met, ["name", "content"]).selectExpr("pn as name", "pc as content", "start + a as a", "start + b as b")
 
     found = compared(contents.where(F.col("kinds") <= HOT), length, tasks)
     spans = stash(found.union(more).union(whole(kinds)), "spans")
+    release(spark)
     placed = every.join(spans, ["name", "content"])
     one = F.struct((F.col("start") + F.col("a")).alias("a"), (F.col("start") + F.col("b")).alias("b"))
     word = F.col("name").bitwiseAND(F.lit(1).cast("long")) == 1
-    return placed.groupBy("tk", "tn").agg(
+    return placed.groupBy("tk").agg(
         F.collect_set(F.when(~word, one)).alias("spans"), F.collect_set(F.when(word, one)).alias("passages")
     )
 
@@ -560,7 +568,7 @@ def remove(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int
     found = stash(find(docs, key, text, length), "repeats")
     body = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(
-        F.col(key).alias("key"), F.xxhash64(body).alias("tk"), F.octet_length(body).alias("tn"), body.cast("binary").alias("text")
+        F.col(key).alias("key"), text_hash(body).alias("tk"), body.cast("binary").alias("text")
     )
     kind = docs.schema[key].dataType.simpleString()
 
@@ -587,7 +595,7 @@ def remove(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int
                 names=["key", "n_bytes", "n_removed", "n_spans", "kept", "n_passage_words"],
             )
 
-    joined = rows.join(found, ["tk", "tn"], "left").select("key", "text", "spans", "passages")
+    joined = rows.join(found, "tk", "left").select("key", "text", "spans", "passages")
     out = joined.mapInArrow(strip, f"key {kind}, n_bytes long, n_removed long, n_spans long, kept binary, n_passage_words long")
     return out.withColumnRenamed("key", key)
 
