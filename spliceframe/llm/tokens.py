@@ -1,8 +1,8 @@
 """Token ids in binary files with Re-Pair grammar compression.
 
 A shard holds the ids of consecutive documents, each ended by an end id. Rounds of replacement count the shard's
-adjacent id pairs and give the frequent ones nonterminals; pairs that share an id go in different rounds, and in a run
-of one id pairs are taken from its left. The file holds the rules with their expansion lengths, the final sequence and
+adjacent id pairs and give the frequent ones nonterminals, until no pair is frequent; pairs that share an id go in
+different rounds, and in a run of one id pairs are taken from its left. The file holds the rules with their expansion lengths, the final sequence and
 sampled positions, so any document is decoded from a near sample without expanding what stands before.
 
 Layout, little-endian: MAGIC; counts (6 x u64: documents, ids, rules, sequence length, first terminal free for
@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import functools
 import itertools
+import json
 import os
 import re
 import struct
@@ -34,19 +35,18 @@ MAGIC = b"REPAIR01"
 END_ID = 1
 SAMPLE = 1024
 LEAST_COUNT = 8  # a pair this frequent pays for its rule
-RULES_A_ROUND = 16384
-ROUNDS = 2
 SHARD_IDS = 1 << 21
 SHARDS_A_TASK = 8  # read one after the other, as each Python task costs a tenth of a second by itself
-CACHE_WORDS = 250_000  # keys of a generation of a worker's cache
+TEXTS, CHARACTERS = 4096, 16 << 20  # encoded together, at most (but for one text)
+CACHE_WORDS = 100_000  # words that a worker keeps, of those encoded by the library
 #: Texts with the opening of a special token, or a character that is white space for Python and not for the vocabulary.
 WHOLE = re.compile("<\\||[\x1c-\x1f\x85\u180e]")
 #: Texts of these characters alone (ASCII, Latin letters, some punctuation) are cut into the vocabulary's own pieces:
-#: letter runs, digits, other runs; words with an apostrophe are kept whole, as contractions are cut otherwise.
+#: letter runs, digits, other runs. Words with an apostrophe go to the library, as contractions are cut otherwise.
 LETTERS = "a-z\u00df-\u00f6\u00f8-\u012f\u0131-\u024f"
-PLAIN = re.compile(f"[\x00-\x1b\x20-\x7f\u00c0-\u00d6\u00d8-\u00de{LETTERS[3:]}\u2013-\u2026]*\\Z")
-LETTER_RUN = re.compile(f"[{LETTERS}]+\\Z")
-PIECES = re.compile(f"[{LETTERS}]+(?![{LETTERS}']|\\S*')|\\S*'\\S*|[{LETTERS}]+|[0-9]|[^\\s0-9{LETTERS}]+")
+PLAIN = re.compile(f"[\x09-\x0d\x20-\x7f\u00c0-\u00d6\u00d8-\u00de{LETTERS[3:]}\u2013-\u2026]*\\Z")
+PIECE_END, WORD_END = "\x01", "\x02"  # neither is in a PLAIN text
+PIECES = re.compile(f"[{LETTERS}]+|[0-9]|[^\\s0-9{LETTERS}{WORD_END}]+")
 
 
 def vocabulary(name: str = "word_bpe_49k.json") -> str:
@@ -62,82 +62,87 @@ def byte_letters() -> dict[int, str]:
     """How byte-level vocabularies write bytes: printable Latin-1 as itself, the others from U+0100 on, in order."""
     shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
     others = [b for b in range(256) if b not in shown]
-    return {b: chr(256 + i) for i, b in enumerate(others)}
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(others)}
 
 
-class Kept(dict):
-    """Ids, as bytes, of the keys met so far; `make` gives those of a new key. A full generation becomes the old one,
-    and keys that are met again move on from there; the rest go."""
+def merge_ranks(path: str) -> tuple[dict[bytes, int], np.ndarray]:
+    """(ranks, ids): the vocabulary's tokens as bytes, PIECE_END behind those that end a piece, in the order of their
+    merges, and the vocabulary's id of each rank.
 
-    def __init__(self, make):
-        super().__init__()
-        self.make, self.old = make, {}
-
-    def __missing__(self, key: str) -> bytes:
-        out = self.old.get(key)
-        if out is None:
-            out = self.make(key)
-        self[key] = out
-        return out
-
-    def turn(self) -> None:
-        if len(self) > CACHE_WORDS:
-            self.old = dict(self)
-            self.clear()
+    Merging by these ranks gives what the vocabulary's list of pairs gives, as each token's own bytes merge into that
+    token and nothing else (tested): where two neighbours make up a token, they are the pair that the list has for it.
+    """
+    with open(path, encoding="utf-8") as f:
+        model = json.load(f)["model"]
+    suffix, vocab, letters = model["end_of_word_suffix"], model["vocab"], byte_letters()
+    of = {c: b for b, c in letters.items()}
+    end = PIECE_END.encode()
+    ranks = {bytes([b]): b for b in range(256)} | {bytes([b]) + end: 256 + b for b in range(256)}
+    ids = [vocab[letters[b]] for b in range(256)] + [vocab[letters[b] + suffix] for b in range(256)]
+    for pair in model["merges"]:
+        token = "".join(pair.split(" ") if isinstance(pair, str) else pair)
+        body = bytes(of[c] for c in token.removesuffix(suffix))
+        ranks[body + end if token.endswith(suffix) else body] = len(ids)
+        ids.append(vocab[token])
+    return ranks, np.array(ids, dtype="<u4")
 
 
 class Encoder:
-    """Ids of whole texts. Words between white space, and their pieces, are encoded once each and kept: this vocabulary
-    drops white space and never joins what it parts. Letter runs go to the vocabulary's model straight, as the steps
-    before it don't change them; texts that match WHOLE are encoded as they are."""
+    """Ids of whole texts, by their words between white space: this vocabulary drops white space and never joins what it
+    parts. The distinct words of PLAIN texts are merged together, by tiktoken's core and the vocabulary's merges; all
+    else is encoded by the library, and kept for a while, but for texts that match WHOLE, which it gets as they are."""
 
     def __init__(self, path: str):
+        import tiktoken
         from tokenizers import Tokenizer
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallelism
         self.tokenizer = Tokenizer.from_file(path)
-        self.model = self.tokenizer.model
-        self.letters = byte_letters()
-        self.pieces = Kept(self.piece)
-        self.words = Kept(self.word)
-        self.others = Kept(self.other)
-
-    def other(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-
-    def piece(self, piece: str) -> bytes:
-        return self.run(piece) if LETTER_RUN.match(piece) else self.other(piece)
-
-    def run(self, piece: str) -> bytes:
-        """Ids of a run of letters."""
-        if not piece.isascii():
-            piece = piece.encode().decode("latin-1").translate(self.letters)
-        tokens = [t.id for t in self.model.tokenize(piece)]
-        return struct.pack(f"<{len(tokens)}I", *tokens)
-
-    def word(self, word: str) -> bytes:
-        if LETTER_RUN.match(word):
-            return self.run(word)
-        return b"".join(map(self.pieces.__getitem__, PIECES.findall(word)))
+        ranks, self.ids = merge_ranks(path)
+        pieces = f"[^{PIECE_END}{WORD_END}]*{PIECE_END}|{WORD_END}"
+        self.core = tiktoken.Encoding("own", pat_str=pieces, mergeable_ranks=ranks, special_tokens={})
+        self.met: dict[str, np.ndarray] = {}  # by the library
+
+    def other(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
+
+    def others(self, words: list[str]) -> list[np.ndarray]:
+        if len(self.met) > CACHE_WORDS:
+            self.met.clear()
+        for w in set(words) - self.met.keys():
+            self.met[w] = self.other(w)
+        return [self.met[w] for w in words]
+
+    def lists(self, words: pa.Array) -> pa.ListArray:
+        """Ids of distinct lower-case words of PLAIN texts."""
+        every = pa.LargeListArray.from_arrays(pa.array([0, len(words)], pa.int64()), words)
+        joined = pc.binary_join(every, pa.scalar(WORD_END, pa.large_string()))[0].as_py() + WORD_END
+        ranks = np.array(self.core.encode_ordinary(PIECES.sub("\\g<0>" + PIECE_END, joined)), dtype=np.int64)
+        inside = ranks != ord(WORD_END)
+        ends = np.concatenate(([0], np.cumsum(inside)[~inside]))
+        made = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(self.ids[ranks[inside]]))
+        if "'" not in joined:
+            return made
+        quoted = np.flatnonzero(pc.match_substring(words, "'").to_numpy(zero_copy_only=False))
+        own = self.others(words.take(pa.array(quoted)).to_pylist())
+        ends = np.concatenate(([0], np.cumsum([len(x) for x in own])))
+        more = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(own)))
+        at = np.arange(len(words))
+        at[quoted] = len(words) + np.arange(len(quoted))
+        return pa.concat_arrays([made, more]).take(pa.array(at))
 
     def plain(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of texts that match PLAIN: Arrow cuts them into words and numbers the distinct ones, and only those are
-        looked up."""
+        """Ids of texts that match PLAIN: Arrow cuts them into words and numbers the distinct ones, which are encoded."""
         lists = pc.ascii_split_whitespace(pa.array([t.lower() for t in texts], pa.large_string()))
         coded = lists.flatten().dictionary_encode()
-        got = list(map(self.words.__getitem__, coded.dictionary.to_numpy(zero_copy_only=False)))
-        size = np.fromiter(map(len, got), dtype=np.int64, count=len(got)) // 4
-        table, base = np.frombuffer(b"".join(got), dtype="<u4"), np.cumsum(size) - size
-        at = coded.indices.to_numpy()
-        lengths = size[at]
-        ends = np.concatenate(([0], np.cumsum(lengths)))
-        ids = table[np.repeat(base[at] - ends[:-1], lengths) + np.arange(ends[-1])]
-        words = np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy())))
-        return [ids[a:b] for a, b in zip(ends[words[:-1]].tolist(), ends[words[1:]].tolist(), strict=True)]
+        if not len(coded):
+            return [np.zeros(0, dtype="<u4") for _ in texts]
+        got = self.lists(coded.dictionary).take(coded.indices)
+        ids, ends = got.values.to_numpy(), got.offsets.to_numpy()
+        words = ends[np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy())))].tolist()
+        return [ids[a:b] for a, b in zip(words[:-1], words[1:], strict=True)]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        for kept in (self.pieces, self.words, self.others):
-            kept.turn()
         easy = [PLAIN.match(t) is not None and "<|" not in t for t in texts]
         some = iter(self.plain([t for t, e in zip(texts, easy, strict=True) if e]))
         out = []
@@ -145,9 +150,9 @@ class Encoder:
             if e:
                 out.append(next(some))
             elif WHOLE.search(t):
-                out.append(np.frombuffer(self.other(t), dtype="<u4"))
+                out.append(self.other(t))
             else:
-                out.append(np.frombuffer(b"".join(map(self.others.__getitem__, t.split())), dtype="<u4"))
+                out.append(np.concatenate([np.zeros(0, dtype="<u4"), *self.others(t.split())]))
         return out
 
 
@@ -159,13 +164,19 @@ def encoder(path: str) -> Encoder:
 # ---------------------------------------------------------------- Re-Pair
 
 
+CELLS = 1 << 20
+
+
+def cell_of(pairs: np.ndarray) -> np.ndarray:
+    return ((pairs * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).view(np.int64)
+
+
 def occurrences(pairs: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Where wanted pairs stand among the adjacent pairs, and which; in runs of one id every second place. Of wanted
     pairs that share a cell of the table the last is found, the others stay for a later round."""
-    cell = lambda p: ((p * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(42)).view(np.int64)
-    table = np.full(1 << 22, len(wanted), dtype=np.int32)
-    table[cell(wanted)] = np.arange(len(wanted), dtype=np.int32)
-    which = table[cell(pairs)]
+    table = np.full(CELLS, len(wanted), dtype=np.int32)
+    table[cell_of(wanted)] = np.arange(len(wanted), dtype=np.int32)
+    which = table[cell_of(pairs)]
     at = np.flatnonzero(np.append(wanted, np.uint64(2**64 - 1))[which] == pairs)
     which = which[at]
     close = np.diff(at) == 1
@@ -178,45 +189,48 @@ def occurrences(pairs: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.n
     return at, which
 
 
-def compress(ids: np.ndarray, least: int = LEAST_COUNT, rounds: int = ROUNDS, per_round: int = RULES_A_ROUND) -> tuple[np.ndarray, np.ndarray, int]:
-    """ids -> (sequence, rules (n, 2), first nonterminal). Rule i makes nonterminal first + i."""
+def frequent(pairs: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs that occur `least` times, the most frequent first, and how often."""
+    bins = np.bincount(cell_of(pairs), minlength=CELLS)
+    ordered = np.sort(pairs[(bins >= least)[cell_of(pairs)]])
+    edge = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1], [True]))) if len(ordered) else np.zeros(1, int)
+    counts = np.diff(edge)
+    often = np.flatnonzero(counts >= least)
+    often = often[np.argsort(-counts[often], kind="stable")]
+    return ordered[edge[often]], counts[often]
+
+
+def compress(ids: np.ndarray, least: int = LEAST_COUNT) -> tuple[np.ndarray, np.ndarray, int]:
+    """ids -> (sequence, rules (n, 2), first nonterminal). Rule i makes nonterminal first + i. Goes on until no pair
+    occurs `least` times."""
     first = int(ids.max()) + 1 if len(ids) else 0
-    seq, rules = ids.astype(np.uint32), []
-    for _ in range(rounds):
-        if len(seq) < 2:
-            break
+    seq, rules = ids.astype(np.uint32), [np.zeros((0, 2), dtype=np.uint32)]
+    made = 0
+    while len(seq) > 1:
         pairs = seq[:-1].astype(np.uint64)
         pairs <<= np.uint64(32)
         pairs |= seq[1:]
-        ordered = np.sort(pairs)
-        edge = np.flatnonzero(ordered[1:] != ordered[:-1]) + 1
-        edge = np.concatenate(([0], edge, [len(ordered)]))
-        counts = np.diff(edge)
-        often = np.flatnonzero(counts >= least)
-        often = often[np.argsort(-counts[often], kind="stable")][: 2 * per_round]
-        kinds = ordered[edge[often]]
+        kinds, _ = frequent(pairs, least)
+        left, right = (kinds >> np.uint64(32)).astype(np.uint32), kinds.astype(np.uint32)
         chosen, used_left, used_right = [], set(), set()
-        left, right = (kinds >> np.uint64(32)).tolist(), (kinds & np.uint64(0xFFFFFFFF)).tolist()
-        for i, (a, b) in enumerate(zip(left, right, strict=True)):
+        for i, (a, b) in enumerate(zip(left.tolist(), right.tolist(), strict=True)):
             # no other chosen pair may begin with b or end with a
             if a in used_right or b in used_left or (a == b and (a in used_left or a in used_right)):
                 continue
             used_left.add(a)
             used_right.add(b)
             chosen.append(i)
-            if len(chosen) == per_round:
-                break
         if not chosen:
             break
-        wanted = np.sort(kinds[chosen])
-        at, which = occurrences(pairs, wanted)
+        at, which = occurrences(pairs, kinds[chosen])
         seq = seq.copy()
-        seq[at] = (first + len(rules) + which).astype(np.uint32)
+        seq[at] = (first + made + which).astype(np.uint32)
         keep = np.ones(len(seq), dtype=bool)
         keep[at + 1] = False
         seq = seq[keep]
-        rules += zip((wanted >> np.uint64(32)).tolist(), (wanted & np.uint64(0xFFFFFFFF)).tolist(), strict=True)
-    return seq, np.array(rules, dtype=np.uint32).reshape(-1, 2), first
+        rules.append(np.stack([left[chosen], right[chosen]], axis=1))
+        made += len(chosen)
+    return seq, np.concatenate(rules), first
 
 
 def expansion_lengths(rules: np.ndarray, first: int) -> np.ndarray:
@@ -304,6 +318,17 @@ class Shard:
         return expand(part, self.rules, self.first)[skip : skip + stop - start]
 
 
+def runs(texts: list[str]) -> Iterator[slice]:
+    first, size = 0, 0
+    for i, t in enumerate(texts):
+        if i > first and (i - first == TEXTS or size + len(t) > CHARACTERS):
+            yield slice(first, i)
+            first, size = i, 0
+        size += len(t)
+    if texts:
+        yield slice(first, len(texts))
+
+
 def write(docs: DataFrame, directory: str, key: str = "doc_id", text: str = "text", path: str | None = None, by: list[str] | None = None) -> DataFrame:
     """Write docs as shards in ascending order of `by` (the key, if not given); rows (part, piece, path, n_ids).
 
@@ -334,9 +359,9 @@ def write(docs: DataFrame, directory: str, key: str = "doc_id", text: str = "tex
 
         for batch in batches:
             part = int(batch["part"].iloc[0]) if len(batch) else part
-            for at in range(0, len(batch), 1024):
-                some = batch.iloc[at : at + 1024]
-                for k, ids in zip(some["key"].tolist(), encoder(path).encode(some["text"].tolist()), strict=True):
+            texts = batch["text"].tolist()
+            for some in runs(texts):
+                for k, ids in zip(batch["key"].iloc[some].tolist(), encoder(path).encode(texts[some]), strict=True):
                     keys.append(int(k))
                     held.append(np.concatenate([ids, end]))
                     size += len(ids) + 1

@@ -71,6 +71,9 @@ def test_grammar_round_trip(ids):
     a = np.array(ids, dtype=np.uint32)
     seq, rules, first = tokens.compress(a, least=2)
     assert (tokens.expand(seq, rules, first) == a).all()
+    pairs = list(zip(seq.tolist(), seq.tolist()[1:], strict=False))
+    apart = [p for i, p in enumerate(pairs) if p[0] != p[1] or i % 2 == 0]
+    assert len(set(apart)) == len(apart) or len(set(seq.tolist())) == 1  # nothing is left to replace
     if len(rules):
         lengths = tokens.expansion_lengths(rules, first)
         assert tokens.symbol_lengths(seq, lengths, first).sum() == len(a)
@@ -99,6 +102,45 @@ def test_encoder_equals_the_library():
         assert own.encode([text])[0].tolist() == t.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_tokens_merge_into_themselves():
+    """Each token's own bytes merge into that token, by the vocabulary's pairs: what merging by ranks rests on."""
+    import json
+
+    with open(tokens.vocabulary(), encoding="utf-8") as f:
+        model = json.load(f)["model"]
+    pairs = [p.split(" ") if isinstance(p, str) else p for p in model["merges"]]
+    rank = {tuple(p): i for i, p in enumerate(pairs)}
+    assert len({a + b for a, b in pairs}) == len(pairs)
+    for a, b in pairs:
+        token = a + b
+        parts = list(token.removesuffix("</w>"))
+        if token.endswith("</w>"):
+            parts[-1] += "</w>"
+        while len(parts) > 1:
+            best = min(zip(parts, parts[1:], strict=False), key=lambda p: rank.get(p, 1 << 30))
+            assert best in rank, token
+            grown, i = [], 0
+            while i < len(parts):
+                if tuple(parts[i : i + 2]) == best:
+                    grown.append(parts[i] + parts[i + 1])
+                    i += 2
+                else:
+                    grown.append(parts[i])
+                    i += 1
+            parts = grown
+        assert parts == [token]
+
+
+def test_words_equal_the_library():
+    from tokenizers import Tokenizer
+
+    t, own, r = Tokenizer.from_file(tokens.vocabulary()), tokens.Encoder(tokens.vocabulary()), random.Random(5)
+    parts = "the an ción ver keit ñ ß é x qu 1 42 , . … - ' 's n't _ % # ~ Ü É ( ) th er in on st aa aaa \" – ’".split()
+    texts = [" ".join("".join(r.choice(parts) for _ in range(r.randrange(1, 9))) for _ in range(40)) for _ in range(500)]
+    for text, got in zip(texts, own.encode(texts), strict=True):
+        assert got.tolist() == t.encode(text, add_special_tokens=False).ids, text
+
+
 def test_files_hold_every_document(spark, docs, corpus, empty, monkeypatch):
     from tokenizers import Tokenizer
 
