@@ -14,7 +14,7 @@ A byte goes if it lies in a string of `length` bytes that also starts anywhere e
 
 A name with more contents than HOT (near copies without end) would be a large group in one task. Its windows get finer
 names, of at most FINE neighbouring windows each: the hash of the bytes that all of these share. Step 2 then goes by the
-finer names.
+finer names; where even one of them is hot, by names of single windows, of which equal ones are only to be counted.
 
 Passages, which are PASSAGE words in a row that also start anywhere else, are found beside the bytes in the same way, but
 for step 2: words are long enough for the windows of a name to be compared by hash straight.
@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import release, stash
+from .common import release, stash, unstash
 
 LENGTH = 400
 PASSAGE = 50  # words
@@ -41,7 +41,7 @@ BUFFER = 4 << 20  # bytes of texts hashed at a time
 SHARD = 1 << 20  # bytes of contents in a shard's transform
 MERGE = 8 << 20  # bytes of contents merged at a time
 HOT = 1024  # contents of a name, beyond which its windows get finer names
-FINE = 16  # windows of a finer name, at most
+FINE = (16, 1)  # windows of a finer name, at most, and of one finer still
 PHRASE_BITS = 4  # a phrase has 16 bytes on average
 PHRASE_SEED = 4
 SPACE = np.isin(np.arange(256), list(b" \t\n\v\f\r"))
@@ -191,16 +191,16 @@ def pieces(texts: list[bytes], length: int = LENGTH, unit: type = Bytes) -> Iter
         yield of_buffer(held)
 
 
-def finer(content: bytes, length: int, unit: type) -> Iterator[tuple[int, int, int, int]]:
+def finer(content: bytes, length: int, unit: type, step: int) -> Iterator[tuple[int, int, int, int]]:
     """(first window, windows, finer name, content) of the parts of a content: runs of windows that hold its least
     hashed string at about the same place, named by what all of them share."""
     line = unit([content])
     n = int(line.sizes[0]) - length + 1
     least = int(places(line.marks).argmin())
-    groups = np.arange((least - n + 1) // FINE, least // FINE + 1)
-    first, last = np.maximum(least - (groups + 1) * FINE + 1, 0), np.minimum(least - groups * FINE, n - 1)
-    shared = least - groups * FINE
-    names = mixed(line.hashes(shared, shared + length - FINE + 1) * M1 + groups.astype(np.uint64))
+    groups = np.arange((least - n + 1) // step, least // step + 1)
+    first, last = np.maximum(least - (groups + 1) * step + 1, 0), np.minimum(least - groups * step, n - 1)
+    shared = least - groups * step
+    names = mixed(line.hashes(shared, shared + length - step + 1) * M1 + groups.astype(np.uint64))
     names = names & ~np.uint64(1) | np.uint64(unit is Words)
     contents = line.hashes(first, last + length)
     return zip(first.tolist(), (last - first + 1).tolist(), names.tolist(), contents.tolist(), strict=True)
@@ -481,10 +481,47 @@ def compared(contents: DataFrame, length: int, tasks: int) -> DataFrame:
     return dealt.mapInPandas(compare, "name long, content long, a int, b int")
 
 
+def whole(kinds: DataFrame) -> DataFrame:
+    """Contents that occur twice: all their windows do."""
+    return kinds.where("n > 1").select("name", "content", F.lit(0).alias("a"), F.col("windows").alias("b"))
+
+
+def resolved(contents: DataFrame, length: int, tasks: int, steps: tuple[int, ...] = FINE) -> DataFrame:
+    """Stashed contents (name, content, kinds, bytes) -> rows (name, content, a, b): runs of windows that another content
+    of the name has too. Those of hot names are cut into parts under finer names, which are then resolved alike."""
+    found = compared(contents.where(F.col("kinds") <= HOT), length, tasks)
+    hot = contents.where(F.col("kinds") > HOT)
+    if not steps or hot.isEmpty():
+        return found
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for name, content, data in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                unit, n = (Words, PASSAGE) if name & 1 else (Bytes, length)
+                rows += [(name, content, *part) for part in finer(data, n, unit, steps[0])]
+            columns = list(zip(*rows, strict=True)) or [()] * 6
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, pa.int64()) for c in columns[:2]] + [pa.array(c, pa.int32()) for c in columns[2:4]]
+                + [pa.array(signed(c)) for c in columns[4:]],
+                names=["pn", "pc", "start", "windows", "name", "content"],
+            )
+
+    schema = "pn long, pc long, start int, windows int, name long, content long"
+    parts = hot.select("name", "content", "bytes").mapInArrow(cut, schema).distinct()
+    parts = stash(parts.select("*", F.xxhash64("pn", "pc").alias("parent")), "parts")
+    kinds = settled(parts, "parent")
+    held = hot.select(F.xxhash64("name", "content").alias("parent"), F.col("bytes").alias("text"))
+    inner = stash(contents_of(kinds, held, ["parent"], length), "contents")
+    met = resolved(inner, length, tasks, steps[1:]).union(whole(kinds))
+    more = parts.join(met, ["name", "content"]).selectExpr("pn as name", "pc as content", "start + a as a", "start + b as b")
+    return found.union(more)
+
+
 def find(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
-    """rows (tk, spans, passages): for each distinct text (its hash) with repeats, the arrays of (from, to) of the starts
+    """Stashed rows (tk, spans, passages): for each distinct text (its hash) with repeats, the arrays of (from, to) of the starts
     of its repeated windows, in bytes and in words. Copies of a text share a row. Null texts are empty and have none."""
-    if not SEED_BYTES + FINE < length < BUFFER:
+    if not SEED_BYTES + max(FINE) < length < BUFFER:
         raise ValueError("length must be above 32 and below 4 MB")
     body = F.coalesce(F.col(text), F.lit(""))
     texts = docs.where(F.octet_length(body) >= min(length, 2 * PASSAGE - 1)).select(
@@ -514,40 +551,21 @@ def find(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int =
     placed = kinds.join(firsts, "tk")
     contents = stash(contents_of(placed, texts, ["did", "tk"], length), "contents")
     release(spark)
-    whole = lambda k: k.where("n > 1").select("name", "content", F.lit(0).alias("a"), F.col("windows").alias("b"))
-
-    def cut_finer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for name, content, data in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                unit, n = (Words, PASSAGE) if name & 1 else (Bytes, length)
-                rows += [(name, content, *part) for part in finer(data, n, unit)]
-            columns = list(zip(*rows, strict=True)) or [()] * 6
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, pa.int64()) for c in columns[:2]] + [pa.array(c, pa.int32()) for c in columns[2:4]]
-                + [pa.array(signed(c)) for c in columns[4:]],
-                names=["pn", "pc", "start", "windows", "name", "content"],
-            )
-
-    # contents of hot names: their parts under finer names, then as above
-    hot = contents.where(F.col("kinds") > HOT)
-    parts = hot.select("name", "content", "bytes").mapInArrow(cut_finer, "pn long, pc long, start int, windows int, name long, content long")
-    parent = F.xxhash64("pn", "pc").alias("parent")
-    parts = stash(parts.distinct().select("*", parent), "parts")
-    kinds_of_parts = settled(parts, "parent")
-    held = hot.select(F.xxhash64("name", "content").alias("parent"), F.col("bytes").alias("text"))
-    met = compared(contents_of(kinds_of_parts, held, ["parent"], length), length, tasks).union(whole(kinds_of_parts))
-    more = parts.join(met, ["name", "content"]).selectExpr("pn as name", "pc as content", "start + a as a", "start + b as b")
-
-    found = compared(contents.where(F.col("kinds") <= HOT), length, tasks)
-    spans = stash(found.union(more).union(whole(kinds)), "spans")
+    spans = stash(resolved(contents, length, tasks).union(whole(kinds)), "spans")
+    for table in (contents, kinds):
+        unstash(table)
     release(spark)
     placed = every.join(spans, ["name", "content"])
     one = F.struct((F.col("start") + F.col("a")).alias("a"), (F.col("start") + F.col("b")).alias("b"))
     word = F.col("name").bitwiseAND(F.lit(1).cast("long")) == 1
-    return placed.groupBy("tk").agg(
+    found = placed.groupBy("tk").agg(
         F.collect_set(F.when(~word, one)).alias("spans"), F.collect_set(F.when(word, one)).alias("passages")
     )
+    found = stash(found, "repeats")
+    for table in (every, spans):
+        unstash(table)
+    release(spark)
+    return found
 
 
 def covered(a: np.ndarray, b: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -565,7 +583,7 @@ def remove(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int
     byte that lies in a string of `length` bytes that also starts elsewhere is gone (all judged on the input), and the
     words that lie in a passage, which may be shorter than `length` and then stays. Every row of docs stays; null texts
     are empty; texts of fewer bytes are whole; repeated rows repeat each other."""
-    found = stash(find(docs, key, text, length), "repeats")
+    found = find(docs, key, text, length)
     body = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(
         F.col(key).alias("key"), text_hash(body).alias("tk"), body.cast("binary").alias("text")

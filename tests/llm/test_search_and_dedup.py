@@ -173,7 +173,7 @@ def test_repeats(docs, corpus, empty, monkeypatch, hot):
         assert repeats.remove(empty).count() == 0
 
 
-@pytest.mark.parametrize("hot", [1024, 5])
+@pytest.mark.parametrize("hot", [1024, 20, 2])
 def test_repeats_of_a_hot_passage(spark, monkeypatch, hot):
     monkeypatch.setattr(repeats, "HOT", hot)
     r = random.Random(21)
