@@ -5,26 +5,49 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .config import KValueSettings, QuantifySettings
-from .functions.columns import inner_weight, region_name, safe_divide
-from .operators import communities, condition, em, features, intervals, mapping, paths, readlen, shortread
+from .functions.columns import inner_weight, region_effective_length, region_name
+from .operators import communities, condition, em, features, intervals, mapping, paths, readlen, shortread, supported
 from .plans.scratch import settle
 from .sources import formats, sinks
 
 GENE = paths.GENE
 
+# The names that the result tables' columns must have.
+GENE_COLUMNS = {
+    "gene": "Gene", "chr": "Chr", "num_isoforms": "Num_isoforms", "num_exons": "Num_exons", "num_split_exons": "Num_split_exons",
+    "sr_product": "SR_singular_value_product", "sr_kvalue": "SR_k_value", "sr_regular": "SR_regular_condition_number",
+    "sr_generalized": "SR_generalized_condition_number", "sr_dim": "SR_A_dim",
+    "lr_product": "LR_singular_value_product", "lr_kvalue": "LR_k_value", "lr_regular": "LR_regular_condition_number",
+    "lr_generalized": "LR_generalized_condition_number", "lr_dim": "LR_A_dim",
+}
+ISOFORM_COLUMNS = {
+    "isoform": "Isoform", "gene": "Gene", "chr": "Chr", "n_exons": "Num_exons", "length": "Isoform_length", "num_isoforms": "Num_isoforms",
+    **{c: n for c, n in GENE_COLUMNS.items() if c.startswith(("sr_", "lr_")) and not c.endswith("_dim")},
+}
+EXPRESSION_COLUMNS = {"isoform": "Isoform", "gene": "Gene", "tpm": "TPM", "eff": "Effective length", "theta": "theta", "community": "community"}
+
+
+def named(columns: dict[str, str]) -> list[Column]:
+    return [F.col(c).alias(n) for c, n in columns.items()]
+
 
 @dataclass
 class KValues:
-    """genes: K value and the rest for each gene, nulls for genes without a region; matrix: the weighted matrix."""
+    """genes: K value and the rest for each gene, nulls for genes without a region; matrix, lr_matrix: the weighted
+    matrices of short and long reads; sr_b, lr_b: their abundance vectors, where there are reads."""
 
     genes: DataFrame
     isoforms: DataFrame
     matrix: DataFrame
     regions: DataFrame
+    lr_matrix: DataFrame
+    segments: DataFrame
+    sr_b: DataFrame | None = None
+    lr_b: DataFrame | None = None
 
     def summary(self) -> DataFrame:
         """Gene, Chr, Num_isoforms, Kvalue (the generalized condition number)."""
@@ -35,56 +58,105 @@ class KValues:
 
     def write(self, directory: str, matrices: bool = False) -> None:
         sinks.write_tsv(self.summary(), f"{directory}/kvalues.out", ["Gene"])
-        sinks.write_tsv(self.genes.drop("sr_singular_values", "lr_singular_values"), f"{directory}/kvalues_gene.out", ["gene"])
-        sinks.write_tsv(self.isoforms, f"{directory}/kvalues_isoform.out", ["gene", "isoform"])
+        sinks.write_tsv(self.genes.select(*named(GENE_COLUMNS)), f"{directory}/kvalues_gene.out", ["Gene"])
+        sinks.write_tsv(self.isoforms.select(*named(ISOFORM_COLUMNS)), f"{directory}/kvalues_isoform.out", ["Gene", "Isoform"])
         for kind in ("sr", "lr"):
             one = self.genes.select("gene", F.col(f"{kind}_singular_values").alias("singular_values"))
             sinks.write_tsv(one, f"{directory}/{kind.upper()}_singular_values.out", ["gene"])
         if matrices:
-            named = self.matrix.withColumn("region", region_name(F.col("path"))).drop("path")
-            sinks.write_matrix(named, f"{directory}/matrix_info")
+            sinks.write_matrix(self.matrix_info(), f"{directory}/matrix_info")
+
+    def matrix_info(self) -> DataFrame:
+        """rows (chr, gene, reads, region, coordinates, isoform, a, b) of both matrices."""
+        out = None
+        for kind, matrix, b in (("SR", self.matrix, self.sr_b), ("LR", self.lr_matrix, self.lr_b)):
+            one = matrix.join(supported.coordinates(matrix, self.segments), [*GENE, "path"])
+            one = one.join(b, [*GENE, "path"], "left") if b is not None else one.withColumn("b", F.lit(None).cast("double"))
+            one = one.select(*GENE, F.lit(kind).alias("reads"), region_name(F.col("path")).alias("region"), "coordinates", "isoform", "a", "b")
+            out = one if out is None else out.unionByName(one)
+        return out
+
+
+def region_reads(spark: SparkSession, source: str | DataFrame | None, segs: DataFrame, iso_paths: DataFrame) -> DataFrame | None:
+    """rows (name, chr, gene, path, r_start, r_end, read_length) of the reads of a genome-aligned SAM path or a table of
+    alignments, each on one gene."""
+    if source is None:
+        return None
+    reads = formats.alignments(spark, source) if isinstance(source, str) else source
+    return mapping.pick_one(mapping.map_reads(reads, paths.gene_segments(segs), iso_paths, QuantifySettings()))
 
 
-def k_values(spark: SparkSession, annotation: str | DataFrame, settings: KValueSettings | None = None, sr_regions: DataFrame | None = None, lr_regions: DataFrame | None = None) -> KValues:
+def k_values(
+    spark: SparkSession,
+    annotation: str | DataFrame,
+    settings: KValueSettings | None = None,
+    long_reads: str | DataFrame | None = None,
+    short_reads: str | DataFrame | None = None,
+    weights: str | DataFrame | None = None,
+) -> KValues:
     """Condition numbers of every gene of a GTF path or an exons table.
 
-    sr_regions and lr_regions, if given, are (chr, gene, path) of the regions that reads support: only those count.
+    long_reads and short_reads, if given, are genome-aligned SAM paths or tables of alignments, whose counts decide which
+    regions take part. weights (a Parquet path or a table: chr, gene, isoform, region, weight) replaces the cells of the
+    long-read matrix.
     """
     s = settings or KValueSettings()
     exons = formats.exons(spark, annotation) if isinstance(annotation, str) else annotation
     segs = paths.segments(exons)
     iso = paths.isoforms(exons)
     iso_paths = paths.paths(segs, exons)
+    names = iso.select(*GENE, "isoform")
     regions = settle(paths.regions(iso_paths, segs, s))  # read by each of the matrices below
-    held = lambda asked: regions.join(asked.select(*GENE, "path").distinct(), [*GENE, "path"], "left_semi") if asked is not None else regions  # noqa: E731, E501
-    sr, lr = held(sr_regions), held(lr_regions)
+    sr = lr = regions
+    sr_b = lr_b = None
+    rl = F.lit(s.read_length)
+    srs, lrs = (region_reads(spark, r, segs, iso_paths) for r in (short_reads, long_reads))
+    if srs is not None:
+        srs = settle(srs)
+        rl = F.lit(float(srs.agg(F.avg("read_length")).first()[0] or s.read_length))
+        sr = supported.short_read_regions(regions, srs, names, s.region_selection, s.keep_sr_regions)
+        eff = region_effective_length(F.col("kind"), F.col("len"), F.col("inner"), rl, F.lit(s.least_junction))
+        sr = settle(sr.withColumn("eff_len", eff))
+        sr_b = supported.abundance(sr, F.col("eff_len"))
+    if lrs is not None:
+        if s.filter_reads:
+            exact = iso_paths.select("isoform", F.size("path").alias("n_exons"))
+            owned = paths.owners(lrs, iso_paths).join(iso.select(*GENE, "isoform", F.col("length").alias("iso_len")), [*GENE, "isoform"])
+            good = mapping.read_qc(lrs.join(owned, [*GENE, "path"]), exact).select("name").distinct()
+            lrs = lrs.join(good, "name", "left_semi")
+        lr = settle(supported.long_read_regions(settle(lrs), iso_paths, s.full_length_regions))
+        lr_b = supported.abundance(lr)
     if s.multi_exon_weight == "minus_inner_region":
         many = F.col("kind").isin("junctions", "exons")
-        weight = F.when(many, inner_weight(F.col("inner"), F.lit(s.read_length))).otherwise(1.0)
+        weight = F.when(many, inner_weight(F.col("inner"), rl)).otherwise(1.0)
     else:
         weight = F.col("eff_len") if s.sr_design == "weight" else F.lit(1.0)
     ones = F.lit(1.0)
     sr_matrix = condition.entries(sr, weight, s.normalize_sr)
     sr_plain, lr_matrix = condition.entries(sr, ones, s.normalize_sr), condition.entries(lr, ones, s.normalize_lr)
-    names = iso.select(*GENE, "isoform")
+    if weights is not None:
+        table = formats.region_weights(spark, weights) if isinstance(weights, str) else weights
+        lr_matrix = supported.weighted(lr_matrix, table)
 
     gram_of = lambda m: settle(condition.gram(m, GENE))
     lr_gram = gram_of(lr_matrix)
-    same = sr_regions is None and lr_regions is None and s.normalize_sr == s.normalize_lr
+    same = srs is None and lrs is None and weights is None and s.normalize_sr == s.normalize_lr
     sr_grams = gram_of(sr_matrix), lr_gram if same else gram_of(sr_plain)
 
-    def solved(weighted: DataFrame, plain: DataFrame, kind: str) -> DataFrame:
+    def solved(weighted: DataFrame, plain: DataFrame, rows: DataFrame, kind: str) -> DataFrame:
         found = condition.condition_numbers(weighted, plain, names, s.singular_tolerance)
-        return found.withColumnsRenamed({c: f"{kind}_{c}" for c in found.columns if c not in GENE})
+        size = rows.groupBy(*GENE).agg(F.count("*").alias("_rows"))
+        found = found.join(size, GENE).withColumnsRenamed({c: f"{kind}_{c}" for c in found.columns if c not in GENE})
+        return found.withColumnRenamed("_rows", f"{kind}_regions")
 
     info = paths.gene_info(exons, segs)
-    kept = regions.select(*GENE).distinct().withColumn("kept", F.lit(True))
-    genes = (
-        info.join(kept, GENE, "left").join(solved(*sr_grams, "sr"), GENE, "left")
-        .join(solved(lr_gram, lr_gram, "lr"), GENE, "left").drop("kept")
-    )
-    isoforms = iso.select(*GENE, "isoform", "n_exons", "length").join(genes.drop("num_exons", "num_split_exons", "sr_singular_values", "lr_singular_values"), GENE)
-    return KValues(genes, isoforms, sr_matrix, regions)
+    numbers = solved(*sr_grams, sr, "sr").join(solved(lr_gram, lr_gram, lr, "lr"), GENE)  # genes with both matrices
+    genes = info.join(numbers, GENE, "left")
+    for kind in ("sr", "lr"):
+        n = F.col(f"{kind}_regions")
+        genes = genes.withColumn(f"{kind}_dim", F.when(n.isNotNull(), F.format_string("(%d, %d)", n, "num_isoforms"))).drop(n)
+    isoforms = iso.select(*GENE, "isoform", "n_exons", "length").join(genes.drop("num_exons", "num_split_exons", "sr_singular_values", "lr_singular_values", "sr_dim", "lr_dim"), GENE)
+    return KValues(genes, isoforms, sr_matrix, regions, lr_matrix, segs, sr_b, lr_b)
 
 
 @dataclass
@@ -110,11 +182,23 @@ class Abundance:
     def write(self, directory: str) -> None:
         hybrid = self.sr_patterns is not None
         sinks.write_tsv(self.table(hybrid), f"{directory}/Isoform_abundance.out", ["Gene", "Isoform"])
-        name = "SR_EM_expression.out" if hybrid else "LR_EM_expression.out"
-        sinks.write_tsv(self.isoforms.drop("trace"), f"{directory}/{name}", ["gene", "isoform"])
+        for kind, table in (("LR", self.lr_patterns), ("SR", self.sr_patterns)):
+            if table is not None:
+                columns = {c: n for c, n in EXPRESSION_COLUMNS.items() if c != "eff" or kind == "SR"}
+                columns[f"community_num_{kind.lower()}s"] = f"community_num_{kind}s"
+                sinks.write_tsv(self.expression(kind).select(*named(columns)), f"{directory}/{kind}_EM_expression.out", ["Gene", "Isoform"])
         sinks.write_tsv(self.trace(), f"{directory}/EM_iterations.tsv", ["isoform", "round"])
         if self.alphas is not None:
-            sinks.write_tsv(self.alphas, f"{directory}/hybrid_alpha.tsv", ["community"])
+            error = F.col("error") if "error" in self.alphas.columns else F.lit(None).cast("double").alias("error")
+            sinks.write_tsv(self.alphas.select(F.col("community").alias("id"), error, "alpha"), f"{directory}/hybrid_alpha.tsv", ["id"])
+
+    def expression(self, kind: str) -> DataFrame:
+        """The isoforms with tpm by the long reads (LR) or the short ones (SR) of each community."""
+        if kind == "SR":
+            return em.tpm_of_bases(self.isoforms, F.col("community_num_srs"))
+        n = self.lr_patterns.agg(F.sum("n").alias("n_lrs"))
+        joined = self.isoforms.crossJoin(F.broadcast(n))  # one row
+        return em.tpm_of_reads(joined, F.col("community_num_lrs"), F.coalesce("n_lrs", F.lit(1))).drop("n_lrs") if self.sr_patterns is not None else self.isoforms
 
 
 def quantify(
@@ -124,7 +208,7 @@ def quantify(
     short_reads: str | None = None,
     settings: QuantifySettings | None = None,
     model: Callable | None = None,
-    read_length_overrides: DataFrame | None = None,
+    read_length_overrides: str | DataFrame | None = None,
 ) -> Abundance:
     """Isoform abundances from long reads, short reads or both (settings.em_choice).
 
@@ -136,6 +220,8 @@ def quantify(
     if not (use_lr or use_sr) or (use_lr and long_reads is None) or (use_sr and short_reads is None):
         raise ValueError(f"em_choice {s.em_choice} lacks its reads; it is LR, SR or hybrid")
     exons = formats.exons(spark, annotation) if isinstance(annotation, str) else annotation
+    if isinstance(read_length_overrides, str):
+        read_length_overrides = formats.read_length_overrides(spark, read_length_overrides)
     segs, iso = paths.segments(exons), paths.isoforms(exons)
     iso_paths = paths.paths(segs, exons)
     mapped = rejected = lr = sr = eff = read_iso = fragments = None
@@ -174,16 +260,10 @@ def quantify(
     out = out.fillna(0, ["community_num_lrs", "community_num_srs"]).fillna(1.0, ["eff"])
     if not use_sr:
         n = (lr.agg(F.sum("n")).first()[0] or 0) + s.phantom_rows
-        tpm = F.col("community_num_lrs") / (n or 1) * F.col("theta") * 1e6
+        out = em.tpm_of_reads(out, F.col("community_num_lrs"), F.lit(n or 1))
     else:
-        com, every = Window.partitionBy("community"), Window.partitionBy()
-        units = safe_divide(F.col("community_num_srs") * F.col("theta"), F.sum(F.col("theta") * F.col("eff")).over(com))
-        out = out.withColumn("u", F.when(F.col("community_num_srs") > 0, units).otherwise(0.0))
-        sums = out.groupBy("community").agg(F.sum("u").alias("u_c"))  # one row for each community
-        sums = sums.withColumn("share", safe_divide(F.col("u_c"), F.sum("u_c").over(every)))
-        out = out.join(sums.select("community", "share"), "community").drop("u")
-        tpm = F.col("share") * F.col("theta") * 1e6
-    return Abundance(out.withColumn("tpm", tpm), lr, sr, mapped, rejected, alphas)
+        out = em.tpm_of_bases(out, F.col("community_num_srs"))
+    return Abundance(out, lr, sr, mapped, rejected, alphas)
 
 
 def community_alphas(spark, s, members, model, exons, segs, iso, iso_paths, read_iso, fragments) -> DataFrame:

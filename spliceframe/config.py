@@ -24,7 +24,6 @@ class QuantifySettings:
     cond_prob: str = "form_2"  # form_1, form_2, no_read_length, no_isoform_specific
     initial_theta: str = "LR"  # *_unique: only reads of one isoform count
     read_filter: str = "best"  # best or unique_only
-    eff_len: str = "kallisto"  # kallisto or RSEM: equal by algebra
     mean_f_len: float | None = None
     std_f_len: float | None = None
     phantom_rows: int = 0
@@ -46,13 +45,13 @@ class KValueSettings:
     singular_tolerance: float = 0.0
     full_length_regions: str = "all"  # all, none or nonfullrank: zero-count long-read regions kept
     keep_sr_regions: str = "nonfullrank"  # nonfullrank, all or none: zero-count short-read regions kept
-    filter_reads: bool = False
+    filter_reads: bool = False  # leave out long reads on much shorter regions than an isoform of theirs
 
 
 #: Options of the original command line that never change a result; naming one is an error here.
 NO_EFFECT = (
     "srfastq sr_m1 sr_m2 ref_genome SR_quantification_option beta training DL_model assign_unique_mapping_option "
-    "iter_theta kde_path EM_output_frequency initial_theta_eps eps_strategy same_struc_isoform_handling threads"
+    "iter_theta eff_len kde_path EM_output_frequency initial_theta_eps eps_strategy same_struc_isoform_handling threads"
 ).split()
 
 

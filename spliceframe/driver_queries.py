@@ -87,7 +87,8 @@ def attr_extract(spark, sf_dir):
     )
 
 
-@query("SELECT p_partkey, 3 AS n, p_type AS kind FROM part")
+@query("""SELECT p_partkey, len(regexp_extract_all(t, '[A-Za-z_]+ "[^"]*"')) AS n, regexp_extract(t, ' type "([^"]*)"', 1) AS kind
+FROM (SELECT p_partkey, 'level ' || p_size || '; gene_id "' || p_brand || '"; transcript_id "' || p_name || '"; type "' || p_type || '";' AS t FROM part)""")
 def attr_map(spark, sf_dir):
     m = C.attributes(F.col("text"))
     return described(table(spark, sf_dir, "part")).select("p_partkey", F.size(m).alias("n"), m["type"].alias("kind"))
@@ -287,14 +288,6 @@ def overlap_join(spark, sf_dir):
 # ---------------------------------------------------------------- choices, sets, joins
 
 
-@query("""SELECT l_orderkey, l_linenumber FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey
-  ORDER BY l_quantity DESC, l_extendedprice DESC, l_linenumber) AS rn FROM lineitem) WHERE rn = 1""")
-def best_match_topk(spark, sf_dir):
-    best = F.struct("l_quantity", "l_extendedprice", (-F.col("l_linenumber")).alias("line"))
-    got = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.max_by("l_linenumber", best).alias("l_linenumber"))
-    return got.select("l_orderkey", "l_linenumber")
-
-
 @query("""WITH RECURSIVE c AS (SELECT l_orderkey AS r, l_linenumber AS g, cast(l_quantity AS bigint) AS o, l_partkey % 5 AS l,
   row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_quantity, l_partkey % 5, l_suppkey) AS k FROM lineitem),
 f AS (SELECT DISTINCT r, 0::bigint AS k, 0::bigint AS o, 1::bigint AS l, '' AS p FROM c
@@ -310,21 +303,6 @@ def tie_fold(spark, sf_dir):
     return got.select("l_orderkey", F.array_join(F.expr("transform(k, x -> cast(x.gene as string))"), ",").alias("kept"))
 
 
-@query("SELECT c_custkey, EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey) AS kept FROM customer")
-def semi_anti_gene(spark, sf_dir):
-    c, o = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
-    kept = c.join(o, "c_custkey", "left_semi").select("c_custkey", F.lit(True).alias("kept"))
-    return kept.union(c.join(o, "c_custkey", "left_anti").select("c_custkey", F.lit(False)))
-
-
-@query("""SELECT coalesce(c_custkey, o_custkey) AS custkey, round(coalesce(c_acctbal, 0), 2) AS len, coalesce(n, 0) AS theta
-FROM customer FULL JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) ON c_custkey = o_custkey""")
-def outer_fill(spark, sf_dir):
-    n = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("custkey")).agg(F.count("*").alias("theta"))
-    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("custkey"), F.round("c_acctbal", 2).alias("len"))
-    return c.join(n, "custkey", "full").select("custkey", F.coalesce("len", F.lit(0.0)).alias("len"), F.coalesce("theta", F.lit(0)).alias("theta"))
-
-
 @query("""SELECT o_custkey, o_orderkey FROM (SELECT *, max(day(o_orderdate)) OVER (PARTITION BY o_custkey) AS most FROM orders) WHERE day(o_orderdate) = most""")
 def full_length_regions(spark, sf_dir):
     rows = table(spark, sf_dir, "orders").withColumn("n_segments", F.dayofmonth("o_orderdate"))
@@ -338,7 +316,7 @@ def distinct_patterns(spark, sf_dir):
     return communities.distinct_patterns(rows).select(F.array_join("isoforms", ",").alias("isoforms"), "n")
 
 
-@query("""WITH RECURSIVE e AS (SELECT DISTINCT l_orderkey AS o, l_suppkey AS s FROM lineitem WHERE l_orderkey % 40 = 0),
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT l_orderkey AS o, l_suppkey AS s FROM lineitem),
 b AS (SELECT DISTINCT x.s AS u, y.s AS v FROM e x JOIN e y ON x.o = y.o WHERE x.s <> y.s),
 r AS (SELECT DISTINCT s AS node, s AS label FROM e UNION SELECT b.u, r.label FROM r JOIN b ON b.v = r.node)
 SELECT node, min(label) AS label FROM r GROUP BY node""")
@@ -449,8 +427,8 @@ def read_qc(spark, sf_dir):
 
 @query("SELECT round(avg(l_quantity), 6) AS mean, round(stddev_pop(l_quantity), 6) AS std FROM lineitem")
 def fragment_stats(spark, sf_dir):
-    mean, std = shortread.fragment_statistics(table(spark, sf_dir, "lineitem").select(F.col("l_quantity").alias("tlen")))
-    return spark.createDataFrame([(round(mean, 6), round(std, 6))], "mean double, std double")
+    got = shortread.fragment_moments(table(spark, sf_dir, "lineitem").select(F.col("l_quantity").alias("tlen")))
+    return got.select(F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"))
 
 
 @query("""SELECT l_orderkey, l_linenumber, round(1 / (7 * sqrt(pi())) * exp(-0.5 * pow((l_quantity - 25) / 7, 2)) / (l_linenumber + 1), 8) AS w FROM lineitem""")
@@ -565,32 +543,6 @@ def em_to_convergence(spark, sf_dir):
     return got.select("community", "isoform", F.round("theta", 5).alias("theta"))
 
 
-@query("""WITH q AS (SELECT s_nationkey AS c, l_suppkey AS i, sum(l_quantity) AS q FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2),
-n AS (SELECT s_nationkey AS c, count(DISTINCT l_orderkey) AS n FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1)
-SELECT i AS isoform, round(n / sum_n * th * 1e6, 4) AS tpm FROM (SELECT q.i, n.n, (SELECT sum(n) FROM n)::double AS sum_n, q / sum(q) OVER (PARTITION BY q.c) AS th FROM q JOIN n USING (c))""")
-def tpm_lr(spark, sf_dir):
-    rows = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey"), "l_suppkey")
-    q = rows.groupBy(F.col("s_nationkey").alias("c"), F.col("l_suppkey").alias("isoform")).agg(F.sum("l_quantity").alias("q"))
-    n = rows.groupBy(F.col("s_nationkey").alias("c")).agg(F.countDistinct("l_orderkey").alias("n"))
-    n = n.withColumn("sum_n", F.sum("n").over(Window.partitionBy()))
-    got = em.proportions(q, ["c"]).join(n, "c")
-    return got.select("isoform", F.round(F.col("n") / F.col("sum_n") * F.col("theta") * 1e6, 4).alias("tpm"))
-
-
-@query("""WITH q AS (SELECT s_nationkey AS c, s_suppkey AS i, 10.0 + s_suppkey % 13 AS eff, sum(l_quantity) AS q, count(*) AS k FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2, 3),
-t AS (SELECT *, q / sum(q) OVER (PARTITION BY c) AS th, sum(k) OVER (PARTITION BY c) AS n FROM q),
-u AS (SELECT *, n * th / sum(th * eff) OVER (PARTITION BY c) AS u FROM t)
-SELECT i AS isoform, round(sum(u) OVER (PARTITION BY c) / sum(u) OVER () * th * 1e6, 4) AS tpm FROM u""")
-def tpm_hybrid(spark, sf_dir):
-    s = table(spark, sf_dir, "supplier").selectExpr("s_suppkey as isoform", "s_nationkey as c", "10.0D + s_suppkey % 13 as eff")
-    q = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("isoform")).agg(F.sum("l_quantity").alias("q"), F.count("*").alias("k"))
-    com = Window.partitionBy("c")
-    t = em.proportions(q.join(s, "isoform"), ["c"]).withColumn("n", F.sum("k").over(com))
-    u = t.withColumn("u", F.col("n") * F.col("theta") / F.sum(F.col("theta") * F.col("eff")).over(com))
-    share = F.sum("u").over(com) / F.sum("u").over(Window.partitionBy())
-    return u.select("isoform", F.round(share * F.col("theta") * 1e6, 4).alias("tpm"))
-
-
 # ---------------------------------------------------------------- features
 
 
@@ -604,28 +556,6 @@ def describe_moments(spark, sf_dir):
     return got.select("event_type", *[F.round(c, d).alias(n) for c, (n, d) in names.items()])
 
 
-@query("""SELECT d.doc_id, n_chars, coalesce(quality, -1) AS quality, coalesce(n, 0) AS n FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id
-LEFT JOIN (SELECT user_id, count(*) AS n FROM events GROUP BY 1) e ON d.doc_id = e.user_id""")
-def feature_join(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", "n_chars")
-    lab = table(spark, sf_dir, "labels").select("doc_id", "quality")
-    e = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("doc_id")).agg(F.count("*").alias("n"))
-    return d.join(lab, "doc_id", "left").join(e, "doc_id", "left").fillna(-1, ["quality"]).fillna(0, ["n"])
-
-
-@query("""WITH v AS (SELECT user_id AS c, event_id % 21 AS k, sum(value) AS e FROM events GROUP BY 1, 2)
-SELECT c, arg_min(k, (e, k)) / 20.0::double AS alpha FROM v GROUP BY c""")
-def alpha_argmin(spark, sf_dir):
-    v = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("c"), F.expr("event_id % 21").alias("k")).agg(F.sum("value").alias("e"))
-    return v.groupBy("c").agg((F.min_by("k", F.struct("e", "k")) / 20.0).alias("alpha"))
-
-
-@query("""SELECT l_suppkey, quantile_cont(l_quantity, 0.5) AS median, list_sort(list(l_quantity))[1 + count(*) // 10] AS decile FROM lineitem GROUP BY 1""")
-def length_quantiles(spark, sf_dir):
-    got = table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.percentile("l_quantity", 0.5).alias("median"), F.sort_array(F.collect_list("l_quantity")).alias("x"))
-    return got.select("l_suppkey", "median", F.expr("x[size(x) div 10]").alias("decile"))
-
-
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return condition_number(spark, sf_dir)
 

@@ -1,11 +1,14 @@
 """Expectation-maximisation of isoform proportions inside communities.
 
 A community is one Arrow group solved in numpy. Communities of more rows than a task should hold iterate together as
-tables: each round is a join with theta, a sum per pattern and a sum per isoform, checkpointed.
+tables: each round is a join with theta, a sum per pattern and a sum per isoform, checkpointed. Either way a community
+stops by itself, with the same rounds and trace.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -137,12 +140,12 @@ def run(members: DataFrame, lr: DataFrame | None, sr: DataFrame | None, eff: Dat
 
 
 def run_tables(every: DataFrame, hybrid: bool, s: QuantifySettings) -> DataFrame:
-    """The same maths on tables, all communities at once until each of them is still."""
+    """The same maths on tables: all communities that still move, each until it is still."""
     iso = every.where("kind = 'iso'").select("community", "isoform", F.col("v").alias("eff"), "alpha")
     count = F.count("*").over(Window.partitionBy("community"))
-    theta = settle(iso.withColumn("theta", 1.0 / count))
+    theta = settle(iso.withColumn("theta", 1.0 / count).withColumn("trace", F.array().cast("array<double>")))
     lr, sr = (settle(every.where(F.col("kind") == k).select("pattern", "isoform", "v", "n")) for k in ("lr", "sr"))
-    com = Window.partitionBy("community")
+    com, out = Window.partitionBy("community"), []
     for rounds in range(1, s.max_iterations + 1):
         held = theta.withColumn("per_base", F.sum(F.col("theta") * F.col("eff")).over(com))
 
@@ -156,9 +159,31 @@ def run_tables(every: DataFrame, hybrid: bool, s: QuantifySettings) -> DataFrame
         low = (1 - a) * safe_divide(F.sum(F.col("q_sr") * F.col("eff")).over(com), F.col("per_base")) + a * F.sum("q_lr").over(com)
         new = both.withColumn("new", safe_divide((1 - a) * F.col("q_sr") + a * F.col("q_lr"), low))
         new = new.withColumn("new", zero_below(safe_divide(F.col("new"), F.sum("new").over(com)), s.floor))
-        new = settle(new.select("community", "isoform", "eff", "alpha", F.col("theta").alias("old"), F.col("new").alias("theta")))
-        moved = (F.col("theta") > s.tested_above) & (F.abs(F.col("theta") - F.col("old")) > s.relative_tolerance * F.col("theta"))
-        theta = new.drop("old")
-        if not new.where(moved).take(1):
-            break
-    return theta.select("community", "isoform", "theta", F.lit(rounds).alias("rounds"), F.array().cast("array<double>").alias("trace"))
+        moved = (F.col("new") > s.tested_above) & (F.abs(F.col("new") - F.col("theta")) > s.relative_tolerance * F.col("new"))
+        new = new.withColumn("moved", F.max(moved).over(com))
+        new = settle(new.select("community", "isoform", "eff", "alpha", F.col("new").alias("theta"), F.concat("trace", F.array("new")).alias("trace"), "moved"))
+        last = rounds == s.max_iterations
+        ended = new if last else new.where(~F.col("moved"))
+        if last or ended.take(1):
+            out.append(ended.select("community", "isoform", "theta", F.lit(rounds).alias("rounds"), "trace"))
+        theta = new.where("moved").drop("moved")
+        if last or not theta.take(1):
+            return reduce(DataFrame.unionByName, out)
+    raise ValueError("max_iterations must be 1 at least")
+
+
+# ---------------------------------------------------------------- transcripts per million
+
+
+def tpm_of_reads(table: DataFrame, reads: Column, total: Column) -> DataFrame:
+    """table (theta) plus tpm: theta times its community's share of all long reads."""
+    return table.withColumn("tpm", reads / total * F.col("theta") * 1e6)
+
+
+def tpm_of_bases(table: DataFrame, reads: Column) -> DataFrame:
+    """table (community, theta, eff) plus tpm: theta times its community's share of expression, which is short reads over
+    the mean effective length. Shares are made of one row for each community."""
+    sums = table.groupBy("community").agg(F.max(reads).alias("n"), F.sum(F.col("theta") * F.col("eff")).alias("bases"), F.sum("theta").alias("t"))
+    sums = sums.withColumn("u", F.when(F.col("n") > 0, safe_divide(F.col("n") * F.col("t"), F.col("bases"))).otherwise(0.0))
+    sums = sums.select("community", safe_divide(F.col("u"), F.sum("u").over(Window.partitionBy())).alias("share"))
+    return table.join(sums, "community").withColumn("tpm", F.col("share") * F.col("theta") * 1e6).drop("share")

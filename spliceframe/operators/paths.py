@@ -53,9 +53,10 @@ def slices(iso_paths: DataFrame, segs: DataFrame, longest_inner: int | None = No
     """
     gene = segs.groupBy(*GENE).agg(F.map_from_entries(F.collect_list(F.struct("seg", "len"))).alias("len_of"))
     laid = iso_paths.join(gene, GENE).withColumn("lens", F.expr("transform(path, p -> cast(len_of[p] as bigint))"))
+    # one running sum over the path
     laid = laid.withColumn(
         "ends",
-        F.expr("transform(sequence(1, size(lens)), k -> aggregate(slice(lens, 1, k), 0L, (a, x) -> a + x))"),
+        F.expr("aggregate(lens, cast(array() as array<bigint>), (a, x) -> concat(a, array(coalesce(try_element_at(a, -1), 0L) + x)))"),
     )
     one = laid.where("size(path) > 0").select(*GENE, "isoform", "path", "lens", "ends", F.posexplode("path").alias("i", "_"))
     stop = "size(path) - 1"

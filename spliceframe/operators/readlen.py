@@ -18,6 +18,15 @@ def histogram(lengths: DataFrame, length: str = "read_len") -> DataFrame:
     return lengths.groupBy(F.col(length).alias("read_len")).agg(F.count("*").alias("n"))
 
 
+def order_statistics(rows: DataFrame, by: str, column: str, parts: dict[str, int]) -> DataFrame:
+    """rows (by, names of parts): for each part p the value that stands at n div p (from 0) among the n sorted values. A
+    row for each distinct value is counted, not a list of all."""
+    hist = rows.groupBy(by, F.col(column).alias("v")).agg(F.count("*").alias("c"))
+    upto = F.sum("c").over(Window.partitionBy(by).orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+    laid = hist.withColumn("upto", upto).withColumn("n", F.sum("c").over(Window.partitionBy(by)))
+    return laid.groupBy(by).agg(*[F.min(F.when(F.col("upto") > F.floor(F.col("n") / p), F.col("v"))).alias(name) for name, p in parts.items()])
+
+
 def cdf_at(hist: DataFrame, at: DataFrame, column: str) -> DataFrame:
     """at plus cdf: P(1 <= read_len <= column). Both are one row per distinct length, laid on one line and summed."""
     marks = hist.select(F.col("read_len").alias("x"), "n", F.lit(0).alias("asked")).union(
@@ -50,13 +59,18 @@ def fractional_counts(read_iso: DataFrame, unique_only: bool = False) -> DataFra
     return shared.groupBy("isoform").agg(F.sum(share).alias("theta"))
 
 
+def with_expression(isoforms: DataFrame, theta: DataFrame) -> DataFrame:
+    """isoforms (isoform, iso_len) and theta (isoform, theta) side by side; what one of them lacks is 0."""
+    return isoforms.join(theta, "isoform", "full").fillna(0, ["iso_len", "theta"])
+
+
 def compatibilities(read_iso: DataFrame, isoforms: DataFrame, form: str, unique_only: bool = False, floor: float = 1e-100, overrides: DataFrame | None = None) -> DataFrame:
     """rows (name, isoform, p) from offsets and isoforms (isoform, length); pairs of probability 0 stay, as they still
     tie reads to isoforms. overrides (read_len, n, sm) replaces the counted lengths."""
     lengths = read_lengths(read_iso)
     hist = overrides.select("read_len", "n") if overrides is not None else histogram(lengths)
     theta = fractional_counts(read_iso, unique_only)
-    every = isoforms.select("isoform", F.col("length").alias("iso_len")).join(theta, "isoform", "left").fillna(0.0, ["theta"])
+    every = with_expression(isoforms.select("isoform", F.col("length").alias("iso_len")), theta)
     known = cdf_at(hist, every, "iso_len")
     sums = overrides if overrides is not None else suffix_sums(hist, known)
     total = hist.agg(F.sum("n").alias("total"))

@@ -8,9 +8,13 @@ from pyspark.sql import functions as F
 from ..functions.columns import effective_length, fragment_weight
 
 
+def fragment_moments(fragments: DataFrame) -> DataFrame:
+    """One row (mean, std): mean and population deviation of the fragment lengths."""
+    return fragments.agg(F.avg("tlen").alias("mean"), F.stddev_pop("tlen").alias("std"))
+
+
 def fragment_statistics(fragments: DataFrame) -> tuple[float, float]:
-    """Mean and population deviation of the fragment lengths."""
-    row = fragments.agg(F.avg("tlen"), F.stddev_pop("tlen")).first()
+    row = fragment_moments(fragments).first()
     if row[0] is None:
         raise ValueError("there are no fragments")
     return float(row[0]), float(row[1])
