@@ -518,49 +518,33 @@ def resolved(contents: DataFrame, length: int, tasks: int, steps: tuple[int, ...
     return found.union(more)
 
 
-def find(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
-    """Stashed rows (tk, spans, passages): for each distinct text (its hash) with repeats, the arrays of (from, to) of the starts
-    of its repeated windows, in bytes and in words. Copies of a text share a row. Null texts are empty and have none."""
-    if not SEED_BYTES + max(FINE) < length < BUFFER:
-        raise ValueError("length must be above 32 and below 4 MB")
-    body = F.coalesce(F.col(text), F.lit(""))
-    texts = docs.where(F.octet_length(body) >= min(length, 2 * PASSAGE - 1)).select(
-        F.coalesce(F.col(key).cast("long"), F.lit(-(2**63)).cast("long")).alias("did"),
-        text_hash(body).alias("tk"),
-        body.cast("binary").alias("text"),
-    )
-    spark = docs.sparkSession
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+def repeated(texts: DataFrame, unit: type, length: int, tasks: int) -> DataFrame:
+    """texts (did, tk, text) -> stashed rows (tk, spans): for each distinct text with repeats of `length` bytes or words,
+    the array of (a, b) of the starts of its repeated windows. What is written on the way is deleted."""
+    spark = texts.sparkSession
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
-                texts = [t.as_py() for t in part.column(1)]
-                for unit, n in ((Bytes, length), (Words, PASSAGE)):
-                    for owner, start, windows, name, content in pieces(texts, n, unit):
-                        columns = [part.column(0).take(pa.array(owner)), *[pa.array(signed(x)) for x in (name, content)]]
-                        columns += [pa.array(x.astype(np.int32)) for x in (start, windows)]
-                        yield pa.RecordBatch.from_arrays(columns, names=["tk", "name", "content", "start", "windows"])
+                for owner, start, windows, name, content in pieces([t.as_py() for t in part.column(1)], length, unit):
+                    columns = [part.column(0).take(pa.array(owner)), *[pa.array(signed(x)) for x in (name, content)]]
+                    columns += [pa.array(x.astype(np.int32)) for x in (start, windows)]
+                    yield pa.RecordBatch.from_arrays(columns, names=["tk", "name", "content", "start", "windows"])
 
     every = stash(texts.select("tk", "text").mapInArrow(cut, f"tk long, {PIECE}"), "pieces")
     kinds = settled(every, "tk")
     release(spark)
     # of the copies of a text that holds contents to compare, the first is read
     firsts = texts.select("tk", "did").groupBy("tk").agg(F.min("did").alias("did"))
-    placed = kinds.join(firsts, "tk")
-    contents = stash(contents_of(placed, texts, ["did", "tk"], length), "contents")
+    contents = stash(contents_of(kinds.join(firsts, "tk"), texts, ["did", "tk"], length), "contents")
     release(spark)
     spans = stash(resolved(contents, length, tasks).union(whole(kinds)), "spans")
     for table in (contents, kinds):
         unstash(table)
     release(spark)
-    placed = every.join(spans, ["name", "content"])
     one = F.struct((F.col("start") + F.col("a")).alias("a"), (F.col("start") + F.col("b")).alias("b"))
-    word = F.col("name").bitwiseAND(F.lit(1).cast("long")) == 1
-    found = placed.groupBy("tk").agg(
-        F.collect_set(F.when(~word, one)).alias("spans"), F.collect_set(F.when(word, one)).alias("passages")
-    )
+    found = every.join(spans, ["name", "content"]).groupBy("tk").agg(F.collect_set(one).alias("spans"))
     found = stash(found, "repeats")
     for table in (every, spans):
         unstash(table)
@@ -568,6 +552,28 @@ def find(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int =
     return found
 
 
+def find(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
+    """Stashed rows (tk, spans, passages): for each distinct text (its hash) with repeats, the arrays of (from, to) of the starts
+    of its repeated windows, in bytes and in words. Copies of a text share a row. Null texts are empty and have none.
+
+    Words come after bytes are done, so that only the tables of one of them are on disk at a time."""
+    if not SEED_BYTES + max(FINE) < length < BUFFER:
+        raise ValueError("length must be above 32 and below 4 MB")
+    body = F.coalesce(F.col(text), F.lit(""))
+    texts = docs.where(F.octet_length(body) >= min(length, 2 * PASSAGE - 1)).select(
+        F.coalesce(F.col(key).cast("long"), F.lit(-(2**63)).cast("long")).alias("did"),
+        text_hash(body).alias("tk"),
+        body.cast("binary").alias("text"),
+    )
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spans = repeated(texts, Bytes, length, tasks)
+    passages = repeated(texts, Words, PASSAGE, tasks)
+    found = stash(spans.join(passages.withColumnRenamed("spans", "passages"), "tk", "full"), "found")
+    for table in (spans, passages):
+        unstash(table)
+    return found
+
+
 def covered(a: np.ndarray, b: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """Maximal runs (from, to) of bytes covered by the windows that start in the spans (a, b)."""
     if not len(a):
