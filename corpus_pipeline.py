@@ -1,7 +1,8 @@
 """Corpus pipeline: quality classifier, near-dedup, benchmark decontamination, source mixing, token-id files.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that the one before kept; all but the last return the
-columns of documents. Labels and benchmark are read from sf_dir.
+columns of documents. Labels and benchmark are read from sf_dir. Further columns of documents pass through unchanged,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -14,11 +15,22 @@ from spliceframe.llm.common import stash
 from spliceframe.llm.queries import WEIGHTS, table
 
 
+def packed(docs: DataFrame, *used: str) -> DataFrame:
+    """docs with the columns that a stage uses, and all others in one, so that none clashes with a stage's own."""
+    rest = [c for c in docs.columns if c not in used]
+    return docs.select(*used, F.struct(*[docs[c] for c in rest]).alias("pipeline_rest")) if rest else docs
+
+
+def unpacked(kept: DataFrame, docs: DataFrame, *used: str) -> DataFrame:
+    """The columns of docs, out of what a stage kept of packed(docs)."""
+    return kept.select(*[F.col(c) if c in used else F.col("pipeline_rest").getField(c).alias(c) for c in docs.columns])
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the classifier, fitted on the labelled ones among docs, scores at its threshold or above."""
     model = quality.train(docs, table(spark, sf_dir, "labels"))
-    kept = quality.score(docs, model).where(F.col("quality_score") >= quality.THRESHOLD)
-    return kept.select(*docs.columns)
+    scored = quality.score(packed(docs, "doc_id", "text"), model)
+    return unpacked(scored.where(F.col("quality_score") >= quality.THRESHOLD), docs, "doc_id", "text")
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,14 +40,15 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that aren't contaminated by the benchmark."""
-    found = decontamination.contamination(docs, table(spark, sf_dir, "benchmark"))
-    return found.where(~F.col("contaminated")).select(*docs.columns)
+    found = decontamination.contamination(packed(docs, "doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return unpacked(found.where(~F.col("contaminated")), docs, "doc_id", "text")
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, in the order of the mixture: Parquet files in the order of their names hold it row by row."""
-    mixed = mixing.mix(docs, WEIGHTS)
-    return mixed.repartitionByRange("mix_position").sortWithinPartitions("mix_position").select(*docs.columns)
+    mixed = mixing.mix(packed(docs, "doc_id", "source"), WEIGHTS)
+    placed = mixed.repartitionByRange("mix_position").sortWithinPartitions("mix_position")
+    return unpacked(placed, docs, "doc_id", "source")
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,7 +57,7 @@ def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     meta = docs.metadataColumn if "_metadata" not in docs.columns and docs.inputFiles() else None
     if meta is None:
         return tokens.round_trip(docs)
-    placed = docs.select("*", meta("_metadata").file_name.alias("mix_file"), meta("_metadata").row_index.alias("mix_row"))
+    placed = docs.select("doc_id", "text", meta("_metadata").file_name.alias("mix_file"), meta("_metadata").row_index.alias("mix_row"))
     return tokens.round_trip(placed, by=["mix_file", "mix_row"])
 
 
