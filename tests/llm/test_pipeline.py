@@ -82,3 +82,23 @@ def test_empty_tables(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet").where("false")
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, folder).count() == 0
+
+
+def test_clashing_columns_repeated_rows_and_long_texts(spark, folder, tmp_path):
+    names = "mix_file mix_row mix_block mix_slot mix_position n_words contaminated quality_score fp row rn key pipeline_rest".split()
+    docs = spark.read.parquet(f"{folder}/documents.parquet").where("doc_id < 40 or doc_id is null")
+    rows = [tuple(r) for r in docs.collect()]
+    long = "\n".join(f"The river number {i} runs under bridge {i * 7 % 1009} and garden." for i in range(12000))
+    rows += [rows[2], rows[2], (400, long, "en", None, len(long)), (401, "", "", "", 0), (None, None, None, None, None)]
+    frame = spark.createDataFrame([(*r, *[f"{n}{i}" for n in names]) for i, r in enumerate(rows)], docs.schema.simpleString()[7:-1].replace(":", " ") + "".join(f", {n} string" for n in names))
+    want = {f"mix_file{i}": (r[1], tuple(f"{n}{i}" for n in names)) for i, r in enumerate(rows)}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        stage(spark, frame, folder).write.parquet(f"{tmp_path}/{name[:7]}")
+        frame, columns = spark.read.parquet(f"{tmp_path}/{name[:7]}"), frame.columns
+        assert frame.columns == columns
+        for r in frame.collect():  # each row keeps its own text and further columns
+            assert want[r.mix_file] == (r.text, tuple(r[n] for n in names))
+    left = [r.doc_id for r in frame.collect()]
+    assert 400 in left and len(left) == len(set(left))
+    got = corpus_pipeline.STAGES[-1][1](spark, frame, folder).collect()
+    assert sorted(map(str, left)) == sorted(str(r.doc_id) for r in got)
