@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidily
+
 #: Bound of the training sample: labelled documents.
 TRAIN_DOCS = 3000
 #: Documents of more lines are fitted in stretches of so many; all their lines count.
@@ -191,6 +193,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     chosen = docs.select(F.col(key).alias("key"), body.alias("text")).join(known, "key")
     chosen = chosen.select("key", "label", F.col("text").cast("binary").alias("text"))
 
+    @tidily
     def prepare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             got = [of_text(t) for t in batch["text"]]
@@ -220,6 +223,7 @@ def score(docs: DataFrame, model: Crf, text: str = "text") -> DataFrame:
     """
 
     @F.pandas_udf("double")
+    @tidily
     def of(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in texts:
             yield pd.Series(scores(model, list(batch)))

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from .common import components, stash
+from .common import components, stash, tidily
 
 SEED = 42
 LINK = 2
@@ -54,6 +54,7 @@ def fingerprint(text: bytes, width: int = 3) -> int:
 
 
 @F.pandas_udf(LongType())
+@tidily
 def fingerprint_of(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for batch in texts:
         yield pd.Series([signed(fingerprint(t)) for t in batch], dtype="int64")
@@ -92,6 +93,7 @@ def nibble_cells(fp: Column) -> Column:
     return F.array(*[F.struct(F.lit(i).cast("short").alias("choice"), rest(c).alias("rest")) for i, c in enumerate(choices)])
 
 
+@tidily
 def links_in_cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Cells (fps and TABLE: lists) -> rows (u, v) that join what is linked in each cell."""
     for batch in batches:

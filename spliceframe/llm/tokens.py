@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import open_shared, rename_shared, scratch_path, stash
+from .common import open_shared, rename_shared, scratch_path, stash, tidily
 
 MAGIC = b"REPAIR01"
 END_ID = 1
@@ -346,6 +346,7 @@ def write(docs: DataFrame, directory: str, key: str = "doc_id", text: str = "tex
     names = [f"by{i}" for i in range(len(order))]
     dealt = rows.repartitionByRange(*names).sortWithinPartitions(*names).select("key", "text").withColumn("part", F.spark_partition_id())
 
+    @tidily
     def write_part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         done, keys, held, size = [], [], [], 0
         end, part = np.array([END_ID], dtype=np.uint32), 0
@@ -386,6 +387,7 @@ def read(shards: DataFrame) -> DataFrame:
     inside = total(Window.partitionBy("part").orderBy("piece"))
     placed = shards.withColumn("inside", inside).join(parts, "part").select("path", F.expr("base + inside").alias("first"))
 
+    @tidily
     def read_part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for name, first in zip(batch["path"], batch["first"], strict=True):

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from spliceframe.llm import quality, tokens
+from spliceframe.llm import common, quality, tokens
 
 
 def labelled(spark, n=400):
@@ -158,3 +158,29 @@ def test_files_hold_every_document(spark, docs, corpus, empty, monkeypatch):
         ids = np.array([*t.encode(x, add_special_tokens=False).ids, tokens.END_ID], dtype="<u4")
         assert (len(ids), zlib.crc32(ids.tobytes())) in by_start[k]
     assert tokens.round_trip(empty).count() == 0
+
+
+# ---------------------------------------------------------------- memory of workers
+
+
+def test_tidily_gives_back_at_the_end(monkeypatch):
+    calls = []
+    monkeypatch.setattr(common, "give_back", lambda: calls.append(1))
+
+    @common.tidily
+    def doubled(batches):
+        for b in batches:
+            yield 2 * b
+
+    assert list(doubled(iter([1, 2, 3]))) == [2, 4, 6] and len(calls) == 1
+    assert list(doubled(iter([]))) == [] and len(calls) == 2
+    cut = doubled(iter([1, 2]))
+    next(cut)
+    cut.close()
+    assert len(calls) == 3
+
+
+def test_give_back_runs_anywhere(monkeypatch):
+    common.give_back()
+    monkeypatch.setattr(common.ctypes, "CDLL", lambda name: object())  # a C library without malloc_trim
+    common.give_back()
