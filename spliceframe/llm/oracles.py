@@ -70,5 +70,74 @@ FROM bits
 """
 
 
+OP11 = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS i, doc_id, source, coalesce(text, '') AS t,
+    regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+windows AS (
+  SELECT i, s, count(*) OVER (PARTITION BY i, w[s], w[s + 1], w[s + 2]) AS met
+  FROM (SELECT i, w, unnest(range(1, len(w) - 1)) AS s FROM d)),
+again AS (SELECT i, count(DISTINCT p) AS n FROM (SELECT i, unnest(range(s, s + 3)) AS p FROM windows WHERE met > 1) GROUP BY i),
+lines AS (
+  SELECT i, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines
+  FROM (SELECT i, unnest(string_split(t, chr(10))) AS line FROM d)
+  WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY i),
+counts AS (
+  SELECT doc_id, source, cast(len(w) AS bigint) AS n_words, cast(length(array_to_string(w, '')) AS bigint) AS word_chars,
+    cast(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS bigint) AS n_symbols,
+    cast(coalesce(n_lines, 0) AS bigint) AS n_lines, cast(coalesce(n_dup_lines, 0) AS bigint) AS n_dup_lines,
+    cast(coalesce(again.n, 0) AS bigint) AS n_repeat_words
+  FROM d LEFT JOIN again USING (i) LEFT JOIN lines USING (i)),
+failures AS (
+  SELECT *, n_words < 50 AS few, 100 * n_repeat_words > 50 * n_words AS rep,
+    100 * n_symbols > 10 * n_words AS sym, 100 * n_dup_lines > 30 * n_lines AS dup FROM counts),
+hosts AS (
+  SELECT source, unnest(['few', 'rep', 'sym', 'dup']) AS rule, count(*)::double AS n,
+    unnest([sum(few::int), sum(rep::int), sum(sym::int), sum(dup::int)])::double AS f
+  FROM failures WHERE source IS NOT NULL GROUP BY source),
+sums AS (
+  SELECT rule, sum(n) AS every, sum(f) / sum(n) AS mean, sum(f * f / n) AS squares, sum(n * n) AS sizes, count(*) - 1 AS spare
+  FROM hosts GROUP BY rule),
+alikes AS (
+  SELECT rule, mean, CASE WHEN mean * (1 - mean) * (every - sizes / every - spare) > 0
+    THEN (squares - every * mean * mean - mean * (1 - mean) * spare) / (mean * (1 - mean) * (every - sizes / every - spare))
+    ELSE 0 END AS alike FROM sums),
+priors AS (SELECT rule, mean, CASE WHEN alike <= 1 / 1000001.0 THEN 1e6 ELSE greatest(1.0, 1 / alike - 1) END AS strength FROM alikes),
+rejected AS (
+  SELECT DISTINCT source FROM hosts JOIN priors USING (rule) WHERE round((f + mean * strength) / (n + strength), 9) >= 0.5)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, few OR rep AS base_failed,
+  NOT (few OR rep) AND rejected.source IS NULL AS kept, rejected.source IS NOT NULL AS host_rejected
+FROM failures LEFT JOIN rejected ON failures.source = rejected.source
+"""
+
+OP12 = rf"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_extract_all({ASCII_LOWER.format("coalesce(text, '')")}, '[^.,;:!?\x0A-\x0D]+')) AS piece
+  FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+grams AS (
+  SELECT lang, m, array_to_string(w[s : s + m - 1], ' ') AS phrase
+  FROM (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS s FROM w, range(1, 6) AS sizes(m) WHERE len(w) >= m)),
+f AS (SELECT lang, m, phrase, count(*) AS f FROM grams GROUP BY ALL HAVING count(*) >= 100),
+total AS (SELECT lang, sum(len(w)) AS n FROM w GROUP BY lang),
+c AS (SELECT lang, m, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE m > 1),
+cuts AS (
+  SELECT lang, phrase, m, a, k, array_to_string(w[1 : k], ' ') AS head, array_to_string(w[k + 1 : m], ' ') AS rest
+  FROM (SELECT *, unnest(range(1, m)) AS k FROM c)),
+scores AS (
+  SELECT cuts.lang, cuts.phrase, a, k, h.f AS l, t.f AS r, n, 1000::hugeint * a * n // (h.f::hugeint * t.f) AS score
+  FROM cuts JOIN f h ON h.lang = cuts.lang AND h.phrase = head JOIN f t ON t.lang = cuts.lang AND t.phrase = rest
+  JOIN total ON total.lang = cuts.lang),
+best AS (SELECT * FROM scores QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inner_ones AS (
+  SELECT lang, array_to_string(w[s : s + j - 1], ' ') AS phrase, max(a) AS most
+  FROM (SELECT lang, w, a, m, j, unnest(range(1, m - j + 2)) AS s FROM c, range(2, 5) AS sizes(j) WHERE j < m) GROUP BY 1, 2),
+kept AS (SELECT best.* FROM best LEFT JOIN inner_ones USING (lang, phrase) WHERE most IS NULL OR 100 * most < 100 * a),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM kept)
+SELECT lang, rank, phrase, a, l, r, cast(n AS bigint) AS n, cast(score AS bigint) AS score FROM ranked WHERE rank <= 2000
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc": OP2, "op5_decontamination": OP5, "op9_pfair_mixing": OP9}
+    return {"op2_warc": OP2, "op5_decontamination": OP5, "op9_pfair_mixing": OP9, "op11_host_rules": OP11, "op12_collocations": OP12}

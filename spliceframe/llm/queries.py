@@ -7,7 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, fingerprints, lm_scores, mixing, quality, repeats, secrets, simhash, tokens, warc
+from . import (
+    collocations,
+    decontamination,
+    fingerprints,
+    host_rules,
+    lm_scores,
+    mixing,
+    quality,
+    repeats,
+    secrets,
+    simhash,
+    tokens,
+    warc,
+)
 
 #: Target weights of the mixture; sources that aren't named weigh 1.
 WEIGHTS = {"src0": 4.0}
@@ -108,6 +121,18 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: counts, base_failed, kept, host_rejected; a document's host is its source."""
+    found = host_rules.judge(table(spark, sf_dir, "documents"), F.col("source"))
+    counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    return found.select("doc_id", *counts, "base_failed", "kept", "host_rejected")
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per language, its first 2000 phrases: lang, rank, phrase, a, l, r, n, score."""
+    return collocations.mine(table(spark, sf_dir, "documents").select("lang", "text"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
@@ -122,5 +147,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             op8_bwt_repeats,
             op9_pfair_mixing,
             op10_secret_scan,
+            op11_host_rules,
+            op12_collocations,
         )
     }
