@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,8 +16,9 @@ def read_lengths(read_iso: DataFrame) -> DataFrame:
     return read_iso.groupBy("name").agg(F.greatest(F.max(stretch), F.lit(0)).cast("long").alias("read_len"))
 
 
-def histogram(lengths: DataFrame, length: str = "read_len") -> DataFrame:
-    return lengths.groupBy(F.col(length).alias("read_len")).agg(F.count("*").alias("n"))
+def histogram(lengths: DataFrame, length: str = "read_len", by: Sequence[str] = ()) -> DataFrame:
+    """rows (by, read_len, n); by: the columns of a sample."""
+    return lengths.groupBy(*by, F.col(length).alias("read_len")).agg(F.count("*").alias("n"))
 
 
 def order_statistics(rows: DataFrame, by: str, column: str, parts: dict[str, int]) -> DataFrame:
@@ -27,28 +30,29 @@ def order_statistics(rows: DataFrame, by: str, column: str, parts: dict[str, int
     return laid.groupBy(by).agg(*[F.min(F.when(F.col("upto") > F.floor(F.col("n") / p), F.col("v"))).alias(name) for name, p in parts.items()])
 
 
-def cdf_at(hist: DataFrame, at: DataFrame, column: str) -> DataFrame:
-    """at plus cdf: P(1 <= read_len <= column). Both are one row per distinct length, laid on one line and summed."""
-    marks = hist.select(F.col("read_len").alias("x"), "n", F.lit(0).alias("asked")).union(
-        at.select(F.col(column).cast("long").alias("x"), F.lit(0).cast("long").alias("n"), F.lit(1).alias("asked")).distinct()
+def cdf_at(hist: DataFrame, at: DataFrame, column: str, by: Sequence[str] = ()) -> DataFrame:
+    """at plus cdf: P(1 <= read_len <= column), within by. Both are one row per distinct length, laid on one line and
+    summed."""
+    marks = hist.select(*by, F.col("read_len").alias("x"), "n", F.lit(0).alias("asked")).union(
+        at.select(*by, F.col(column).cast("long").alias("x"), F.lit(0).cast("long").alias("n"), F.lit(1).alias("asked")).distinct()
     )
-    order = Window.orderBy("x", "asked").rowsBetween(Window.unboundedPreceding, 0)  # a row for each distinct length
+    order = Window.partitionBy(*by).orderBy("x", "asked").rowsBetween(Window.unboundedPreceding, 0)  # a row for each distinct length
     held = F.sum(F.when(F.col("x") >= 1, F.col("n")).otherwise(0)).over(order)
-    total = F.sum("n").over(Window.partitionBy())
-    table = marks.select("x", "asked", (held / total).alias("cdf")).where("asked = 1")
-    return at.join(table.select(F.col("x").alias(column), "cdf"), column, "left")
+    total = F.sum("n").over(Window.partitionBy(*by))
+    table = marks.select(*by, "x", "asked", (held / total).alias("cdf")).where("asked = 1")
+    return at.join(table.select(*by, F.col("x").alias(column), "cdf"), [*by, column], "left")
 
 
-def suffix_sums(hist: DataFrame, isoforms: DataFrame) -> DataFrame:
-    """rows (read_len, n, sm): sm sums theta / cdf over the isoforms (iso_len, theta, cdf) at least as long."""
+def suffix_sums(hist: DataFrame, isoforms: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """rows (by, read_len, n, sm): sm sums theta / cdf over the isoforms (by, iso_len, theta, cdf) at least as long."""
     share = F.when((F.col("cdf") == 0) & (F.col("theta") > 0), float("inf")).otherwise(F.col("theta") / F.when(F.col("cdf") == 0, 1).otherwise(F.col("cdf")))
-    by_len = isoforms.groupBy("iso_len").agg(F.sum(share).alias("v"))
-    marks = hist.select(F.col("read_len").alias("x"), "n", F.lit(0.0).alias("v"), F.lit(1).alias("asked")).union(
-        by_len.select(F.col("iso_len").alias("x"), F.lit(0).cast("long").alias("n"), "v", F.lit(0).alias("asked"))
+    by_len = isoforms.groupBy(*by, "iso_len").agg(F.sum(share).alias("v"))
+    marks = hist.select(*by, F.col("read_len").alias("x"), "n", F.lit(0.0).alias("v"), F.lit(1).alias("asked")).union(
+        by_len.select(*by, F.col("iso_len").alias("x"), F.lit(0).cast("long").alias("n"), "v", F.lit(0).alias("asked"))
     )
-    order = Window.orderBy(F.desc("x"), "asked").rowsBetween(Window.unboundedPreceding, 0)
+    order = Window.partitionBy(*by).orderBy(F.desc("x"), "asked").rowsBetween(Window.unboundedPreceding, 0)
     summed = marks.withColumn("sm", F.sum("v").over(order)).where("asked = 1")
-    return summed.select(F.col("x").alias("read_len"), "n", "sm")
+    return summed.select(*by, F.col("x").alias("read_len"), "n", "sm")
 
 
 def fractional_counts(read_iso: DataFrame, unique_only: bool = False) -> DataFrame:
