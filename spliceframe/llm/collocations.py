@@ -26,7 +26,8 @@ MIN_COUNT = 100
 TOP = 2000
 INSIDE_PERCENT = 100
 BYTES_A_CELL, MIN_BITS, MAX_BITS = 32, 20, 30
-CHUNK = 1 << 20  # words that are counted together
+CHUNK = 1 << 19  # words that are counted together
+HELD = 1 << 19  # phrases whose counts a task holds before it hands them on
 SLICE = 1 << 18  # bytes of a text that are cut into words together
 BLOCK_BITS = 16  # cells of one block of a sketch, as a power of 2
 SALTS = 64
@@ -187,8 +188,8 @@ def sketch_bits(rows: DataFrame, bits: int, least: int) -> np.ndarray:
 
 
 def survivor_counter(held_bits, bits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """(lang, text) -> (lang, phrase, n) of the phrases of each chunk that pass the sketch, and whose first and last
-    words do without the other end (a phrase is never more frequent than those). The empty phrase counts all words."""
+    """(lang, text) -> (lang, phrase, n) of a task's phrases that pass the sketch, and that do so without their first word
+    and without their last (a phrase is never more frequent than these). The empty phrase counts all words."""
 
     def passes(sketch: np.ndarray, held: np.ndarray) -> np.ndarray:
         one, two = cells_of(held, bits)
@@ -199,14 +200,21 @@ def survivor_counter(held_bits, bits: int) -> Callable[[Iterator[pa.RecordBatch]
     @tidily
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = held_bits.value
+        counts: dict[tuple[str, bytes], int] = defaultdict(int)
 
-        def out(langs: list, phrases: list[bytes], n: np.ndarray) -> pa.RecordBatch:
-            columns = [pa.array(langs, pa.string()), pa.array(phrases, pa.binary()), pa.array(n.astype(np.int64))]
+        def add(langs: list, phrases: list[bytes], n: np.ndarray) -> None:
+            for pair, k in zip(zip(langs, phrases, strict=True), n.tolist(), strict=True):
+                counts[pair] += k
+
+        def out() -> pa.RecordBatch:
+            langs, phrases = zip(*counts, strict=True) if counts else ((), ())
+            columns = [pa.array(langs, pa.string()), pa.array(phrases, pa.binary()), pa.array(counts.values(), pa.int64())]
+            counts.clear()
             return pa.RecordBatch.from_arrays(columns, names=["lang", "phrase", "n"])
 
         for chunk in chunks(batches):
             words = np.bincount(chunk.langs[: chunk.starts][chunk.ids[: chunk.starts] > 0], minlength=len(chunk.names))
-            yield out(chunk.names, [b""] * len(chunk.names), words)
+            add(chunk.names, [b""] * len(chunk.names), words)
             width = len(chunk.words)
             group, texts, of = chunk.langs, [b""] * len(chunk.names), chunk.names
             for k, (whole, held) in enumerate(chunk.hashes()):
@@ -222,7 +230,10 @@ def survivor_counter(held_bits, bits: int) -> Callable[[Iterator[pa.RecordBatch]
                 join = (lambda a, b: b) if k == 0 else (lambda a, b: a + b" " + b)
                 of = [of[i] for i in first]
                 texts = [join(texts[i], chunk.words[j]) for i, j in zip(first, last, strict=True)]
-                yield out(of, texts, n)
+                add(of, texts, n)
+            if len(counts) >= HELD:
+                yield out()
+        yield out()
 
     return count
 

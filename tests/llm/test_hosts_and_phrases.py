@@ -157,6 +157,7 @@ def test_collocations(spark, monkeypatch, chunk, cut):
     docs = spark.createDataFrame(rows, "lang string, text string").withColumn("n", F.lit("x")).withColumn("phrase", F.lit(1))
     monkeypatch.setattr(collocations, "CHUNK", chunk)
     monkeypatch.setattr(collocations, "SLICE", cut)
+    monkeypatch.setattr(collocations, "HELD", chunk)
     got = collocations.mine(docs.repartition(3), least=8, top=15)
     assert sorted(map(tuple, got.collect())) == brute_phrases(rows, 8, 15)
     loose = collocations.mine(docs, least=8, top=15, percent=60)
