@@ -43,8 +43,10 @@ CACHE_WORDS = 100_000  # words that a worker keeps, of those encoded by the libr
 WHOLE = re.compile("<\\||[\x1c-\x1f\x85\u180e]")
 #: Texts of these characters alone (ASCII, Latin letters, some punctuation) are cut into the vocabulary's own pieces:
 #: letter runs, digits, other runs. Words with an apostrophe go to the library, as contractions are cut otherwise.
+#: Letters whose lower case is none of LETTERS (as of U+018F, which is U+0259) aren't plain.
 LETTERS = "a-z\u00df-\u00f6\u00f8-\u012f\u0131-\u024f"
-PLAIN = re.compile(f"[\x09-\x0d\x20-\x7f\u00c0-\u00d6\u00d8-\u00de{LETTERS[3:]}\u2013-\u2026]*\\Z")
+LATIN = [c for c in map(chr, range(0xC0, 0x250)) if re.fullmatch(f"[{LETTERS}]", c.lower())]
+PLAIN = re.compile(f"[\x09-\x0d\x20-\x7f{''.join(LATIN)}\u2013-\u2026]*\\Z")
 PIECE_END, WORD_END = "\x01", "\x02"  # neither is in a PLAIN text
 PIECES = re.compile(f"[{LETTERS}]+|[0-9]|[^\\s0-9{LETTERS}{WORD_END}]+")
 

@@ -102,6 +102,20 @@ def test_encoder_equals_the_library():
         assert own.encode([text])[0].tolist() == t.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_encoder_equals_the_library_for_every_plain_letter():
+    """Each code point that isn't left to the library: alone, inside a word, in capitals, beside digits and quotes."""
+    from tokenizers import Tokenizer
+
+    t, own, r = Tokenizer.from_file(tokens.vocabulary()), tokens.Encoder(tokens.vocabulary()), random.Random(2)
+    plain = [c for c in map(chr, range(0x3000)) if tokens.PLAIN.match(c)]
+    assert len(plain) > 450
+    texts = [x for c in plain for x in (c, f"ab{c}cd", f"ab{c}cd".upper(), c + c, f"x {c} y", f"{c}1{c}'s", f"A{c}")]
+    texts += ["".join(r.choice(plain) for _ in range(r.randrange(1, 30))) for _ in range(4000)]
+    texts += ["Əliyev", "ƆƐƎ", "Ɓa Ɗa"]
+    for text, ids in zip(texts, own.encode(texts), strict=True):
+        assert ids.tolist() == t.encode(text, add_special_tokens=False).ids, repr(text)
+
+
 def test_tokens_merge_into_themselves():
     """Each token's own bytes merge into that token, by the vocabulary's pairs: what merging by ranks rests on."""
     import json
