@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .config import KValueSettings, QuantifySettings
 from .functions.columns import inner_weight, region_effective_length, region_name
-from .operators import communities, condition, em, features, intervals, mapping, paths, readlen, shortread, supported
+from .operators import communities, condition, em, features, intervals, least_squares, mapping, paths, readlen, shortread, supported
 from .plans.scratch import settle
 from .sources import formats, sinks
 
@@ -159,6 +159,29 @@ def k_values(
     return KValues(genes, isoforms, sr_matrix, regions, lr_matrix, segs, sr_b, lr_b)
 
 
+def region_abundance(found: KValues, alpha: float = 1.0, beta: float = 1e-6, unique_bounds: bool = True, assign: str = "linear_model") -> DataFrame:
+    """rows (chr, gene, isoform, theta, expression, tpm) of k_values with reads, by least squares of the regions' counts.
+
+    alpha weighs long reads, the rest short ones, whose abundances sum to 1 in a gene. expression is by theta's share of
+    the gene's long reads (linear_model), or deals each region's among its isoforms (reassign).
+    """
+    if assign not in ("linear_model", "reassign"):
+        raise ValueError(f"assign is linear_model or reassign, not {assign}")
+    if found.lr_b is None or (alpha < 1 and found.sr_b is None):
+        raise ValueError("k_values had no reads to take abundances from")
+    parts = [(found.lr_matrix, found.lr_b, alpha)]
+    if alpha < 1:
+        total = F.sum("b").over(Window.partitionBy(*GENE))
+        parts.append((found.matrix, found.sr_b.withColumn("b", F.col("b") / F.when(total == 0, 1).otherwise(total)), 1 - alpha))
+    names = found.isoforms.select(*GENE, "isoform")
+    theta = settle(least_squares.gene_shares(least_squares.solve(parts, names, beta, unique_bounds)))
+    if assign == "reassign":
+        got = least_squares.reassign(theta, found.lr_matrix, found.lr_b)
+    else:
+        got = least_squares.by_total(theta, found.lr_b)
+    return theta.join(least_squares.per_million(got), [*GENE, "isoform"])
+
+
 @dataclass
 class Abundance:
     """isoforms (isoform, gene, eff, theta, community, community reads, tpm) and what led there."""
