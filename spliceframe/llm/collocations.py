@@ -30,6 +30,7 @@ CHUNK = 1 << 19  # words that are counted together
 HELD = 1 << 19  # phrases whose counts a task holds before it hands them on
 SLICE = 1 << 18  # bytes of a text that are cut into words together
 BLOCK_BITS = 16  # cells of one block of a sketch, as a power of 2
+BLOCK_PHRASES = 17  # cells of the sketch for one block of exact counts, as a power of 2
 SALTS = 64
 EMPTY, END = b"", b"\n"  # tokens that are no words: nothing between two spaces, the end of a piece
 TO_PLAIN = bytes.maketrans(b".,;:!?\x0b\x0c\x0d\t", b"\n\n\n\n\n\n\n\n\n ")
@@ -187,9 +188,13 @@ def sketch_bits(rows: DataFrame, bits: int, least: int) -> np.ndarray:
 # ---------------------------------------------------------------- pass 2: exact counts
 
 
-def survivor_counter(held_bits, bits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """(lang, text) -> (lang, phrase, n) of a task's phrases that pass the sketch, and that do so without their first word
-    and without their last (a phrase is never more frequent than these). The empty phrase counts all words."""
+BLOCKS = "block long, langs array<string>, phrases array<binary>, n array<long>"
+
+
+def survivor_counter(held_bits, bits: int, blocks: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(lang, text) -> BLOCKS, dealt by the phrases' hashes: the counts of a task's phrases that pass the sketch, and that
+    do so without their first word and without their last (a phrase is never more frequent than these). The empty phrase
+    counts all words."""
 
     def passes(sketch: np.ndarray, held: np.ndarray) -> np.ndarray:
         one, two = cells_of(held, bits)
@@ -208,9 +213,14 @@ def survivor_counter(held_bits, bits: int) -> Callable[[Iterator[pa.RecordBatch]
 
         def out() -> pa.RecordBatch:
             langs, phrases = zip(*counts, strict=True) if counts else ((), ())
-            columns = [pa.array(langs, pa.string()), pa.array(phrases, pa.binary()), pa.array(counts.values(), pa.int64())]
+            to = np.array([xxhash.xxh64_intdigest(p) % blocks for p in phrases], np.int64)
+            order = np.argsort(to, kind="stable")
+            names, first = np.unique(to[order], return_index=True)
+            ends = pa.array(np.append(first, len(to)), pa.int32())
+            values = pa.array(langs, pa.string()), pa.array(phrases, pa.binary()), pa.array(counts.values(), pa.int64())
+            lists = [pa.ListArray.from_arrays(ends, x.take(pa.array(order))) for x in values]
             counts.clear()
-            return pa.RecordBatch.from_arrays(columns, names=["lang", "phrase", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(names), *lists], names=["block", "langs", "phrases", "n"])
 
         for chunk in chunks(batches):
             words = np.bincount(chunk.langs[: chunk.starts][chunk.ids[: chunk.starts] > 0], minlength=len(chunk.names))
@@ -238,6 +248,24 @@ def survivor_counter(held_bits, bits: int) -> Callable[[Iterator[pa.RecordBatch]
     return count
 
 
+def summer(least: int) -> Callable:
+    """The blocks of one name -> (lang, phrase, n) of what is met least times in all, and of the empty phrase. Reads batch
+    by batch."""
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[tuple[str, bytes], int] = defaultdict(int)
+        for batch in batches:
+            lists = (batch.column(c).flatten().to_pylist() for c in ("langs", "phrases", "n"))
+            for lang, phrase, k in zip(*lists, strict=True):
+                total[lang, phrase] += k
+        kept = [(*pair, k) for pair, k in total.items() if k >= least or not pair[1]]
+        langs, phrases, n = zip(*kept, strict=True) if kept else ((), (), ())
+        columns = [pa.array(langs, pa.string()), pa.array(phrases, pa.binary()), pa.array(n, pa.int64())]
+        yield pa.RecordBatch.from_arrays(columns, names=["lang", "phrase", "n"])
+
+    return add_up
+
+
 def frequent(docs: DataFrame, lang: str = "lang", text: str = "text", least: int = MIN_COUNT) -> DataFrame:
     """Rows (lang, phrase, n): all phrases of 1 to LONGEST words that are met least times or more in a language, counted
     exactly, and the empty phrase with the count of all words. Null languages are `und`; null texts are empty."""
@@ -248,9 +276,10 @@ def frequent(docs: DataFrame, lang: str = "lang", text: str = "text", least: int
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = min(MAX_BITS, max(MIN_BITS, (size // BYTES_A_CELL).bit_length()))
     held = docs.sparkSession.sparkContext.broadcast(sketch_bits(rows, bits, least))
-    counts = rows.mapInArrow(survivor_counter(held, bits), "lang string, phrase binary, n long")
-    counts = counts.groupBy("lang", F.col("phrase").cast("string").alias("phrase")).agg(F.sum("n").alias("n"))
-    out = stash(counts.where((F.col("n") >= least) | (F.col("phrase") == "")), "phrases")
+    blocks = 1 << max(6, bits - BLOCK_PHRASES)
+    counts = rows.mapInArrow(survivor_counter(held, bits, blocks), BLOCKS)
+    counts = counts.groupBy("block").applyInArrow(summer(least), "lang string, phrase binary, n long")
+    out = stash(counts.select("lang", F.col("phrase").cast("string").alias("phrase"), "n"), "phrases")
     held.unpersist()
     release(docs.sparkSession)
     return out
