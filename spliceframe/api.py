@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .config import KValueSettings, QuantifySettings
 from .functions.columns import inner_weight, region_effective_length, region_name
-from .operators import communities, condition, em, features, intervals, least_squares, mapping, paths, readlen, shortread, supported
+from .operators import communities, condition, density, em, features, global_em, intervals, least_squares, mapping, paths, readlen, shortread, supported
 from .plans.scratch import settle
 from .sources import formats, sinks
 
@@ -289,6 +289,61 @@ def quantify(
     return Abundance(out, lr, sr, mapped, rejected, alphas)
 
 
+def quantify_globally(
+    spark: SparkSession,
+    annotation: str | DataFrame,
+    long_reads: str | DataFrame,
+    settings: QuantifySettings | None = None,
+    form: str = "form_1",
+    start: str = "LR",
+    rounds: int = 2000,
+    tolerance: float = 1e-3,
+    seed: int = 0,
+) -> DataFrame:
+    """rows (isoform, gene, theta, tpm) from long reads, whose probabilities follow theta in each round (global_em)."""
+    s = settings or QuantifySettings()
+    exons = formats.exons(spark, annotation) if isinstance(annotation, str) else annotation
+    iso, read_iso = read_isoforms(spark, exons, long_reads, s)
+    lengths = settle(readlen.read_lengths(read_iso))
+    hist = settle(readlen.histogram(lengths))
+    known = readlen.cdf_at(hist, iso.select("isoform", F.col("length").alias("iso_len")), "iso_len")
+    counts = readlen.fractional_counts(read_iso, s.initial_theta.endswith("_unique"))
+    theta = global_em.starting_theta(iso, start, lr=counts, seed=seed)
+    patterns = global_em.length_patterns(read_iso, lengths)
+    found, _ = global_em.iterate(patterns, settle(known), hist, theta, form, rounds, tolerance, s.floor)
+    total = F.sum("theta").over(Window.partitionBy())
+    tpm = F.col("theta") / F.when(total == 0, 1).otherwise(total) * 1e6
+    return iso.select("isoform", "gene").join(found, "isoform").withColumn("tpm", tpm)
+
+
+def read_isoforms(spark: SparkSession, exons: DataFrame, long_reads: str | DataFrame, s: QuantifySettings) -> tuple[DataFrame, DataFrame]:
+    """(isoforms, reads against their isoforms) of a SAM path or a table of alignments."""
+    segs, iso = paths.segments(exons), paths.isoforms(exons)
+    iso_paths = paths.paths(segs, exons)
+    reads = formats.alignments(spark, long_reads, s.read_filter) if isinstance(long_reads, str) else long_reads
+    mapped = mapping.map_reads(reads, paths.gene_segments(segs), iso_paths, s)
+    return iso, settle(mapping.isoform_offsets(mapped, paths.owners(mapped, iso_paths), iso, s.strand_strict))
+
+
+def density_weights(
+    spark: SparkSession,
+    annotation: str | DataFrame,
+    long_reads: str | DataFrame,
+    iso_width: float = 100.0,
+    read_width: float = 50.0,
+    least: int = 1,
+    settings: QuantifySettings | None = None,
+) -> DataFrame:
+    """rows (chr, gene, isoform, region, weight), for k_values(weights=...): each region by the density of the long reads
+    over isoform length and read length."""
+    exons = formats.exons(spark, annotation) if isinstance(annotation, str) else annotation
+    iso, read_iso = read_isoforms(spark, exons, long_reads, settings or QuantifySettings())
+    segs = paths.segments(exons)
+    lengths = iso.select(F.col("length").cast("long").alias("iso_len"))
+    table = settle(density.density(settle(density.samples_of(read_iso)), lengths, iso_width, read_width))
+    return density.region_weights(paths.slices(paths.paths(segs, exons), segs), iso, table, least)
+
+
 def community_alphas(spark, s, members, model, exons, segs, iso, iso_paths, read_iso, fragments) -> DataFrame:
     """rows (community, alpha): fixed, from a table, or predicted from the communities' features."""
     names = members.select("community").distinct()

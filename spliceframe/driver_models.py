@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .api import k_values, region_abundance
 from .config import KValueSettings
-from .driver_queries import query, table
+from .driver_queries import JOINED, RANGES, SLICES, exons as order_exons, query, table
 from .driver_reads import READS, gene_exons, order_reads
-from .operators import least_squares
+from .operators import density, global_em, intervals, least_squares, mapping, paths, readlen, supported
 
 # ---------------------------------------------------------------- least squares
 
@@ -66,3 +67,170 @@ def read_reassignment(spark, sf_dir) -> DataFrame:
     b = matrix.select("chr", "gene", "path").distinct().withColumn("b", (F.col("path") % 9).cast("double"))
     got = least_squares.reassign(s, matrix, b)
     return got.select("isoform", F.round("expression", 4).alias("expression"))
+
+
+# ---------------------------------------------------------------- EM of all isoforms together
+
+
+def theta_sql(rounds: int) -> str:
+    out = ["""WITH iso AS (SELECT p_partkey AS i, cast(p_size + 30 AS bigint) AS iso_len FROM part),
+m AS (SELECT DISTINCT l_orderkey AS r, iso.i, iso_len FROM lineitem JOIN iso ON iso.i = l_suppkey * 20),
+l AS (SELECT l_orderkey AS r, max(cast(l_quantity AS bigint)) AS read_len FROM lineitem JOIN iso ON iso.i = l_suppkey * 20 GROUP BY 1),
+h AS (SELECT read_len, count(*) AS n FROM l GROUP BY 1), total AS (SELECT sum(n)::double AS total FROM h),
+c AS (SELECT i, iso_len, (SELECT sum(n) FROM h WHERE read_len <= iso_len) / total AS cdf FROM iso, total),
+b AS (SELECT m.r, m.i, l.read_len, h.n / total / cdf AS base, m.iso_len - l.read_len + 1 AS places FROM m JOIN l USING (r) JOIN h USING (read_len) JOIN c ON c.i = m.i, total),
+f AS (SELECT i, sum(1.0::double / k) AS x FROM (SELECT r, i, count(*) OVER (PARTITION BY r) AS k FROM m) GROUP BY 1),
+t0 AS (SELECT iso.i, iso_len, coalesce(x, 0) / (SELECT sum(x) FROM f) AS th FROM iso LEFT JOIN f ON f.i = iso.i)"""]
+    for k in range(1, rounds + 1):
+        out.append(f"""s{k} AS (SELECT read_len, sum(th / cdf) AS sm FROM h, c JOIN t{k - 1} USING (i) WHERE c.iso_len >= read_len GROUP BY 1),
+p{k} AS (SELECT b.r, b.i, CASE WHEN places > 0 THEN base / sm / places * th ELSE 0 END AS p FROM b JOIN s{k} USING (read_len) JOIN t{k - 1} t ON t.i = b.i),
+q{k} AS (SELECT i, sum(x) AS q FROM (SELECT i, p / CASE WHEN sum(p) OVER (PARTITION BY r) = 0 THEN 1 ELSE sum(p) OVER (PARTITION BY r) END AS x FROM p{k}) GROUP BY 1),
+t{k} AS (SELECT t.i, iso_len, coalesce(q, 0) / (SELECT sum(q) FROM q{k}) AS th FROM t{k - 1} t LEFT JOIN q{k} q ON q.i = t.i)""")
+    return ", ".join(out) + f" SELECT i AS isoform, round(th, 8) AS theta FROM t{rounds}"
+
+
+@query(theta_sql(3))
+def em_theta_k3(spark, sf_dir) -> DataFrame:
+    """Three rounds with suffix sums made anew in each: orders as reads of their largest quantity, parts as isoforms."""
+    iso = table(spark, sf_dir, "part").selectExpr("p_partkey as isoform", "cast(p_size + 30 as bigint) as iso_len")
+    rows = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey as name", "l_suppkey * 20 as isoform", "cast(l_quantity as bigint) as q")
+    read_iso = rows.join(iso, "isoform").groupBy("name", "isoform", "iso_len").agg(F.max("q").alias("q"))
+    read_iso = read_iso.selectExpr("*", "0L as off5", "iso_len - q as off3", "'c' as chr", "'g' as gene", "array(0) as path")
+    lengths = readlen.read_lengths(read_iso)
+    hist = readlen.histogram(lengths)
+    start = global_em.starting_theta(iso, "LR", lr=readlen.fractional_counts(read_iso))
+    found, _ = global_em.iterate(global_em.length_patterns(read_iso, lengths), readlen.cdf_at(hist, iso, "iso_len"), hist, start, rounds=3, tolerance=0.0)
+    return found.select("isoform", F.round("theta", 8).alias("theta"))
+
+
+@query("""WITH g AS (SELECT p_partkey AS i, -ln((('0x' || substr(md5(p_partkey || '-7'), 1, 12))::bigint + 0.5::double) / 281474976710656.0::double) AS x FROM part),
+r AS (SELECT i, x / sum(x) OVER () * (SELECT sum(l_quantity) FROM lineitem) AS n FROM g)
+SELECT i AS isoform, round((n + 2.5) / sum(n + 2.5) OVER (), 10) AS theta FROM r""")
+def theta_random_start(spark, sf_dir) -> DataFrame:
+    """A seeded draw as counts of all reads, raised by a pseudo-count."""
+    n = table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("isoform")).agg(F.sum("l_quantity").alias("theta"))
+    got = global_em.starting_theta(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("isoform")), "random", lr=n, strategy="add_eps", pseudo=2.5, seed=7)
+    return got.select("isoform", F.round("theta", 10).alias("theta"))
+
+
+@query("""WITH l AS (SELECT l_suppkey AS i, count(*)::double AS n FROM lineitem GROUP BY 1), s AS (SELECT s_suppkey AS i, coalesce(n, 0) AS lr, s_acctbal::double AS b FROM supplier LEFT JOIN l ON l.i = s_suppkey),
+p AS (SELECT i, lr, CASE WHEN b > 0 THEN b ELSE 0 END AS sr FROM s),
+u AS (SELECT i, lr + CASE WHEN lr / sum(lr) OVER () < 0.01 THEN 3 ELSE 0 END AS lr, sr + CASE WHEN sr / sum(sr) OVER () < 0.01 THEN 3 ELSE 0 END AS sr FROM p)
+SELECT i AS isoform, round((lr / sum(lr) OVER () + sr / sum(sr) OVER ()) / 2, 8) AS theta FROM u""")
+def theta_hybrid_start(spark, sf_dir) -> DataFrame:
+    """The mean of two kinds of counts, of which small shares are raised."""
+    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("isoform"), F.greatest("s_acctbal", F.lit(0.0)).alias("theta"))
+    n = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("isoform")).agg(F.count("*").cast("double").alias("theta"))
+    got = global_em.starting_theta(s, "hybrid", n, s, "add_eps_small", 0.01, 3.0)
+    return got.select("isoform", F.round("theta", 8).alias("theta"))
+
+
+@query("""WITH m AS (SELECT l_orderkey || '-' || l_linenumber AS name, l_suppkey AS i, l_suppkey % 10 * 10 + 50 AS l, cast(l_quantity AS bigint) AS a, l_linenumber AS b FROM lineitem),
+t AS (SELECT s_suppkey % 10 * 10 + 50 AS l, sum(s_suppkey % 4) / (SELECT sum(s_suppkey % 4) FROM supplier)::double AS share FROM supplier WHERE s_suppkey IN (SELECT i FROM m) GROUP BY 1)
+SELECT name, i AS isoform, round(CASE WHEN share > 0 THEN exp(-0.5 * (pow((m.l - 90) / 30.0, 2) + pow((a - 20) / 9.0, 2) + pow((b - 3) / 2.0, 2)) - ln(30 * 9 * 2)) / share ELSE 0 END, 9) AS p FROM m JOIN t ON t.l = m.l""")
+def cond_prob_scored(spark, sf_dir) -> DataFrame:
+    """Probabilities by a density model, here a Gaussian kernel of one sample."""
+    rows = table(spark, sf_dir, "lineitem").selectExpr("concat(l_orderkey, '-', l_linenumber) as name", "l_suppkey as isoform", "l_suppkey % 10 * 10 + 50 as iso_len", "cast(l_quantity as bigint) as off5", "cast(l_linenumber as bigint) as off3")
+    theta = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("isoform"), (F.col("s_suppkey") % 4).alias("n"))
+    theta = theta.crossJoin(F.broadcast(theta.agg(F.sum("n").alias("total")))).select("isoform", (F.col("n") / F.col("total")).alias("theta"))  # one row
+
+    def score(x):
+        return -0.5 * (((x - [90, 20, 3]) / [30, 9, 2]) ** 2).sum(axis=1) - np.log(30 * 9 * 2)
+
+    return global_em.scored_probabilities(rows, theta, score).select("name", "isoform", F.round("p", 9).alias("p"))
+
+
+# ---------------------------------------------------------------- densities
+
+
+def kernel_sql(distance: str, width: float) -> str:
+    return f"exp(-0.5 * pow(({distance}) / {width}::double, 2)) / ({width}::double * sqrt(2 * pi()))"
+
+
+DENSITY = f"""s AS (SELECT l_partkey * 7 % 1500 + 1 AS a, cast(l_quantity AS bigint) * 8 AS b, count(*) AS n FROM lineitem GROUP BY 1, 2),
+w AS (SELECT l, b, sum(n * {kernel_sql("l - a", 40.0)}) AS w FROM lens JOIN s ON l BETWEEN a - 160 AND a + 160 GROUP BY 1, 2),
+d AS (SELECT l, t, sum(w * {kernel_sql("t - b", 10.0)}) / (SELECT count(*) FROM lineitem) AS d FROM w JOIN range(1, 441) r(t) ON t BETWEEN b - 40 AND b + 40 GROUP BY 1, 2)"""
+
+
+def read_density_of(spark, sf_dir, lengths: DataFrame) -> DataFrame:
+    samples = table(spark, sf_dir, "lineitem").groupBy(F.expr("l_partkey * 7 % 1500 + 1").alias("iso_len"), F.expr("cast(l_quantity as bigint) * 8").alias("read_len")).agg(F.count("*").alias("n"))
+    return density.density(samples, lengths, 40.0, 10.0)
+
+
+@query(f"WITH lens AS (SELECT DISTINCT cast(p_size * 29 AS bigint) AS l FROM part), {DENSITY} SELECT l AS iso_len, t AS read_len, round(d, 12) AS d FROM d")
+def read_density(spark, sf_dir) -> DataFrame:
+    """Density of line items' quantities as read lengths, at isoform lengths from parts' sizes."""
+    got = read_density_of(spark, sf_dir, table(spark, sf_dir, "part").select((F.col("p_size") * 29).cast("long").alias("iso_len")))
+    return got.select("iso_len", F.col("read_len").cast("long").alias("read_len"), F.round("d", 12).alias("d"))
+
+
+@query(f"""WITH {SLICES}, il AS (SELECT gene, isoform, cast(sum(e - s + 1) AS bigint) AS l FROM exons GROUP BY 1, 2), lens AS (SELECT DISTINCT l FROM il), {DENSITY},
+g AS (SELECT DISTINCT gene, isoform, path, len, first, last, inner_len AS il, j - i + 1 AS k, least(first, last) AS lo, greatest(first, last) AS hi FROM named
+  WHERE len > 150 AND (j = i OR (first > 1 AND last > 1 AND (j - i = 1 OR inner_len + 2 <= 150)))),
+p AS (SELECT g.gene, g.isoform, path, d * CASE WHEN k = 1 THEN CASE WHEN t <= len THEN len - t + 1 ELSE 0 END
+    WHEN t >= g.il + hi + 2 AND t <= first + last + g.il THEN first + last + g.il - t + 1 WHEN t >= g.il + lo + 1 AND t <= g.il + hi + 1 THEN lo
+    WHEN t >= g.il + 2 AND t <= g.il + lo THEN t - 1 - g.il ELSE 0 END AS x FROM g JOIN il ON il.gene = g.gene AND il.isoform = g.isoform LEFT JOIN d ON d.l = il.l)
+SELECT gene, isoform, path AS region, round(coalesce(sum(x), 0), 8) AS weight FROM p GROUP BY 1, 2, 3""")
+def density_region_weights(spark, sf_dir) -> DataFrame:
+    """The weights of regions by that density, from running sums."""
+    x = order_exons(spark, sf_dir)
+    segs, iso = paths.segments(x), paths.isoforms(x)
+    regions = paths.regions(paths.paths(segs, x), segs, KValueSettings())
+    held = read_density_of(spark, sf_dir, iso.select(F.col("length").cast("long").alias("iso_len")))
+    return density.region_weights(regions, iso, held).select("gene", "isoform", "region", F.round("weight", 8).alias("weight"))
+
+
+# ---------------------------------------------------------------- lookups and statistics
+
+
+@query("""WITH b AS (SELECT o_orderkey, o_orderkey % 20 AS chr, o_orderkey * 3 AS s, o_orderkey * 3 + o_orderkey % 40 AS e FROM orders)
+SELECT event_id, b.s AS first, b.e AS last, b.o_orderkey FROM events LEFT JOIN b ON b.chr = user_id % 20 AND event_id * 5 BETWEEN b.s AND b.e""")
+def bracket_lookup(spark, sf_dir) -> DataFrame:
+    """The disjoint bracket of each point, by one sorted pass."""
+    brackets = table(spark, sf_dir, "orders").selectExpr("o_orderkey", "o_orderkey % 20 as chr", "o_orderkey * 3 as start", "o_orderkey * 3 + o_orderkey % 40 as end")
+    points = table(spark, sf_dir, "events").selectExpr("event_id", "user_id % 20 as chr", "event_id * 5 as at")
+    got = intervals.bracket_of(points, brackets, ["chr"], values=["o_orderkey"])
+    return got.select("event_id", F.col("start").alias("first"), F.col("end").alias("last"), "o_orderkey")
+
+
+BEST = f"""{RANGES}, p AS (SELECT event_id, user_id % 20 AS chr, event_id AS pos, event_id % 90 + 1 AS len FROM events),
+o AS (SELECT event_id, p.chr, o_orderkey::varchar AS gene, ge - gs + 1 + len - (greatest(pos + len, ge) - least(pos, gs) + 1) AS shared FROM p JOIN g ON p.chr = g.chr AND gs < pos + len AND ge + 1 > pos),
+best AS (SELECT * FROM o WHERE shared > 0 QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY shared DESC, gene) = 1)"""
+
+
+def reads_and_genes(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    reads = table(spark, sf_dir, "events").selectExpr("event_id as name", "user_id % 20 as chr", "event_id as pos", "event_id % 90 + 1 as length")
+    genes = table(spark, sf_dir, "orders").selectExpr("o_custkey % 20 as chr", "cast(o_orderkey as string) as gene", "o_orderkey as start", "o_orderkey + 40 + o_orderkey % 50 as end")
+    return reads, genes
+
+
+@query(f"WITH {BEST} SELECT event_id, gene, shared FROM best")
+def best_overlap_gene(spark, sf_dir) -> DataFrame:
+    """The gene that a read shares most bases with."""
+    return mapping.best_gene(*reads_and_genes(spark, sf_dir)).select(F.col("name").alias("event_id"), "gene", F.col("overlap").alias("shared"))
+
+
+@query(f"WITH {BEST} SELECT chr, gene, list_sort(list(shared))[1 + count(*) // 10] AS decile FROM best GROUP BY 1, 2")
+def gene_overlap_decile(spark, sf_dir) -> DataFrame:
+    """The lowest decile of those overlaps, by gene."""
+    return mapping.least_overlaps(*reads_and_genes(spark, sf_dir))
+
+
+OWNED = f"{SLICES}, x AS (SELECT gene, isoform, path, j - i + 1 AS k, max(j - i + 1) OVER (PARTITION BY gene, isoform) AS most, min(string_split(path, ',')::int[]) OVER (PARTITION BY gene, isoform) AS least, len FROM named)"
+
+
+@query(f"WITH {OWNED} SELECT DISTINCT gene, path FROM x WHERE CASE WHEN most > 1 THEN k >= most - 1 ELSE string_split(path, ',')::int[] = least END")
+def near_maximal_regions(spark, sf_dir) -> DataFrame:
+    """Regions within one segment of the longest of an isoform."""
+    x = order_exons(spark, sf_dir)
+    segs = paths.segments(x)
+    return paths.near_maximal(paths.slices(paths.paths(segs, x), segs)).select("gene", F.expr(JOINED).alias("path"))
+
+
+@query(f"""WITH {OWNED}, r AS (SELECT gene, path, any_value(len) % 5 AS n, count(DISTINCT isoform) AS owners, median(most - k) AS distance FROM x GROUP BY 1, 2)
+SELECT CASE WHEN owners > 1 THEN 'multi' ELSE 'unique' END AS kind, distance, cast(sum(n) AS bigint) AS n FROM r WHERE n > 0 GROUP BY 1, 2""")
+def segment_distances(spark, sf_dir) -> DataFrame:
+    """Reads (of a number by the region's length) by how far their region is from whole."""
+    x = order_exons(spark, sf_dir)
+    segs = paths.segments(x)
+    return supported.segment_distances(paths.slices(paths.paths(segs, x), segs).withColumn("n", F.col("len") % 5))

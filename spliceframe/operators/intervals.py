@@ -82,3 +82,28 @@ def overlap_join(left: DataFrame, right: DataFrame, keys: list[str], tolerance:
     )
     first = F.greatest(F.floor((F.col("start") - tolerance) / width), F.floor(F.col("r_start") / width))
     return met.where(F.col("_bin") == first).drop("_bin")
+
+
+def as_of(points: DataFrame, table: DataFrame, keys: list[str], at: str, values: list[str]) -> DataFrame:
+    """Distinct points (keys, at) plus values: those of the row of table (keys, at, values) with the greatest `at` up to
+    the point's, null where there is none. One pass over both, sorted by key: no bins and no pairs. Of rows of the table
+    with equal keys and at, the one of the greatest values counts."""
+    rows = table.groupBy(*keys, at).agg(F.max(F.struct(*values)).alias("_held"))
+    asked = points.select(*keys, at).distinct()
+    both = rows.select(*keys, at, "_held", F.lit(0).alias("_asked")).unionByName(
+        asked.select(*keys, at, F.lit(None).cast(rows.schema["_held"].dataType).alias("_held"), F.lit(1).alias("_asked"))
+    )
+    order = Window.partitionBy(*keys).orderBy(at, "_asked").rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumn("_held", F.last("_held", ignorenulls=True).over(order)).where("_asked = 1")
+    return found.select(*keys, at, *[F.col("_held")[v].alias(v) for v in values])
+
+
+def bracket_of(points: DataFrame, brackets: DataFrame, keys: list[str], at: str = "at", values: list[str] | None = None) -> DataFrame:
+    """points plus start, end and values of the disjoint closed bracket (keys, start, end, values) that holds `at`; null in
+    gaps. A point's bracket is the last one that starts by it, if it hasn't ended."""
+    columns = ["end", *(values or [])]
+    named = brackets.select(*keys, F.col("start").alias(at), "start", *columns)
+    found = as_of(points, named, keys, at, ["start", *columns])
+    inside = F.col("end") >= F.col(at)
+    held = found.select(*keys, at, *[F.when(inside, F.col(c)).alias(c) for c in ("start", *columns)])
+    return points.join(held, [*keys, at], "left")

@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 
 from ..config import QuantifySettings
 from ..functions.columns import best_gene_fold, blocks, cigar_lengths, mapped_length
-from .intervals import range_join
+from .intervals import overlap_join, range_join
 from .paths import GENE
+from .readlen import order_statistics
 
 
 def placements(reads: DataFrame) -> DataFrame:
@@ -191,3 +192,20 @@ def read_qc(read_iso: DataFrame, exon_counts: DataFrame) -> DataFrame:
 def region_counts(mapped: DataFrame) -> DataFrame:
     """rows (chr, gene, path, n, lengths): reads of each region and their lengths."""
     return mapped.groupBy(*GENE, "path").agg(F.count("*").alias("n"), F.collect_list("read_length").alias("lengths"))
+
+
+def best_gene(reads: DataFrame, genes: DataFrame) -> DataFrame:
+    """rows (name, chr, gene, overlap): of genes (chr, gene, start, end) that a read (name, chr, pos, length) overlaps, the
+    one that shares most bases with it, counting one more past its end; of equal ones the least."""
+    left = reads.withColumns({"start": F.col("pos"), "end": F.expr("pos + length - 1")})
+    met = overlap_join(left, genes.withColumnsRenamed({"start": "r_start", "end": "r_end"}), ["chr"])
+    span = F.greatest(F.col("pos") + F.col("length"), "r_end") - F.least("pos", "r_start") + 1
+    met = met.withColumn("overlap", F.col("r_end") - F.col("r_start") + 1 + F.col("length") - span).where("overlap > 0")
+    best = F.min(F.struct((-F.col("overlap")).alias("less"), "gene")).alias("best")
+    return met.groupBy("name", "chr", "pos", "length").agg(best).select("name", "chr", F.col("best.gene").alias("gene"), (-F.col("best.less")).alias("overlap"))
+
+
+def least_overlaps(reads: DataFrame, genes: DataFrame, part: int = 10) -> DataFrame:
+    """rows (chr, gene, decile): of the overlaps of a gene's reads in order, the one at their number div part."""
+    found = best_gene(reads, genes).withColumn("key", F.struct("chr", "gene"))
+    return order_statistics(found, "key", "overlap", {"decile": part}).select("key.chr", "key.gene", "decile")

@@ -122,3 +122,13 @@ def gene_info(exons: DataFrame, segs: DataFrame) -> DataFrame:
     )
     split = segs.groupBy(*GENE).agg(F.count("*").alias("num_split_exons"))
     return raw.join(split, GENE, "left").withColumn("num_split_exons", F.coalesce("num_split_exons", F.lit(0)))
+
+
+def near_maximal(rows: DataFrame) -> DataFrame:
+    """Of regions (chr, gene, path, isoforms, ...), those that some isoform keeps: of its regions the ones within one
+    segment of the longest, or, where none has two segments, one alone (the least path)."""
+    own = Window.partitionBy(*GENE, "isoform")
+    each = rows.select(*GENE, "path", F.explode("isoforms").alias("isoform")).withColumn("_size", F.size("path"))
+    each = each.withColumn("_most", F.max("_size").over(own)).withColumn("_first", F.min("path").over(own))
+    kept = each.where("if(_most > 1, _size >= _most - 1, path = _first)").select(*GENE, "path").distinct()
+    return rows.join(kept, [*GENE, "path"], "left_semi")

@@ -111,3 +111,14 @@ def coordinates(regions: DataFrame, segs: DataFrame) -> DataFrame:
     )
     text = F.array_join(F.transform("path", lambda p: F.col("at")[p]), ",")
     return regions.select(*GENE, "path").distinct().join(gene, GENE).select(*GENE, "path", text.alias("coordinates"))
+
+
+def segment_distances(regions: DataFrame) -> DataFrame:
+    """rows (kind, distance, n): reads by how many segments their region (chr, gene, path, isoforms, n) lacks of the longest
+    listed region of its isoform (unique), or of the median of its isoforms (multi)."""
+    each = regions.where("size(isoforms) > 0").select(*GENE, "path", "n", F.explode("isoforms").alias("isoform"))
+    most = F.max(F.size("path")).over(Window.partitionBy(*GENE, "isoform"))
+    each = each.withColumn("short", most - F.size("path")).where("n > 0")
+    one = each.groupBy(*GENE, "path").agg(F.first("n").alias("n"), F.count("*").alias("owners"), F.median("short").alias("distance"))
+    kind = F.when(F.col("owners") > 1, "multi").otherwise("unique")
+    return one.groupBy(kind.alias("kind"), "distance").agg(F.sum("n").alias("n"))
