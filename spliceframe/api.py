@@ -98,7 +98,7 @@ def k_values(
 
     long_reads and short_reads, if given, are genome-aligned SAM paths or tables of alignments, whose counts decide which
     regions take part. weights (a Parquet path or a table: chr, gene, isoform, region, weight) replaces the cells of the
-    long-read matrix.
+    long-read matrix in genes with long reads.
     """
     s = settings or KValueSettings()
     exons = formats.exons(spark, annotation) if isinstance(annotation, str) else annotation
@@ -135,8 +135,11 @@ def k_values(
     sr_matrix = condition.entries(sr, weight, s.normalize_sr)
     sr_plain, lr_matrix = condition.entries(sr, ones, s.normalize_sr), condition.entries(lr, ones, s.normalize_lr)
     if weights is not None:
+        if lrs is None:
+            raise ValueError("weights take the place of cells of genes with long reads, and there are no long reads")
         table = formats.region_weights(spark, weights) if isinstance(weights, str) else weights
-        lr_matrix = supported.weighted(lr_matrix, table)
+        seen = lr.where("n > 0").select(*GENE).distinct()
+        lr_matrix = supported.weighted(lr_matrix, table.join(seen, GENE, "left_semi"))
 
     gram_of = lambda m: settle(condition.gram(m, GENE))
     lr_gram = gram_of(lr_matrix)
@@ -184,7 +187,8 @@ def region_abundance(found: KValues, alpha: float = 1.0, beta: float = 1e-6, uni
 
 @dataclass
 class Abundance:
-    """isoforms (isoform, gene, eff, theta, community, community reads, tpm) and what led there."""
+    """isoforms (isoform, gene, eff, theta, community, community reads, tpm) and what led there. lr_counts, sr_counts: reads
+    dealt evenly among their isoforms, short ones over the effective length; what EM is often compared with."""
 
     isoforms: DataFrame
     lr_patterns: DataFrame | None
@@ -192,6 +196,8 @@ class Abundance:
     mapped: DataFrame | None
     rejected: DataFrame | None
     alphas: DataFrame | None
+    lr_counts: DataFrame | None = None
+    sr_counts: DataFrame | None = None
 
     def table(self, hybrid: bool) -> DataFrame:
         eff = [F.col("eff").alias("Effective length")] if hybrid else []
@@ -210,6 +216,11 @@ class Abundance:
                 columns = {c: n for c, n in EXPRESSION_COLUMNS.items() if c != "eff" or kind == "SR"}
                 columns[f"community_num_{kind.lower()}s"] = f"community_num_{kind}s"
                 sinks.write_tsv(self.expression(kind).select(*named(columns)), f"{directory}/{kind}_EM_expression.out", ["Gene", "Isoform"])
+        for kind, counts in (("LR", self.lr_counts), ("SR", self.sr_counts)):
+            if counts is not None:
+                every = self.isoforms.select("isoform", "gene").join(counts, "isoform", "left").fillna(0.0, ["theta"])
+                named_ = every.select(F.col("isoform").alias("Isoform"), F.col("gene").alias("Gene"), F.col("theta").alias("Count"))
+                sinks.write_tsv(named_, f"{directory}/{kind}_count.tsv", ["Gene", "Isoform"])
         sinks.write_tsv(self.trace(), f"{directory}/EM_iterations.tsv", ["isoform", "round"])
         if self.alphas is not None:
             error = F.col("error") if "error" in self.alphas.columns else F.lit(None).cast("double").alias("error")
@@ -230,13 +241,14 @@ def quantify(
     long_reads: str | DataFrame | None = None,
     short_reads: str | None = None,
     settings: QuantifySettings | None = None,
-    model: Callable | None = None,
+    model: Callable | dict[tuple[int, int], Callable] | None = None,
     read_length_overrides: str | DataFrame | None = None,
 ) -> Abundance:
     """Isoform abundances from long reads, short reads or both (settings.em_choice).
 
     Hybrid weighs long reads by settings.alpha, by a table (alpha_path), or by a model: a function from the SELECTED
-    features to 21 errors.
+    features to 21 errors, or several by the numbers of long and short reads they were trained at, of which the nearest
+    is taken.
     """
     s = settings or QuantifySettings()
     use_lr, use_sr = s.em_choice in ("LR", "hybrid"), s.em_choice in ("SR", "hybrid")
@@ -247,7 +259,7 @@ def quantify(
         read_length_overrides = formats.read_length_overrides(spark, read_length_overrides)
     segs, iso = paths.segments(exons), paths.isoforms(exons)
     iso_paths = paths.paths(segs, exons)
-    mapped = rejected = lr = sr = eff = read_iso = fragments = None
+    mapped = rejected = lr = sr = eff = read_iso = fragments = lr_counts = sr_counts = None
     if use_lr:
         reads = formats.alignments(spark, long_reads, s.read_filter) if isinstance(long_reads, str) else long_reads
         mapped = mapping.map_reads(reads, paths.gene_segments(segs), iso_paths, s)
@@ -256,7 +268,10 @@ def quantify(
         read_iso = settle(mapping.isoform_offsets(mapped, owned, iso, s.strand_strict))
         unique = s.initial_theta.endswith("_unique")
         lr = settle(communities.patterns(readlen.compatibilities(read_iso, iso, s.cond_prob, unique, s.floor, read_length_overrides), "p"))
+        lr_counts = readlen.fractional_counts(read_iso, unique)
     if use_sr:
+        if not formats.first_read_length(spark, short_reads, 0):
+            raise ValueError(f"no short read in {short_reads} has a CIGAR")
         known = iso.select("isoform", "length")
         every = formats.all_fragment_lengths(spark, short_reads).join(known, "isoform", "left_semi")
         mean, std = shortread.fragment_statistics(every)
@@ -265,10 +280,14 @@ def quantify(
         eff = settle(shortread.effective_lengths(lengths, mean, std))
         fragments = formats.fragments(spark, short_reads).join(known, "isoform", "left_semi")
         sr = settle(communities.patterns(shortread.compatibilities(fragments, eff, mean, std), "w"))
+        sr_counts = shortread.fractional_counts(fragments, eff)
     tables = [t for t in (lr, sr) if t is not None]
     members = settle(communities.communities(iso.select("isoform", "gene"), *tables))
+    if isinstance(model, dict):
+        n_lr, n_sr = (t.agg(F.sum("n")).first()[0] or 0 if t is not None else 0 for t in (lr, sr))
+        model = model[features.nearest_model({m: m for m in model}, n_lr, n_sr)]
     alphas = community_alphas(spark, s, members, model, exons, segs, iso, iso_paths, read_iso, fragments) if use_sr else None
-    solved = em.run(members, lr, sr, eff, alphas, s)
+    solved = settle(em.run(members, lr, sr, eff, alphas, s))  # read by each of the files
 
     def reads_of(table: DataFrame | None, name: str) -> DataFrame:
         if table is None:
@@ -286,7 +305,7 @@ def quantify(
         out = em.tpm_of_reads(out, F.col("community_num_lrs"), F.lit(n or 1))
     else:
         out = em.tpm_of_bases(out, F.col("community_num_srs"))
-    return Abundance(out, lr, sr, mapped, rejected, alphas)
+    return Abundance(out, lr, sr, mapped, rejected, alphas, lr_counts, sr_counts)
 
 
 def quantify_globally(

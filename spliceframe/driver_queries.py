@@ -415,7 +415,7 @@ def read_offsets(spark, sf_dir):
 def region_counts(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem").selectExpr("'c' as chr", "l_suppkey as gene", "array(l_linenumber) as path", "cast(l_quantity as bigint) as read_length")
     got = mapping.region_counts(rows)
-    return got.select("gene", F.col("path")[0].alias("region"), "n", F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x).alias("bases"))
+    return got.select("gene", F.col("path")[0].alias("region"), "n", F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x.read_length * x.n).alias("bases"))
 
 
 @query("""SELECT DISTINCT l_orderkey FROM lineitem WHERE l_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_linenumber + 4 - 1 > 7 AND l_quantity / 100.0 <= 0.2)""")
@@ -533,7 +533,16 @@ def em_hybrid_k3(spark, sf_dir):
     return theta.select("isoform", F.round("theta", 8).alias("theta"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {READS}, s AS (SELECT s_suppkey AS i, s_nationkey::varchar AS g FROM supplier),
+e AS (SELECT DISTINCT x.g AS u, y.g AS v FROM (SELECT r, g FROM c JOIN s USING (i)) x JOIN (SELECT r, min(g) AS g FROM c JOIN s USING (i) GROUP BY 1) y USING (r)),
+ties AS (SELECT u, v FROM e UNION SELECT v, u FROM e), reach AS (SELECT DISTINCT g AS node, g AS label FROM s UNION SELECT b.u, l.label FROM reach l JOIN ties b ON b.v = l.node),
+com AS (SELECT i, community, 1.0::double / count(*) OVER (PARTITION BY community) AS start FROM s JOIN (SELECT node, min(label) AS community FROM reach GROUP BY 1) ON node = g),
+st AS (SELECT 0 AS k, i, community, start AS th, true AS moved FROM com
+UNION ALL SELECT k + 1, i, community, th, max(ABS(th - old) > 1e-6 * th AND th > 1e-7) OVER (PARTITION BY community) FROM (
+  SELECT st.k, st.i, st.community, st.th AS old, coalesce(q, 0) / sum(q) OVER (PARTITION BY st.community) AS th FROM st LEFT JOIN (
+    SELECT i, sum(x) AS q FROM (SELECT c.i, p * th / sum(p * th) OVER (PARTITION BY r) AS x FROM c JOIN st USING (i) WHERE moved AND k < 200) GROUP BY 1) n ON n.i = st.i
+  WHERE st.moved AND st.k < 200))
+SELECT community, i::varchar AS isoform, round(th, 5) AS theta FROM st QUALIFY row_number() OVER (PARTITION BY i ORDER BY k DESC) = 1""")
 def em_to_convergence(spark, sf_dir):
     """Communities of suppliers (by nation) solved to the end."""
     rows = compat(spark, sf_dir).selectExpr("read as name", "cast(isoform as string) as isoform", "p")

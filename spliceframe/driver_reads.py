@@ -11,10 +11,10 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .api import k_values
+from .api import k_values, quantify
 from .config import KValueSettings, QuantifySettings
 from .driver_queries import JOINED, compat, exons as order_exons, query, table  # noqa: F401
-from .operators import communities, condition, em, features, mapping, paths, readlen, supported
+from .operators import communities, condition, em, features, mapping, paths, readlen, shortread, supported
 from .plans.scratch import shared_folder
 from .sources import formats, sinks
 
@@ -84,12 +84,12 @@ def read_isoforms(spark, sf_dir):
     return rows.select("name", "isoform", F.col("off5").cast("long").alias("off5"), F.col("off3").cast("long").alias("off3"))
 
 
-@query("""WITH l AS (SELECT l_orderkey, l_linenumber, md5(l_orderkey::varchar) AS h FROM lineitem) SELECT l_orderkey::varchar AS name, count(*) AS n, 1::bigint AS kept FROM l GROUP BY 1""")
+@query("""SELECT l_orderkey AS name, l_linenumber::varchar AS gene, l_partkey AS at FROM lineitem
+QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY md5(l_orderkey || ':' || l_linenumber), l_partkey) = 1""")
 def pick_one(spark, sf_dir):
-    rows = table(spark, sf_dir, "lineitem").selectExpr("cast(l_orderkey as string) as name", "cast(l_linenumber as string) as gene", "array(0) as path")
-    one = mapping.pick_one(rows).groupBy("name").agg(F.count("*").alias("kept"))
-    met = mapping.pick_one(rows).join(rows, ["name", "gene"], "left_semi")  # the picked ones are among the rows
-    return rows.groupBy("name").agg(F.count("*").alias("n")).join(one, "name").join(met.select("name"), "name").select("name", "n", "kept")
+    """One of each order's lines, as one gene of a read's ties."""
+    rows = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey as name", "cast(l_linenumber as string) as gene", "array(l_partkey) as path")
+    return mapping.pick_one(rows).select("name", "gene", F.col("path")[0].alias("at"))
 
 
 # ---------------------------------------------------------------- regions by reads
@@ -241,6 +241,43 @@ def outer_fill(spark, sf_dir):
     return readlen.with_expression(c, n).withColumnRenamed("isoform", "custkey")
 
 
+@query("""WITH f AS (SELECT DISTINCT l_orderkey AS r, l_linenumber AS i, (l_orderkey + l_linenumber) % 50 + 1 AS t FROM lineitem WHERE l_orderkey % 5 <> 0),
+k AS (SELECT r, i, count(*) OVER (PARTITION BY r) AS k FROM f)
+SELECT 'i' || i AS isoform, round(sum(1.0 / k) / coalesce(any_value(10.0 + p_size), 1.0), 6) AS theta FROM k LEFT JOIN part ON p_partkey = i GROUP BY i""")
+def short_fractional_counts(spark, sf_dir):
+    """Short reads of a file, dealt evenly among their isoforms and over effective lengths."""
+    eff = table(spark, sf_dir, "part").select(F.concat(F.lit("i"), "p_partkey").alias("isoform"), (10.0 + F.col("p_size")).alias("eff"))
+    got = shortread.fractional_counts(formats.fragments(spark, short_sam(spark, sf_dir)), eff)
+    return got.select("isoform", F.round("theta", 6).alias("theta"))
+
+
+def two_isoform_sql(rounds: int) -> str:
+    out = [f"""WITH {READS}, i AS (SELECT o_orderkey AS r, k, 'a' AS i, 300 AS l, off, read_length AS n FROM m WHERE kind < 2 UNION ALL SELECT o_orderkey, k, 'b', 200, off, read_length FROM m WHERE kind <> 1),
+s AS (SELECT r, greatest(max(l - (off + 1) - greatest(l - off - 1 - n, 0)), 0) AS len FROM i GROUP BY 1),
+w AS (SELECT i.r, k, i, CASE WHEN l - len + 1 <= 0 THEN 0 ELSE 1.0::double / (l - len + 1) END AS p FROM i JOIN s USING (r)),
+t0 AS (SELECT c_custkey AS k, unnest(['a', 'b']) AS i, 0.5::double AS th FROM customer)"""]
+    for k in range(1, rounds + 1):
+        out.append(f"""q{k} AS (SELECT k, i, sum(x) AS q FROM (SELECT w.k, w.i, p * th / CASE WHEN sum(p * th) OVER (PARTITION BY r) = 0 THEN 1 ELSE sum(p * th) OVER (PARTITION BY r) END AS x FROM w JOIN t{k - 1} t ON t.k = w.k AND t.i = w.i) GROUP BY 1, 2),
+t{k} AS (SELECT t.k, t.i, coalesce(q, 0) / coalesce(sum(q) OVER (PARTITION BY t.k), 1) AS th FROM t0 t LEFT JOIN q{k} q ON q.k = t.k AND q.i = t.i)""")
+    return ", ".join(out) + f""", reads AS (SELECT k, count(DISTINCT r) AS n FROM w GROUP BY 1)
+SELECT t.i || t.k AS "Isoform", t.k::varchar AS "Gene", round(coalesce(n, 0) / (SELECT sum(n) FROM reads)::double * th * 1e6, 3) AS tpm, round(th, 6) AS theta, t.k::varchar AS community, coalesce(n, 0) AS num_lrs
+FROM t{rounds} t LEFT JOIN reads ON reads.k = t.k"""
+
+
+@query(two_isoform_sql(6))
+def abundance_files(spark, sf_dir):
+    """Abundances from long reads, six rounds: the two files written and read back."""
+    s = QuantifySettings(cond_prob="no_read_length", max_iterations=6, relative_tolerance=0.0, tested_above=0.0)
+    path = scratch(spark, "abundance")
+    quantify(spark, gene_exons(spark, sf_dir), order_reads(spark, sf_dir), settings=s).write(path)
+    read = lambda name, schema: spark.read.csv(f"{path}/{name}", sep="\t", header=True, schema=schema)
+    tpm = read("Isoform_abundance.out", "Isoform string, Gene string, TPM double")
+    more = read("LR_EM_expression.out", "Isoform string, Gene string, t double, theta double, community string, community_num_LRs long")
+    return tpm.join(more.drop("Gene", "t"), "Isoform").select(
+        "Isoform", "Gene", F.round("TPM", 3).alias("tpm"), F.round("theta", 6).alias("theta"), "community", F.col("community_num_LRs").alias("num_lrs")
+    )
+
+
 # ---------------------------------------------------------------- features
 
 
@@ -360,9 +397,15 @@ def sam_header(spark, sf_dir):
     return formats.sequence_lengths(spark, short_sam(spark, sf_dir)).select("isoform", F.col("length").cast("long").alias("length"))
 
 
-@query("SELECT 16::bigint AS n")
+@query("""SELECT cast(l_quantity + l_linenumber AS bigint) AS n FROM lineitem ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity LIMIT 1""")
 def sniffed_length(spark, sf_dir):
-    n = formats.first_read_length(spark, short_sam(spark, sf_dir))
+    """The length of the first record of sorted files that has a CIGAR, here after records without."""
+    order = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity"]
+    rows = table(spark, sf_dir, "lineitem").select(*order).orderBy(*order)
+    line = lambda cigar: sam_line(F.col("l_orderkey"), F.lit(0), F.lit("i1"), F.lit(1), F.lit(60), cigar, F.lit("="), F.lit(1), F.lit(9), F.lit("*"), F.lit("*"))  # noqa: E731, E501
+    cigar = F.concat(F.col("l_quantity").cast("int"), F.lit("M3N"), F.col("l_linenumber"), F.lit("S4H"))
+    path = put_lines(rows.select(F.concat_ws("\n", F.lit("@CO\tnote"), line(F.lit("*")), line(cigar)).alias("value")), "sorted-sam")
+    n = formats.first_read_length(spark, f"{path}/part-00000*")
     return spark.range(1).select(F.lit(n).cast("long").alias("n"))
 
 

@@ -1,8 +1,8 @@
 """Mapping long reads to regions of genes.
 
 Reads with one placement and CIGAR map alike, so distinct alignments are mapped once. Genes are found by a range join;
-the search for the best chain of segments runs per (alignment, gene) over Arrow batches; the choice among genes is a
-JVM fold.
+the search for the best chain of segments runs per (alignment, gene) over Arrow batches, gene by gene; the choice among
+genes is a JVM fold.
 """
 
 from __future__ import annotations
@@ -15,10 +15,14 @@ from pyspark.sql import functions as F
 
 from ..config import QuantifySettings
 from ..functions.columns import best_gene_fold, blocks, cigar_lengths, mapped_length
+from ..plans.scratch import settle
 from .intervals import overlap_join, range_join
 from .paths import GENE
 from .readlen import order_statistics
 
+GROUP_ROWS = 200_000  # placements of one gene in one task, about
+BROADCAST_GENES = 100_000  # genes of more than that; beyond, they are joined by a shuffle
+
 
 def placements(reads: DataFrame) -> DataFrame:
     """rows (chr, pos, cigar, blocks, r_start, r_end, read_length): distinct alignments that begin and end in a block."""
@@ -107,27 +111,40 @@ def best_chain(read: list[tuple[int, int]], segs: list[tuple[int, int]], paths:
     return chains[0]
 
 
-def map_placements(candidates: DataFrame, s: QuantifySettings) -> DataFrame:
-    """candidates (chr, pos, cigar, blocks, gene, segs, paths) -> (chr, pos, cigar, gene, path, overlap, length)."""
+def map_placements(candidates: DataFrame, genes: DataFrame, s: QuantifySettings) -> DataFrame:
+    """candidates (chr, pos, cigar, blocks, gene) -> (chr, pos, cigar, gene, path, overlap, length); genes: (chr, gene, segs,
+    paths).
+
+    A gene's segments and paths go once to each task that searches it, ahead of its placements. The placements of a gene
+    that has more than GROUP_ROWS are dealt over several tasks. candidates are read twice.
+    """
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        genes: dict[tuple, tuple] = {}
+        gene: tuple = ()
         for batch in batches:
             out = []
             for row in batch.itertuples(index=False):
-                key = (row.chr, row.gene)
-                if key not in genes:
-                    if len(genes) > 2000:
-                        genes.clear()
-                    genes[key] = ([(x["s"], x["e"]) for x in row.segs], Paths(list(row.paths)))
+                if row.segs is not None:
+                    gene = ([(x["s"], x["e"]) for x in row.segs], Paths(list(row.paths)))
+                    continue
                 read = [(x["s"], x["e"]) for x in row.blocks]
-                got = best_chain(read, *genes[key], s.end_tolerance, s.junction_tolerance, s.least_block)
+                got = best_chain(read, *gene, s.end_tolerance, s.junction_tolerance, s.least_block)
                 if got:
                     out.append((row.chr, row.pos, row.cigar, row.gene, list(got[0]), got[1], got[2]))
             yield pd.DataFrame(out, columns=["chr", "pos", "cigar", "gene", "path", "overlap", "length"])
 
+    sizes = candidates.groupBy(*GENE).agg(F.count("*").alias("n")).where(F.col("n") > GROUP_ROWS)
+    large = settle(sizes.select(*GENE, F.ceil(F.col("n") / GROUP_ROWS).alias("parts")))
+    large = F.broadcast(large) if large.count() <= BROADCAST_GENES else large
+    parts = F.coalesce("parts", F.lit(1).cast("long"))
+    rows = candidates.join(large, GENE, "left").withColumn("part", F.pmod(F.xxhash64("pos", "cigar"), parts))
+    held = genes.join(large, GENE, "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
+    rows = rows.select(*GENE, "part", "pos", "cigar", "blocks")
+    held = held.select(*GENE, "part", "segs", "paths")
+    both = held.unionByName(rows, allowMissingColumns=True).repartition(*GENE, "part")
+    dealt = both.sortWithinPartitions(*GENE, "part", F.col("segs").isNull())
     schema = "chr string, pos int, cigar string, gene string, path array<int>, overlap long, length long"
-    return candidates.select("chr", "pos", "cigar", "blocks", "gene", "segs", "paths").mapInPandas(search, schema)
+    return dealt.mapInPandas(search, schema)
 
 
 def choose_genes(mapped: DataFrame) -> DataFrame:
@@ -138,10 +155,11 @@ def choose_genes(mapped: DataFrame) -> DataFrame:
 
 
 def pick_one(kept: DataFrame) -> DataFrame:
-    """One gene of each read's ties, by a hash of its name: rows (name, ..., gene, path) with a name column."""
-    order = F.pmod(F.xxhash64("name", "gene"), F.lit(2**31))
+    """One gene of each read's ties, that of the least MD5 of name:gene (then the least path): rows (name, ..., gene, path)
+    with a name column."""
+    order = F.md5(F.concat_ws(":", F.col("name").cast("string"), F.col("gene").cast("string")))
     cols = [c for c in kept.columns if c != "name"]
-    best = kept.groupBy("name").agg(F.min_by(F.struct(*cols), F.struct(order, "gene")).alias("k"))
+    best = kept.groupBy("name").agg(F.min_by(F.struct(*cols), F.struct(order, "gene", "path")).alias("k"))
     return best.select("name", "k.*")
 
 
@@ -150,7 +168,8 @@ def map_reads(reads: DataFrame, gene_segs: DataFrame, iso_paths: DataFrame, s: Q
     placed = placements(reads)
     texts = iso_paths.select(*GENE, F.concat(F.lit(","), F.array_join(F.col("path").cast("array<string>"), ","), F.lit(",")).alias("p"))
     genes = gene_segs.join(texts.groupBy(*GENE).agg(F.collect_list("p").alias("paths")), GENE)
-    found = choose_genes(map_placements(gene_candidates(placed, genes, s.gene_tolerance), s))
+    candidates = settle(gene_candidates(placed, genes.select(*GENE, "g_start", "g_end"), s.gene_tolerance).drop("g_start", "g_end"))
+    found = choose_genes(map_placements(candidates, genes, s))
     full = found.join(placed.select("chr", "pos", "cigar", "r_start", "r_end", "read_length"), ["chr", "pos", "cigar"])
     return reads.select("name", "chr", "pos", "cigar").join(full, ["chr", "pos", "cigar"]).drop("pos", "cigar")
 
@@ -190,8 +209,9 @@ def read_qc(read_iso: DataFrame, exon_counts: DataFrame) -> DataFrame:
 
 
 def region_counts(mapped: DataFrame) -> DataFrame:
-    """rows (chr, gene, path, n, lengths): reads of each region and their lengths."""
-    return mapped.groupBy(*GENE, "path").agg(F.count("*").alias("n"), F.collect_list("read_length").alias("lengths"))
+    """rows (chr, gene, path, n, lengths): reads of each region, and how many (n) of each read_length."""
+    each = mapped.groupBy(*GENE, "path", "read_length").agg(F.count("*").alias("n"))
+    return each.groupBy(*GENE, "path").agg(F.sum("n").alias("n"), F.collect_list(F.struct("read_length", "n")).alias("lengths"))
 
 
 def best_gene(reads: DataFrame, genes: DataFrame) -> DataFrame:

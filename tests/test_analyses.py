@@ -163,6 +163,16 @@ def test_hybrid_limits_and_model(spark, tmp_path):
 
     got = api.quantify(spark, gtf, sam, sr, QuantifySettings(em_choice="hybrid"), model)
     assert {r["alpha"] for r in got.alphas.collect()} == {1.0}
+    # of several models the one trained at most nearly as many reads: 13 long and 12 short ones here
+    models = {(10, 999): lambda x: 1 / 0, (14, 12): model, (14, 40): lambda x: 1 / 0}
+    got = api.quantify(spark, gtf, sam, sr, QuantifySettings(em_choice="hybrid"), models)
+    assert {r["alpha"] for r in got.alphas.collect()} == {1.0}
+    got.write(str(tmp_path / "out"))
+    counts = spark.read.csv(f"{tmp_path}/out/LR_count.tsv", sep="\t", header=True, schema="Isoform string, Gene string, Count double")
+    assert sum(r.Count for r in counts.collect()) == pytest.approx(14) and counts.count() == 3
+    assert spark.read.csv(f"{tmp_path}/out/SR_count.tsv", sep="\t", header=True).count() == 3
+    with pytest.raises(ValueError, match="CIGAR"):
+        api.quantify(spark, gtf, None, write(tmp_path / "none.sam", ["@SQ\tSN:A1\tLN:1000"]), QuantifySettings(em_choice="SR"))
     with pytest.raises(ValueError, match="alpha"):
         api.quantify(spark, gtf, sam, sr, QuantifySettings(em_choice="hybrid"))
     with pytest.raises(ValueError, match="lacks"):
