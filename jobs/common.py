@@ -7,7 +7,9 @@ import json
 import logging
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 log = logging.getLogger("jobs")
 
@@ -27,6 +29,27 @@ def inputs(spark: SparkSession, config: dict, folder: str) -> dict[str, DataFram
     return found
 
 
+def checked(config: dict, known: str) -> dict:
+    """config, if it has no other keys than known (names with spaces between)."""
+    if other := set(config) - set(known.split()) - {"spark", "tables"}:
+        raise ValueError(f"unknown in the config: {', '.join(sorted(other))}; known: {known}, tables, spark")
+    return config
+
+
+def watched(df: DataFrame, what: str) -> tuple[DataFrame, Observation]:
+    """df, and an observation that counts its rows (n) when it is first run: no scan of its own."""
+    seen = Observation(what)
+    return df.observe(seen, F.count(F.lit(1)).alias("n")), seen
+
+
+def rows_seen(seen: Observation) -> int:
+    """The count of an observation that has run; 0 where Spark saw beforehand that there are no rows, and observed none."""
+    try:
+        return seen.get["n"]
+    except Py4JJavaError:
+        return 0
+
+
 def asked(spark: SparkSession, sql: str | list[str], tables: dict[str, DataFrame]) -> DataFrame:
     """The rows of a config's SQL (a text, or its lines), in which {name} stands for a table."""
     return spark.sql(sql if isinstance(sql, str) else "\n".join(sql), **tables)

@@ -20,7 +20,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobs.common import asked, command_line, inputs, log
+from jobs.common import asked, checked, command_line, inputs, log
 from spliceframe.operators import readlen
 
 CONFIG = os.path.join(os.path.dirname(os.path.abspath(__file__)), "length_profile.json")
@@ -64,7 +64,7 @@ def profile(lengths: DataFrame, isoforms: DataFrame) -> DataFrame:
 def run(spark: SparkSession, config: dict, input: str, output: str, checkpoint: str) -> DataFrame:
     """Take what is new in input, write output and read its profile back."""
     lengths, out = f"{output.rstrip('/')}/lengths", f"{output.rstrip('/')}/profile"
-    update_lengths(spark, config["reads"], input, lengths, checkpoint)
+    update_lengths(spark, checked(config, "reads isoforms")["reads"], input, lengths, checkpoint)
     isoforms = asked(spark, config["isoforms"], inputs(spark, config, input))
     found = profile(spark.read.parquet(lengths), isoforms)
     found.repartition("sample").write.mode("overwrite").partitionBy("sample").parquet(out)

@@ -19,7 +19,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobs.common import asked, command_line, inputs, log
+from jobs.common import asked, checked, command_line, inputs, log, rows_seen, watched
 from spliceframe.config import QuantifySettings, settings_of
 from spliceframe.operators import mapping, paths, supported
 from spliceframe.plans.scratch import settle
@@ -28,11 +28,16 @@ CONFIG = os.path.join(os.path.dirname(os.path.abspath(__file__)), "region_counts
 GENE = paths.GENE
 
 
+KEYS = "exons alignments chromosomes settings full_length_regions filter_reads"
+
+
 def counts(exons: DataFrame, alignments: DataFrame, settings: QuantifySettings, policy: str, filter_reads: bool) -> DataFrame:
     """rows (chr, gene, region, coordinates, isoforms, n, n_unique, n_multi)."""
     segs, iso = paths.segments(exons), paths.isoforms(exons)
     iso_paths = paths.paths(segs, exons)
+    alignments, read = watched(alignments, "alignments")
     mapped = settle(mapping.pick_one(mapping.map_reads(alignments, paths.gene_segments(segs), iso_paths, settings)))
+    log.info("read %d alignments, %d reads are on a region", rows_seen(read), mapped.count())
     if filter_reads:
         exact = iso_paths.select("isoform", F.size("path").alias("n_exons"))
         lengths = iso.select(*GENE, "isoform", F.col("length").alias("iso_len"))
@@ -48,7 +53,7 @@ def counts(exons: DataFrame, alignments: DataFrame, settings: QuantifySettings,
 
 def run(spark: SparkSession, config: dict, input: str, output: str) -> DataFrame:
     """Read input, write output and read it back."""
-    tables = inputs(spark, config, input)
+    tables = inputs(spark, checked(config, KEYS), input)
     exons, alignments = (asked(spark, config[k], tables) for k in ("exons", "alignments"))
     only = config.get("chromosomes")
     if only:

@@ -1,8 +1,8 @@
 """The jobs: two runs over growing input, reruns, broken runs, and rows that are odd."""
 
 import collections
+import json
 import os
-import re
 import shutil
 import subprocess
 import sys
@@ -196,10 +196,45 @@ def test_config_sql(spark):
     assert not spark.catalog.listTables()
 
 
-def test_command_line(spark, shop, tmp_path):
-    """The jobs' help names their paths; nothing of the training-data operators is imported."""
+def test_unknown_config_keys(spark, shop, tmp_path):
+    with pytest.raises(ValueError, match="chromosome"):
+        region_counts.run(spark, REGIONS | {"chromosome": "chr1"}, shop[0], f"{tmp_path}/out")
+    with pytest.raises(ValueError, match="samples"):
+        length_profile.run(spark, LENGTHS | {"samples": 1}, shop[0], f"{tmp_path}/out", f"{tmp_path}/mark")
+
+
+def test_logs(spark, shop, tmp_path, caplog):
+    """What was read and written is in the log, with the counts of the run itself."""
+    folder, _, o = shop
+    with caplog.at_level("INFO", logger="jobs"):
+        got = region_counts.run(spark, REGIONS, folder, f"{tmp_path}/out")
+    said = caplog.text
+    assert f"read {len(o)} alignments" in said and f"{folder}/orders.parquet" in said
+    assert f"wrote {got.count()} regions of 3 chromosomes" in said and f"{tmp_path}/out" in said
+
+
+ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+
+
+def test_imports():
+    """Nothing of the training-data operators is imported."""
     code = "import sys, jobs.length_profile, jobs.region_counts; sys.exit(any('llm' in m or m == 'corpus_pipeline' for m in sys.modules if m.startswith(('spliceframe', 'corpus'))))"
-    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    assert subprocess.run([sys.executable, "-c", code], cwd=root).returncode == 0
-    said = subprocess.run([sys.executable, "-m", "jobs.length_profile", "--help"], cwd=root, capture_output=True, text=True).stdout
-    assert re.search("--input", said) and re.search("--checkpoint", said)
+    assert subprocess.run([sys.executable, "-c", code], cwd=ROOT).returncode == 0
+
+
+def test_command_lines(spark, lake, shop, tmp_path):
+    """Each job run as a program, with a config file of its own; a second run of the first takes what is new."""
+    put, source, out, mark = lake
+    put(FIRST)
+    config = tmp_path / "regions.json"
+    config.write_text(json.dumps(REGIONS | {"chromosomes": ["chr1"]}))
+    go = lambda job, *args: subprocess.run([sys.executable, "-m", f"jobs.{job}", *args], cwd=ROOT, capture_output=True, text=True, timeout=300)  # noqa: E731, E501
+    first = go("length_profile", "--input", source, "--output", out, "--checkpoint", mark)
+    assert first.returncode == 0 and f"read {len(FIRST)} new rows" in first.stderr, first.stderr[-2000:]
+    put(LATER)
+    again = go("length_profile", "--input", source, "--output", out, "--checkpoint", mark)
+    assert f"read {len(LATER)} new rows" in again.stderr
+    same_profile(spark.read.schema("read_len long, n long, cdf double, sm double, sample string").parquet(f"{out}/profile"), FIRST + LATER)
+    some = go("region_counts", "--config", str(config), "--input", shop[0], "--output", f"{tmp_path}/regions")
+    assert some.returncode == 0 and os.listdir(f"{tmp_path}/regions").count("chr=chr1") == 1, some.stderr[-2000:]
+    assert "--checkpoint" in go("length_profile", "--help").stdout
