@@ -36,30 +36,49 @@ class MarkovModel:
     margin: float = 0.35
 
 
-def samples(spark: SparkSession, n: int = 4000) -> DataFrame:
-    """Labelled samples made by rule: (text, label), label 1 for random strings, 0 for ordinary identifiers."""
+def samples(spark: SparkSession, n: int = 8000) -> DataFrame:
+    """Labelled samples made by rule: (text, label), label 1 for random strings, 0 for what is ordinary: identifiers,
+    compounds, paths, dates, and runs of one or two characters, as in rules and tables."""
     words = F.array(*map(F.lit, (
         "get set user name list order item count page index file path read write load save open close data table "
         "column value node graph tree parse token render update delete create find search filter group sort merge "
         "split join build test config option model layer batch size time date start stop error message request "
         "response client server local remote cache store queue event handler view action state context format "
         "string number array object result total average point line color image the and with for from that this "
-        "ation tion ing ent er re es on an in ver lich keit ung sch ment eau elle ción mente ado"
+        "ation tion ing ent er re es on an in ver lich keit ung sch ment eau elle ción mente ado "
+        "bundes land wirt schaft haus halt kranken gesundheits gesetz gericht arbeit zeit auf gaben fleisch rind "
+        "etikett ierung wach ungs fahrt dampf schiff gesell versicherung recht straf verfahren www http html index"
     ).split()))
-    w = lambda k: F.element_at(words, (F.pmod(F.xxhash64("id", F.lit(k)), F.size(words)) + 1).cast("int"))
-    pick = F.pmod(F.xxhash64("id", F.lit("form")), F.lit(6))
-    number = F.pmod(F.xxhash64("id", F.lit("n")), F.lit(2100)).cast("string")
-    plain = (
-        F.when(pick == 0, F.concat_ws("_", w(1), w(2), w(3), w(4)))
-        .when(pick == 1, F.concat(w(1), F.initcap(w(2)), F.initcap(w(3)), F.initcap(w(4)), F.initcap(w(5))))
-        .when(pick == 2, F.concat_ws("-", w(1), w(2), w(3), number))
-        .when(pick == 3, F.concat_ws("/", w(1), w(2), w(3), w(4)))
-        .when(pick == 4, F.upper(F.concat_ws("_", w(1), w(2), w(3), w(4))))
-        .otherwise(F.concat(w(1), w(2), w(3), w(4), w(5), w(6)))
-    )
+    number = lambda k, most: F.pmod(F.xxhash64("id", F.lit(k)), F.lit(most))
+    w = lambda k: F.element_at(words, (number(k, len(ALPHABET) ** 2) % F.size(words) + 1).cast("int"))
+    a = lambda k: F.substring(F.lit("-=_+/" * 8 + ALPHABET), (number(k, 40 + len(ALPHABET)) + 1).cast("int"), F.lit(1))  # noqa: E731, E501
+    digits = number("n", 2100).cast("string")
+    day = F.date_add(F.lit("1990-01-01").cast("date"), number("day", 15000).cast("int"))
+    clock = F.format_string("%02d-%02d-%02d", number("h", 24), number("m", 60), number("s", 60))
+    long = (number("long", 40) + 20).cast("int")
+    plain = F.element_at(
+        F.array(
+            F.concat_ws("_", w(1), w(2), w(3), w(4)),
+            F.concat(w(1), F.initcap(w(2)), F.initcap(w(3)), F.initcap(w(4)), F.initcap(w(5))),
+            F.concat_ws("-", w(1), w(2), w(3), digits),
+            F.concat_ws("/", w(1), w(2), w(3), w(4)),
+            F.upper(F.concat_ws("_", w(1), w(2), w(3), w(4))),
+            F.concat(w(1), w(2), w(3), w(4), w(5), w(6)),
+            F.initcap(F.concat(w(1), w(2), w(3), w(4))),
+            F.concat_ws("/", w(1), digits, F.date_format(day, "MM/dd"), F.concat_ws("-", w(2), w(3), w(4))),
+            F.concat(day.cast("string"), F.when(number("t", 2) == 0, F.concat(F.lit("T"), clock)).otherwise(F.concat(F.lit("/"), F.date_add(day, 30).cast("string")))),
+            F.concat(digits, digits, digits, digits, digits, digits),
+            F.repeat(a("x"), long),
+            F.repeat(F.concat(a("x"), a("y")), long),
+            F.concat(F.repeat(a("x"), long), w(1), F.repeat(a("x"), long)),
+        ),
+        (number("form", 13) + 1).cast("int"),
+    )
     ids = spark.range(n)
     key = F.sha2(F.col("id").cast("string"), 256)
-    secret = F.when(F.col("id") % 3 == 0, F.substring(key, 1, 31)).otherwise(F.base64(F.unhex(key)))
+    code = F.base64(F.unhex(key))
+    form = F.col("id") % 4
+    secret = F.when(form == 0, F.substring(key, 1, 31)).when(form == 1, F.translate(code, "+/=", "-_")).otherwise(code)
     return ids.select(plain.alias("text"), F.lit(0).alias("label")).union(
         ids.select(secret.alias("text"), F.lit(1).alias("label"))
     )

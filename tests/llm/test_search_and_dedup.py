@@ -383,6 +383,56 @@ def test_markov_spans_held_out(spark):
     assert len(got & planted) >= 0.95 * len(planted) and len(got & planted) >= 0.98 * len(got)
 
 
+ORDINARY = [
+    *[c * n for c in "-=_+/a0zX" for n in (20, 24, 40, 200)],
+    *["-=" * 15, "=-" * 30, "+--" * 12, "+----+----+----+----+", "-+-" * 20, "|---------------------|", "ab" * 20, "_/" * 14],
+    *["2024-03-05T10-20-30-1999-12-31", "2021-01-01/2021-12-31/2022-06-30", "20240305102030405060708090", "1990-01-01-2000-01-01"],
+    *["src/main/python/tests/data/index", "/usr/local/share/doc/readme-2024", "home/user/projects/report-final-version-2"],
+    *["Rindfleischetikettierung", "Donaudampfschifffahrtsgesellschaft", "Bundesgesundheitsverwaltungsgericht", "Krankenversicherungsgesetz"],
+    *["get_user_name_by_account_number", "AbstractRequestHandlerFactoryBean", "MAXIMUM_CONNECTION_POOL_SIZE_LIMIT", "how-to-read-a-very-long-url-slug"],
+    *["internationalisation_of_names", "anticonstitutionnellement", "electroencefalografistas", "responsabilidades-compartidas"],
+]
+
+
+def test_no_false_alarms(spark):
+    """Rules of dashes, runs, dates, paths, compounds and identifiers are no secrets, whatever is around them."""
+    model = secrets.train(secrets.samples(spark))
+    rows = [(i, x) for i, t in enumerate(ORDINARY) for x in (t, f"text\n{t}\nmore", f"# {t} #")]
+    got = secrets.scan(spark.createDataFrame(rows, "doc_id int, text string"), model)
+    assert [(r.text, s.match) for r in got.collect() for s in r.secret_spans if s.kind == "markov"] == []
+
+
+def test_markov_scores(spark):
+    """Counts, smoothing and the mean ratio, against plain Python; and the spans that the scores decide."""
+    given = secrets.samples(spark, 500)
+    model = secrets.train(given, margin=0.3)
+    rows = [(r.text, r.label) for r in given.collect()]
+    at = lambda t: [0, *(secrets.ALPHABET.find(c) + 1 for c in t), 0]
+    seen = {0: collections.Counter(), 1: collections.Counter()}
+    for t, label in rows:
+        seen[label].update(zip(at(t), at(t)[1:], strict=False))
+
+    def log_p(label, a, b):
+        return math.log((seen[label][a, b] + 0.5) / sum(seen[label][a, x] + 0.5 for x in range(secrets.SIDE)))
+
+    def brute(t):
+        steps = list(zip(at(t), at(t)[1:], strict=False))
+        return sum(log_p(1, *s) - log_p(0, *s) for s in steps) / len(steps)
+
+    tokens = [t for t, _ in rows[::7]] + ["aZ09+/_=-" * 5, "x", "-" * 30]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(tokens)], "i int, t string")
+    got = [r[0] for r in df.orderBy("i").select(secrets.score(F.col("t"), model)).collect()]
+    assert got == pytest.approx([brute(t) for t in tokens], abs=2e-6)
+    texts = spark.createDataFrame([(i, f"see {t}, there") for i, t in enumerate(tokens)], "doc_id int, text string")
+    for r in secrets.scan(texts, model).collect():
+        want = [
+            (m.start(), m.end())
+            for m in re.finditer(r"[A-Za-z0-9+/_=-]{20,}", r.text)
+            if brute(m[0]) >= 0.3 and not any(s.start < m.end() and m.start() < s["end"] for s in r.secret_spans if s.kind != "markov")
+        ]
+        assert [(s.start, s["end"]) for s in r.secret_spans if s.kind == "markov"] == want, r.text
+
+
 # ---------------------------------------------------------------- LM scores
 
 
