@@ -2,12 +2,13 @@
 
 A shard holds the ids of consecutive documents, each ended by an end id. Rounds of replacement count the shard's
 adjacent id pairs and give the frequent ones nonterminals, until no pair is frequent; pairs that share an id go in
-different rounds, and in a run of one id pairs are taken from its left. The file holds the rules with their expansion lengths, the final sequence and
-sampled positions, so any document is decoded from a near sample without expanding what stands before.
+different rounds, and in a run of one id pairs are taken from its left. The file holds the rules with their expansion
+lengths and the final sequence in blocks that are packed one by one, with the number of ids before each: a document is
+decoded from its own blocks and the rules that it meets, without what stands before.
 
 Layout, little-endian: MAGIC; counts (6 x u64: documents, ids, rules, sequence length, first terminal free for
-nonterminals, samples); rules (2 x u32 each); expansion lengths (u64 each); sequence (u32 in byte planes, zstd); documents: key i64 and
-start u64; samples: ids before each SAMPLE-th symbol (u64).
+nonterminals, blocks); rules (2 x u32 each); expansion lengths (u64 each); documents' keys (i64) and starts (u64); ids
+before each block (u64); ends of the packed blocks (u64); the blocks: BLOCK symbols (u32 in byte planes, zstd).
 """
 
 from __future__ import annotations
@@ -31,9 +32,9 @@ from pyspark.sql import functions as F
 
 from .common import open_shared, rename_shared, scratch_path, stash, tidily
 
-MAGIC = b"REPAIR01"
+MAGIC = b"REPAIR02"
 END_ID = 1
-SAMPLE = 1024
+BLOCK = 1 << 13  # symbols that are packed together, and read together for a document in them
 LEAST_COUNT = 8  # a pair this frequent pays for its rule
 SHARD_IDS = 1 << 21
 SHARDS_A_TASK = 8  # read one after the other, as each Python task costs a tenth of a second by itself
@@ -243,20 +244,43 @@ def expansion_lengths(rules: np.ndarray, first: int) -> np.ndarray:
     return out
 
 
+def rules_met(seq: np.ndarray, rules: np.ndarray, first: int) -> np.ndarray:
+    """The numbers of the rules that a sequence needs, in order: a rule comes after those in it."""
+    met = np.zeros(len(rules), dtype=bool)
+    new = np.unique(seq[seq >= first].astype(np.int64) - first)
+    while len(new):
+        met[new] = True
+        inside = rules[new].astype(np.int64).ravel() - first
+        inside = inside[inside >= 0]
+        new = np.unique(inside[~met[inside]])
+    return np.flatnonzero(met)
+
+
 def expand(seq: np.ndarray, rules: np.ndarray, first: int) -> np.ndarray:
-    """The ids of a sequence: every rule is written out once, and each symbol takes its part of that."""
-    if not len(rules) or not len(seq):
+    """The ids of a sequence: each rule that it needs is written out once, and each symbol takes its part of that."""
+    met = rules_met(seq, rules, first) if len(rules) else np.zeros(0, dtype=np.int64)
+    if not len(met):
         return seq.astype(np.uint32)
-    written: list[tuple] = []
-    for a, b in rules.tolist():
-        written.append((written[a - first] if a >= first else (a,)) + (written[b - first] if b >= first else (b,)))
-    # terminals stand for themselves, then come the rules' ids
-    flat = np.concatenate([np.arange(first), np.fromiter(itertools.chain.from_iterable(written), dtype=np.int64)]).astype(np.uint32)
-    size = np.concatenate([np.ones(first, dtype=np.int64), np.fromiter(map(len, written), dtype=np.int64)])
-    base = np.cumsum(size) - size
-    lengths = size[seq]
-    start = np.cumsum(lengths) - lengths
-    return flat[np.repeat(base[seq] - start, lengths) + np.arange(int(lengths.sum()))]
+    written: dict[int, tuple] = {}
+    for i, (a, b) in zip(met.tolist(), rules[met].tolist(), strict=True):
+        written[first + i] = written.get(a, (a,)) + written.get(b, (b,))
+    # the rules' ids one after the other; a symbol that is no rule is its own
+    flat = np.fromiter(itertools.chain.from_iterable(written.values()), dtype=np.uint32)
+    size = np.fromiter(map(len, written.values()), dtype=np.int64, count=len(met))
+    place = np.full(len(rules), -1, dtype=np.int64)
+    place[met] = np.arange(len(met))
+    high = seq >= first
+    lengths = np.ones(len(seq), dtype=np.int64)
+    which = place[seq[high].astype(np.int64) - first]
+    lengths[high] = size[which]
+    begin = np.cumsum(lengths) - lengths
+    out = np.empty(int(lengths.sum()), dtype=np.uint32)
+    out[begin[~high]] = seq[~high]
+    base = (np.cumsum(size) - size)[which]
+    count = lengths[high]
+    inside = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+    out[np.repeat(begin[high], count) + inside] = flat[np.repeat(base, count) + inside]
+    return out
 
 
 def symbol_lengths(seq: np.ndarray, lengths: np.ndarray, first: int) -> np.ndarray:
@@ -270,54 +294,69 @@ def symbol_lengths(seq: np.ndarray, lengths: np.ndarray, first: int) -> np.ndarr
 
 
 def write_shard(f, keys: list[int], documents: list[np.ndarray]) -> None:
+    """MAGIC, six counts (documents, ids, rules, symbols, first nonterminal, blocks), the rules and their expansion lengths,
+    keys, documents' starts, ids before each block, ends of the blocks, and the blocks: BLOCK symbols each, packed one by
+    one."""
     ids = np.concatenate(documents) if documents else np.zeros(0, dtype=np.uint32)
     seq, rules, first = compress(ids)
     lengths = expansion_lengths(rules, first)
     before = np.concatenate(([0], np.cumsum(symbol_lengths(seq, lengths, first)))).astype("<u8")
     starts = np.concatenate(([0], np.cumsum([len(d) for d in documents])))[:-1].astype("<u8")
-    samples = before[:-1][::SAMPLE]
-    f.write(MAGIC + struct.pack("<6Q", len(keys), len(ids), len(rules), len(seq), first, len(samples)))
+    packer = zstandard.ZstdCompressor(level=1)
+    # plane by plane: the high bytes are mostly alike
+    planes = (seq[i : i + BLOCK].astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes() for i in range(0, len(seq), BLOCK))
+    blocks = [packer.compress(x) for x in planes]
+    f.write(MAGIC + struct.pack("<6Q", len(keys), len(ids), len(rules), len(seq), first, len(blocks)))
     f.write(rules.astype("<u4").tobytes() + lengths.astype("<u8").tobytes())
-    planes = seq.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()  # the high bytes are mostly alike
-    packed = zstandard.ZstdCompressor(level=1).compress(planes)
-    f.write(struct.pack("<Q", len(packed)) + packed)
-    f.write(np.array(keys, dtype="<i8").tobytes() + starts.tobytes() + samples.tobytes())
+    f.write(np.array(keys, dtype="<i8").tobytes() + starts.tobytes() + before[:-1][::BLOCK].tobytes())
+    f.write(np.cumsum([len(x) for x in blocks]).astype("<u8").tobytes())
+    for x in blocks:
+        f.write(x)
 
 
 class Shard:
-    """A shard file, opened; document(i) decodes one document from the nearest sample."""
+    """A shard in an open file. document(i) reads the blocks that the document lies in, and no others (blocks_read counts
+    them), and expands the rules that it meets."""
 
-    def __init__(self, data: bytes):
-        if data[: len(MAGIC)] != MAGIC:
+    def __init__(self, f):
+        self.file, self.blocks_read = f, 0
+        if f.read(len(MAGIC)) != MAGIC:
             raise ValueError("not a shard of token ids")
-        at = len(MAGIC) + 48
-        docs, self.n_ids, n_rules, n_seq, self.first, n_samples = struct.unpack("<6Q", data[len(MAGIC) : at])
-
-        def take(kind: str, n: int) -> np.ndarray:
-            nonlocal at
-            out = np.frombuffer(data, dtype=kind, count=n, offset=at)
-            at += out.nbytes
-            return out
-
+        docs, self.n_ids, n_rules, self.n_seq, self.first, n_blocks = struct.unpack("<6Q", f.read(48))
+        take = lambda kind, n: np.frombuffer(f.read(np.dtype(kind).itemsize * n), dtype=kind)
         self.rules = take("<u4", 2 * n_rules).reshape(-1, 2)
         self.lengths = take("<u8", n_rules)
-        size = int(take("<u8", 1)[0])
-        planes = zstandard.ZstdDecompressor().decompress(data[at : at + size])
-        at += size
-        self.seq = np.frombuffer(planes, dtype=np.uint8).reshape(4, n_seq).T.copy().view("<u4").reshape(-1)
-        self.keys, self.starts, self.samples = take("<i8", docs), take("<u8", docs), take("<u8", n_samples)
+        self.keys, self.starts = take("<i8", docs), take("<u8", docs)
+        self.samples, self.ends = take("<u8", n_blocks), take("<u8", n_blocks)
+        self.base = f.tell()
+
+    def symbols(self, first: int, stop: int) -> np.ndarray:
+        """The symbols of the blocks from first up to stop."""
+        ends = [0, *self.ends.tolist()]
+        self.file.seek(self.base + ends[first])
+        packed = self.file.read(ends[stop] - ends[first])
+        unpacker, parts = zstandard.ZstdDecompressor(), [np.zeros(0, dtype="<u4")]
+        for i in range(first, stop):
+            planes = unpacker.decompress(packed[ends[i] - ends[first] : ends[i + 1] - ends[first]])
+            parts.append(np.frombuffer(planes, dtype=np.uint8).reshape(4, -1).T.copy().view("<u4").reshape(-1))
+        self.blocks_read += stop - first
+        return np.concatenate(parts)
 
     def ids(self) -> np.ndarray:
-        return expand(self.seq, self.rules, self.first)
+        return expand(self.symbols(0, len(self.ends)), self.rules, self.first)
 
     def document(self, i: int) -> np.ndarray:
         start = int(self.starts[i])
         stop = int(self.starts[i + 1]) if i + 1 < len(self.starts) else self.n_ids
         s = int(np.searchsorted(self.samples, start, side="right")) - 1
         e = int(np.searchsorted(self.samples, stop, side="left"))
-        part = self.seq[s * SAMPLE : e * SAMPLE]
-        skip = start - int(self.samples[s])
-        return expand(part, self.rules, self.first)[skip : skip + stop - start]
+        seq = self.symbols(s, e)
+        # only the symbols that the document lies in
+        upto = np.cumsum(symbol_lengths(seq, self.lengths, self.first)).astype(np.int64) + int(self.samples[s])
+        a = int(np.searchsorted(upto, start, side="right"))
+        b = int(np.searchsorted(upto, stop, side="left")) + 1
+        skip = start - (int(upto[a - 1]) if a else int(self.samples[s]))
+        return expand(seq[a:b], self.rules, self.first)[skip : skip + stop - start]
 
 
 def runs(texts: list[str]) -> Iterator[slice]:
@@ -394,8 +433,8 @@ def read(shards: DataFrame) -> DataFrame:
         for batch in batches:
             for name, first in zip(batch["path"], batch["first"], strict=True):
                 with open_shared(name, "rb") as f:
-                    shard = Shard(f.read())
-                ids = shard.ids()
+                    shard = Shard(f)
+                    ids = shard.ids()
                 ends = np.concatenate((shard.starts[1:], [shard.n_ids])).astype(np.int64)
                 starts = shard.starts.astype(np.int64)
                 raw = memoryview(ids.astype("<u4").tobytes())

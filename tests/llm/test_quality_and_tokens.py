@@ -84,12 +84,38 @@ def test_random_access():
     parts = [r.integers(0, 9, n).astype(np.uint32) for n in r.integers(1, 4000, 12)]
     out = io.BytesIO()
     tokens.write_shard(out, list(range(12)), parts)
-    shard = tokens.Shard(out.getvalue())
+    shard = tokens.Shard(io.BytesIO(out.getvalue()))
     assert len(out.getvalue()) < 4 * sum(map(len, parts))
     for i in r.permutation(12):
         assert (shard.document(i) == parts[i]).all()
+    assert (shard.ids() == np.concatenate(parts)).all()
     with pytest.raises(ValueError, match="not a shard"):
-        tokens.Shard(b"other---" + out.getvalue())
+        tokens.Shard(io.BytesIO(b"other---" + out.getvalue()))
+    none = io.BytesIO()
+    tokens.write_shard(none, [], [])
+    assert len(tokens.Shard(io.BytesIO(none.getvalue())).ids()) == 0
+
+
+def test_a_document_reads_its_blocks_alone(monkeypatch):
+    """Of many blocks, a document's own are read and unpacked, and of the rules those it meets are written out."""
+    monkeypatch.setattr(tokens, "BLOCK", 64)
+    r = np.random.default_rng(2)
+    words = [r.integers(0, 300, n).astype(np.uint32) for n in r.integers(2, 30, 40)]
+    parts = [np.concatenate([words[k] for k in r.integers(0, 40, n)] or [np.zeros(0, np.uint32)]) for n in r.integers(0, 60, 200)]
+    out = io.BytesIO()
+    tokens.write_shard(out, list(range(200)), parts)
+    shard = tokens.Shard(io.BytesIO(out.getvalue()))
+    assert len(shard.ends) > 20
+    met = []
+    plain = tokens.rules_met
+    monkeypatch.setattr(tokens, "rules_met", lambda *a: met.append(plain(*a)) or met[-1])
+    for i in r.permutation(200):
+        before = shard.blocks_read
+        assert (shard.document(i) == parts[i]).all()
+        first, last = (int(np.searchsorted(shard.samples, shard.starts[i] + k, side="right")) for k in (0, max(len(parts[i]) - 1, 0)))
+        assert shard.blocks_read - before <= last - first + 1
+    assert np.mean([len(x) for x in met]) < len(shard.rules) / 2 and max(map(len, met)) < len(shard.rules)
+    assert (shard.ids() == np.concatenate(parts)).all()
 
 
 def test_encoder_equals_the_library():
