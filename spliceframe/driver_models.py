@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .api import k_values, region_abundance
-from .config import KValueSettings
+from .config import KValueSettings, QuantifySettings
 from .driver_queries import JOINED, RANGES, SLICES, exons as order_exons, query, table
 from .driver_reads import READS, gene_exons, order_reads
 from .operators import density, global_em, intervals, least_squares, mapping, paths, readlen, supported
@@ -69,6 +69,51 @@ def read_reassignment(spark, sf_dir) -> DataFrame:
     return got.select("isoform", F.round("expression", 4).alias("expression"))
 
 
+# ---------------------------------------------------------------- K values of pairs
+
+
+PAIRS = SLICES.replace("o_orderpriority AS isoform", "(o_orderkey % 2)::varchar AS isoform")
+
+
+@query(f"""WITH {PAIRS}, g AS (SELECT gene, path, any_value(len) AS len, any_value(first) AS first, any_value(last) AS last, any_value(inner_len) AS il, any_value(j - i + 1) AS n,
+  max((isoform = '0')::int) AS i0, max((isoform = '1')::int) AS i1 FROM named GROUP BY 1, 2),
+r AS (SELECT gene, i0, i1, greatest(1, CASE n WHEN 1 THEN CASE WHEN 150 < len THEN len - 149 ELSE 1 END WHEN 2 THEN 149 ELSE 149 - il END)::double AS w
+  FROM g WHERE len > 150 AND (n = 1 OR (first > 1 AND last > 1 AND (n = 2 OR il + 2 <= 150)))),
+c AS (SELECT gene, count(*) AS rows, sum(w * i0) AS c0, sum(w * i1) AS c1, sum(w * w * i0) AS s0, sum(w * w * i1) AS s1, sum(w * w * i0 * i1) AS s01 FROM r GROUP BY 1),
+q AS (SELECT gene, rows, CASE WHEN c0 = 0 THEN 0 ELSE s0 / (c0 * c0) END AS aa, CASE WHEN c1 = 0 THEN 0 ELSE s1 / (c1 * c1) END AS bb, CASE WHEN c0 * c1 = 0 THEN 0 ELSE s01 / (c0 * c1) END AS ab FROM c),
+l AS (SELECT *, (aa + bb + sqrt(pow(aa - bb, 2) + 4 * ab * ab)) / 2 AS hi, (aa * bb - ab * ab) / ((aa + bb + sqrt(pow(aa - bb, 2) + 4 * ab * ab)) / 2) AS lo FROM q),
+i AS (SELECT gene, count(DISTINCT isoform) AS num_isoforms FROM exons GROUP BY 1)
+SELECT i.gene, num_isoforms, cast(rows AS bigint) AS num_regions, CASE WHEN rows IS NULL THEN NULL WHEN lo < 1e-9 * hi THEN 1.0 ELSE round(sqrt(hi / lo), 4) END AS kvalue FROM i LEFT JOIN l ON l.gene = i.gene""")
+def kvalue_pairs(spark, sf_dir) -> DataFrame:
+    """K values of all genes, whose exons are dealt to two isoforms, from effective lengths."""
+    got = k_values(spark, pair_exons(spark, sf_dir))
+    rows = got.matrix.groupBy("chr", "gene").agg(F.countDistinct("path").alias("num_regions"))
+    return got.genes.join(rows, ["chr", "gene"], "left").select("gene", "num_isoforms", "num_regions", F.round("sr_generalized", 4).alias("kvalue"))
+
+
+def pair_exons(spark, sf_dir) -> DataFrame:
+    day = "datediff(o_orderdate, date'1970-01-01')"
+    return table(spark, sf_dir, "orders").selectExpr(
+        "'c' as chr", "cast(o_custkey as string) as gene", "cast(o_orderkey % 2 as string) as isoform", "'+' as strand", f"{day} as start", f"{day} + cast(o_orderkey % 400 as int) as end"
+    )
+
+
+# ---------------------------------------------------------------- reads on several genes
+
+TWINS = "r AS (SELECT o_orderkey, o_custkey AS k, o_orderkey % 3 AS kind, (o_orderkey // 3) % 13 - 6 AS d FROM orders), m AS (SELECT *, CASE kind WHEN 0 THEN '0' WHEN 1 THEN '0,1' ELSE '0,2' END AS path FROM r WHERE kind = 0 OR abs(d) <= 5)"
+
+
+@query(f"WITH {TWINS} SELECT o_orderkey::varchar AS name, k::varchar AS gene, path FROM m UNION ALL SELECT o_orderkey::varchar, 't' || k, path FROM m WHERE k % 2 = 0")
+def mapped_ties(spark, sf_dir) -> DataFrame:
+    """Reads of genes that stand twice are on both."""
+    x = gene_exons(spark, sf_dir)
+    twins = x.where("cast(gene as int) % 2 = 0").withColumns({"gene": F.concat(F.lit("t"), "gene"), "isoform": F.concat(F.lit("t"), "isoform")})
+    x = x.unionByName(twins)
+    segs = paths.segments(x)
+    got = mapping.map_reads(order_reads(spark, sf_dir), paths.gene_segments(segs), paths.paths(segs, x), QuantifySettings())
+    return got.select("name", "gene", F.expr(JOINED).alias("path"))
+
+
 # ---------------------------------------------------------------- EM of all isoforms together
 
 
