@@ -185,6 +185,26 @@ def region_abundance(found: KValues, alpha: float = 1.0, beta: float = 1e-6, uni
     return theta.join(least_squares.per_million(got), [*GENE, "isoform"])
 
 
+def write_region_abundance(directory: str, expression: DataFrame, exons: DataFrame) -> None:
+    """expression_gene.out and expression_isoform.out of region_abundance's rows, blended or not; isoforms of exons that have
+    none are at 0."""
+    iso = exons.groupBy(*GENE, "isoform").agg(F.min("start").alias("Start"), F.max("end").alias("End"))
+    iso = iso.join(paths.isoforms(exons).select(*GENE, "isoform", "length"), [*GENE, "isoform"])
+    alpha = F.col("alpha") if "alpha" in expression.columns else F.lit(1.0)
+    rows = iso.join(expression.select(*GENE, "isoform", "tpm", alpha.alias("alpha")), [*GENE, "isoform"], "left").fillna(0.0, ["tpm"])
+    rows = rows.select(F.col("isoform").alias("Isoform"), F.col("gene").alias("Gene"), F.col("chr").alias("Chr"), "Start", "End", F.col("length").alias("Isoform_length"), F.col("tpm").alias("TPM"), F.col("alpha").alias("Alpha"))
+    rows = settle(rows)
+    sinks.write_tsv(rows.groupBy("Gene", "Chr").agg(F.sum("TPM").alias("TPM")), f"{directory}/expression_gene.out", ["Gene"])
+    sinks.write_tsv(rows, f"{directory}/expression_isoform.out", ["Gene", "Isoform"])
+
+
+def training_rows(found: KValues, expression: DataFrame) -> DataFrame:
+    """rows (chr, gene, reads, region, isoform, a, b, tpm columns): matrices, abundances and results side by side, to train
+    models of gene weights on."""
+    results = [c for c in expression.columns if c.endswith("tpm")]
+    return found.matrix_info().drop("coordinates").join(expression.select(*GENE, "isoform", *results), [*GENE, "isoform"])
+
+
 @dataclass
 class Abundance:
     """isoforms (isoform, gene, eff, theta, community, community reads, tpm) and what led there. lr_counts, sr_counts: reads

@@ -6,11 +6,12 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .api import k_values, region_abundance
+from .api import k_values, region_abundance, write_region_abundance
 from .config import KValueSettings, QuantifySettings
 from .driver_queries import JOINED, RANGES, SLICES, exons as order_exons, query, table
-from .driver_reads import READS, gene_exons, order_reads
+from .driver_reads import READS, gene_exons, mapped_reads, model, order_reads, scratch
 from .operators import density, global_em, intervals, least_squares, mapping, paths, readlen, supported
+from .sources import formats, sinks
 
 # ---------------------------------------------------------------- least squares
 
@@ -50,6 +51,32 @@ def least_squares_reassigned(spark, sf_dir) -> DataFrame:
     return got.select("isoform", F.round("expression", 4).alias("expression"))
 
 
+@query(f"""WITH {NORMAL}, o AS (SELECT k, unnest([{{'i': 'a', 't': ta}}, {{'i': 'b', 't': tb}}]) AS o, reads FROM t)
+SELECT o.i || k AS "Isoform", k::varchar AS "Gene", 1000 * k + 1 AS first, 1000 * k + 700 AS last, CASE o.i WHEN 'a' THEN 300 ELSE 200 END::bigint AS len,
+  round(0.25 * coalesce(CASE o.i WHEN 'a' THEN p_retailprice END, 0) + 0.75 * o.t * reads * 1e6 / sum(o.t * reads) OVER (), 3) AS tpm FROM o LEFT JOIN part ON p_partkey = k""")
+def expression_files(spark, sf_dir) -> DataFrame:
+    """Least-squares abundances blended with a short-read quantifier's table, written and read back."""
+    x, path = gene_exons(spark, sf_dir), scratch(spark, "expression")
+    short = table(spark, sf_dir, "part").select(F.concat(F.lit("a"), "p_partkey", F.lit("|x")).alias("target_id"), F.col("p_retailprice").alias("tpm"))
+    sinks.write_tsv(short, f"{path}/short")
+    long = region_abundance(counted_genes(spark, sf_dir), beta=0.01)
+    write_region_abundance(path, least_squares.blended(long, formats.expression_table(spark, f"{path}/short"), 0.75), x)
+    schema = "Isoform string, Gene string, Chr string, Start long, End long, Isoform_length long, TPM double, Alpha double"
+    back = spark.read.csv(f"{path}/expression_isoform.out", sep="\t", header=True, schema=schema)
+    return back.select("Isoform", "Gene", F.col("Start").alias("first"), F.col("End").alias("last"), F.col("Isoform_length").alias("len"), F.round("TPM", 3).alias("tpm"))
+
+
+@query(f"""WITH {READS}, g AS (SELECT k, max(read_length) AS longest FROM m GROUP BY 1), o AS (SELECT DISTINCT k, unnest(CASE path WHEN '0' THEN ['a', 'b'] WHEN '0,1' THEN ['a'] ELSE ['b'] END) AS i FROM n)
+SELECT i || k AS isoform, CASE i WHEN 'a' THEN 240 ELSE 140 END::bigint AS len, cast(longest AS bigint) AS longest FROM o JOIN g USING (k) WHERE CASE i WHEN 'a' THEN 240 ELSE 140 END < longest""")
+def short_isoforms(spark, sf_dir) -> DataFrame:
+    """Isoforms (60 bases less than they are) shorter than their gene's longest read."""
+    x, _, iso_paths = model(spark, sf_dir)
+    got = mapped_reads(spark, sf_dir)
+    iso = paths.isoforms(x).withColumn("length", F.col("length") - 60)
+    rows = supported.short_isoforms(got, supported.long_read_regions(got, iso_paths, "none"), iso)
+    return rows.select("isoform", F.col("length").cast("long").alias("len"), F.col("longest").cast("long").alias("longest"))
+
+
 @query("""WITH m AS (SELECT s_nationkey AS g, l_orderkey AS r, l_suppkey AS i, sum(l_quantity) AS a FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2, 3),
 th AS (SELECT s_nationkey AS g, s_suppkey AS i, (s_suppkey % 3)::double AS th, min(CASE WHEN s_suppkey % 3 > 0 THEN s_suppkey % 3 END) OVER (PARTITION BY s_nationkey) AS least,
   sum(s_suppkey % 3) OVER (PARTITION BY s_nationkey) AS every, count(*) OVER (PARTITION BY s_nationkey) AS k FROM supplier),
@@ -170,6 +197,22 @@ def theta_hybrid_start(spark, sf_dir) -> DataFrame:
     return got.select("isoform", F.round("theta", 8).alias("theta"))
 
 
+@query("""WITH m AS (SELECT l_orderkey || '-' || l_linenumber AS name, l_suppkey AS i, l_suppkey % 10 * 10 + 50 AS l, cast(l_quantity AS bigint) % 8 AS a, l_linenumber AS b FROM lineitem),
+s AS (SELECT (50 + p_partkey % 90) * 1.004 AS l, p_size % 9 + (p_partkey % 3) * 0.4 AS a, p_partkey % 8 + (p_partkey % 2) * 0.5 AS b FROM part),
+h AS (SELECT cast(l_quantity AS bigint) + 30 AS len, count(*) AS n FROM lineitem GROUP BY 1),
+w AS (SELECT ml.l, s.a, s.b FROM (SELECT DISTINCT l FROM m) ml JOIN s ON abs(s.l - ml.l) < 0.01 * ml.l),
+t AS (SELECT l, count(*) AS total FROM w GROUP BY 1), o AS (SELECT DISTINCT l, a, b FROM m),
+k AS (SELECT o.l, o.a, o.b, count(*) AS k FROM o JOIN w ON w.l = o.l AND abs(w.a - o.a) < 1 AND abs(w.b - o.b) < 1 GROUP BY 1, 2, 3)
+SELECT name, i AS isoform, round(CASE WHEN total IS NULL THEN coalesce(h.n, 0) / coalesce((SELECT sum(n) FROM h WHERE len < m.l), 1)::double ELSE coalesce(k, 0) / total::double / 4 END, 9) AS p
+FROM m LEFT JOIN t ON t.l = m.l LEFT JOIN k ON k.l = m.l AND k.a = m.a AND k.b = m.b LEFT JOIN h ON h.len = m.l - m.a - m.b""")
+def cond_prob_sampled(spark, sf_dir) -> DataFrame:
+    """Probabilities by the share of samples near a read's place on an isoform; parts are samples."""
+    rows = table(spark, sf_dir, "lineitem").selectExpr("concat(l_orderkey, '-', l_linenumber) as name", "l_suppkey as isoform", "l_suppkey % 10 * 10 + 50 as iso_len", "cast(l_quantity as bigint) % 8 as off5", "cast(l_linenumber as bigint) as off3")
+    samples = table(spark, sf_dir, "part").selectExpr("(50 + p_partkey % 90) * 1.004 as iso_len", "p_size % 9 + (p_partkey % 3) * 0.4 as off5", "p_partkey % 8 + (p_partkey % 2) * 0.5 as off3")
+    lengths = table(spark, sf_dir, "lineitem").groupBy((F.col("l_quantity").cast("long") + 30).alias("read_len")).agg(F.count("*").alias("n"))
+    return global_em.sampled_probabilities(rows, samples, lengths).select("name", "isoform", F.round("p", 9).alias("p"))
+
+
 @query("""WITH m AS (SELECT l_orderkey || '-' || l_linenumber AS name, l_suppkey AS i, l_suppkey % 10 * 10 + 50 AS l, cast(l_quantity AS bigint) AS a, l_linenumber AS b FROM lineitem),
 t AS (SELECT s_suppkey % 10 * 10 + 50 AS l, sum(s_suppkey % 4) / (SELECT sum(s_suppkey % 4) FROM supplier)::double AS share FROM supplier WHERE s_suppkey IN (SELECT i FROM m) GROUP BY 1)
 SELECT name, i AS isoform, round(CASE WHEN share > 0 THEN exp(-0.5 * (pow((m.l - 90) / 30.0, 2) + pow((a - 20) / 9.0, 2) + pow((b - 3) / 2.0, 2)) - ln(30 * 9 * 2)) / share ELSE 0 END, 9) AS p FROM m JOIN t ON t.l = m.l""")

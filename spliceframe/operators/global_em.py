@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import conditional_probability, safe_divide
 from ..plans.scratch import settle
 from . import readlen
+from .intervals import range_join
 
 FORMS = ("form_1", "longer")
 BROADCAST_LENGTHS = 1 << 20  # rows (length, sum); more are joined by a shuffle
@@ -154,3 +155,31 @@ def scored_probabilities(read_iso: DataFrame, theta: DataFrame, score: Callable[
     log = F.col("log_density") - F.log(F.when(F.col("share") > 0, F.col("share")))
     p = F.when((F.col("share") > 0) & (log > least), F.exp(log)).otherwise(0.0)
     return met.select("name", "isoform", p.alias("p"))
+
+
+def sampled_probabilities(read_iso: DataFrame, samples: DataFrame, lengths: DataFrame, near: float = 0.01) -> DataFrame:
+    """rows (name, isoform, p) from samples (iso_len, off5, off3) of a density model, or of reads seen elsewhere.
+
+    An isoform's samples are those whose iso_len is within `near` of its own length; p is the share of them whose two
+    offsets are less than a base from the read's, over the 4 square bases of that square. An isoform without samples has
+    the share of the read's length among shorter reads than the isoform (lengths: read_len, n).
+    """
+    asked = read_iso.select("iso_len").distinct()
+    held = samples.select(F.col("iso_len").alias("of"), "off5", "off3")
+    # a sample is near lengths from of / (1 + near) to of / (1 - near)
+    low, high = F.col("of") / (1 + near), F.col("of") / (1 - near)
+    close = F.abs(F.col("of") - F.col("iso_len")) < F.col("iso_len") * near
+    met = range_join(asked, held, [], F.col("iso_len"), low, high, close)
+    # whole numbers less than one from an offset: itself, or those on either side
+    sides = lambda c: F.array_distinct(F.array(F.floor(c), F.ceil(c)))
+    spread = met.select("iso_len", F.explode(sides("off5")).alias("off5"), "off3").select("iso_len", "off5", F.explode(sides("off3")).alias("off3"))
+    counts = spread.groupBy("iso_len", "off5", "off3").agg(F.count("*").alias("k"))
+    totals = met.groupBy("iso_len").agg(F.count("*").alias("total"))
+    shorter = readlen.cdf_below(lengths, asked, "iso_len")
+    place = ["iso_len", "off5", "off3"]
+    rows = read_iso.select("name", "isoform", *place).join(totals, "iso_len", "left").join(counts, place, "left")
+    rows = rows.withColumn("read_len", F.col("iso_len") - F.col("off5") - F.col("off3")).join(lengths.select("read_len", "n"), "read_len", "left")
+    rows = rows.join(shorter.select("iso_len", "below"), "iso_len", "left")
+    plain = safe_divide(F.coalesce("n", F.lit(0)), F.coalesce("below", F.lit(0)))
+    p = F.when(F.col("total").isNull(), plain).otherwise(F.coalesce("k", F.lit(0)) / F.col("total") / 4)
+    return rows.select("name", "isoform", p.cast("double").alias("p"))

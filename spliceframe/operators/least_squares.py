@@ -143,3 +143,11 @@ def per_million(expression: DataFrame) -> DataFrame:
     total = expression.agg(F.sum("expression").alias("total"))
     joined = expression.crossJoin(F.broadcast(total))  # one row
     return joined.withColumn("tpm", F.col("expression") * 1e6 / F.when(F.coalesce("total", F.lit(0.0)) == 0, 1).otherwise(F.col("total"))).drop("total")
+
+
+def blended(expression: DataFrame, short: DataFrame, alpha: float) -> DataFrame:
+    """expression (isoform, tpm, ...) with tpm blended with that of short reads (isoform, value): alpha of the long reads'
+    and the rest of the short reads', 0 for isoforms they lack. Adds lr_tpm, sr_tpm and alpha."""
+    values = short.groupBy("isoform").agg(F.sum("value").alias("sr_tpm"))
+    both = expression.withColumnRenamed("tpm", "lr_tpm").join(values, "isoform", "left").fillna(0.0, ["sr_tpm"])
+    return both.withColumn("tpm", (1 - alpha) * F.col("sr_tpm") + alpha * F.col("lr_tpm")).withColumn("alpha", F.lit(float(alpha)))

@@ -43,6 +43,15 @@ def cdf_at(hist: DataFrame, at: DataFrame, column: str, by: Sequence[str] = ())
     return at.join(table.select(*by, F.col("x").alias(column), "cdf"), [*by, column], "left")
 
 
+def cdf_below(hist: DataFrame, at: DataFrame, column: str) -> DataFrame:
+    """Distinct rows (column, below): the number of reads (hist: read_len, n) shorter than column."""
+    marks = hist.select(F.col("read_len").cast("long").alias("x"), "n", F.lit(1).alias("asked")).union(
+        at.select(F.col(column).cast("long").alias("x"), F.lit(0).cast("long").alias("n"), F.lit(0).alias("asked")).distinct()
+    )
+    order = Window.orderBy("x", "asked").rowsBetween(Window.unboundedPreceding, 0)  # a row for each distinct length
+    return marks.withColumn("below", F.sum("n").over(order)).where("asked = 0").select(F.col("x").alias(column), "below")
+
+
 def suffix_sums(hist: DataFrame, isoforms: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """rows (by, read_len, n, sm): sm sums theta / cdf over the isoforms (by, iso_len, theta, cdf) at least as long."""
     share = F.when((F.col("cdf") == 0) & (F.col("theta") > 0), float("inf")).otherwise(F.col("theta") / F.when(F.col("cdf") == 0, 1).otherwise(F.col("cdf")))

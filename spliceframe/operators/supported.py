@@ -122,3 +122,11 @@ def segment_distances(regions: DataFrame) -> DataFrame:
     one = each.groupBy(*GENE, "path").agg(F.first("n").alias("n"), F.count("*").alias("owners"), F.median("short").alias("distance"))
     kind = F.when(F.col("owners") > 1, "multi").otherwise("unique")
     return one.groupBy(kind.alias("kind"), "distance").agg(F.sum("n").alias("n"))
+
+
+def short_isoforms(mapped: DataFrame, regions: DataFrame, iso: DataFrame) -> DataFrame:
+    """rows (chr, gene, isoform, length, longest): isoforms of regions (chr, gene, path, isoforms) that are shorter than
+    their gene's longest read (mapped: chr, gene, read_length)."""
+    longest = mapped.groupBy(*GENE).agg(F.max("read_length").alias("longest"))
+    owned = regions.select(*GENE, F.explode("isoforms").alias("isoform")).distinct().join(iso.select(*GENE, "isoform", "length"), [*GENE, "isoform"])
+    return owned.join(longest, GENE).where("length < longest")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from spliceframe import api
 from spliceframe.config import KValueSettings
-from spliceframe.operators import density, global_em, intervals, mapping, paths, readlen, supported
+from spliceframe.operators import density, global_em, intervals, least_squares, mapping, paths, readlen, supported
 
 REGIONS = "chr string, gene string, path array<int>, isoforms array<string>, n long"
 
@@ -305,3 +305,43 @@ def test_scored_probabilities(spark):
         log = float(score(np.array([[n, a, b]]))[0]) - (math.log(share[n]) if share[n] else math.inf)
         want[name, i, round(math.exp(log), 9) if log > -300 else 0.0] += 1
     assert got == want
+
+
+def test_sampled_probabilities(spark):
+    r = random.Random(8)
+    samples = [(r.choice([100, 100.4, 200, 203, 99.2]), r.choice([3, 4, 3.5, 9]), r.choice([0, 1, 0.25])) for _ in range(300)]
+    rows = [(f"r{i}", f"i{n}", n, r.randrange(2, 6), r.randrange(0, 3)) for i in range(60) for n in (100, 200, 400)]
+    rows += [rows[0], ("far", "i400", 400, 390, 9)]
+    hist = {n - a - b: k % 5 + 1 for k, (_, _, n, a, b) in enumerate(rows) if n == 400 and k % 2} | {50: 3}
+    got = global_em.sampled_probabilities(
+        spark.createDataFrame(rows, "name string, isoform string, iso_len long, off5 long, off3 long"),
+        spark.createDataFrame([tuple(map(float, s)) for s in samples], "iso_len double, off5 double, off3 double"),
+        spark.createDataFrame(list(hist.items()), "read_len long, n long"),
+    )
+    want = collections.Counter()
+    for name, i, n, a, b in rows:
+        near = [s for s in samples if abs(s[0] - n) < 0.01 * n]
+        if near:
+            p = sum(abs(s[1] - a) < 1 and abs(s[2] - b) < 1 for s in near) / len(near) / 4
+        else:
+            p = hist.get(n - a - b, 0) / (sum(v for k, v in hist.items() if k < n) or 1)
+        want[name, i, round(p, 9)] += 1
+    assert collections.Counter((x.name, x.isoform, round(x.p, 9)) for x in got.collect()) == want
+    assert any(p > 0 for _, i, p in want if i == "i100") and any(p > 0 for _, i, p in want if i == "i400")
+
+
+def test_blend_and_training_rows(spark, tmp_path):
+    exons, reads = gene_tables(spark)
+    found = api.k_values(spark, exons, KValueSettings(full_length_regions="none"), long_reads=reads)
+    long = api.region_abundance(found)
+    short = spark.createDataFrame([("a", 5e5), ("a", 1e5), ("other", 1.0)], "isoform string, value double")
+    both = {r.isoform: r for r in least_squares.blended(long, short, 0.75).collect()}
+    assert both["a"].sr_tpm == 6e5 and both["b"].sr_tpm == 0
+    assert both["a"].tpm == pytest.approx(0.25 * 6e5 + 0.75 * both["a"].lr_tpm) and both["b"].alpha == 0.75
+    rows = api.training_rows(found, least_squares.blended(long, short, 0.75)).where("reads = 'LR'").collect()
+    assert {(r.isoform, r.region) for r in rows} == {(r.isoform, r.region) for r in found.matrix_info().where("reads = 'LR'").collect()}
+    assert all(r.tpm == both[r.isoform].tpm for r in rows) and {r.b for r in rows} == {5, 7, 4}
+    more = exons.union(spark.createDataFrame([("c", "quiet", "q", "+", 9000, 9099)], exons.schema))
+    api.write_region_abundance(f"{tmp_path}", long, more)
+    back = {r.Gene: float(r.TPM) for r in spark.read.csv(f"{tmp_path}/expression_gene.out", sep="\t", header=True).collect()}
+    assert back == pytest.approx({"g": 1e6, "quiet": 0})
