@@ -571,4 +571,4 @@ def test_warc_reader(monkeypatch):
 
 
 def test_every_query_is_registered():
-    assert [int(re.match(r"op(\d+)_", n)[1]) for n in queries.queries()] == list(range(1, 11))
+    assert [int(re.match(r"op(\d+)_", n)[1]) for n in queries.queries()] == list(range(1, 13))
