@@ -75,8 +75,8 @@ WITH d AS (
   SELECT row_number() OVER () AS i, doc_id, source, coalesce(text, '') AS t,
     regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
 windows AS (
-  SELECT i, s, count(*) OVER (PARTITION BY i, w[s], w[s + 1], w[s + 2]) AS met
-  FROM (SELECT i, w, unnest(range(1, len(w) - 1)) AS s FROM d)),
+  SELECT i, s, count(*) OVER (PARTITION BY i, phrase) AS met
+  FROM (SELECT i, s, array_to_string(w[s : s + 2], ' ') AS phrase FROM (SELECT i, w, unnest(range(1, len(w) - 1)) AS s FROM d))),
 again AS (SELECT i, count(DISTINCT p) AS n FROM (SELECT i, unnest(range(s, s + 3)) AS p FROM windows WHERE met > 1) GROUP BY i),
 lines AS (
   SELECT i, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines
