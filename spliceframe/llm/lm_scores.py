@@ -15,19 +15,21 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stash
+from .common import release, stash
 
 CLASS_BITS = 63  # of a word's hash: a signed long that isn't negative
 HOT_BITS = 20
 HOT = 1 << HOT_BITS  # words whose counts are broadcast, at most
 STEPS = 16  # of the logarithm of a count: the histogram that tells how frequent a hot word is
 BACKOFF = 0.4
+PARTS = 2  # the bigrams are counted one part after the other, so that a part of them is on disk at a time
 START = b"<s>"
 ROWS = 1 << 18  # rows of an Arrow batch that goes back to the JVM
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -82,11 +84,12 @@ def grams(words: np.ndarray) -> np.ndarray:
     return np.where((v >= 0) & (w >= 0), (v << HOT_BITS) | w, (pair | np.uint64(1 << 63)).view(np.int64))
 
 
-def gram_counter(held_hot) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def gram_counter(held_hot, part: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """held_hot: a broadcast (sorted classes of the hot words, their numbers)."""
 
     def count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(id, text) -> (id, gram, n, words) for each distinct gram of a document; words (v, w) of negative grams."""
+        """(id, text) -> (id, gram, n, words) for each distinct gram of a document that is in this part of PARTS, by its
+        hash; words (v, w) of negative grams."""
         hot, number = held_hot.value
 
         def out(parts: list) -> pa.RecordBatch:
@@ -102,6 +105,8 @@ def gram_counter(held_hot) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 words = numbered(class_of(word_hashes(text.as_py())).view(np.int64), hot, number)
                 kinds, first, n = np.unique(grams(words), return_index=True, return_counts=True)
+                own = ((kinds.view(np.uint64) * MIX) >> np.uint64(40)) % np.uint64(PARTS) == part
+                kinds, first, n = kinds[own], first[own], n[own]
                 held.append((key, kinds, n, words[first], words[first + 1]))
                 size += len(kinds)
                 if size >= ROWS:
@@ -137,6 +142,7 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", backoff: flo
     spark = docs.sparkSession
     counts = docs.select(body.alias("text")).mapInArrow(count_classes, "class long, n long")
     counts = stash(counts.groupBy("class").agg(F.sum("n").alias("n")), "classes")
+    release(spark)  # the shuffle of that, ahead of the large one
     total = max(1, (counts.agg(F.sum("n")).first()[0] or 0) - docs.count())
     hot = hot_words(counts, HOT)
     kinds, number = hot["class"].to_numpy(), np.arange(len(hot), dtype=np.int64)
@@ -144,27 +150,32 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", backoff: flo
     held = spark.sparkContext.broadcast((kinds[order], number[order]))
     least = hot["n"].to_numpy().min(initial=2**62)
     hot = spark.createDataFrame(pa.table({"asked": number, "c": hot["n"].to_numpy()}), "asked long, c long")
-    rows = docs.select(ids.alias("id"), body.alias("text")).mapInArrow(
-        gram_counter(held), "id long, gram long, n int, words struct<v: long, w: long>"
-    )
-    met = rows.withColumn("others", F.sum("n").over(Window.partitionBy("gram")) - F.col("n"))
     v = F.coalesce("words.v", F.shiftright("gram", HOT_BITS))
     w = F.coalesce("words.w", F.col("gram").bitwiseAND(F.lit((1 << HOT_BITS) - 1).cast("long")))
     seen = F.col("others") > 0
-    # the word whose count is asked, how often its logarithm counts, and the rest of the score
-    met = met.select(
-        "id",
-        "n",
-        F.when(seen, v).otherwise(w).alias("asked"),
-        F.when(seen, -F.col("n")).otherwise(F.col("n")).alias("times"),
-        (F.col("n") * F.when(seen, F.ln("others")).otherwise(F.lit(math.log(backoff / total)))).alias("s"),
-    ).join(F.broadcast(hot), "asked", "left")
-    met = met.groupBy("id", F.when(F.col("c").isNull(), -1 - F.col("asked")).alias("class")).agg(
-        F.sum(F.col("s") + F.col("times") * F.coalesce(F.ln("c"), F.lit(0.0))).alias("s"),
-        F.sum(F.when(F.col("c").isNull(), F.col("times")).otherwise(0)).alias("times"),
-        F.sum("n").alias("c"),
-    )
-    met = stash(met, "sums")
+    sums = []
+    for part in range(PARTS):
+        rows = docs.select(ids.alias("id"), body.alias("text")).mapInArrow(
+            gram_counter(held, part), "id long, gram long, n int, words struct<v: long, w: long>"
+        )
+        met = rows.withColumn("others", F.sum("n").over(Window.partitionBy("gram")) - F.col("n"))
+        # the word whose count is asked, how often its logarithm counts, and the rest of the score
+        met = met.select(
+            "id",
+            "n",
+            F.when(seen, v).otherwise(w).alias("asked"),
+            F.when(seen, -F.col("n")).otherwise(F.col("n")).alias("times"),
+            (F.col("n") * F.when(seen, F.ln("others")).otherwise(F.lit(math.log(backoff / total)))).alias("s"),
+        ).join(F.broadcast(hot), "asked", "left")
+        met = met.groupBy("id", F.when(F.col("c").isNull(), -1 - F.col("asked")).alias("class")).agg(
+            F.sum(F.col("s") + F.col("times") * F.coalesce(F.ln("c"), F.lit(0.0))).alias("s"),
+            F.sum(F.when(F.col("c").isNull(), F.col("times")).otherwise(0)).alias("times"),
+            F.sum("n").alias("c"),
+        )
+        sums.append(stash(met, "sums"))
+        del rows, met
+        release(spark)  # the shuffles of one part, ahead of the next
+    met = reduce(DataFrame.union, sums)
     # a word that is met once has logarithm 0, so its count needn't be there
     rare = met.where("class is not null").join(counts.where((F.col("n") > 1) & (F.col("n") < int(least))), "class", "left")
     rare = rare.select("id", (F.col("s") + F.col("times") * F.ln(F.coalesce("n", F.lit(1)))).alias("s"), "c")
