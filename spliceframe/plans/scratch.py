@@ -1,9 +1,10 @@
-"""Cutting lineage in loops: checkpoints in the shared folder that the cluster names."""
+"""Cutting lineage in loops: tables in the shared folder that the cluster names."""
 
 from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,8 +21,14 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """df computed once into the shared folder."""
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint()
+    """df computed once, as a table of the shared folder that goes when the session ends.
+
+    Unlike checkpoint(), which computes twice and keeps the size that was estimated for the whole plan (in a loop of joins
+    the product of all earlier rounds' sizes), what is read back has the size of its files.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/settled-{uuid.uuid4().hex}"
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
