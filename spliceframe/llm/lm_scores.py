@@ -29,32 +29,17 @@ HOT_BITS = 20
 HOT = 1 << HOT_BITS  # words whose counts are broadcast, at most
 STEPS = 16  # of the logarithm of a count: the histogram that tells how frequent a hot word is
 BACKOFF = 0.4
-KEPT_HASHES = 100_000  # of words, by a worker
 PARTS = 2  # the bigrams are counted one part after the other, so that a part of them is on disk at a time
 START = b"<s>"
 ROWS = 1 << 18  # rows of an Arrow batch that goes back to the JVM
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-class Hashes(dict):
-    """Hashes of words, kept for a while."""
-
-    def __missing__(self, word: bytes) -> int:
-        from xxhash import xxh64_intdigest
-
-        if len(self) >= KEPT_HASHES:
-            self.clear()
-        self[word] = found = xxh64_intdigest(word)
-        return found
-
-
-HASHES = Hashes()
-
-
 def word_hashes(text: bytes) -> np.ndarray:
     """The start mark's hash and those of the text's words: A-Z lower-cased, between ASCII white space."""
-    words = [START, *text.lower().split()]
-    return np.fromiter(map(HASHES.__getitem__, words), np.uint64, len(words))
+    from xxhash import xxh64_intdigest
+
+    return np.array([xxh64_intdigest(w) for w in [START, *text.lower().split()]], dtype=np.uint64)
 
 
 def class_of(hashes: np.ndarray) -> np.ndarray:
@@ -119,9 +104,10 @@ def gram_counter(held_hot, part: int) -> Callable[[Iterator[pa.RecordBatch]], It
         for batch in batches:
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 words = numbered(class_of(word_hashes(text.as_py())).view(np.int64), hot, number)
-                kinds, first, n = np.unique(grams(words), return_index=True, return_counts=True)
-                own = ((kinds.view(np.uint64) * MIX) >> np.uint64(40)) % np.uint64(PARTS) == part
-                kinds, first, n = kinds[own], first[own], n[own]
+                every = grams(words)
+                own = np.flatnonzero(((every.view(np.uint64) * MIX) >> np.uint64(40)) % np.uint64(PARTS) == part)
+                kinds, first, n = np.unique(every[own], return_index=True, return_counts=True)
+                first = own[first]
                 held.append((key, kinds, n, words[first], words[first + 1]))
                 size += len(kinds)
                 if size >= ROWS:
