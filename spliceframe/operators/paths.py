@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import KValueSettings
 from ..functions.columns import path_text, region_effective_length, region_is_valid, region_type
+from ..plans.scratch import merged
 from .intervals import atomic_split, contained_in
 
 GENE = ["chr", "gene"]
@@ -15,20 +16,22 @@ GENE = ["chr", "gene"]
 def isoforms(exons: DataFrame) -> DataFrame:
     """rows (chr, gene, isoform, strand, exons, n_exons, length): exons sorted by (s, e)."""
     one = F.struct(F.col("start").alias("s"), F.col("end").alias("e"))
-    return exons.groupBy(*GENE, "isoform").agg(
+    found = exons.groupBy(*GENE, "isoform").agg(
         F.first("strand").alias("strand"),
         F.array_sort(F.collect_list(one)).alias("exons"),
         F.count("*").cast("int").alias("n_exons"),
         F.sum(F.expr("end - start + 1")).cast("long").alias("length"),
     )
+    return merged(found)
 
 
 def segments(exons: DataFrame) -> DataFrame:
     """rows (chr, gene, seg, start, end, len): a gene's atomic pieces, numbered from 0."""
     order = Window.partitionBy(*GENE).orderBy("start")
-    return atomic_split(exons, GENE).select(
+    pieces = atomic_split(exons, GENE).select(
         *GENE, (F.row_number().over(order) - 1).alias("seg"), "start", "end", F.expr("end - start + 1").alias("len")
     )
+    return merged(pieces)
 
 
 def gene_segments(segs: DataFrame) -> DataFrame:
@@ -42,7 +45,7 @@ def gene_segments(segs: DataFrame) -> DataFrame:
 def paths(segs: DataFrame, exons: DataFrame) -> DataFrame:
     """rows (chr, gene, isoform, path): the segments inside an isoform's exons, in order."""
     held = contained_in(segs, exons.select(*GENE, "isoform", "start", "end"), GENE)
-    return held.groupBy(*GENE, "isoform").agg(F.array_sort(F.collect_set("seg")).alias("path"))
+    return merged(held.groupBy(*GENE, "isoform").agg(F.array_sort(F.collect_set("seg")).alias("path")))
 
 
 def slices(iso_paths: DataFrame, segs: DataFrame, longest_inner: int | None = None) -> DataFrame:
@@ -50,32 +53,43 @@ def slices(iso_paths: DataFrame, segs: DataFrame, longest_inner: int | None = No
 
     Lengths are differences of prefix sums. With longest_inner, sub-paths whose inner length (without first and last
     segment) is above it are never made, so the square of a long isoform isn't either.
+
+    The owners of a sub-path that begins at some segment are the isoforms that go on alike from there for long enough, and
+    the first of them makes it: each is made once, in its gene's row, and none is sorted, shuffled or grouped.
     """
     gene = segs.groupBy(*GENE).agg(F.map_from_entries(F.collect_list(F.struct("seg", "len"))).alias("len_of"))
-    laid = iso_paths.join(gene, GENE).withColumn("lens", F.expr("transform(path, p -> cast(len_of[p] as bigint))"))
+    held = iso_paths.where("size(path) > 0").groupBy(*GENE).agg(F.array_sort(F.collect_list(F.struct("isoform", "path"))).alias("every"))
+    laid = held.join(gene, GENE).select(*GENE, "every", "len_of", F.posexplode("every").alias("k", "own"))
+    laid = laid.select(*GENE, "every", "k", "own.path", F.expr("transform(own.path, p -> cast(len_of[p] as bigint))").alias("lens"))
     # one running sum over the path
     laid = laid.withColumn(
         "ends",
         F.expr("aggregate(lens, cast(array() as array<bigint>), (a, x) -> concat(a, array(coalesce(try_element_at(a, -1), 0L) + x)))"),
     )
-    one = laid.where("size(path) > 0").select(*GENE, "isoform", "path", "lens", "ends", F.posexplode("path").alias("i", "_"))
+    one = laid.select("*", F.posexplode("path").alias("i", "at"))
+    # how many segments from this one on each isoform shares with this path
+    one = one.withColumn("rest", F.expr("slice(path, i + 1, size(path))")).withColumn(
+        "alike",
+        F.expr("""transform(every, (x, y) -> struct(y as k, x.isoform as isoform, if(array_contains(x.path, at), array_position(
+            concat(zip_with(rest, slice(x.path, cast(greatest(array_position(x.path, at), 1) as int), size(rest)), (a, b) -> not (a <=> b)), array(true)),
+            true) - 1, 0L) as n))"""),
+    )
     stop = "size(path) - 1"
     if longest_inner is not None:
         # inner length grows with j, so the fitting ones are a prefix
         fits = f"size(filter(sequence(i, {stop}), j -> j <= i + 1 or ends[j - 1] - ends[i] <= {longest_inner}))"
         stop = f"i + {fits} - 1"
-    made = one.withColumn("j", F.explode(F.expr(f"sequence(i, {stop})"))).selectExpr(
+    start = "i + cast(aggregate(alike, 0L, (a, x) -> if(x.k < k, greatest(a, x.n), a)) as int)"
+    new = one.withColumn("start", F.expr(start)).withColumn("stop", F.expr(stop))
+    # no filter on start and stop: it would be moved ahead and compare the isoforms again
+    return new.withColumn("j", F.explode(F.expr("if(start <= stop, sequence(start, stop), cast(array() as array<int>))"))).selectExpr(
         *GENE,
-        "isoform",
         "slice(path, i + 1, j - i + 1) as path",
         "ends[j] - ends[i] + lens[i] as len",
         "lens[i] as first",
         "lens[j] as last",
         "if(j - i > 1, ends[j - 1] - ends[i], 0L) as inner",
-    )
-    return made.groupBy(*GENE, "path").agg(
-        *[F.first(c).alias(c) for c in ("len", "first", "last", "inner")],
-        F.array_sort(F.collect_set("isoform")).alias("isoforms"),
+        "transform(filter(alike, x -> x.n > j - i and x.isoform is not null), x -> x.isoform) as isoforms",
     )
 
 

@@ -1,6 +1,7 @@
 """Interval and path operators against brute force on small random genes."""
 
 import random
+import re
 
 from spliceframe.operators import communities, intervals, paths
 
@@ -118,3 +119,29 @@ def test_components_match_union_find(spark):
         parent[b] = a
     got = communities.components(spark.createDataFrame([(n,) for n in nodes], "node string"), spark.createDataFrame(edges, "u string, v string"))
     assert dict(got.collect()) == {n: find(n) for n in nodes}
+
+
+def test_slices_are_made_once_and_without_a_shuffle_of_their_own(spark):
+    def plan(df):
+        return df._jdf.queryExecution().executedPlan().toString()
+
+    for seed in range(3):
+        rows = random_exons(seed, 5)
+        rows += [(c, g, i + "x", s, a, b) for c, g, i, s, a, b in rows if i.endswith("0")]  # the same exons again
+        x = spark.createDataFrame(rows, COLUMNS)
+        segs = paths.segments(x)
+        iso = paths.paths(segs, x)
+        want = {}
+        for r in iso.collect():
+            for i in range(len(r.path)):
+                for j in range(i, len(r.path)):
+                    want.setdefault((r.gene, tuple(r.path[i : j + 1])), set()).add(r.isoform)
+        length = {(r.gene, r.seg): r.len for r in segs.collect()}
+        made = paths.slices(iso, segs)
+        got = made.collect()
+        assert len(got) == len(want)
+        for r in got:
+            own = [length[r.gene, p] for p in r.path]
+            assert r.isoforms == sorted(want[r.gene, tuple(r.path)])
+            assert (r.len, r.first, r.last, r.inner) == (sum(own), own[0], own[-1], sum(own[1:-1]))
+    assert not re.search(r"Aggregate\(keys=\[[^\]]*path#", plan(made))  # slices aren't grouped
