@@ -141,8 +141,10 @@ def gene_info(exons: DataFrame, segs: DataFrame) -> DataFrame:
 def near_maximal(rows: DataFrame) -> DataFrame:
     """Of regions (chr, gene, path, isoforms, ...), those that some isoform keeps: of its regions the ones within one
     segment of the longest, or, where none has two segments, one alone (the least path)."""
-    own = Window.partitionBy(*GENE, "isoform")
-    each = rows.select(*GENE, "path", F.explode("isoforms").alias("isoform")).withColumn("_size", F.size("path"))
-    each = each.withColumn("_most", F.max("_size").over(own)).withColumn("_first", F.min("path").over(own))
-    kept = each.where("if(_most > 1, _size >= _most - 1, path = _first)").select(*GENE, "path").distinct()
-    return rows.join(kept, [*GENE, "path"], "left_semi")
+    least = F.coalesce(F.get("path", F.lit(0)), F.lit(-1))
+    each = rows.select(*GENE, F.size("path").alias("size"), least.alias("least"), F.explode("isoforms").alias("isoform"))
+    tops = each.groupBy(*GENE, "isoform").agg(F.max("size").alias("most"), F.min("least").alias("least"))
+    gene = tops.groupBy(*GENE).agg(F.map_from_entries(F.collect_list(F.struct("isoform", F.struct("most", "least")))).alias("tops"))
+    kept = F.exists("isoforms", lambda i: F.when(F.col("tops")[i]["most"] > 1, F.size("path") >= F.col("tops")[i]["most"] - 1).otherwise(least == F.col("tops")[i]["least"]))
+    # the genes' maps are what is held of a partition; the regions pass by, unsorted
+    return rows.join(gene.hint("shuffle_hash"), GENE).where(kept).drop("tops")
