@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.scratch import merged
 from .condition import dense, entries, gram
 from .paths import GENE, owners
 
@@ -19,7 +20,7 @@ EXON_KINDS = ("one_exon", "two_exons", "exons")
 def counted(regions: DataFrame, mapped: DataFrame) -> DataFrame:
     """regions plus n: the reads (rows of mapped: chr, gene, path) of each, 0 for none."""
     n = mapped.groupBy(*GENE, "path").agg(F.count("*").alias("n"))
-    return regions.drop("n").join(n, [*GENE, "path"], "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
+    return regions.drop("n").join(merged(n), [*GENE, "path"], "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
 
 
 def full_rank(regions: DataFrame, isoforms: DataFrame) -> DataFrame:
@@ -63,7 +64,7 @@ def long_read_regions(mapped: DataFrame, iso_paths: DataFrame, policy: str = "al
     whole = iso_paths.where("size(path) > 0").select(*GENE, "path").distinct().withColumn("whole", F.lit(True))
     asked = mapped.select(*GENE, "path").distinct().join(whole, [*GENE, "path"], "full")
     owned = owners(asked, iso_paths).groupBy(*GENE, "path").agg(F.array_sort(F.collect_set("isoform")).alias("isoforms"))
-    rows = counted(asked.join(owned, [*GENE, "path"]), mapped)
+    rows = counted(asked.join(merged(owned), [*GENE, "path"]), mapped)
     return kept_by(policy, rows, F.coalesce("whole", F.lit(False)), iso_paths).drop("whole")
 
 
@@ -116,12 +117,16 @@ def coordinates(regions: DataFrame, segs: DataFrame) -> DataFrame:
 def segment_distances(regions: DataFrame) -> DataFrame:
     """rows (kind, distance, n): reads by how many segments their region (chr, gene, path, isoforms, n) lacks of the longest
     listed region of its isoform (unique), or of the median of its isoforms (multi)."""
-    each = regions.where("size(isoforms) > 0").select(*GENE, "path", "n", F.explode("isoforms").alias("isoform"))
-    most = F.max(F.size("path")).over(Window.partitionBy(*GENE, "isoform"))
-    each = each.withColumn("short", most - F.size("path")).where("n > 0")
-    one = each.groupBy(*GENE, "path").agg(F.first("n").alias("n"), F.count("*").alias("owners"), F.median("short").alias("distance"))
-    kind = F.when(F.col("owners") > 1, "multi").otherwise("unique")
-    return one.groupBy(kind.alias("kind"), "distance").agg(F.sum("n").alias("n"))
+    # a distance depends on the owners and the size alone: paths are summed away before a gene's rows meet
+    kinds = regions.where("size(isoforms) > 0").groupBy(*GENE, "isoforms", F.size("path").alias("size")).agg(F.sum(F.when(F.col("n") > 0, F.col("n"))).alias("n"))
+    gene = kinds.groupBy(*GENE).agg(F.collect_list(F.struct("isoforms", "size", "n")).alias("rows"))
+    most = "map_from_entries(transform(array_distinct(flatten(rows.isoforms)), i -> struct(i, array_max(transform(filter(rows, r -> array_contains(r.isoforms, i)), r -> r.size)))))"
+    gene = gene.select("rows", F.expr(most).alias("most"))  # ahead of the explode: once for a gene
+    each = gene.select("most", F.explode("rows").alias("r")).where("r.n > 0")
+    each = each.select("r.n", F.size("r.isoforms").alias("k"), F.expr("array_sort(transform(r.isoforms, i -> most[i] - r.size))").alias("short"))
+    median = F.expr("(short[(k - 1) div 2] + short[k div 2]) / 2D")
+    kind = F.when(F.col("k") > 1, "multi").otherwise("unique")
+    return each.groupBy(kind.alias("kind"), median.alias("distance")).agg(F.sum("n").alias("n"))
 
 
 def short_isoforms(mapped: DataFrame, regions: DataFrame, iso: DataFrame) -> DataFrame:
