@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .config import KValueSettings, QuantifySettings
 from .functions.columns import inner_weight, region_effective_length, region_name
 from .operators import communities, condition, density, em, features, global_em, intervals, least_squares, mapping, paths, readlen, shortread, supported
-from .plans.scratch import settle
+from .plans.scratch import merged, settle
 from .sources import formats, sinks
 
 GENE = paths.GENE
@@ -70,8 +70,8 @@ class KValues:
         """rows (chr, gene, reads, region, coordinates, isoform, a, b) of both matrices."""
         out = None
         for kind, matrix, b in (("SR", self.matrix, self.sr_b), ("LR", self.lr_matrix, self.lr_b)):
-            one = matrix.join(supported.coordinates(matrix, self.segments), [*GENE, "path"])
-            one = one.join(b, [*GENE, "path"], "left") if b is not None else one.withColumn("b", F.lit(None).cast("double"))
+            one = matrix.join(merged(supported.coordinates(matrix, self.segments)), [*GENE, "path"])
+            one = one.join(merged(b), [*GENE, "path"], "left") if b is not None else one.withColumn("b", F.lit(None).cast("double"))
             one = one.select(*GENE, F.lit(kind).alias("reads"), region_name(F.col("path")).alias("region"), "coordinates", "isoform", "a", "b")
             out = one if out is None else out.unionByName(one)
         return out
@@ -154,7 +154,7 @@ def k_values(
 
     info = paths.gene_info(exons, segs)
     numbers = solved(*sr_grams, sr, "sr").join(solved(lr_gram, lr_gram, lr, "lr"), GENE)  # genes with both matrices
-    genes = info.join(numbers, GENE, "left")
+    genes = info.join(merged(numbers), GENE, "left")
     for kind in ("sr", "lr"):
         n = F.col(f"{kind}_regions")
         genes = genes.withColumn(f"{kind}_dim", F.when(n.isNotNull(), F.format_string("(%d, %d)", n, "num_isoforms"))).drop(n)
@@ -182,7 +182,7 @@ def region_abundance(found: KValues, alpha: float = 1.0, beta: float = 1e-6, uni
         got = least_squares.reassign(theta, found.lr_matrix, found.lr_b)
     else:
         got = least_squares.by_total(theta, found.lr_b)
-    return theta.join(least_squares.per_million(got), [*GENE, "isoform"])
+    return theta.join(merged(least_squares.per_million(got)), [*GENE, "isoform"])
 
 
 def write_region_abundance(directory: str, expression: DataFrame, exons: DataFrame) -> None:
@@ -191,7 +191,7 @@ def write_region_abundance(directory: str, expression: DataFrame, exons: DataFra
     iso = exons.groupBy(*GENE, "isoform").agg(F.min("start").alias("Start"), F.max("end").alias("End"))
     iso = iso.join(paths.isoforms(exons).select(*GENE, "isoform", "length"), [*GENE, "isoform"])
     alpha = F.col("alpha") if "alpha" in expression.columns else F.lit(1.0)
-    rows = iso.join(expression.select(*GENE, "isoform", "tpm", alpha.alias("alpha")), [*GENE, "isoform"], "left").fillna(0.0, ["tpm"])
+    rows = merged(iso).join(expression.select(*GENE, "isoform", "tpm", alpha.alias("alpha")), [*GENE, "isoform"], "left").fillna(0.0, ["tpm"])
     rows = rows.select(F.col("isoform").alias("Isoform"), F.col("gene").alias("Gene"), F.col("chr").alias("Chr"), "Start", "End", F.col("length").alias("Isoform_length"), F.col("tpm").alias("TPM"), F.col("alpha").alias("Alpha"))
     rows = settle(rows)
     sinks.write_tsv(rows.groupBy("Gene", "Chr").agg(F.sum("TPM").alias("TPM")), f"{directory}/expression_gene.out", ["Gene"])
@@ -318,7 +318,7 @@ def quantify(
     out = solved.join(members.select("isoform", "gene"), "isoform")
     out = out.join(eff, "isoform", "left") if eff is not None else out.withColumn("eff", F.lit(1.0))
     for table, name in ((lr, "community_num_lrs"), (sr, "community_num_srs")):
-        out = out.join(reads_of(table, name), "community", "left")
+        out = out.join(merged(reads_of(table, name)), "community", "left")
     out = out.fillna(0, ["community_num_lrs", "community_num_srs"]).fillna(1.0, ["eff"])
     if not use_sr:
         n = (lr.agg(F.sum("n")).first()[0] or 0) + s.phantom_rows

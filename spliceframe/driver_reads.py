@@ -15,7 +15,7 @@ from .api import k_values, quantify
 from .config import KValueSettings, QuantifySettings
 from .driver_queries import JOINED, compat, exons as order_exons, query, table  # noqa: F401
 from .operators import communities, condition, em, features, mapping, paths, readlen, shortread, supported
-from .plans.scratch import shared_folder
+from .plans.scratch import merged, shared_folder
 from .sources import formats, sinks
 
 PARTS = ((1, 100, "ab"), (301, 400, "a"), (601, 700, "ab"))
@@ -273,7 +273,7 @@ def abundance_files(spark, sf_dir):
     read = lambda name, schema: spark.read.csv(f"{path}/{name}", sep="\t", header=True, schema=schema)
     tpm = read("Isoform_abundance.out", "Isoform string, Gene string, TPM double")
     more = read("LR_EM_expression.out", "Isoform string, Gene string, t double, theta double, community string, community_num_LRs long")
-    return tpm.join(more.drop("Gene", "t"), "Isoform").select(
+    return merged(tpm).join(more.drop("Gene", "t"), "Isoform").select(
         "Isoform", "Gene", F.round("TPM", 3).alias("tpm"), F.round("theta", 6).alias("theta"), "community", F.col("community_num_LRs").alias("num_lrs")
     )
 

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import safe_divide
+from ..plans.scratch import merged
 from .condition import dense, gram
 from .paths import GENE
 
@@ -77,7 +78,7 @@ def solve(parts: Sequence[Part], names: DataFrame, beta: float = 1e-6, unique_bo
         raise ValueError("there is no matrix of a positive weight")
     isoforms = names.groupBy(*GENE).agg(F.array_sort(F.collect_set("isoform")).alias("isoforms"))
     at = lambda c: (F.array_position("isoforms", F.col(c)) - 1).cast("int").alias(c)
-    placed = reduce(DataFrame.unionByName, cells).join(isoforms, GENE).select(*GENE, "isoforms", "kind", at("i"), at("j"), "v")
+    placed = reduce(DataFrame.unionByName, cells).join(merged(isoforms), GENE).select(*GENE, "isoforms", "kind", at("i"), at("j"), "v")
     # one row per gene, so that a batch holds many genes
     packed = placed.groupBy(*GENE).agg(
         F.first("isoforms").alias("isoforms"), F.collect_list(F.struct("kind", "i", "j", "v")).alias("cells")
@@ -101,7 +102,7 @@ def solve(parts: Sequence[Part], names: DataFrame, beta: float = 1e-6, unique_bo
     solved = packed.mapInArrow(of_genes, "chr string, gene string, isoforms array<string>, x array<double>")
     rows = solved.select(*GENE, F.explode(F.arrays_zip("isoforms", "x")).alias("z")).select(*GENE, F.col("z.isoforms").alias("isoform"), F.col("z.x").alias("x"))
     every = names.select(*GENE, "isoform").distinct()
-    return every.join(rows, [*GENE, "isoform"], "left").fillna(0.0, ["x"])
+    return every.join(merged(rows), [*GENE, "isoform"], "left").fillna(0.0, ["x"])
 
 
 def gene_shares(x: DataFrame) -> DataFrame:
@@ -148,6 +149,6 @@ def per_million(expression: DataFrame) -> DataFrame:
 def blended(expression: DataFrame, short: DataFrame, alpha: float) -> DataFrame:
     """expression (isoform, tpm, ...) with tpm blended with that of short reads (isoform, value): alpha of the long reads'
     and the rest of the short reads', 0 for isoforms they lack. Adds lr_tpm, sr_tpm and alpha."""
-    values = short.groupBy("isoform").agg(F.sum("value").alias("sr_tpm"))
+    values = merged(short.groupBy("isoform").agg(F.sum("value").alias("sr_tpm")))
     both = expression.withColumnRenamed("tpm", "lr_tpm").join(values, "isoform", "left").fillna(0.0, ["sr_tpm"])
     return both.withColumn("tpm", (1 - alpha) * F.col("sr_tpm") + alpha * F.col("lr_tpm")).withColumn("alpha", F.lit(float(alpha)))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..config import QuantifySettings
 from ..functions.columns import best_gene_fold, blocks, cigar_lengths, mapped_length
-from ..plans.scratch import settle
+from ..plans.scratch import merged, settle
 from .intervals import overlap_join, range_join
 from .paths import GENE
 from .readlen import order_statistics
@@ -165,13 +165,13 @@ def pick_one(kept: DataFrame) -> DataFrame:
 
 def map_reads(reads: DataFrame, gene_segs: DataFrame, iso_paths: DataFrame, s: QuantifySettings) -> DataFrame:
     """rows (name, chr, gene, path, r_start, r_end, read_length): the regions of each read."""
-    placed = placements(reads)
+    placed = merged(placements(reads))
     texts = iso_paths.select(*GENE, F.concat(F.lit(","), F.array_join(F.col("path").cast("array<string>"), ","), F.lit(",")).alias("p"))
     genes = gene_segs.join(texts.groupBy(*GENE).agg(F.collect_list("p").alias("paths")), GENE)
     candidates = settle(gene_candidates(placed, genes.select(*GENE, "g_start", "g_end"), s.gene_tolerance).drop("g_start", "g_end"))
-    found = choose_genes(map_placements(candidates, genes, s))
+    found = merged(choose_genes(map_placements(candidates, genes, s)))
     full = found.join(placed.select("chr", "pos", "cigar", "r_start", "r_end", "read_length"), ["chr", "pos", "cigar"])
-    return reads.select("name", "chr", "pos", "cigar").join(full, ["chr", "pos", "cigar"]).drop("pos", "cigar")
+    return merged(reads.select("name", "chr", "pos", "cigar").join(merged(full), ["chr", "pos", "cigar"]).drop("pos", "cigar"))
 
 
 def rejected_reads(reads: DataFrame, mapped: DataFrame) -> DataFrame:

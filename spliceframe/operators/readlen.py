@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import conditional_probability
+from ..plans.scratch import merged
 
 
 def read_lengths(read_iso: DataFrame) -> DataFrame:
@@ -88,7 +89,7 @@ def compatibilities(read_iso: DataFrame, isoforms: DataFrame, form: str, unique_
     sums = overrides if overrides is not None else suffix_sums(hist, known)
     total = hist.agg(F.sum("n").alias("total"))
     rows = (
-        read_iso.select("name", "isoform").join(lengths, "name").join(known.select("isoform", "iso_len", "cdf"), "isoform")
+        merged(read_iso.select("name", "isoform").join(lengths, "name")).join(known.select("isoform", "iso_len", "cdf"), "isoform")
         .join(sums, "read_len").crossJoin(F.broadcast(total))  # one row
     )
     p = conditional_probability(

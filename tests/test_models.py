@@ -9,8 +9,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from spliceframe import api
-from spliceframe.config import KValueSettings
-from spliceframe.operators import density, global_em, intervals, least_squares, mapping, paths, readlen, supported
+from spliceframe.config import KValueSettings, QuantifySettings
+from spliceframe.operators import density, em, global_em, intervals, least_squares, mapping, paths, readlen, supported
+from spliceframe.plans.scratch import settle
 
 REGIONS = "chr string, gene string, path array<int>, isoforms array<string>, n long"
 
@@ -345,3 +346,43 @@ def test_blend_and_training_rows(spark, tmp_path):
     api.write_region_abundance(f"{tmp_path}", long, more)
     back = {r.Gene: float(r.TPM) for r in spark.read.csv(f"{tmp_path}/expression_gene.out", sep="\t", header=True).collect()}
     assert back == pytest.approx({"g": 1e6, "quiet": 0})
+
+
+def test_many_communities_in_one_task_as_alone(spark):
+    """Batches end inside communities; one community spans several batches."""
+    names = [(f"i{c}-{k}", f"g{c}", f"c{c}") for c in range(30) for k in range(1 + c % 4 + 40 * (c == 7))]
+    rows = [(c * 1000 + p, [(f"i{c}-{k}", 1.0 + (p + k) % 3) for k in range(p % (1 + c % 4) + 1)], p % 5 + 1) for c in range(30) if c != 9 for p in range(12)]
+    members = spark.createDataFrame(names, "isoform string, gene string, community string")
+    lr = spark.createDataFrame(rows, "pattern long, members array<struct<isoform:string,v:double>>, n long")
+    s = QuantifySettings(max_iterations=5, relative_tolerance=0.0, tested_above=0.0)
+    held = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = {r.isoform: r for r in em.run(members, lr, None, None, None, s).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", held)
+    assert set(got) == {x[0] for x in names}
+    for c in range(30):
+        own = sorted(x[0] for x in names if x[2] == f"c{c}")
+        theta = dict.fromkeys(own, 1 / len(own))
+        for _ in range(5):
+            q = dict.fromkeys(own, 0.0)
+            for p, m, n in rows:
+                if p // 1000 == c:
+                    den = sum(v * theta[i] for i, v in m)
+                    for i, v in m:
+                        q[i] += n * v * theta[i] / den if den else 0.0
+            total = sum(q.values()) or 1.0
+            theta = {i: x / total for i, x in q.items()}
+        for i in own:
+            assert got[i].community == f"c{c}" and got[i].rounds == len(got[i].trace) <= 5 and got[i].trace[-1] == got[i].theta
+            assert np.isclose(got[i].theta, theta[i], atol=1e-12)
+
+
+def test_tables_of_small_files_are_not_broadcast(spark):
+    """Joins with settled tables and with the annotation's are merge joins: their files say nothing of their size in memory."""
+    x = spark.range(200).selectExpr("'c' as chr", "cast(id as string) as gene", "concat('i', id) as isoform", "'+' as strand", "cast(id * 100 + 1 as int) as start", "cast(id * 100 + 60 as int) as end")
+    segs = paths.segments(x)
+    many = settle(x).select("gene", F.explode(F.sequence(F.lit(1), F.lit(50))).alias("k"))
+    for made in (paths.paths(segs, x), many.join(x.select("gene", "start"), "gene"), paths.gene_info(x, segs)):
+        assert "BroadcastHashJoin" not in made._jdf.queryExecution().executedPlan().toString()
