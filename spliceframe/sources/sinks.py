@@ -1,4 +1,4 @@
-"""Sinks: tab-separated results in one order, and matrix dumps by gene. Only the named path is replaced."""
+"""Sinks: tab-separated results in one order, and matrix dumps in a bounded number of folders. Only the named path is replaced."""
 
 from __future__ import annotations
 
@@ -13,6 +13,11 @@ def write_tsv(df: DataFrame, path: str, order: list[str] | None = None) -> None:
     flat.write.mode("overwrite").csv(path, sep="\t", header=True, nullValue="NA")
 
 
-def write_matrix(entries: DataFrame, path: str) -> None:
-    """Matrix entries (chr, gene, region, isoform, a) as Parquet, a folder for each gene."""
-    entries.write.mode("overwrite").partitionBy("gene").parquet(path)
+MATRIX_FOLDERS = 256
+
+
+def write_matrix(entries: DataFrame, path: str, folders: int = MATRIX_FOLDERS) -> None:
+    """Matrix entries (chr, gene, region, isoform, a) as Parquet, in folders (part) that hold whole genes, sorted by gene: a
+    folder for each gene where there are few, and no more than `folders` however many there are."""
+    dealt = entries.withColumn("part", F.pmod(F.xxhash64("gene"), F.lit(folders))).repartition("part")
+    dealt.sortWithinPartitions("part", "gene", "chr").write.mode("overwrite").partitionBy("part").parquet(path)

@@ -2,6 +2,7 @@
 
 import collections
 import math
+import os
 import random
 
 import numpy as np
@@ -12,6 +13,7 @@ from spliceframe import api
 from spliceframe.config import KValueSettings, QuantifySettings
 from spliceframe.operators import density, em, global_em, intervals, least_squares, mapping, paths, readlen, supported
 from spliceframe.plans.scratch import settle
+from spliceframe.sources import sinks
 
 REGIONS = "chr string, gene string, path array<int>, isoforms array<string>, n long"
 
@@ -348,6 +350,15 @@ def test_blend_and_training_rows(spark, tmp_path):
     assert back == pytest.approx({"g": 1e6, "quiet": 0})
 
 
+def test_matrix_folders_do_not_grow_with_genes(spark, tmp_path):
+    rows = [("c", f"g{k}", "P0:P1", f"i{k}", 1.0) for k in range(60) for _ in range(2)]
+    sinks.write_matrix(spark.createDataFrame(rows, "chr string, gene string, region string, isoform string, a double"), f"{tmp_path}/m", 8)
+    assert 2 <= sum(x.is_dir() for x in os.scandir(f"{tmp_path}/m")) <= 8
+    back = spark.read.parquet(f"{tmp_path}/m")
+    assert sorted(tuple(r) for r in back.select("chr", "gene", "region", "isoform", "a").collect()) == sorted(rows)
+    assert back.groupBy("gene").agg(F.countDistinct("part").alias("n")).where("n > 1").count() == 0
+
+
 def test_many_communities_in_one_task_as_alone(spark):
     """Batches end inside communities; one community spans several batches."""
     names = [(f"i{c}-{k}", f"g{c}", f"c{c}") for c in range(30) for k in range(1 + c % 4 + 40 * (c == 7))]
