@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from jobs.common import asked, checked, command_line, inputs, log, rows_seen, watched
 from spliceframe.config import QuantifySettings, settings_of
 from spliceframe.operators import mapping, paths, supported
-from spliceframe.plans.scratch import settle
+from spliceframe.plans.scratch import merged, settle
 
 CONFIG = os.path.join(os.path.dirname(os.path.abspath(__file__)), "region_counts.json")
 GENE = paths.GENE
@@ -33,16 +33,12 @@ KEYS = "exons alignments chromosomes settings full_length_regions filter_reads"
 
 def counts(exons: DataFrame, alignments: DataFrame, settings: QuantifySettings, policy: str, filter_reads: bool) -> DataFrame:
     """rows (chr, gene, region, coordinates, isoforms, n, n_unique, n_multi)."""
-    segs, iso = paths.segments(exons), paths.isoforms(exons)
-    iso_paths = paths.paths(segs, exons)
+    segs, iso_paths = paths.laid_out(exons)
     alignments, read = watched(alignments, "alignments")
     mapped = settle(mapping.pick_one(mapping.map_reads(alignments, paths.gene_segments(segs), iso_paths, settings)))
     log.info("read %d alignments, %d reads are on a region", rows_seen(read), mapped.count())
     if filter_reads:
-        exact = iso_paths.select("isoform", F.size("path").alias("n_exons"))
-        lengths = iso.select(*GENE, "isoform", F.col("length").alias("iso_len"))
-        owned = mapped.join(paths.owners(mapped, iso_paths).join(lengths, [*GENE, "isoform"]), [*GENE, "path"])
-        mapped = mapped.join(mapping.read_qc(owned, exact).select("name").distinct(), "name", "left_semi")
+        mapped = mapping.region_qc(mapped, iso_paths, paths.isoforms(exons))
     regions = settle(supported.long_read_regions(mapped, iso_paths, policy))
     found = regions.join(supported.counts_by_owner(regions), GENE)
     found = found.join(supported.coordinates(regions, segs), [*GENE, "path"])
@@ -53,7 +49,8 @@ def counts(exons: DataFrame, alignments: DataFrame, settings: QuantifySettings,
 
 def run(spark: SparkSession, config: dict, input: str, output: str) -> DataFrame:
     """Read input, write output and read it back."""
-    tables = inputs(spark, checked(config, KEYS), input)
+    # by their compressed files genes would pass for a small table, and be broadcast by way of the driver
+    tables = {name: merged(t) for name, t in inputs(spark, checked(config, KEYS), input).items()}
     exons, alignments = (asked(spark, config[k], tables) for k in ("exons", "alignments"))
     only = config.get("chromosomes")
     if only:

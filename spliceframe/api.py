@@ -102,9 +102,8 @@ def k_values(
     """
     s = settings or KValueSettings()
     exons = formats.exons(spark, annotation) if isinstance(annotation, str) else annotation
-    segs = paths.segments(exons)
-    iso = paths.isoforms(exons)
-    iso_paths = paths.paths(segs, exons)
+    segs, iso_paths = paths.laid_out(exons)
+    iso = settle(paths.isoforms(exons))
     names = iso.select(*GENE, "isoform")
     regions = settle(paths.regions(iso_paths, segs, s))  # read by each of the matrices below
     sr = lr = regions
@@ -120,10 +119,7 @@ def k_values(
         sr_b = supported.abundance(sr, F.col("eff_len"))
     if lrs is not None:
         if s.filter_reads:
-            exact = iso_paths.select("isoform", F.size("path").alias("n_exons"))
-            owned = paths.owners(lrs, iso_paths).join(iso.select(*GENE, "isoform", F.col("length").alias("iso_len")), [*GENE, "isoform"])
-            good = mapping.read_qc(lrs.join(owned, [*GENE, "path"]), exact).select("name").distinct()
-            lrs = lrs.join(good, "name", "left_semi")
+            lrs = mapping.region_qc(settle(lrs), iso_paths, iso)
         lr = settle(supported.long_read_regions(settle(lrs), iso_paths, s.full_length_regions))
         lr_b = supported.abundance(lr)
     if s.multi_exon_weight == "minus_inner_region":
@@ -277,8 +273,8 @@ def quantify(
     exons = formats.exons(spark, annotation) if isinstance(annotation, str) else annotation
     if isinstance(read_length_overrides, str):
         read_length_overrides = formats.read_length_overrides(spark, read_length_overrides)
-    segs, iso = paths.segments(exons), paths.isoforms(exons)
-    iso_paths = paths.paths(segs, exons)
+    segs, iso_paths = paths.laid_out(exons)
+    iso = settle(paths.isoforms(exons))
     mapped = rejected = lr = sr = eff = read_iso = fragments = lr_counts = sr_counts = None
     if use_lr:
         reads = formats.alignments(spark, long_reads, s.read_filter) if isinstance(long_reads, str) else long_reads

@@ -136,8 +136,8 @@ def mapped_ties(spark, sf_dir) -> DataFrame:
     x = gene_exons(spark, sf_dir)
     twins = x.where("cast(gene as int) % 2 = 0").withColumns({"gene": F.concat(F.lit("t"), "gene"), "isoform": F.concat(F.lit("t"), "isoform")})
     x = x.unionByName(twins)
-    segs = paths.segments(x)
-    got = mapping.map_reads(order_reads(spark, sf_dir), paths.gene_segments(segs), paths.paths(segs, x), QuantifySettings())
+    segs, iso_paths = paths.laid_out(x)
+    got = mapping.map_reads(order_reads(spark, sf_dir), paths.gene_segments(segs), iso_paths, QuantifySettings())
     return got.select("name", "gene", F.expr(JOINED).alias("path"))
 
 

@@ -52,8 +52,7 @@ rk AS (SELECT k, count(*) AS seen FROM n GROUP BY 1)"""
 
 def model(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
     x = gene_exons(spark, sf_dir)
-    segs = paths.segments(x)
-    return x, segs, paths.paths(segs, x)
+    return x, *paths.laid_out(x)
 
 
 def mapped_reads(spark, sf_dir) -> DataFrame:

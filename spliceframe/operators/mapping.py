@@ -17,7 +17,7 @@ from ..config import QuantifySettings
 from ..functions.columns import best_gene_fold, blocks, cigar_lengths, mapped_length
 from ..plans.scratch import merged, settle
 from .intervals import overlap_join, range_join
-from .paths import GENE
+from .paths import GENE, owners
 from .readlen import order_statistics
 
 GROUP_ROWS = 200_000  # placements of one gene in one task, about
@@ -165,7 +165,7 @@ def pick_one(kept: DataFrame) -> DataFrame:
 
 def map_reads(reads: DataFrame, gene_segs: DataFrame, iso_paths: DataFrame, s: QuantifySettings) -> DataFrame:
     """rows (name, chr, gene, path, r_start, r_end, read_length): the regions of each read."""
-    placed = merged(placements(reads))
+    placed = settle(placements(reads))  # its CIGARs are folded once
     texts = iso_paths.select(*GENE, F.concat(F.lit(","), F.array_join(F.col("path").cast("array<string>"), ","), F.lit(",")).alias("p"))
     genes = gene_segs.join(texts.groupBy(*GENE).agg(F.collect_list("p").alias("paths")), GENE)
     candidates = settle(gene_candidates(placed, genes.select(*GENE, "g_start", "g_end"), s.gene_tolerance).drop("g_start", "g_end"))
@@ -208,6 +208,17 @@ def read_qc(read_iso: DataFrame, exon_counts: DataFrame) -> DataFrame:
     return read_iso.join(bad, "name", "left_anti")
 
 
+def region_qc(mapped: DataFrame, iso_paths: DataFrame, iso: DataFrame) -> DataFrame:
+    """Of reads (chr, gene, path, read_length, ...) on one gene each, those that read_qc passes. A read fails by the longest of
+    the isoforms that have over 7 more exons than its region: that is one number of a region, and no read meets its isoforms."""
+    owned = owners(mapped, iso_paths).join(iso_paths.select(*GENE, "isoform", F.size("path").alias("n_exons")), [*GENE, "isoform"])
+    owned = owned.join(iso.select(*GENE, "isoform", F.col("length").alias("iso_len")), [*GENE, "isoform"])
+    longest = F.max(F.when(F.col("n_exons") - F.size("path") > 7, F.col("iso_len"))).alias("_longest")
+    limits = owned.groupBy(*GENE, "path").agg(longest)
+    passed = F.col("_longest").isNull() | (F.col("read_length") / F.col("_longest") > 0.2)
+    return mapped.join(merged(limits), [*GENE, "path"]).where(passed).drop("_longest")
+
+
 def region_counts(mapped: DataFrame) -> DataFrame:
     """rows (chr, gene, path, n, lengths): reads of each region, and how many (n) of each read_length."""
     each = mapped.groupBy(*GENE, "path", "read_length").agg(F.count("*").alias("n"))

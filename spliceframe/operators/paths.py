@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import KValueSettings
 from ..functions.columns import path_text, region_effective_length, region_is_valid, region_type
-from ..plans.scratch import merged
+from ..plans.scratch import merged, settle
 from .intervals import atomic_split, contained_in
 
 GENE = ["chr", "gene"]
@@ -48,6 +48,12 @@ def paths(segs: DataFrame, exons: DataFrame) -> DataFrame:
     return merged(held.groupBy(*GENE, "isoform").agg(F.array_sort(F.collect_set("seg")).alias("path")))
 
 
+def laid_out(exons: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """segments and paths as tables, each computed once: what reads them by several ways holds no plan of theirs."""
+    segs = settle(segments(exons))
+    return segs, settle(paths(segs, exons))
+
+
 def slices(iso_paths: DataFrame, segs: DataFrame, longest_inner: int | None = None) -> DataFrame:
     """rows (chr, gene, path, len, first, last, inner, isoforms): every contiguous sub-path with its owners.
 

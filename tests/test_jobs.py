@@ -11,8 +11,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from jobs import length_profile, region_counts
-from jobs.common import asked, load_config
+from jobs.common import asked, inputs, load_config
+from spliceframe.config import QuantifySettings, settings_of
+from spliceframe.operators import mapping, paths
+from spliceframe.plans.scratch import merged
 
+DATA = os.environ.get("TESTDATA_DIR", "/root/testdata/sf0.001")
 READS = "doc_id long, text string, source string, other int"
 LENGTHS = load_config(length_profile.CONFIG)
 REGIONS = load_config(region_counts.CONFIG)
@@ -238,3 +242,25 @@ def test_command_lines(spark, lake, shop, tmp_path):
     some = go("region_counts", "--config", str(config), "--input", shop[0], "--output", f"{tmp_path}/regions")
     assert some.returncode == 0 and os.listdir(f"{tmp_path}/regions").count("chr=chr1") == 1, some.stderr[-2000:]
     assert "--checkpoint" in go("length_profile", "--help").stdout
+
+
+def test_region_counts_broadcasts_no_table_and_keeps_no_long_plan(spark):
+    tables = {name: merged(t) for name, t in inputs(spark, REGIONS, DATA).items()}
+    exons, alignments = (asked(spark, REGIONS[k], tables) for k in ("exons", "alignments"))
+    assert "Broadcast" not in alignments._jdf.queryExecution().executedPlan().toString()
+    found = region_counts.counts(exons, alignments, settings_of(QuantifySettings, **REGIONS["settings"]), "all", True)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "customer" not in plan and "orders" not in plan  # segments, paths and regions are read, not made again
+
+
+def test_region_qc_is_read_qc(spark):
+    path = list(range(12))
+    iso_paths = spark.createDataFrame([("1", "g", "long", path), ("1", "g", "short", [0, 1])], "chr string, gene string, isoform string, path array<int>")
+    iso = spark.createDataFrame([("1", "g", "long", 1000), ("1", "g", "short", 150)], "chr string, gene string, isoform string, length long")
+    reads = [("a", [0], 100), ("b", [0], 201), ("c", [0, 1], 200), ("d", path[:4], 200), ("e", path[:5], 100), ("f", path, 10)]
+    mapped = spark.createDataFrame([(n, "1", "g", p, k) for n, p, k in reads], "name string, chr string, gene string, path array<int>, read_length int")
+    owned = paths.owners(mapped, iso_paths).join(iso.withColumnRenamed("length", "iso_len"), [*paths.GENE, "isoform"])
+    exact = iso_paths.selectExpr("isoform", "size(path) as n_exons")
+    want = mapping.read_qc(mapped.join(owned, [*paths.GENE, "path"]), exact).select("name").distinct().collect()
+    got = mapping.region_qc(mapped, iso_paths, iso).select("name").collect()
+    assert sorted(got) == sorted(want) and {r.name for r in got} == {"b", "e", "f"}
