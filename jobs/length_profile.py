@@ -40,7 +40,8 @@ def update_lengths(spark: SparkSession, reads: dict, folder: str, lengths: str,
     counts = readlen.histogram(rows.select(sample.alias("sample"), length.alias("read_len")), by=["sample"])
 
     def keep(every: DataFrame, batch: int) -> None:
-        every.coalesce(1).write.mode("overwrite").parquet(lengths)  # a row for each sample and length
+        # a task for each partition of the state: one task for all of them would hold the hash tables of all
+        every.write.mode("overwrite").parquet(lengths)
         log.info("batch %d: counts written to %s", batch, lengths)
 
     stream = counts.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", checkpoint)

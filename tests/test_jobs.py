@@ -264,3 +264,12 @@ def test_region_qc_is_read_qc(spark):
     want = mapping.read_qc(mapped.join(owned, [*paths.GENE, "path"]), exact).select("name").distinct().collect()
     got = mapping.region_qc(mapped, iso_paths, iso).select("name").collect()
     assert sorted(got) == sorted(want) and {r.name for r in got} == {"b", "e", "f"}
+
+
+def test_each_part_of_the_lengths_is_written_by_its_own_task(spark, tmp_path):
+    rows = [(i, "x" * (i % 90), f"s{i % 7}", 0) for i in range(700)]
+    spark.createDataFrame(rows, READS).write.parquet(f"{tmp_path}/in/documents.parquet")
+    taken = length_profile.update_lengths(spark, LENGTHS["reads"], f"{tmp_path}/in", f"{tmp_path}/out", f"{tmp_path}/mark")
+    back = spark.read.parquet(f"{tmp_path}/out")
+    assert taken == 700 and back.agg(F.sum("n")).first()[0] == 700
+    assert back.select(F.input_file_name()).distinct().count() > 1
