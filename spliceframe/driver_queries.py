@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from .config import KValueSettings, QuantifySettings
 from .functions import columns as C
 from .operators import communities, condition, em, features, intervals, mapping, paths, readlen, shortread
+from .plans.scratch import settle
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -547,7 +548,7 @@ def em_to_convergence(spark, sf_dir):
     """Communities of suppliers (by nation) solved to the end."""
     rows = compat(spark, sf_dir).selectExpr("read as name", "cast(isoform as string) as isoform", "p")
     genes = table(spark, sf_dir, "supplier").selectExpr("cast(s_suppkey as string) as isoform", "cast(s_nationkey as string) as gene")
-    pats = communities.patterns(rows, "p")
+    pats = settle(communities.patterns(rows, "p"))
     got = em.run(communities.communities(genes, pats), pats, None, None, None, QuantifySettings())
     return got.select("community", "isoform", F.round("theta", 5).alias("theta"))
 

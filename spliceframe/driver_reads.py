@@ -15,7 +15,7 @@ from .api import k_values, quantify
 from .config import KValueSettings, QuantifySettings
 from .driver_queries import JOINED, compat, exons as order_exons, query, table  # noqa: F401
 from .operators import communities, condition, em, features, mapping, paths, readlen, shortread, supported
-from .plans.scratch import merged, shared_folder
+from .plans.scratch import merged, settle, shared_folder
 from .sources import formats, sinks
 
 PARTS = ((1, 100, "ab"), (301, 400, "a"), (601, 700, "ab"))
@@ -186,7 +186,7 @@ t{k} AS (SELECT t.c, t.i, coalesce(q, 0) / sum(q) OVER (PARTITION BY t.c) AS th
 def nation_patterns(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     genes = table(spark, sf_dir, "supplier").selectExpr("cast(s_suppkey as string) as isoform", "cast(s_nationkey as string) as gene")
     rows = compat(spark, sf_dir).selectExpr("read", "cast(isoform as string) as isoform", "p").join(genes, "isoform")
-    return genes, communities.patterns(rows.selectExpr("concat(read, '-', gene) as name", "isoform", "p"), "p")
+    return genes, settle(communities.patterns(rows.selectExpr("concat(read, '-', gene) as name", "isoform", "p"), "p"))
 
 
 def nation_em(spark, sf_dir, **options) -> DataFrame:

@@ -397,3 +397,23 @@ def test_tables_of_small_files_are_not_broadcast(spark):
     many = settle(x).select("gene", F.explode(F.sequence(F.lit(1), F.lit(50))).alias("k"))
     for made in (paths.paths(segs, x), many.join(x.select("gene", "start"), "gene"), paths.gene_info(x, segs)):
         assert "BroadcastHashJoin" not in made._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rounds_of_large_communities_join_no_rows_with_proportions(spark, monkeypatch):
+    rng = random.Random(4)
+    rows = [(f"r{k}", f"i{i}", rng.random()) for k in range(60) for i in rng.sample(range(12), rng.randint(1, 4))]
+    one = F.array_sort(F.collect_list(F.struct("isoform", "v"))).alias("members")
+    pats = settle(spark.createDataFrame(rows, "name string, isoform string, v double").groupBy("name").agg(one).select(F.xxhash64("name").alias("pattern"), "members", F.lit(2).cast("long").alias("n")))
+    members = spark.createDataFrame([(f"i{i}", "g", "c") for i in range(12)] + [("alone", "h", "d")], "isoform string, gene string, community string")
+    found = {}
+    for most in (0, 1 << 20):
+        monkeypatch.setattr(em, "BROADCAST_ISOFORMS", most)
+        for sr in (None, pats):
+            got = em.run(members, pats, sr, None, None, QuantifySettings(em_rows_per_task=0, max_iterations=5))
+            found[most, sr is None] = {r.isoform: (r.community, r.rounds, r.theta) for r in got.collect()}
+        monkeypatch.setattr(em, "expected", None)  # the joins that shuffle rows: not met below
+    for alone in (True, False):
+        assert found[0, alone].keys() == found[1 << 20, alone].keys()
+        for isoform, (community, rounds, theta) in found[0, alone].items():
+            got = found[1 << 20, alone][isoform]
+            assert got[:2] == (community, rounds) and got[2] == pytest.approx(theta, abs=1e-12)
