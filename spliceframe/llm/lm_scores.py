@@ -31,15 +31,16 @@ STEPS = 16  # of the logarithm of a count: the histogram that tells how frequent
 BACKOFF = 0.4
 PARTS = 2  # the bigrams are counted one part after the other, so that a part of them is on disk at a time
 START = b"<s>"
+WORDS = 1 << 16  # that are numbered together
 ROWS = 1 << 18  # rows of an Arrow batch that goes back to the JVM
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def word_hashes(text: bytes) -> np.ndarray:
     """The start mark's hash and those of the text's words: A-Z lower-cased, between ASCII white space."""
-    from xxhash import xxh64_intdigest
+    from xxhash import xxh64_digest
 
-    return np.array([xxh64_intdigest(w) for w in [START, *text.lower().split()]], dtype=np.uint64)
+    return np.frombuffer(b"".join(map(xxh64_digest, [START, *text.lower().split()])), dtype=">u8").astype(np.uint64)
 
 
 def class_of(hashes: np.ndarray) -> np.ndarray:
@@ -65,13 +66,25 @@ def count_classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield out(held)
 
 
-def numbered(classes: np.ndarray, hot: np.ndarray, number: np.ndarray) -> np.ndarray:
-    """The numbers of words that are in hot (sorted classes), and -1 - class of all others."""
-    at = np.searchsorted(hot, classes)
-    found = at < len(hot)
-    found[found] = hot[at[found]] == classes[found]
+def starts_of(hot: np.ndarray) -> tuple[np.ndarray, int]:
+    """Where in hot (sorted classes) each value of their top bits begins, some one class for each; and the shift to these."""
+    shift = CLASS_BITS - max(1, len(hot).bit_length())
+    return np.searchsorted(hot, np.arange(1 << (CLASS_BITS - shift), dtype=np.int64) << shift).astype(np.int32), shift
+
+
+def numbered(classes: np.ndarray, hot: np.ndarray, number: np.ndarray, starts: np.ndarray, shift: int) -> np.ndarray:
+    """The numbers of words that are in hot (sorted classes), and -1 - class of all others. Classes are hashes: looking on
+    from where their top bits begin takes few steps, which all words take together."""
     out = -1 - classes
-    out[found] = number[at[found]]
+    left, at = np.arange(len(classes)), starts[classes >> shift]
+    while len(left):
+        inside = at < len(hot)
+        left, at = left[inside], at[inside]
+        met, asked = hot[at], classes[left]
+        same = met == asked
+        out[left[same]] = number[at[same]]
+        below = met < asked
+        left, at = left[below], at[below] + 1
     return out
 
 
@@ -91,6 +104,24 @@ def gram_counter(held_hot, part: int) -> Callable[[Iterator[pa.RecordBatch]], It
         """(id, text) -> (id, gram, n, words) for each distinct gram of a document that is in this part of PARTS, by its
         hash; words (v, w) of negative grams."""
         hot, number = held_hot.value
+        starts = starts_of(hot)
+
+        def words_of(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
+            """Each id with its text's words; those of many texts are numbered together."""
+            keys, hashes, size = [], [], 0
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                keys.append(key)
+                hashes.append(word_hashes(text.as_py()))
+                size += len(hashes[-1])
+                if size >= WORDS:
+                    yield from together(keys, hashes)
+                    keys, hashes, size = [], [], 0
+            if size:
+                yield from together(keys, hashes)
+
+        def together(keys: list, hashes: list) -> Iterator[tuple[int, np.ndarray]]:
+            words = numbered(class_of(np.concatenate(hashes)).view(np.int64), hot, number, *starts)
+            return zip(keys, np.split(words, np.cumsum([len(h) for h in hashes])[:-1]), strict=True)
 
         def out(parts: list) -> pa.RecordBatch:
             ids = np.repeat(np.array([p[0] for p in parts], dtype=np.int64), [len(p[1]) for p in parts])
@@ -102,8 +133,7 @@ def gram_counter(held_hot, part: int) -> Callable[[Iterator[pa.RecordBatch]], It
 
         held, size = [], 0
         for batch in batches:
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                words = numbered(class_of(word_hashes(text.as_py())).view(np.int64), hot, number)
+            for key, words in words_of(batch):
                 every = grams(words)
                 own = np.flatnonzero(((every.view(np.uint64) * MIX) >> np.uint64(40)) % np.uint64(PARTS) == part)
                 kinds, first, n = np.unique(every[own], return_index=True, return_counts=True)

@@ -481,6 +481,31 @@ def test_lm_scores_count_by_word(spark, monkeypatch, hot):
     assert {r.doc_id: r.lm_sum for r in got} == pytest.approx(want)
 
 
+def test_lm_scores_number_words_of_many_texts_together(monkeypatch):
+    import types
+
+    import numpy as np
+    import pyarrow as pa
+
+    texts = [f"Word{i % 7} w{i} other{i}\tW{i}".encode() for i in range(500)] + [b"", b" "]
+    kinds = np.unique(lm_scores.class_of(np.concatenate([lm_scores.word_hashes(t) for t in texts])).view(np.int64))[::2]
+    number, plain = np.arange(len(kinds))[::-1].copy(), lm_scores.numbered
+    known, calls = dict(zip(kinds.tolist(), number.tolist(), strict=True)), []
+    monkeypatch.setattr(lm_scores, "numbered", lambda *a: calls.append(len(a[0])) or plain(*a))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["id", "text"])
+    got = collections.Counter()
+    for part in range(lm_scores.PARTS):
+        for out in lm_scores.gram_counter(types.SimpleNamespace(value=(kinds, number)), part)([batch]):
+            for row in out.to_pylist():
+                got[row["id"], row["gram"]] += row["n"]
+    assert len(calls) == lm_scores.PARTS  # not once for each text
+    want = collections.Counter()
+    for i, t in enumerate(texts):
+        kind = lm_scores.class_of(lm_scores.word_hashes(t)).view(np.int64).tolist()
+        want.update((i, g) for g in lm_scores.grams(np.array([known.get(k, -1 - k) for k in kind])).tolist())
+    assert got == want
+
+
 # ---------------------------------------------------------------- mixing
 
 
