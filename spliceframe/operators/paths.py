@@ -60,12 +60,16 @@ def slices(iso_paths: DataFrame, segs: DataFrame, longest_inner: int | None = No
     Lengths are differences of prefix sums. With longest_inner, sub-paths whose inner length (without first and last
     segment) is above it are never made, so the square of a long isoform isn't either.
 
-    The owners of a sub-path that begins at some segment are the isoforms that go on alike from there for long enough, and
-    the first of them makes it: each is made once, in its gene's row, and none is sorted, shuffled or grouped.
+    A sub-path's owners are the isoforms whose path, as text, holds its text. The first of them makes it: each is made once,
+    in its gene's row, and none is sorted, shuffled or grouped. A gene's row is gathered from both tables in one grouping.
     """
-    gene = segs.groupBy(*GENE).agg(F.map_from_entries(F.collect_list(F.struct("seg", "len"))).alias("len_of"))
-    held = iso_paths.where("size(path) > 0").groupBy(*GENE).agg(F.array_sort(F.collect_list(F.struct("isoform", "path"))).alias("every"))
-    laid = held.join(gene, GENE).select(*GENE, "every", "len_of", F.posexplode("every").alias("k", "own"))
+    parts = segs.select(*GENE, F.struct("seg", "len").alias("piece")).unionByName(
+        iso_paths.where("size(path) > 0").select(*GENE, F.struct("isoform", "path").alias("own")), allowMissingColumns=True
+    )
+    gene = parts.groupBy(*GENE).agg(F.map_from_entries(F.collect_list("piece")).alias("len_of"), F.array_sort(F.collect_list("own")).alias("owns"))
+    # an isoform without a name makes sub-paths and owns none
+    gene = gene.withColumn("every", F.transform("owns", lambda o, k: F.struct(k.alias("k"), o["isoform"].alias("isoform"), path_text(o["path"]).alias("text"))))
+    laid = gene.select(*GENE, "every", "len_of", F.posexplode("owns").alias("k", "own"))
     laid = laid.select(*GENE, "every", "k", "own.path", F.expr("transform(own.path, p -> cast(len_of[p] as bigint))").alias("lens"))
     # one running sum over the path
     laid = laid.withColumn(
@@ -73,30 +77,25 @@ def slices(iso_paths: DataFrame, segs: DataFrame, longest_inner: int | None = No
         F.expr("aggregate(lens, cast(array() as array<bigint>), (a, x) -> concat(a, array(coalesce(try_element_at(a, -1), 0L) + x)))"),
     )
     one = laid.select("*", F.posexplode("path").alias("i", "at"))
-    # how many segments from this one on each isoform shares with this path
-    one = one.withColumn("rest", F.expr("slice(path, i + 1, size(path))")).withColumn(
-        "alike",
-        F.expr("""transform(every, (x, y) -> struct(y as k, x.isoform as isoform, if(array_contains(x.path, at), array_position(
-            concat(zip_with(rest, slice(x.path, cast(greatest(array_position(x.path, at), 1) as int), size(rest)), (a, b) -> not (a <=> b)), array(true)),
-            true) - 1, 0L) as n))"""),
-    )
     stop = "size(path) - 1"
     if longest_inner is not None:
         # inner length grows with j, so the fitting ones are a prefix
         fits = f"size(filter(sequence(i, {stop}), j -> j <= i + 1 or ends[j - 1] - ends[i] <= {longest_inner}))"
         stop = f"i + {fits} - 1"
-    start = "i + cast(aggregate(alike, 0L, (a, x) -> if(x.k < k, greatest(a, x.n), a)) as int)"
-    new = one.withColumn("start", F.expr(start)).withColumn("stop", F.expr(stop))
-    # no filter on start and stop: it would be moved ahead and compare the isoforms again
-    return new.withColumn("j", F.explode(F.expr("if(start <= stop, sequence(start, stop), cast(array() as array<int>))"))).selectExpr(
-        *GENE,
-        "slice(path, i + 1, j - i + 1) as path",
-        "ends[j] - ends[i] + lens[i] as len",
-        "lens[i] as first",
-        "lens[j] as last",
-        "if(j - i > 1, ends[j - 1] - ends[i], 0L) as inner",
-        "transform(filter(alike, x -> x.n > j - i and x.isoform is not null), x -> x.isoform) as isoforms",
-    )
+    each = one.select("*", F.explode(F.expr(f"sequence(i, {stop})")).alias("j"))
+    each = each.select(
+        *GENE, "every", "k",
+        F.expr("slice(path, i + 1, j - i + 1)").alias("path"),
+        F.expr("ends[j] - ends[i] + lens[i]").alias("len"),
+        F.expr("lens[i]").alias("first"),
+        F.expr("lens[j]").alias("last"),
+        F.expr("if(j - i > 1, ends[j - 1] - ends[i], 0L)").alias("inner"),
+    ).withColumn("text", path_text(F.col("path")))
+    new = each.where("not exists(every, x -> x.k < k and instr(x.text, text) > 0)")
+    return new.select(
+        *GENE, "path", "len", "first", "last", "inner",
+        F.expr("transform(filter(every, x -> x.k >= k and x.isoform is not null and instr(x.text, text) > 0), x -> x.isoform)").alias("isoforms"),
+    )
 
 
 def regions(iso_paths: DataFrame, segs: DataFrame, s: KValueSettings) -> DataFrame:

@@ -145,3 +145,6 @@ def test_slices_are_made_once_and_without_a_shuffle_of_their_own(spark):
             assert r.isoforms == sorted(want[r.gene, tuple(r.path)])
             assert (r.len, r.first, r.last, r.inner) == (sum(own), own[0], own[-1], sum(own[1:-1]))
     assert not re.search(r"Aggregate\(keys=\[[^\]]*path#", plan(made))  # slices aren't grouped
+    laid = paths.slices(*reversed(paths.laid_out(x)))
+    assert "Join" not in plan(laid)  # a gene's row is gathered in one grouping
+    assert sorted(map(str, laid.collect())) == sorted(map(str, got))
