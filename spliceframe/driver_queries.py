@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from .config import KValueSettings, QuantifySettings
 from .functions import columns as C
 from .operators import communities, condition, em, features, intervals, mapping, paths, readlen, shortread
-from .plans.scratch import settle
+from .plans.scratch import merged, settle
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -372,14 +372,22 @@ def suffix_sum(spark, sf_dir):
     return readlen.suffix_sums(*hist_and_isoforms(spark, sf_dir)).select("read_len", F.round("sm", 4).alias("sm"))
 
 
+ROWS_OF_TASK = 1 << 20  # whose equal ones are found in one task, about
+LENGTHS = 1 << 16  # distinct read lengths that are broadcast, at most
+
+
 def cond_prob(spark, sf_dir, form: str) -> DataFrame:
     hist, iso = hist_and_isoforms(spark, sf_dir)
     rows = reads(spark, sf_dir).select("name", "read_len", F.expr("isoform * 20").alias("isoform"))
     total = F.sum("n").over(Window.partitionBy())
     sums = readlen.suffix_sums(hist, iso).withColumn("total", total)
-    met = rows.join(iso, "isoform").join(sums, "read_len")
+    # p depends on isoform and length alone: equal rows go ahead of the joins, in parts that grow in number and not in size
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // ROWS_OF_TASK))
+    rows = rows.repartition(parts, "isoform").distinct()
+    sums = settle(sums)  # a row for each distinct length
+    met = rows.join(merged(iso), "isoform").join(F.broadcast(sums) if sums.count() <= LENGTHS else sums, "read_len")
     p = C.conditional_probability(form, F.col("n") / F.col("total"), F.col("cdf"), F.col("sm"), F.col("iso_len"), F.col("read_len"))
-    return met.select("name", "isoform", "read_len", F.round(p, 8).alias("p")).distinct()
+    return met.select("name", "isoform", "read_len", F.round(p, 8).alias("p"))
 
 
 def cond_sql(value: str) -> str:

@@ -59,3 +59,13 @@ def test_components_of_all_rows(spark, tmp_path):
                     label[s] = min(label[s], label[t])
     got = driver_queries.QUERIES["components"](spark, str(tmp_path))
     assert {r.node: r.label for r in got.collect()} == label
+
+
+def test_cond_prob_deals_rows_in_parts_of_bounded_size(spark, monkeypatch):
+    sf_dir = DATA
+    want = sorted(map(tuple, driver_queries.QUERIES["cond_prob_form1"](spark, sf_dir).collect()))
+    monkeypatch.setattr(driver_queries, "ROWS_OF_TASK", 50, raising=False)
+    rows = driver_queries.table(spark, sf_dir, "lineitem").count()
+    got = driver_queries.QUERIES["cond_prob_form1"](spark, sf_dir)
+    assert f"{-(-rows // 50)}), REPARTITION_BY_NUM" in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, got.collect())) == want == sorted(set(want))
