@@ -129,7 +129,7 @@ def k_values(
         weight = F.col("eff_len") if s.sr_design == "weight" else F.lit(1.0)
     ones = F.lit(1.0)
     sr_matrix = condition.entries(sr, weight, s.normalize_sr)
-    sr_plain, lr_matrix = condition.entries(sr, ones, s.normalize_sr), condition.entries(lr, ones, s.normalize_lr)
+    lr_matrix = condition.entries(lr, ones, s.normalize_lr)
     if weights is not None:
         if lrs is None:
             raise ValueError("weights take the place of cells of genes with long reads, and there are no long reads")
@@ -137,19 +137,21 @@ def k_values(
         seen = lr.where("n > 0").select(*GENE).distinct()
         lr_matrix = supported.weighted(lr_matrix, table.join(seen, GENE, "left_semi"))
 
-    gram_of = lambda m: settle(condition.gram(m, GENE))
-    lr_gram = gram_of(lr_matrix)
+    sr_sums = settle(condition.owner_sums(sr, weight))
+    lr_sums = sr_sums if lrs is None and srs is None else settle(condition.owner_sums(lr, ones))
+    gram_of = lambda sums, normalize, *w: settle(condition.gram_of_sums(sums, normalize, *w))
+    lr_gram = settle(condition.gram(lr_matrix, GENE)) if weights is not None else gram_of(lr_sums, s.normalize_lr, "n", "n")
     same = srs is None and lrs is None and weights is None and s.normalize_sr == s.normalize_lr
-    sr_grams = gram_of(sr_matrix), lr_gram if same else gram_of(sr_plain)
+    sr_grams = gram_of(sr_sums, s.normalize_sr), lr_gram if same else gram_of(sr_sums, s.normalize_sr, "n", "n")
 
-    def solved(weighted: DataFrame, plain: DataFrame, rows: DataFrame, kind: str) -> DataFrame:
+    def solved(weighted: DataFrame, plain: DataFrame, sums: DataFrame, kind: str) -> DataFrame:
         found = condition.condition_numbers(weighted, plain, names, s.singular_tolerance)
-        size = rows.groupBy(*GENE).agg(F.count("*").alias("_rows"))
+        size = sums.groupBy(*GENE).agg(F.sum("n").alias("_rows"))
         found = found.join(size, GENE).withColumnsRenamed({c: f"{kind}_{c}" for c in found.columns if c not in GENE})
         return found.withColumnRenamed("_rows", f"{kind}_regions")
 
     info = paths.gene_info(exons, segs)
-    numbers = solved(*sr_grams, sr, "sr").join(solved(lr_gram, lr_gram, lr, "lr"), GENE)  # genes with both matrices
+    numbers = solved(*sr_grams, sr_sums, "sr").join(solved(lr_gram, lr_gram, lr_sums, "lr"), GENE)  # genes with both matrices
     genes = info.join(merged(numbers), GENE, "left")
     for kind in ("sr", "lr"):
         n = F.col(f"{kind}_regions")

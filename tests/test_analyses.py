@@ -1,9 +1,12 @@
 """Both analyses: published values where the example files are there, and small made-up genes."""
 
 import os
+import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from spliceframe import api
 from spliceframe.config import KValueSettings, QuantifySettings
@@ -214,3 +217,26 @@ def test_small_sources(spark, tmp_path):
     sinks.write_tsv(spark.createDataFrame([(1, [1.5, 2.0])], "a int, b array<double>"), f"{tmp_path}/o")
     assert spark.read.csv(f"{tmp_path}/o", sep="\t", header=True).first()["b"] == "1.5,2.0"
     assert features.nearest_model({"x": (10, 5), "y": (10, 8), "z": (99, 8)}, 11, 9) == "y"
+
+
+def test_grams_come_from_sums_by_owners_and_are_solved_together(spark, monkeypatch):
+    r = random.Random(3)
+    rows = [("c", f"g{k % 30}", [k], sorted(r.sample("abcd", r.randrange(5))), r.randrange(1, 9)) for k in range(400)]
+    df = spark.createDataFrame(rows, "chr string, gene string, path array<int>, isoforms array<string>, x int")
+    for normalize in (True, False):
+        want = {r[:4]: r.g for r in condition.gram(condition.entries(df, F.col("x"), normalize), condition.GENE).collect()}
+        sums = condition.owner_sums(df, F.col("x"))
+        assert {r[:4]: r.g for r in condition.gram_of_sums(sums, normalize).collect()} == pytest.approx(want)
+        want = {r[:4]: r.g for r in condition.gram(condition.entries(df, F.lit(1), normalize), condition.GENE).collect()}
+        assert {r[:4]: r.g for r in condition.gram_of_sums(sums, normalize, "n", "n").collect()} == pytest.approx(want)
+    plan = sums._jdf.queryExecution().executedPlan().toString()
+    assert "path" not in plan.split("Exchange")[0]  # paths aren't shuffled
+    assert plan.count("Exchange") == 1
+    # matrices of one size are one call
+    calls, svd = [], np.linalg.svd
+    monkeypatch.setattr(np.linalg, "svd", lambda a, **k: calls.append(a.shape) or svd(a, **k))
+    gs = [[{"i": 0, "j": 0, "g": 1.0 + k}, {"i": 0, "j": 1, "g": 0.5}, {"i": 1, "j": 1, "g": 2.0}] for k in range(50)] + [None, [{"i": 0, "j": 0, "g": float("inf")}]]
+    got = condition.singular_values(np.array([2] * 51 + [1]), pa.array(gs, pa.list_(pa.struct([("i", pa.int32()), ("j", pa.int32()), ("g", pa.float64())]))))
+    assert len(calls) == 2
+    assert [s.tolist() for s in got[:50]] == [svd(np.array([[1.0 + k, 0.5], [0.5, 2.0]]), compute_uv=False).tolist() for k in range(50)]
+    assert got[50].tolist() == [0, 0] and np.isnan(got[51]).all()
