@@ -115,7 +115,7 @@ SELECT i.gene, num_isoforms, cast(rows AS bigint) AS num_regions, CASE WHEN rows
 def kvalue_pairs(spark, sf_dir) -> DataFrame:
     """K values of all genes, whose exons are dealt to two isoforms, from effective lengths."""
     got = k_values(spark, pair_exons(spark, sf_dir))
-    rows = got.matrix.groupBy("chr", "gene").agg(F.countDistinct("path").alias("num_regions"))
+    rows = got.regions.where("size(isoforms) > 0").groupBy("chr", "gene").agg(F.count("*").alias("num_regions"))  # a row for each path
     return got.genes.join(rows, ["chr", "gene"], "left").select("gene", "num_isoforms", "num_regions", F.round("sr_generalized", 4).alias("kvalue"))
 
 
