@@ -71,8 +71,8 @@ def expression_files(spark, sf_dir) -> DataFrame:
 SELECT i || k AS isoform, CASE i WHEN 'a' THEN 240 ELSE 140 END::bigint AS len, cast(longest AS bigint) AS longest FROM o JOIN g USING (k) WHERE CASE i WHEN 'a' THEN 240 ELSE 140 END < longest""")
 def short_isoforms(spark, sf_dir) -> DataFrame:
     """Isoforms (60 bases less than they are) shorter than their gene's longest read."""
-    x, _, iso_paths = model(spark, sf_dir)
-    got = mapped_reads(spark, sf_dir)
+    x, segs, iso_paths = model(spark, sf_dir)
+    got = mapped_reads(spark, sf_dir, segs, iso_paths)
     iso = paths.isoforms(x).withColumn("length", F.col("length") - 60)
     rows = supported.short_isoforms(got, supported.long_read_regions(got, iso_paths, "none"), iso)
     return rows.select("isoform", F.col("length").cast("long").alias("len"), F.col("longest").cast("long").alias("longest"))

@@ -55,9 +55,11 @@ def model(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
     return x, *paths.laid_out(x)
 
 
-def mapped_reads(spark, sf_dir) -> DataFrame:
-    _, segs, iso_paths = model(spark, sf_dir)
-    return mapping.map_reads(order_reads(spark, sf_dir), paths.gene_segments(segs), iso_paths, QuantifySettings())
+def mapped_reads(spark, sf_dir, segs: DataFrame | None = None, iso_paths: DataFrame | None = None) -> DataFrame:
+    """The reads as mapped, computed once; on the model's tables if they are given."""
+    if segs is None:
+        _, segs, iso_paths = model(spark, sf_dir)
+    return settle(mapping.map_reads(order_reads(spark, sf_dir), paths.gene_segments(segs), iso_paths, QuantifySettings()))
 
 
 # ---------------------------------------------------------------- mapping
@@ -99,7 +101,8 @@ u AS (SELECT k, path, n FROM n UNION ALL SELECT w.k, w.path, 0 FROM w LEFT JOIN
 SELECT k::varchar AS gene, path, n, CASE path WHEN '0' THEN 'a' || k || '|b' || k WHEN '0,2' THEN 'b' || k ELSE 'a' || k END AS isoforms FROM u""")
 def long_read_regions(spark, sf_dir):
     """Regions with reads; the whole paths of isoforms too where those don't have full rank."""
-    got = supported.long_read_regions(mapped_reads(spark, sf_dir), model(spark, sf_dir)[2], "nonfullrank")
+    _, segs, iso_paths = model(spark, sf_dir)
+    got = supported.long_read_regions(mapped_reads(spark, sf_dir, segs, iso_paths), iso_paths, "nonfullrank")
     return got.select("gene", F.expr(JOINED).alias("path"), "n", F.array_join("isoforms", "|").alias("isoforms"))
 
 

@@ -9,8 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.scratch import merged
-from .condition import dense, entries, gram
+from ..plans.scratch import merged, settle
+from .condition import dense, gram_of_sums, numbered, owner_sums
 from .paths import GENE, owners
 
 POLICIES = ("all", "none", "nonfullrank")
@@ -26,13 +26,12 @@ def counted(regions: DataFrame, mapped: DataFrame) -> DataFrame:
 def full_rank(regions: DataFrame, isoforms: DataFrame) -> DataFrame:
     """rows (chr, gene, full): whether the 0/1 matrix of a gene's regions has as many independent columns as isoforms
     (chr, gene, isoform). Genes without a region aren't listed."""
-    order = Window.partitionBy(*GENE).orderBy("isoform")
-    index = isoforms.select(*GENE, "isoform").distinct().withColumn("x", F.row_number().over(order) - 1)
-    at = index.groupBy(*GENE).agg(F.map_from_entries(F.collect_list(F.struct("isoform", "x"))).alias("at"))
-    cells = gram(entries(regions, F.lit(1.0), normalize=False), GENE).join(at, GENE)
-    packed = cells.groupBy(*GENE).agg(
-        F.size(F.first("at")).alias("n"), F.collect_list(F.struct(F.col("at")[F.col("i")].alias("i"), F.col("at")[F.col("j")].alias("j"), "g")).alias("cells")
-    )
+    at = F.col("at")
+    sums = owner_sums(regions, F.lit(1.0))
+    gene = gram_of_sums(sums, normalize=False).groupBy(*GENE).agg(F.collect_list(F.struct("i", "j", "g")).alias("cells"))
+    packed = gene.join(numbered(isoforms), GENE).select(
+        *GENE, F.size("at").alias("n"), F.transform("cells", lambda x: F.struct(at[x["i"]].alias("i"), at[x["j"]].alias("j"), x["g"].alias("g"))).alias("cells")
+    )
 
     def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -55,6 +54,7 @@ def kept_by(policy: str, rows: DataFrame, spared: Column, isoforms: DataFrame) -
         return rows.where(seen)
     if policy == "all":
         return rows.where(seen | spared)
+    rows = settle(rows)  # both sides of the join read them
     ranked = rows.join(full_rank(rows.where(seen), isoforms), GENE, "left")
     return ranked.where(seen | (spared & ~F.coalesce("full", F.lit(False)))).drop("full")
 

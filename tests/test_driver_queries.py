@@ -69,3 +69,13 @@ def test_cond_prob_deals_rows_in_parts_of_bounded_size(spark, monkeypatch):
     got = driver_queries.QUERIES["cond_prob_form1"](spark, sf_dir)
     assert f"{-(-rows // 50)}), REPARTITION_BY_NUM" in got._jdf.queryExecution().executedPlan().toString()
     assert sorted(map(tuple, got.collect())) == want == sorted(set(want))
+
+
+def test_reads_are_mapped_once_on_one_model(spark, monkeypatch):
+    from spliceframe import driver_reads
+
+    calls, laid_out = [], driver_reads.paths.laid_out
+    monkeypatch.setattr(driver_reads.paths, "laid_out", lambda x: calls.append(1) or laid_out(x))
+    got = driver_queries.QUERIES["long_read_regions"](spark, DATA)
+    assert len(calls) == 1
+    assert "MapInPandas" not in got._jdf.queryExecution().executedPlan().toString()  # what follows reads the table of mapped reads
