@@ -55,7 +55,13 @@ def cigar_lengths(cigar: Column) -> Column:
         return F.filter(F.concat(acc["done"], F.array(acc["open"])), lambda x: x != 0)
 
     known = F.coalesce(cigar, F.lit("*"))
-    return F.when(known == "*", F.array().cast("array<int>")).otherwise(F.aggregate(ops, start, step, finish))
+    # blocks and single gaps alone: the lengths as they stand
+    plain = F.transform(F.filter(F.split(F.translate(known, "MN", ",,"), ","), lambda x: x != ""), lambda x: x.cast("int"))
+    return (
+        F.when(known == "*", F.array().cast("array<int>"))
+        .when(known.rlike("^[0-9]+M([0-9]+N[0-9]+M)*$"), F.filter(plain, lambda x: x != 0))
+        .otherwise(F.aggregate(ops, start, step, finish))
+    )
 
 
 def mapped_length(lengths: Column) -> Column:

@@ -1,37 +1,42 @@
 """Mapping long reads to regions of genes.
 
 Reads with one placement and CIGAR map alike, so distinct alignments are mapped once. Genes are found by a range join;
-the search for the best chain of segments runs per (alignment, gene) over Arrow batches, gene by gene; the choice among
-genes is a JVM fold.
+the search for the best chain of segments runs per (alignment, gene) over Arrow batches, gene by gene: in numpy for a whole
+batch where each block can stand for one run of segments at most, chain by chain for the rest; the choice among genes is a
+JVM fold.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import QuantifySettings
-from ..functions.columns import best_gene_fold, blocks, cigar_lengths, mapped_length
+from ..functions.columns import best_gene_fold, cigar_lengths
 from ..plans.scratch import merged, settle
 from .intervals import overlap_join, range_join
 from .paths import GENE, owners
 from .readlen import order_statistics
 
+PLACE = ["pos", "chr", "cigar"]  # sorts by a number first: contigs are few
 GROUP_ROWS = 200_000  # placements of one gene in one task, about
 BROADCAST_GENES = 100_000  # genes of more than that; beyond, they are joined by a shuffle
 
 
 def placements(reads: DataFrame) -> DataFrame:
-    """rows (chr, pos, cigar, blocks, r_start, r_end, read_length): distinct alignments that begin and end in a block."""
-    one = reads.select("chr", "pos", "cigar").distinct().withColumn("lens", cigar_lengths(F.col("cigar")))
-    kept = one.where("size(lens) % 2 = 1")
+    """rows (chr, pos, cigar, lens, r_start, r_end): distinct alignments that begin and end in a block; lens: the lengths of
+    their blocks and gaps in turn."""
+    one = reads.select("chr", "pos", "cigar").distinct()
+    # a filter would be evaluated below the distinct as well, and fold each CIGAR twice
+    whole = F.explode_outer(F.filter(F.array(cigar_lengths(F.col("cigar"))), lambda x: F.size(x) % 2 == 1))
+    kept = one.select("chr", "pos", "cigar", whole.alias("lens")).where("lens is not null")
     return kept.select(
-        "chr", "pos", "cigar", blocks(F.col("lens"), F.col("pos")).alias("blocks"), F.col("pos").alias("r_start"),
+        "chr", "pos", "cigar", "lens", F.col("pos").alias("r_start"),
         (F.col("pos") - 1 + F.aggregate("lens", F.lit(0), lambda a, x: a + x)).alias("r_end"),
-        mapped_length(F.col("lens")).alias("read_length"),
     )
 
 
@@ -111,47 +116,173 @@ def best_chain(read: list[tuple[int, int]], segs: list[tuple[int, int]], paths:
     return chains[0]
 
 
+def ranges(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """first[0], first[0] + 1, ... (count[0] of them), then those of first[1], and so on."""
+    ends = np.cumsum(count)
+    return np.repeat(first - (ends - count), count) + np.arange(ends[-1] if len(ends) else 0)
+
+
+def sums(values: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The sum of the first count[0] values, of the next count[1], and so on."""
+    upto = np.concatenate([[0], np.cumsum(values, dtype=np.int64)])
+    ends = np.cumsum(count)
+    return upto[ends] - upto[ends - count]
+
+
+SPAN = 1 << 34  # of a gene's coordinates, where those of several genes are laid on one line
+
+
+class Batch:
+    """Genes and the placements searched in them, as flat arrays. segs: (starts, ends) and how many of each gene; blocks: the
+    same of each placement; gene: the gene's number of each placement, not falling."""
+
+    def __init__(self, segs: tuple[np.ndarray, np.ndarray, np.ndarray], blocks: tuple[np.ndarray, np.ndarray, np.ndarray], gene: np.ndarray):
+        (self.s, self.e, self.n_segs), (self.bs, self.be, self.n_blocks), self.gene = segs, blocks, gene
+        self.at = np.cumsum(self.n_segs) - self.n_segs  # a gene's first segment
+        self.first = np.cumsum(self.n_blocks) - self.n_blocks  # a placement's first block
+
+    def options(self, ends: int, junction: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each block the number of its block_options, and one (a, b) of them, as numbers of segments of the batch."""
+        own = np.repeat(self.gene, self.n_blocks)
+        place = np.arange(len(self.bs))
+        starts = np.repeat(self.first, self.n_blocks) == place
+        stops = np.repeat(self.first + self.n_blocks - 1, self.n_blocks) == place
+        line = np.repeat(np.arange(len(self.n_segs)), self.n_segs) * SPAN
+        low = np.searchsorted(line + self.e, own * SPAN + self.bs - junction)
+        low = np.maximum(low, self.at[own])
+        high = np.searchsorted(line + self.s, own * SPAN + self.be + junction)
+        near = np.maximum(np.minimum(high, (self.at + self.n_segs)[own]) - low, 0)
+        # a row for each block and segment near it
+        block, seg = np.repeat(place, near), ranges(low, near)
+        over, before = self.be[block] - self.e[seg], self.s[seg] - self.bs[block]
+        right = np.where(stops[block], over <= ends, np.abs(over) <= junction)
+        left = np.where(starts[block], before <= ends, np.abs(before) <= junction)
+        linked = np.zeros(len(seg), bool)
+        linked[1:] = (block[1:] == block[:-1]) & (self.s[seg[1:]] - self.e[seg[:-1]] <= junction)
+        # in a stretch of linked segments, each left edge up to a right edge makes an option with it
+        upto = np.cumsum(left)
+        head = np.maximum.accumulate(np.where(linked, 0, np.arange(len(seg)))) if len(seg) else np.zeros(0, np.int64)
+        made = np.where(right, upto - upto[head] + left[head], 0)
+        count = sums(made, near)
+        last = seg[np.maximum.accumulate(np.where(left, np.arange(len(seg)), 0))] if len(seg) else seg
+        a, b = np.full(len(place), -1), np.full(len(place), -1)
+        found = np.flatnonzero(made)
+        a[block[found]], b[block[found]] = last[found], seg[found]
+        return count, a, b
+
+    def chains(self, ends: int, junction: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Placements whose one chain of segments is in order, with its segments' number, the segments (numbers in the gene, one
+        placement after another), overlap and length; and the placements that have several chains, or no block."""
+        count, a, b = self.options(ends, junction)
+        inner = np.ones(len(a), bool)
+        inner[1:] = b[:-1] < a[1:]
+        inner[self.first[self.n_blocks > 0]] = True
+        gap = (count == 0) | (self.be - self.bs < least)
+        none = sums(gap, self.n_blocks) > 0
+        many = ~none & ((sums(count > 1, self.n_blocks) > 0) | (self.n_blocks == 0))
+        one = np.flatnonzero(~none & ~many & (sums(~inner, self.n_blocks) == 0))
+        n = self.n_blocks[one]
+        blocks = ranges(self.first[one], n)
+        a, b, bs, be = a[blocks], b[blocks], self.bs[blocks], self.be[blocks]
+        s, e = self.s[a], self.e[b]
+        own = e - s + 1
+        shared = own + be - bs + 1 - (np.maximum(e, be) - np.minimum(s, bs) + 1)
+        size = sums(b - a + 1, n)
+        path = ranges(a, b - a + 1) - np.repeat(self.at[self.gene[one]], size)
+        return one, size, path, sums(shared, n), sums(own, n), np.flatnonzero(many)
+
+
+FOUND = "pos int, chr string, cigar string, r_end int, gene string, read_length int, path array<int>, overlap long, length long"
+CARRIED = ["pos", "chr", "cigar", "r_end", "gene"]
+
+
+def flat(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """s, e and their number in each list of structs (s, e); a null list has none."""
+    s, e = (x.to_numpy(zero_copy_only=False).astype(np.int64) for x in lists.flatten().flatten())
+    return s, e, lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def laid(pos: np.ndarray, lens: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """s and e of the blocks of placements, and their number in each, from lengths of blocks and gaps in turn."""
+    n = lens.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    each = lens.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    ahead = np.concatenate([[0], np.cumsum(each)])
+    first = np.cumsum(n) - n
+    start = np.repeat(pos - ahead[first], n) + ahead[:-1]
+    block = (np.arange(len(each)) - np.repeat(first, n)) % 2 == 0
+    return start[block], (start + each - 1)[block], (n + 1) // 2
+
+
+def found_rows(rows: pa.RecordBatch, bases: np.ndarray, size: np.ndarray, path: np.ndarray, overlap: np.ndarray, length: np.ndarray) -> pa.RecordBatch:
+    paths = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), pa.array(path, pa.int32()))
+    columns = [rows.column(c) for c in CARRIED] + [pa.array(bases, pa.int32()), paths, pa.array(overlap, pa.int64()), pa.array(length, pa.int64())]
+    return pa.RecordBatch.from_arrays(columns, names=[*CARRIED, "read_length", "path", "overlap", "length"])
+
+
+def search_batches(batches: Iterator[pa.RecordBatch], s: QuantifySettings) -> Iterator[pa.RecordBatch]:
+    """Rows of FOUND from rows of genes (segs, paths), each ahead of those of the placements (lens) searched in it."""
+    limits = s.end_tolerance, s.junction_tolerance, s.least_block
+    held = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(1, np.int64)), Paths([])  # the last gene of the batch before
+    for batch in batches:
+        is_gene = batch.column("segs").is_valid().to_numpy(zero_copy_only=False)
+        listed = np.flatnonzero(is_gene)
+        (s0, e0, n0), before = held
+        s1, e1, n1 = flat(batch.column("segs"))
+        segs = np.concatenate([s0, s1]), np.concatenate([e0, e1]), np.concatenate([n0, n1[listed]])
+        known = [before] + [Paths(p) for p in batch.column("paths").take(pa.array(listed)).to_pylist()]
+        rows = batch.select([*CARRIED, "lens"]).take(pa.array(np.flatnonzero(~is_gene)))
+        bs, be, n_blocks = laid(rows.column("pos").to_numpy(), rows.column("lens"))
+        made = Batch(segs, (bs, be, n_blocks), np.cumsum(is_gene)[~is_gene])
+        bases = sums(be - bs + 1, n_blocks)
+        one, size, path, overlap, length, many = made.chains(*limits)
+        ends = np.cumsum(size).tolist()
+        numbers = path.tolist()
+        kept = np.array([known[g].holds(tuple(numbers[b - n : b])) for g, n, b in zip(made.gene[one].tolist(), size.tolist(), ends, strict=True)], bool)
+        yield found_rows(rows.take(pa.array(one[kept])), bases[one[kept]], size[kept], path[np.repeat(kept, size)], overlap[kept], length[kept])
+        out = []
+        for k in many.tolist():
+            g, at = made.gene[k], made.first[k]
+            held_segs = slice(made.at[g], made.at[g] + made.n_segs[g])
+            own = list(zip(made.s[held_segs].tolist(), made.e[held_segs].tolist(), strict=True))
+            read = slice(at, at + made.n_blocks[k])
+            got = best_chain(list(zip(made.bs[read].tolist(), made.be[read].tolist(), strict=True)), own, known[g], *limits)
+            if got:
+                out.append((k, *got))
+        if out:
+            index, chains, overlap, length = zip(*out, strict=True)
+            size = np.array([len(c) for c in chains])
+            path = np.array([i for c in chains for i in c], np.int64)
+            yield found_rows(rows.take(pa.array(index)), bases[list(index)], size, path, np.array(overlap), np.array(length))
+        last = slice(made.at[-1], made.at[-1] + segs[2][-1])
+        held = (segs[0][last], segs[1][last], segs[2][-1:]), known[-1]
+
+
 def map_placements(candidates: DataFrame, genes: DataFrame, s: QuantifySettings) -> DataFrame:
-    """candidates (chr, pos, cigar, blocks, gene) -> (chr, pos, cigar, gene, path, overlap, length); genes: (chr, gene, segs,
-    paths).
+    """candidates (chr, pos, cigar, lens, r_end, gene) -> rows of FOUND; genes: (chr, gene, segs, paths).
 
     A gene's segments and paths go once to each task that searches it, ahead of its placements. The placements of a gene
     that has more than GROUP_ROWS are dealt over several tasks. candidates are read twice.
     """
-
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        gene: tuple = ()
-        for batch in batches:
-            out = []
-            for row in batch.itertuples(index=False):
-                if row.segs is not None:
-                    gene = ([(x["s"], x["e"]) for x in row.segs], Paths(list(row.paths)))
-                    continue
-                read = [(x["s"], x["e"]) for x in row.blocks]
-                got = best_chain(read, *gene, s.end_tolerance, s.junction_tolerance, s.least_block)
-                if got:
-                    out.append((row.chr, row.pos, row.cigar, row.gene, list(got[0]), got[1], got[2]))
-            yield pd.DataFrame(out, columns=["chr", "pos", "cigar", "gene", "path", "overlap", "length"])
-
     sizes = candidates.groupBy(*GENE).agg(F.count("*").alias("n")).where(F.col("n") > GROUP_ROWS)
     large = settle(sizes.select(*GENE, F.ceil(F.col("n") / GROUP_ROWS).alias("parts")))
     large = F.broadcast(large) if large.count() <= BROADCAST_GENES else large
     parts = F.coalesce("parts", F.lit(1).cast("long"))
     rows = candidates.join(large, GENE, "left").withColumn("part", F.pmod(F.xxhash64("pos", "cigar"), parts))
     held = genes.join(large, GENE, "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
-    rows = rows.select(*GENE, "part", "pos", "cigar", "blocks")
+    rows = rows.select(*GENE, "part", "pos", "cigar", "lens", "r_end")
     held = held.select(*GENE, "part", "segs", "paths")
     both = held.unionByName(rows, allowMissingColumns=True).repartition(*GENE, "part")
-    dealt = both.sortWithinPartitions(*GENE, "part", F.col("segs").isNull())
-    schema = "chr string, pos int, cigar string, gene string, path array<int>, overlap long, length long"
-    return dealt.mapInPandas(search, schema)
+    dealt = both.sortWithinPartitions("gene", "chr", "part", F.col("segs").isNull())
+    return dealt.mapInArrow(lambda batches: search_batches(batches, s), FOUND)
 
 
 def choose_genes(mapped: DataFrame) -> DataFrame:
-    """Of each placement's genes the best, or all that tie: rows (chr, pos, cigar, gene, path)."""
-    one = F.struct("gene", "overlap", "length", "path")
-    kept = mapped.groupBy("chr", "pos", "cigar").agg(best_gene_fold(F.collect_list(one)).alias("kept"))
-    return kept.select("chr", "pos", "cigar", F.explode("kept").alias("k")).select("chr", "pos", "cigar", "k.gene", "k.path")
+    """Of each placement's genes the best, or all that tie: rows (pos, chr, cigar, r_end, read_length, gene, path)."""
+    one = F.collect_list(F.struct("gene", "overlap", "length", "path"))
+    kept = mapped.groupBy(*PLACE).agg(F.first("r_end").alias("r_end"), F.first("read_length").alias("read_length"), one.alias("x"))
+    alone = (F.size("x") == 1) & (F.col("x")[0]["overlap"] > 2)  # the fold keeps it
+    kept = kept.withColumn("k", F.explode(F.when(alone, F.col("x")).otherwise(best_gene_fold(F.col("x")))))
+    return kept.select(*PLACE, "r_end", "read_length", "k.gene", "k.path")
 
 
 def pick_one(kept: DataFrame) -> DataFrame:
@@ -165,13 +296,13 @@ def pick_one(kept: DataFrame) -> DataFrame:
 
 def map_reads(reads: DataFrame, gene_segs: DataFrame, iso_paths: DataFrame, s: QuantifySettings) -> DataFrame:
     """rows (name, chr, gene, path, r_start, r_end, read_length): the regions of each read."""
-    placed = settle(placements(reads))  # its CIGARs are folded once
     texts = iso_paths.select(*GENE, F.concat(F.lit(","), F.array_join(F.col("path").cast("array<string>"), ","), F.lit(",")).alias("p"))
-    genes = gene_segs.join(texts.groupBy(*GENE).agg(F.collect_list("p").alias("paths")), GENE)
-    candidates = settle(gene_candidates(placed, genes.select(*GENE, "g_start", "g_end"), s.gene_tolerance).drop("g_start", "g_end"))
-    found = merged(choose_genes(map_placements(candidates, genes, s)))
-    full = found.join(placed.select("chr", "pos", "cigar", "r_start", "r_end", "read_length"), ["chr", "pos", "cigar"])
-    return merged(reads.select("name", "chr", "pos", "cigar").join(merged(full), ["chr", "pos", "cigar"]).drop("pos", "cigar"))
+    genes = settle(gene_segs.join(texts.groupBy(*GENE).agg(F.collect_list("p").alias("paths")), GENE))
+    candidates = gene_candidates(placements(reads), genes.select(*GENE, "g_start", "g_end"), s.gene_tolerance)
+    candidates = settle(candidates.select(*GENE, "pos", "cigar", "lens", "r_end"))
+    found = merged(choose_genes(map_placements(candidates, genes, s)))  # in the order of the join below: a shuffle less
+    full = merged(reads.select("name", *PLACE)).join(found, PLACE)
+    return merged(full.select("name", *GENE, "path", F.col("pos").alias("r_start"), "r_end", "read_length"))
 
 
 def rejected_reads(reads: DataFrame, mapped: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from spliceframe import api
 from spliceframe.config import KValueSettings, QuantifySettings
+from spliceframe.functions.columns import cigar_lengths
 from spliceframe.operators import condition, em, features, mapping
 from spliceframe.sources import formats, sinks
 
@@ -240,3 +241,51 @@ def test_grams_come_from_sums_by_owners_and_are_solved_together(spark, monkeypat
     assert len(calls) == 2
     assert [s.tolist() for s in got[:50]] == [svd(np.array([[1.0 + k, 0.5], [0.5, 2.0]]), compute_uv=False).tolist() for k in range(50)]
     assert got[50].tolist() == [0, 0] and np.isnan(got[51]).all()
+
+
+def test_batches_map_as_chain_by_chain(monkeypatch):
+    """Whole batches in numpy give what best_chain gives for each placement, also where genes go over several batches."""
+    rng = random.Random(4)
+    genes, rows, want = [], [], []
+    for g in range(60):
+        at, segs = rng.randrange(1, 400), []
+        for _ in range(rng.randrange(1, 8)):
+            segs.append((at, at + rng.randrange(1, 60)))
+            at = segs[-1][1] + rng.choice([1, 1, 2, 6, 40])
+        own = [sorted(rng.sample(range(len(segs)), rng.randrange(1, len(segs) + 1))) for _ in range(3)]
+        texts = ["," + ",".join(map(str, p)) + "," for p in own]
+        genes.append({"segs": [{"s": s, "e": e} for s, e in segs], "paths": texts})
+        for k in range(30):
+            path = rng.choice(own)
+            part = path[rng.randrange(len(path)) :][: rng.randrange(1, 4)]
+            edge = lambda: rng.randrange(-8, 9)
+            read = [[segs[i][0] + edge(), segs[i][1] + edge()] for i in part]
+            read = [b for k, b in enumerate(read) if b[1] >= b[0] and (not k or b[0] > read[k - 1][1] + 1)]
+            for a, b in zip(read, read[1:]):
+                b[0] = max(b[0], a[1] + 2)
+            if not read or any(b[1] < b[0] for b in read):
+                continue
+            lens = [x for i, b in enumerate(read) for x in ([b[0] - read[i - 1][1] - 1] if i else []) + [b[1] - b[0] + 1]]
+            rows.append((g, {"chr": "c", "gene": str(g), "pos": read[0][0], "cigar": f"{k}", "lens": lens, "r_end": read[-1][1]}))
+            got = mapping.best_chain([tuple(b) for b in read], segs, mapping.Paths(texts), least=4)
+            if got:
+                want.append((str(g), str(k), got[0], got[1], got[2], sum(b[1] - b[0] + 1 for b in read)))
+    table = [x for g, gene in enumerate(genes) for x in ({"chr": "c", "gene": str(g), **gene}, *[r for of, r in rows if of == g])]
+    schema = pa.schema({"chr": pa.string(), "gene": pa.string(), "segs": pa.list_(pa.struct({"s": pa.int32(), "e": pa.int32()})), "paths": pa.list_(pa.string()),
+                        "pos": pa.int32(), "cigar": pa.string(), "lens": pa.list_(pa.int32()), "r_end": pa.int32()})
+    searched, plain = [], mapping.best_chain
+    monkeypatch.setattr(mapping, "best_chain", lambda *a: searched.append(1) or plain(*a))
+    for size in (7, 10_000):
+        batches = pa.Table.from_pylist(table, schema=schema).to_batches(max_chunksize=size)
+        found = [r for b in mapping.search_batches(iter(batches), QuantifySettings(least_block=4)) for r in b.to_pylist()]
+        have = [(r["gene"], r["cigar"], tuple(r["path"]), r["overlap"], r["length"], r["read_length"]) for r in found]
+        assert len(want) > 500 and sorted(have) == sorted(want)
+    assert 0 < len(searched) < len(rows)  # of two runs: less than half go one by one
+
+
+def test_plain_cigars_fold_as_others(spark):
+    """Blocks and gaps alone are read as they stand; the fold gives the same where an empty clip sends it another way."""
+    texts = ["10M", "10M5N7M", "0M5N7M", "10M0N7M3N1M", "1M2N3M4N5M", "M", "10M5N", "5N10M", "*", ""]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", cigar_lengths(F.col("t")).alias("a"), cigar_lengths(F.concat("t", F.lit("0P"))).alias("b"))
+    got = {r.t: (r.a, r.b) for r in rows.collect()}
+    assert all(a == b for t, (a, b) in got.items() if t not in ("*", "")) and got["10M0N7M3N1M"][0] == [10, 7, 3, 1] and got["*"][0] == []
