@@ -63,6 +63,15 @@ def test_proximity(spark):
     assert decontamination.near_matches(index, 1).count() == 1
 
 
+def test_what_grows_with_the_texts_holds_no_words(spark):
+    """Postings, candidates and occurrences are numbers: a phrase's terms in each of their rows would be on disk many times."""
+    docs = spark.createDataFrame([(1, "alpha beta gamma delta"), (2, "beta gamma")], "doc_id int, text string")
+    index = decontamination.build(docs, decontamination.phrases(spark.createDataFrame([(1, "beta gamma")], "item_id int, text string")))
+    for table in (index.postings, decontamination.candidates(index), decontamination.occurrences(index)):
+        assert table.count() and not [t for _, t in table.dtypes if "string" in t]
+    assert sorted(r.start for r in decontamination.phrase_matches(index).where("terms = array('beta', 'gamma')").collect()) == [0, 1]
+
+
 # ---------------------------------------------------------------- SimHash
 
 
