@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import cache, cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -38,17 +39,32 @@ def named(columns: dict[str, str]) -> list[Column]:
 @dataclass
 class KValues:
     """genes: K value and the rest for each gene, nulls for genes without a region; matrix, lr_matrix: the weighted
-    matrices of short and long reads; sr_b, lr_b: their abundance vectors, where there are reads."""
+    matrices of short and long reads; sr_b, lr_b: their abundance vectors, where there are reads. What is made of all regions
+    is computed when it is first asked for: abundances of long reads need none of it."""
 
-    genes: DataFrame
-    isoforms: DataFrame
-    matrix: DataFrame
-    regions: DataFrame
+    names: DataFrame
     lr_matrix: DataFrame
     segments: DataFrame
+    made: dict[str, Callable[[], DataFrame]]
     sr_b: DataFrame | None = None
     lr_b: DataFrame | None = None
 
+    @cached_property
+    def genes(self) -> DataFrame:
+        return self.made["genes"]()
+
+    @cached_property
+    def isoforms(self) -> DataFrame:
+        return self.made["isoforms"]()
+
+    @cached_property
+    def matrix(self) -> DataFrame:
+        return self.made["matrix"]()
+
+    @cached_property
+    def regions(self) -> DataFrame:
+        return self.made["regions"]()
+
     def summary(self) -> DataFrame:
         """Gene, Chr, Num_isoforms, Kvalue (the generalized condition number)."""
         return self.genes.select(
@@ -105,7 +121,8 @@ def k_values(
     segs, iso_paths = paths.laid_out(exons)
     iso = settle(paths.isoforms(exons))
     names = iso.select(*GENE, "isoform")
-    regions = settle(paths.regions(iso_paths, segs, s))  # read by each of the matrices below
+    every = paths.regions(iso_paths, segs, s)
+    regions = cache(lambda: settle(every))  # read by each of the matrices below
     sr = lr = regions
     sr_b = lr_b = None
     rl = F.lit(s.read_length)
@@ -113,36 +130,30 @@ def k_values(
     if srs is not None:
         srs = settle(srs)
         rl = F.lit(float(srs.agg(F.avg("read_length")).first()[0] or s.read_length))
-        sr = supported.short_read_regions(regions, srs, names, s.region_selection, s.keep_sr_regions)
+        counted = supported.short_read_regions(regions(), srs, names, s.region_selection, s.keep_sr_regions)
         eff = region_effective_length(F.col("kind"), F.col("len"), F.col("inner"), rl, F.lit(s.least_junction))
-        sr = settle(sr.withColumn("eff_len", eff))
-        sr_b = supported.abundance(sr, F.col("eff_len"))
+        counted = settle(counted.withColumn("eff_len", eff))
+        sr = lambda: counted
+        sr_b = supported.abundance(counted, F.col("eff_len"))
     if lrs is not None:
         if s.filter_reads:
             lrs = mapping.region_qc(settle(lrs), iso_paths, iso)
-        lr = settle(supported.long_read_regions(settle(lrs), iso_paths, s.full_length_regions))
-        lr_b = supported.abundance(lr)
+        seen = settle(supported.long_read_regions(settle(lrs), iso_paths, s.full_length_regions))
+        lr = lambda: seen
+        lr_b = supported.abundance(seen)
     if s.multi_exon_weight == "minus_inner_region":
         many = F.col("kind").isin("junctions", "exons")
         weight = F.when(many, inner_weight(F.col("inner"), rl)).otherwise(1.0)
     else:
         weight = F.col("eff_len") if s.sr_design == "weight" else F.lit(1.0)
     ones = F.lit(1.0)
-    sr_matrix = condition.entries(sr, weight, s.normalize_sr)
-    lr_matrix = condition.entries(lr, ones, s.normalize_lr)
+    sr_matrix = cache(lambda: condition.entries(sr(), weight, s.normalize_sr))
+    lr_matrix = condition.entries(lr(), ones, s.normalize_lr)
     if weights is not None:
         if lrs is None:
             raise ValueError("weights take the place of cells of genes with long reads, and there are no long reads")
         table = formats.region_weights(spark, weights) if isinstance(weights, str) else weights
-        seen = lr.where("n > 0").select(*GENE).distinct()
-        lr_matrix = supported.weighted(lr_matrix, table.join(seen, GENE, "left_semi"))
-
-    sr_sums = settle(condition.owner_sums(sr, weight))
-    lr_sums = sr_sums if lrs is None and srs is None else settle(condition.owner_sums(lr, ones))
-    gram_of = lambda sums, normalize, *w: settle(condition.gram_of_sums(sums, normalize, *w))
-    lr_gram = settle(condition.gram(lr_matrix, GENE)) if weights is not None else gram_of(lr_sums, s.normalize_lr, "n", "n")
-    same = srs is None and lrs is None and weights is None and s.normalize_sr == s.normalize_lr
-    sr_grams = gram_of(sr_sums, s.normalize_sr), lr_gram if same else gram_of(sr_sums, s.normalize_sr, "n", "n")
+        lr_matrix = supported.weighted(lr_matrix, table.join(lr().where("n > 0").select(*GENE).distinct(), GENE, "left_semi"))
 
     def solved(weighted: DataFrame, plain: DataFrame, sums: DataFrame, kind: str) -> DataFrame:
         found = condition.condition_numbers(weighted, plain, names, s.singular_tolerance)
@@ -150,14 +161,27 @@ def k_values(
         found = found.join(size, GENE).withColumnsRenamed({c: f"{kind}_{c}" for c in found.columns if c not in GENE})
         return found.withColumnRenamed("_rows", f"{kind}_regions")
 
-    info = paths.gene_info(exons, segs)
-    numbers = solved(*sr_grams, sr_sums, "sr").join(solved(lr_gram, lr_gram, lr_sums, "lr"), GENE)  # genes with both matrices
-    genes = info.join(merged(numbers), GENE, "left")
-    for kind in ("sr", "lr"):
-        n = F.col(f"{kind}_regions")
-        genes = genes.withColumn(f"{kind}_dim", F.when(n.isNotNull(), F.format_string("(%d, %d)", n, "num_isoforms"))).drop(n)
-    isoforms = iso.select(*GENE, "isoform", "n_exons", "length").join(genes.drop("num_exons", "num_split_exons", "sr_singular_values", "lr_singular_values", "sr_dim", "lr_dim"), GENE)
-    return KValues(genes, isoforms, sr_matrix, regions, lr_matrix, segs, sr_b, lr_b)
+    @cache
+    def genes() -> DataFrame:
+        sr_sums = settle(condition.owner_sums(sr(), weight))
+        lr_sums = sr_sums if lrs is None and srs is None else settle(condition.owner_sums(lr(), ones))
+        gram_of = lambda sums, normalize, *w: settle(condition.gram_of_sums(sums, normalize, *w))
+        lr_gram = settle(condition.gram(lr_matrix, GENE)) if weights is not None else gram_of(lr_sums, s.normalize_lr, "n", "n")
+        same = srs is None and lrs is None and weights is None and s.normalize_sr == s.normalize_lr
+        sr_grams = gram_of(sr_sums, s.normalize_sr), lr_gram if same else gram_of(sr_sums, s.normalize_sr, "n", "n")
+        info = paths.gene_info(exons, segs)
+        numbers = solved(*sr_grams, sr_sums, "sr").join(solved(lr_gram, lr_gram, lr_sums, "lr"), GENE)  # genes with both matrices
+        out = info.join(merged(numbers), GENE, "left")
+        for kind in ("sr", "lr"):
+            n = F.col(f"{kind}_regions")
+            out = out.withColumn(f"{kind}_dim", F.when(n.isNotNull(), F.format_string("(%d, %d)", n, "num_isoforms"))).drop(n)
+        return settle(out)  # files sort it, which computes it twice, and there are several
+
+    def isoforms() -> DataFrame:
+        left_out = ("num_exons", "num_split_exons", "sr_singular_values", "lr_singular_values", "sr_dim", "lr_dim")
+        return iso.select(*GENE, "isoform", "n_exons", "length").join(genes().drop(*left_out), GENE)
+
+    return KValues(names, lr_matrix, segs, {"genes": genes, "isoforms": isoforms, "matrix": sr_matrix, "regions": regions}, sr_b, lr_b)
 
 
 def region_abundance(found: KValues, alpha: float = 1.0, beta: float = 1e-6, unique_bounds: bool = True, assign: str = "linear_model") -> DataFrame:
@@ -174,13 +198,13 @@ def region_abundance(found: KValues, alpha: float = 1.0, beta: float = 1e-6, uni
     if alpha < 1:
         total = F.sum("b").over(Window.partitionBy(*GENE))
         parts.append((found.matrix, found.sr_b.withColumn("b", F.col("b") / F.when(total == 0, 1).otherwise(total)), 1 - alpha))
-    names = found.isoforms.select(*GENE, "isoform")
+    names = found.names
     theta = settle(least_squares.gene_shares(least_squares.solve(parts, names, beta, unique_bounds)))
     if assign == "reassign":
         got = least_squares.reassign(theta, found.lr_matrix, found.lr_b)
     else:
         got = least_squares.by_total(theta, found.lr_b)
-    return theta.join(merged(least_squares.per_million(got)), [*GENE, "isoform"])
+    return theta.join(merged(least_squares.per_million(settle(got))), [*GENE, "isoform"])  # its total, and its rows
 
 
 def write_region_abundance(directory: str, expression: DataFrame, exons: DataFrame) -> None:

@@ -18,7 +18,6 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import safe_divide
 from ..plans.scratch import merged
-from .condition import dense, gram
 from .paths import GENE
 
 Part = tuple[DataFrame, DataFrame, float]  # matrix (chr, gene, path, isoform, a), abundances (chr, gene, path, b), weight
@@ -55,25 +54,68 @@ def bounded(q: np.ndarray, c: np.ndarray, low: np.ndarray) -> np.ndarray:
     return low + nonnegative(q, c - q @ low)
 
 
-def lower_bounds(matrix: DataFrame, b: DataFrame) -> DataFrame:
-    """rows (chr, gene, isoform, low): the greatest b / a over regions with a cell in one isoform alone."""
-    cells = matrix.where("a <> 0").groupBy(*GENE, "path").agg(F.count("*").alias("k"), F.max("isoform").alias("isoform"), F.max("a").alias("a"))
-    one = cells.where("k = 1").join(b, [*GENE, "path"])
-    return one.groupBy(*GENE, "isoform").agg(F.max(F.col("b") / F.col("a")).alias("low"))
+STACK = 1 << 20  # numbers of the matrices that are solved at a time
+
+
+def nonnegative_stack(q: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """nonnegative() of each of many q (genes x n x n) and c, all of one size: their free sets change side by side. Genes
+    whose q isn't well-conditioned, or that don't settle, go one by one."""
+    m, n = c.shape
+    x, free = np.zeros((m, n)), np.zeros((m, n), bool)
+    if not n or not m:
+        return x
+    least = 1e-12 * np.maximum(1.0, np.abs(c).max(1))
+    ends = np.linalg.eigvalsh(q)
+    alone = ends[:, 0] <= 1e-9 * np.abs(ends[:, -1])
+    live = np.flatnonzero(~alone)
+    for _ in range(3 * n + 10):
+        slope = np.where(free[live], -np.inf, c[live] - (q[live] @ x[live][..., None])[..., 0])
+        going = slope.max(1) > least[live]
+        live, slope = live[going], slope[going]
+        if not len(live):
+            break
+        free[live, slope.argmax(1)] = True
+        inner = live
+        while len(inner):
+            f = free[inner]
+            part = np.where(f[:, :, None] & f[:, None, :], q[inner], np.eye(n))
+            best = np.linalg.solve(part, np.where(f, c[inner], 0.0)[..., None])[..., 0]
+            low = f & (best <= 0)
+            bad = low.any(1)
+            x[inner[~bad]] = best[~bad]
+            inner, best, low = inner[bad], best[bad], low[bad]
+            now = x[inner]
+            steps = np.where(low, now / np.where(now > best, now - best, 1.0), np.inf).min(1)
+            steps = np.where((~low | (now > best)).all(1), steps, 0.0)
+            now = now + steps[:, None] * (best - now)
+            gone = low & (now <= 1e-15 * np.maximum(1.0, now.max(1, initial=0.0))[:, None])
+            gone = np.where(gone.any(1)[:, None], gone, low)
+            x[inner] = np.where(gone, 0.0, now)
+            free[inner] &= ~gone
+    alone[live] = True
+    for k in np.flatnonzero(alone):
+        x[k] = nonnegative(q[k], c[k])
+    return x
+
+
+def part_cells(matrix: DataFrame, b: DataFrame, weight: float, unique_bounds: bool = True) -> DataFrame:
+    """rows (chr, gene, kind, i, j, v): of kind 0 the Gram matrix of a part, i <= j, of kind 1 its right-hand sides and of kind 2
+    the greatest b / a over regions with a cell in one isoform alone. A region's cells meet its b once, and are paired in it."""
+    x = F.array_sort(F.collect_list(F.struct(F.col("isoform").alias("c"), F.col("a").alias("v")))).alias("x")
+    rows = matrix.groupBy(*GENE, "path").agg(x).join(merged(b.groupBy(*GENE, "path").agg(F.max("b").alias("b"))), [*GENE, "path"], "left")
+    weight = float(weight)
+    cell = "named_struct('kind', {}, 'i', {}, 'j', {}, 'v', {})".format
+    pairs = f"flatten(transform(x, (l, p) -> transform(slice(x, p + 1, size(x)), r -> {cell(0, 'l.c', 'r.c', f'{weight!r}D * (l.v * r.v)')})))"
+    right = f"if(b is null, slice(transform(x, l -> {cell(1, 'l.c', 'l.c', '0D')}), 1, 0), transform(x, l -> {cell(1, 'l.c', 'l.c', f'{weight!r}D * l.v * b')}))"
+    own = f"if(b is not null and size(filter(x, l -> l.v <> 0)) = 1, transform(filter(x, l -> l.v <> 0), l -> {cell(2, 'l.c', 'l.c', 'b / l.v')}), slice(transform(x, l -> {cell(2, 'l.c', 'l.c', '0D')}), 1, 0))"
+    each = rows.select(*GENE, F.explode(F.expr(f"concat({', '.join([pairs, right, *[own] * unique_bounds])})")).alias("y")).select(*GENE, "y.*")
+    summed = each.groupBy(*GENE, "kind", "i", "j").agg(F.sum("v").alias("total"), F.max("v").alias("most"))
+    return summed.select(*GENE, "kind", "i", "j", F.when(F.col("kind") == 2, F.col("most")).otherwise(F.col("total")).alias("v"))
 
 
 def solve(parts: Sequence[Part], names: DataFrame, beta: float = 1e-6, unique_bounds: bool = True) -> DataFrame:
     """rows (chr, gene, isoform, x) for every isoform of names (chr, gene, isoform); 0 in genes without a cell."""
-    cells = []
-    for matrix, b, weight in parts:
-        if not weight:
-            continue
-        g = gram(matrix, GENE).select(*GENE, F.lit(0).alias("kind"), "i", "j", (weight * F.col("g")).alias("v"))
-        right = matrix.join(b, [*GENE, "path"]).groupBy(*GENE, F.col("isoform").alias("i")).agg(F.sum(weight * F.col("a") * F.col("b")).alias("v"))
-        cells += [g, right.select(*GENE, F.lit(1).alias("kind"), "i", F.col("i").alias("j"), "v")]
-        if unique_bounds:
-            low = lower_bounds(matrix, b).withColumnRenamed("isoform", "i")
-            cells.append(low.select(*GENE, F.lit(2).alias("kind"), "i", F.col("i").alias("j"), F.col("low").alias("v")))
+    cells = [part_cells(matrix, b, weight, unique_bounds) for matrix, b, weight in parts if weight]
     if not cells:
         raise ValueError("there is no matrix of a positive weight")
     isoforms = names.groupBy(*GENE).agg(F.array_sort(F.collect_set("isoform")).alias("isoforms"))
@@ -86,16 +128,25 @@ def solve(parts: Sequence[Part], names: DataFrame, beta: float = 1e-6, unique_bo
 
     def of_genes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = []
-            for names, held in zip(batch.column("isoforms"), batch.column("cells"), strict=True):
-                n = len(names)
-                kind, i, j, v = (held.values.field(f).to_numpy() for f in ("kind", "i", "j", "v"))
-                q, c, low = beta * np.eye(n), np.zeros(n), np.zeros(n)
-                np.add.at(q, (i[kind == 0], j[kind == 0]), v[kind == 0])
-                q = dense(n, *np.triu_indices(n), q[np.triu_indices(n)])
-                np.add.at(c, i[kind == 1], v[kind == 1])
-                np.maximum.at(low, i[kind == 2], v[kind == 2])
-                found.append(bounded(q, c, low).tolist())
+            n = batch.column("isoforms").value_lengths().to_numpy(zero_copy_only=False)
+            held = batch.column("cells").value_lengths().to_numpy(zero_copy_only=False)
+            kind, i, j, v = (f.to_numpy(zero_copy_only=False) for f in batch.column("cells").flatten().flatten())
+            gene, found = np.repeat(np.arange(len(n)), held), [None] * len(n)
+            for size in np.unique(n).tolist():
+                every = np.flatnonzero(n == size)
+                for genes in np.split(every, np.arange(0, len(every), max(1, STACK // max(1, size * size)))[1:]):
+                    row = np.full(len(n), -1)
+                    row[genes] = np.arange(len(genes))
+                    at, own = row[gene], row[gene] >= 0
+                    q, c, low = np.zeros((len(genes), size, size)), np.zeros((len(genes), size)), np.zeros((len(genes), size))
+                    of = lambda k: np.flatnonzero(own & (kind == k))  # noqa: B023, E731
+                    np.add.at(q, (at[of(0)], i[of(0)], j[of(0)]), v[of(0)])
+                    q = np.triu(q) + np.triu(q, 1).transpose(0, 2, 1) + beta * np.eye(size)
+                    np.add.at(c, (at[of(1)], i[of(1)]), v[of(1)])
+                    np.maximum.at(low, (at[of(2)], i[of(2)]), v[of(2)])
+                    got = low + nonnegative_stack(q, c - (q @ low[..., None])[..., 0])
+                    for k, x in zip(genes.tolist(), got.tolist(), strict=True):
+                        found[k] = x
             columns = [batch.column("chr"), batch.column("gene"), batch.column("isoforms"), pa.array(found, pa.list_(pa.float64()))]
             yield pa.RecordBatch.from_arrays(columns, names=[*GENE, "isoforms", "x"])
 

@@ -7,6 +7,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from spliceframe import api
+from spliceframe.config import KValueSettings
 from spliceframe.operators import condition, least_squares as ls
 
 CELLS = "chr string, gene string, path array<int>, isoform string, a double"
@@ -139,3 +141,30 @@ def test_gram_of_one_part(spark):
     for r in condition.gram(m, ["chr", "gene"]).withColumn("i", F.expr("int(substring(i, 2))")).withColumn("j", F.expr("int(substring(j, 2))")).collect():
         a = genes[r.gene][0]
         assert r.g == pytest.approx((a.T @ a)[r.i, r.j])
+
+
+def test_stacks_are_solved_as_one_by_one(monkeypatch):
+    """Genes of one size together, as each alone; only those with dependent isoforms go one by one."""
+    r = np.random.default_rng(5)
+    for n in (1, 2, 3, 6):
+        a = r.normal(size=(80, n + 2, n))
+        a[:8, :, 0] = a[:8, :, -1]
+        q, c = np.einsum("gri,grj->gij", a, a), r.normal(size=(80, n)) * 5
+        want = np.array([ls.nonnegative(*g) for g in zip(q, c, strict=True)])
+        alone = []
+        plain = ls.nonnegative
+        monkeypatch.setattr(ls, "nonnegative", lambda *g: alone.append(1) or plain(*g))
+        got = ls.nonnegative_stack(q, c)
+        monkeypatch.setattr(ls, "nonnegative", plain)
+        assert np.allclose(got, want, atol=1e-6 * max(1, np.abs(want).max())) and len(alone) <= 12
+
+
+def test_abundances_make_no_k_values(spark, monkeypatch):
+    """Abundances of long reads need no region without reads and no condition number; K values are made once if asked for."""
+    made, plain = [], api.condition.condition_numbers
+    monkeypatch.setattr(api.condition, "condition_numbers", lambda *a: made.append(1) or plain(*a))
+    exons = spark.createDataFrame([("c", "g", "a", "+", 1, 300), ("c", "g", "a", "+", 401, 700), ("c", "g", "b", "+", 1, 300)], "chr string, gene string, isoform string, strand string, start int, end int")
+    reads = spark.createDataFrame([("r1", 0, "c", 1, 60, "300M100N300M"), ("r2", 0, "c", 1, 60, "250M")], "name string, flag int, chr string, pos int, mapq int, cigar string")
+    found = api.k_values(spark, exons, KValueSettings(full_length_regions="none"), long_reads=reads)
+    assert api.region_abundance(found, beta=0.01).count() == 2 and not made
+    assert found.genes.count() == 1 and found.isoforms.count() == 2 and found.genes.count() == 1 and len(made) == 2
