@@ -365,13 +365,12 @@ def quantify_globally(
     s = settings or QuantifySettings()
     exons = formats.exons(spark, annotation) if isinstance(annotation, str) else annotation
     iso, read_iso = read_isoforms(spark, exons, long_reads, s)
-    lengths = settle(readlen.read_lengths(read_iso))
-    hist = settle(readlen.histogram(lengths))
+    sets = settle(global_em.length_sets(read_iso))
+    hist = settle(sets.groupBy("read_len").agg(F.sum("n").alias("n")))
     known = readlen.cdf_at(hist, iso.select("isoform", F.col("length").alias("iso_len")), "iso_len")
-    counts = readlen.fractional_counts(read_iso, s.initial_theta.endswith("_unique"))
-    theta = global_em.starting_theta(iso, start, lr=counts, seed=seed)
-    patterns = global_em.length_patterns(read_iso, lengths)
-    found, _ = global_em.iterate(patterns, settle(known), hist, theta, form, rounds, tolerance, s.floor)
+    counts = settle(readlen.fractional_counts(read_iso, s.initial_theta.endswith("_unique")))
+    theta = settle(global_em.starting_theta(iso, start, lr=counts, seed=seed))
+    found, _ = global_em.iterate(sets, known, hist, theta, form, rounds, tolerance, s.floor)
     total = F.sum("theta").over(Window.partitionBy())
     tpm = F.col("theta") / F.when(total == 0, 1).otherwise(total) * 1e6
     return iso.select("isoform", "gene").join(found, "isoform").withColumn("tpm", tpm)

@@ -11,7 +11,7 @@ from .config import KValueSettings, QuantifySettings
 from .driver_queries import JOINED, RANGES, SLICES, exons as order_exons, query, table
 from .driver_reads import READS, gene_exons, mapped_reads, model, order_reads, scratch
 from .operators import density, global_em, intervals, least_squares, mapping, paths, readlen, supported
-from .plans.scratch import settle
+from .plans.scratch import merged, settle
 from .sources import formats, sinks
 
 # ---------------------------------------------------------------- least squares
@@ -167,13 +167,11 @@ def em_theta_k3(spark, sf_dir) -> DataFrame:
     """Three rounds with suffix sums made anew in each: orders as reads of their largest quantity, parts as isoforms."""
     iso = table(spark, sf_dir, "part").selectExpr("p_partkey as isoform", "cast(p_size + 30 as bigint) as iso_len")
     rows = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey as name", "l_suppkey * 20 as isoform", "cast(l_quantity as bigint) as q")
-    read_iso = rows.join(iso, "isoform").groupBy("name", "isoform", "iso_len").agg(F.max("q").alias("q"))
-    read_iso = read_iso.selectExpr("*", "0L as off5", "iso_len - q as off3", "'c' as chr", "'g' as gene", "array(0) as path")
-    read_iso = settle(read_iso)
-    lengths = settle(readlen.read_lengths(read_iso))
-    hist = settle(readlen.histogram(lengths))
-    start = global_em.starting_theta(iso, "LR", lr=readlen.fractional_counts(read_iso))
-    found, _ = global_em.iterate(global_em.length_patterns(read_iso, lengths), readlen.cdf_at(hist, iso, "iso_len"), hist, start, rounds=3, tolerance=0.0)
+    read_iso = merged(rows).join(merged(iso), "isoform").selectExpr("name", "isoform", "iso_len", "0L as off5", "iso_len - q as off3")
+    sets = settle(global_em.length_sets(read_iso))
+    hist = settle(sets.groupBy("read_len").agg(F.sum("n").alias("n")))
+    start = settle(global_em.starting_theta(iso, "LR", lr=settle(global_em.shared_counts(sets))))
+    found, _ = global_em.iterate(sets, readlen.cdf_at(hist, iso, "iso_len"), hist, start, rounds=3, tolerance=0.0)
     return found.select("isoform", F.round("theta", 8).alias("theta"))
 
 

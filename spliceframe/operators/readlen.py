@@ -4,17 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import conditional_probability
 from ..plans.scratch import merged
 
 
+def longest_stretch() -> Column:
+    """Of a read's rows (iso_len, off5, off3) the longest stretch, 0 at least."""
+    return F.greatest(F.max(F.col("iso_len") - F.col("off5") - F.col("off3")), F.lit(0)).cast("long")
+
+
 def read_lengths(read_iso: DataFrame) -> DataFrame:
     """rows (name, read_len): the longest stretch of a read on any of its isoforms."""
-    stretch = F.col("iso_len") - F.col("off5") - F.col("off3")
-    return read_iso.groupBy("name").agg(F.greatest(F.max(stretch), F.lit(0)).cast("long").alias("read_len"))
+    return read_iso.groupBy("name").agg(longest_stretch().alias("read_len"))
 
 
 def histogram(lengths: DataFrame, length: str = "read_len", by: Sequence[str] = ()) -> DataFrame:

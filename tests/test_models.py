@@ -433,3 +433,30 @@ def test_iterate_makes_the_lengths_once(spark):
     theta, done = global_em.iterate(pats, known, hist, start, rounds=2, tolerance=0.0)
     assert done == 2 and theta.agg(F.sum("theta")).first()[0] == pytest.approx(1)
     assert calls.value == 1
+
+
+@pytest.mark.parametrize("form", global_em.FORMS)
+@pytest.mark.parametrize("rounds, tolerance", [(3, 0.0), (40, 0.05)])
+def test_rounds_shuffle_sums_alone_and_go_by_joins_for_many_isoforms(spark, monkeypatch, form, rounds, tolerance):
+    rows, length = reads_and_isoforms(9)
+    length |= {"unread": 70}
+    read_iso = spark.createDataFrame(rows, "name string, isoform string, iso_len long, off5 long, off3 long")
+    isoforms = spark.createDataFrame(list(length.items()), "isoform string, iso_len long")
+    plain, plans = global_em.settle, []
+    monkeypatch.setattr(global_em, "settle", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or plain(df))
+    sets = plain(global_em.length_sets(read_iso))
+    hist = sets.groupBy("read_len").agg(F.sum("n").alias("n"))
+    assert rows_of(hist) == rows_of(readlen.histogram(readlen.read_lengths(read_iso)))
+    start = global_em.starting_theta(isoforms, "LR", lr=global_em.shared_counts(sets))
+    known = readlen.cdf_at(hist, isoforms, "iso_len")
+    want, rounds_taken = brute_em(rows, length, form, rounds, tolerance)
+    for most, joined in ((1 << 20, False), (0, True)):
+        monkeypatch.setattr(global_em, "BROADCAST_ISOFORMS", most)
+        plans.clear()
+        found, done = global_em.iterate(sets, known, hist, start, form, rounds, tolerance)
+        assert {r.isoform: r.theta for r in found.collect()} == pytest.approx(want) and done == rounds_taken
+        assert any("hashpartitioning(pattern" in p for p in plans) == joined
+
+
+def rows_of(df):
+    return collections.Counter(map(tuple, df.select(*sorted(df.columns)).collect()))
