@@ -72,7 +72,7 @@ def mapped_length(lengths: Column) -> Column:
 
 def blocks(lengths: Column, pos: Column) -> Column:
     """Closed intervals (s, e) of the blocks, from 1-based pos."""
-    start = F.struct(pos.cast("int").alias("at"), F.lit(0).alias("i"), F.array().cast("array<struct<s:int,e:int>>").alias("out"))
+    start = F.struct(pos.cast("long").alias("at"), F.lit(0).alias("i"), F.array().cast("array<struct<s:bigint,e:bigint>>").alias("out"))
     return F.aggregate(
         lengths,
         start,

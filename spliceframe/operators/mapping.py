@@ -129,7 +129,7 @@ def sums(values: np.ndarray, count: np.ndarray) -> np.ndarray:
     return upto[ends] - upto[ends - count]
 
 
-SPAN = 1 << 34  # of a gene's coordinates, where those of several genes are laid on one line
+SPAN = 1 << 34  # of a gene, where several are laid on one line, each from its first segment on
 
 
 class Batch:
@@ -147,10 +147,13 @@ class Batch:
         place = np.arange(len(self.bs))
         starts = np.repeat(self.first, self.n_blocks) == place
         stops = np.repeat(self.first + self.n_blocks - 1, self.n_blocks) == place
-        line = np.repeat(np.arange(len(self.n_segs)), self.n_segs) * SPAN
-        low = np.searchsorted(line + self.e, own * SPAN + self.bs - junction)
+        least = np.zeros(len(self.n_segs), np.int64)
+        least[self.n_segs > 0] = self.s[self.at[self.n_segs > 0]]
+        shift = np.arange(len(self.n_segs)) * SPAN - least
+        line = np.repeat(shift, self.n_segs)
+        low = np.searchsorted(line + self.e, shift[own] + self.bs - junction)
         low = np.maximum(low, self.at[own])
-        high = np.searchsorted(line + self.s, own * SPAN + self.be + junction)
+        high = np.searchsorted(line + self.s, shift[own] + self.be + junction)
         near = np.maximum(np.minimum(high, (self.at + self.n_segs)[own]) - low, 0)
         # a row for each block and segment near it
         block, seg = np.repeat(place, near), ranges(low, near)
@@ -192,7 +195,7 @@ class Batch:
         return one, size, path, sums(shared, n), sums(own, n), np.flatnonzero(many)
 
 
-FOUND = "pos int, chr string, cigar string, r_end int, gene string, read_length int, path array<int>, overlap long, length long"
+FOUND = "pos long, chr string, cigar string, r_end long, gene string, read_length int, path array<int>, overlap long, length long"
 CARRIED = ["pos", "chr", "cigar", "r_end", "gene"]
 
 
@@ -269,7 +272,7 @@ def map_placements(candidates: DataFrame, genes: DataFrame, s: QuantifySettings)
     parts = F.coalesce("parts", F.lit(1).cast("long"))
     rows = candidates.join(large, GENE, "left").withColumn("part", F.pmod(F.xxhash64("pos", "cigar"), parts))
     held = genes.join(large, GENE, "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
-    rows = rows.select(*GENE, "part", "pos", "cigar", "lens", "r_end")
+    rows = rows.select(*GENE, "part", F.col("pos").cast("long").alias("pos"), "cigar", "lens", F.col("r_end").cast("long").alias("r_end"))
     held = held.select(*GENE, "part", "segs", "paths")
     both = held.unionByName(rows, allowMissingColumns=True).repartition(*GENE, "part")
     dealt = both.sortWithinPartitions("gene", "chr", "part", F.col("segs").isNull())
@@ -296,6 +299,7 @@ def pick_one(kept: DataFrame) -> DataFrame:
 
 def map_reads(reads: DataFrame, gene_segs: DataFrame, iso_paths: DataFrame, s: QuantifySettings) -> DataFrame:
     """rows (name, chr, gene, path, r_start, r_end, read_length): the regions of each read."""
+    reads = reads.withColumn("pos", F.col("pos").cast("long"))
     texts = iso_paths.select(*GENE, F.concat(F.lit(","), F.array_join(F.col("path").cast("array<string>"), ","), F.lit(",")).alias("p"))
     genes = settle(gene_segs.join(texts.groupBy(*GENE).agg(F.collect_list("p").alias("paths")), GENE))
     candidates = gene_candidates(placements(reads), genes.select(*GENE, "g_start", "g_end"), s.gene_tolerance)

@@ -14,7 +14,7 @@ def gtf_rows(spark: SparkSession, path: str) -> DataFrame:
     f = F.split("value", "\t")
     names = ("chr", "source", "feature", "start", "end", "score", "strand", "frame", "attributes")
     rows = lines.where(F.size(f) >= 9).select(*[F.get(f, F.lit(i)).alias(n) for i, n in enumerate(names)])
-    return rows.withColumns({c: F.expr(f"try_cast({c} as int)") for c in ("start", "end")})
+    return rows.withColumns({c: F.expr(f"try_cast({c} as long)") for c in ("start", "end")})
 
 
 def exons(spark: SparkSession, path: str, canonical: bool = True) -> DataFrame:
@@ -59,7 +59,7 @@ def alignments(spark: SparkSession, path: str, policy: str = "best", mask: int =
         F.get(f, F.lit(0)).alias("name"),
         F.get(f, F.lit(1)).try_cast("int").alias("flag"),
         F.get(f, F.lit(2)).alias("rname"),
-        F.get(f, F.lit(3)).try_cast("int").alias("pos"),
+        F.get(f, F.lit(3)).try_cast("long").alias("pos"),
         F.get(f, F.lit(4)).try_cast("int").alias("mapq"),
         F.get(f, F.lit(5)).alias("cigar"),
     )

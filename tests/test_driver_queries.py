@@ -79,3 +79,16 @@ def test_reads_are_mapped_once_on_one_model(spark, monkeypatch):
     got = driver_queries.QUERIES["long_read_regions"](spark, DATA)
     assert len(calls) == 1
     assert "MapInPandas" not in got._jdf.queryExecution().executedPlan().toString()  # what follows reads the table of mapped reads
+
+
+@pytest.mark.parametrize("name", ["job2_region_counts"])
+def test_positions_beyond_32_bits(spark, tmp_path, name):
+    customers = [3, 2_147_483, 5_400_000, 10**13]
+    orders = [(i, customers[i % 4]) for i in range(1, 160)]
+    spark.createDataFrame([(k, k % 3) for k in customers], "c_custkey long, c_nationkey int").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    con = duckdb.connect()
+    for t in ("customer", "orders"):
+        con.sql(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
+    got, want = entry.queries()[name](spark, str(tmp_path)), con.sql(entry.oracle_sql()[name])
+    assert rows(got.columns, got.collect()) == rows(want.columns, want.fetchall())
