@@ -135,7 +135,7 @@ TWINS = "r AS (SELECT o_orderkey, o_custkey AS k, o_orderkey % 3 AS kind, (o_ord
 def mapped_ties(spark, sf_dir) -> DataFrame:
     """Reads of genes that stand twice are on both."""
     x = gene_exons(spark, sf_dir)
-    twins = x.where("cast(gene as int) % 2 = 0").withColumns({"gene": F.concat(F.lit("t"), "gene"), "isoform": F.concat(F.lit("t"), "isoform")})
+    twins = x.where("cast(gene as long) % 2 = 0").withColumns({"gene": F.concat(F.lit("t"), "gene"), "isoform": F.concat(F.lit("t"), "isoform")})
     x = x.unionByName(twins)
     segs, iso_paths = paths.laid_out(x)
     got = mapping.map_reads(order_reads(spark, sf_dir), paths.gene_segments(segs), iso_paths, QuantifySettings())

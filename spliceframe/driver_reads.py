@@ -31,7 +31,7 @@ def gene_exons(spark, sf_dir) -> DataFrame:
     one = k.select("k", F.explode(F.array(*rows)).alias("x"))
     return one.selectExpr(
         "'c' as chr", "cast(k as string) as gene", "concat(x.isoform, k) as isoform", "'+' as strand",
-        "cast(1000 * k + x.s as int) as start", "cast(1000 * k + x.e as int) as end",
+        "cast(1000 * k + x.s as long) as start", "cast(1000 * k + x.e as long) as end",
     )
 
 
@@ -40,7 +40,7 @@ def order_reads(spark, sf_dir) -> DataFrame:
         "o_orderkey", "o_custkey as k", "o_orderkey % 3 as kind", "o_orderkey % 30 as off", "(o_orderkey div 3) % 13 - 6 as d", "20 + o_orderkey % 50 as len"
     )
     cigar = "case kind when 0 then concat(len, 'M') else concat(100 + d - off, 'M', if(kind = 1, 200, 500) - d, 'N', len, 'M') end"
-    return r.selectExpr("cast(o_orderkey as string) as name", "0 as flag", "'c' as chr", "cast(1000 * k + 1 + off as int) as pos", "60 as mapq", f"{cigar} as cigar")
+    return r.selectExpr("cast(o_orderkey as string) as name", "0 as flag", "'c' as chr", "cast(1000 * k + 1 + off as long) as pos", "60 as mapq", f"{cigar} as cigar")
 
 
 READS = """r AS (SELECT o_orderkey, o_custkey AS k, o_orderkey % 3 AS kind, o_orderkey % 30 AS off, (o_orderkey // 3) % 13 - 6 AS d, 20 + o_orderkey % 50 AS len FROM orders),
@@ -331,7 +331,7 @@ def gtf(spark, sf_dir) -> str:
     x = gene_exons(spark, sf_dir)
     line = lambda feature, a, b: F.concat_ws("\t", F.lit("chr7"), F.lit("src"), F.lit(feature), a, b, F.lit("."), F.lit("+"), F.lit("."), F.concat(F.lit('gene_id "'), "gene", F.lit('"; transcript_id "'), "isoform", F.lit('";')))  # noqa: E731, E501
     genes = x.groupBy("gene").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.lit("").alias("isoform"))
-    odd = x.where("cast(gene as int) % 10 = 0").select(line("exon", F.col("end"), F.col("start")).alias("value"))  # start after end
+    odd = x.where("cast(gene as long) % 10 = 0").select(line("exon", F.col("end"), F.col("start")).alias("value"))  # start after end
     rows = x.select(line("exon", F.col("start"), F.col("end")).alias("value")).union(genes.select(line("gene", F.col("start"), F.col("end"))))
     return put_lines(rows.union(odd).union(spark.range(1).select(F.lit("# header"))), "gtf")
 

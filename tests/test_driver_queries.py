@@ -81,7 +81,7 @@ def test_reads_are_mapped_once_on_one_model(spark, monkeypatch):
     assert "MapInPandas" not in got._jdf.queryExecution().executedPlan().toString()  # what follows reads the table of mapped reads
 
 
-@pytest.mark.parametrize("name", ["job2_region_counts"])
+@pytest.mark.parametrize("name", ["kvalue_files", "map_reads", "gtf_exons", "job2_region_counts"])
 def test_positions_beyond_32_bits(spark, tmp_path, name):
     customers = [3, 2_147_483, 5_400_000, 10**13]
     orders = [(i, customers[i % 4]) for i in range(1, 160)]
