@@ -262,8 +262,9 @@ SELECT gene, isoform, path AS region, round(coalesce(sum(x), 0), 8) AS weight FR
 def density_region_weights(spark, sf_dir) -> DataFrame:
     """The weights of regions by that density, from running sums."""
     x = order_exons(spark, sf_dir)
-    segs, iso = paths.segments(x), paths.isoforms(x)
-    regions = paths.regions(paths.paths(segs, x), segs, KValueSettings())
+    iso = settle(paths.isoforms(x).select(*paths.GENE, "isoform", "length"))  # no chr that is a constant: joins then keep regions where they are
+    segs, iso_paths = paths.laid_out(x)
+    regions = paths.regions(iso_paths, segs, KValueSettings())
     held = read_density_of(spark, sf_dir, iso.select(F.col("length").cast("long").alias("iso_len")))
     return density.region_weights(regions, iso, held).select("gene", "isoform", "region", F.round("weight", 8).alias("weight"))
 

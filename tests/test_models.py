@@ -460,3 +460,21 @@ def test_rounds_shuffle_sums_alone_and_go_by_joins_for_many_isoforms(spark, monk
 
 def rows_of(df):
     return collections.Counter(map(tuple, df.select(*sorted(df.columns)).collect()))
+
+
+def test_region_weights_are_looked_up_without_spreading_ends(spark, table, monkeypatch):
+    rows = [("c", f"g{k % 3}", [k], 90 + k, 90 + k, 90 + k, 0, ["a", "b", "far"]) for k in range(9)]
+    rows += [("c", f"g{k}", [0, 3 + k], 400, 150 + 9 * k, 180, 70 - k, ["b", "a"]) for k in range(3)]
+    regions = spark.createDataFrame(rows, "chr string, gene string, path array<int>, len long, first long, last long, inner long, isoforms array<string>")
+    lengths = [("c", f"g{k}", i, n) for k in range(3) for i, n in (("a", 300), ("b", 210), ("far", 5000))]
+    isoforms = spark.createDataFrame(lengths, "chr string, gene string, isoform string, length long")
+    found = []
+    for most in (density.BROADCAST_SUMS, 0):  # 0: ends that a table of sums doesn't hold meet them by a join, as where there are very many
+        monkeypatch.setattr(density, "BROADCAST_SUMS", most)
+        got = density.region_weights(regions, isoforms, table)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert ("sign" in plan) == (most == 0)
+        found.append({(r.gene, r.isoform, r.region): r.weight for r in got.collect()})
+    assert len(found[0]) == 33 and sum(v > 0 for v in found[0].values()) > 10 and found[0] == pytest.approx(found[1], abs=1e-12)
+    none = density.region_weights(regions, isoforms, table.where("false"))  # no read at all
+    assert {r.weight for r in none.collect()} == {0.0} and none.count() == 33
